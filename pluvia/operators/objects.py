@@ -251,9 +251,9 @@ def despeckle_time(
         echoes = plain.join(scans.select(F.col(scan).alias("scan"), "seq"), "scan", "inner")
     else:
         echoes = placed
-    seen = echoes.select(
-        (F.col("seq") - F.explode(F.array(*[F.lit(o) for o in offsets]))).alias("seq"), "ray", "bin"
-    )
+    shifts = F.explode(F.array(*[F.lit(o) for o in offsets]))
+    seen = echoes.select(F.col("seq").alias("_s"), "ray", "bin", shifts.alias("_o"))
+    seen = seen.select((F.col("_s") - F.col("_o")).alias("seq"), "ray", "bin")
     votes = placed.select("scan", "seq", "ray", "bin", "value", "label", "_own").unionByName(
         seen, allowMissingColumns=True
     )

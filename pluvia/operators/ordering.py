@@ -60,6 +60,16 @@ def keep_last(df: DataFrame, col: str, n: int = 50) -> DataFrame:
     return top.orderBy(F.col(col).desc()).limit(n).orderBy(col)
 
 
+def dataset_offsets(sizes: DataFrame, dataset: str, n: str) -> DataFrame:
+    """Start and end position of every dataset when the datasets are laid end to end.
+
+    One row per dataset; the dataset list is configuration, so it stays small.
+    """
+    w = Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(n).over(w)
+    return sizes.select(dataset, (end - F.col(n)).alias("first"), end.alias("end"))
+
+
 def dataset_of(index: DataFrame, offsets: DataFrame, dataset: str, idx: str = "idx") -> DataFrame:
     """Which dataset each running index falls in, and its position inside it.
 

@@ -291,7 +291,8 @@ def rolling_weights(
     """
     span = n_before + n_after
     offs = F.sequence(F.lit(-n_after), F.lit(n_before - 1))
-    shared = weights.select((F.col(idx) + F.explode(offs)).alias(idx), "weight")
+    shared = weights.select(F.col(idx).alias("_i"), "weight", F.explode(offs).alias("_off"))
+    shared = shared.select((F.col("_i") + F.col("_off")).alias(idx), "weight")
     own = weights.select(idx, F.lit(None).cast("double").alias("weight"), F.lit(1).alias("_own"))
     sums = shared.withColumn("_own", F.lit(0)).unionByName(own).groupBy(idx).agg(
         F.sum("weight").alias("_s"), F.count("weight").alias("_n"), F.max("_own").alias("_own")

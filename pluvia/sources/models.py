@@ -36,12 +36,14 @@ def layered(*layers: Column) -> Column:
     pairs = [F.map_entries(F.coalesce(m, empty)) for m in layers]
     out = pairs[0]
     for later in pairs[1:]:
-        keys = F.transform(later, lambda e: e["key"])
-        kept = F.filter(out, lambda e, keys=keys: ~F.array_contains(keys, e["key"]))
-        out = F.concat(kept, later)
+        out = F.concat(_without_keys(out, F.transform(later, lambda e: e["key"])), later)
     return F.map_from_entries(out)
 
 
+def _without_keys(entries: Column, keys: Column) -> Column:
+    return F.filter(entries, lambda e: ~F.array_contains(keys, e["key"]))
+
+
 def model_settings(registry: DataFrame, dataset: dict[str, str], params: DataFrame) -> DataFrame:
     """Settings per model: the registry's own, or the defaults, then dataset and model.
 
