@@ -63,55 +63,53 @@ def centre_window(
     return cells.where(inside & (F.col("i") == F.col("j")) if diagonal else inside)
 
 
-def _read_cell(values: Column, i: Column, j: Column, ni: int, nj: int, padding: str) -> Column:
-    cell = F.get(values, clip_index(i, ni) * nj + clip_index(j, nj))
-    if padding == "border":
-        return cell
-    return F.when(i.between(0, ni - 1) & j.between(0, nj - 1), cell).otherwise(F.lit(0.0))
-
-
 def warp(
-    values: Column,
-    du: Column,
-    dv: Column,
+    frames: DataFrame,
     ni: int,
     nj: int,
+    keys: list[str],
     mode: str = "bilinear",
     padding: str = "zeros",
-) -> Column:
-    """Read every cell from ``(i + dv, j + du)``: backward advection of a packed frame.
+) -> DataFrame:
+    """Cells of every frame moved along its motion field (backward advection).
 
-    ``du`` and ``dv`` are packed like the frame. ``padding`` is ``border`` (clamp to
-    the edge) or ``zeros``; ``mode`` is ``bilinear`` or ``nearest`` (ties to even).
+    ``frames``: ``keys`` and packed ``values, du, dv``; cell ``(i, j)`` reads
+    ``(i + dv, j + du)``. ``padding`` is ``border`` (clamp to the edge) or ``zeros``;
+    ``mode`` is ``bilinear`` or ``nearest`` (ties to even). The sources of a cell lie
+    in its own row, so nothing is shuffled and the arithmetic stays in generated code.
     """
     if mode not in ("bilinear", "nearest") or padding not in ("border", "zeros"):
         raise ValueError("mode: bilinear|nearest, padding: border|zeros")
-
-    def cell(k: Column) -> Column:
-        y = int_div(k, nj).cast("double") + F.get(dv, k)
-        x = F.pmod(k, F.lit(nj)).cast("double") + F.get(du, k)
-        if padding == "border":
-            y = F.greatest(F.least(y, F.lit(float(ni - 1))), F.lit(0.0))
-            x = F.greatest(F.least(x, F.lit(float(nj - 1))), F.lit(0.0))
-        if mode == "nearest":
-            return _read_cell(
-                values, F.bround(y).cast("int"), F.bround(x).cast("int"), ni, nj, padding
-            )
-        i0, j0 = F.floor(y).cast("int"), F.floor(x).cast("int")
-        wy, wx = y - i0, x - j0
-        read = lambda a, b: _read_cell(values, i0 + a, j0 + b, ni, nj, padding)
-        return (
-            read(0, 0) * (1 - wy) * (1 - wx)
-            + read(0, 1) * (1 - wy) * wx
-            + read(1, 0) * wy * (1 - wx)
-            + read(1, 1) * wy * wx
-        )
-
-    return F.transform(positions(ni * nj), cell)
+    cells = frames.select(*keys, "values", "dv", F.posexplode("du").alias("_k", "_du"))
+    cells = cells.withColumns({"i": int_div(F.col("_k"), nj), "j": F.pmod("_k", F.lit(nj))})
+    y, x = F.col("i") + F.get("dv", F.col("_k")), F.col("j") + F.col("_du")
+    if padding == "border":
+        y = F.greatest(F.least(y, F.lit(float(ni - 1))), F.lit(0.0))
+        x = F.greatest(F.least(x, F.lit(float(nj - 1))), F.lit(0.0))
+    cells = cells.withColumns({"_y": y, "_x": x})
+    if mode == "nearest":
+        cells = cells.withColumns({"_i": F.bround("_y").cast("int"), "_j": F.bround("_x").cast("int")})
+        return cells.select(*keys, "i", "j", _read_cell(0, 0, ni, nj, padding).alias("value"))
+    cells = cells.withColumns({"_i": F.floor("_y").cast("int"), "_j": F.floor("_x").cast("int")})
+    cells = cells.withColumns(
+        {
+            "_wy": F.col("_y") - F.col("_i"),
+            "_wx": F.col("_x") - F.col("_j"),
+            **{f"_v{a}{b}": _read_cell(a, b, ni, nj, padding) for a in (0, 1) for b in (0, 1)},
+        }
+    )
+    blended = F.expr(
+        "(1 - _wy) * ((1 - _wx) * _v00 + _wx * _v01) + _wy * ((1 - _wx) * _v10 + _wx * _v11)"
+    )
+    return cells.select(*keys, "i", "j", blended.alias("value"))
 
 
-def _to_matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+def _read_cell(a: int, b: int, ni: int, nj: int, padding: str) -> Column:
+    i, j = F.col("_i") + a, F.col("_j") + b
+    cell = F.get("values", clip_index(i, ni) * nj + clip_index(j, nj))
+    if padding == "border":
+        return cell
+    return F.when(i.between(0, ni - 1) & j.between(0, nj - 1), cell).otherwise(F.lit(0.0))
 
 
 def evolve(

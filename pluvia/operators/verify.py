@@ -152,8 +152,9 @@ def neighbourhood_pairs(
     matched: DataFrame, keys: list[str], ni: int, nj: int, kernel: int = 5, stride: int = 2
 ) -> DataFrame:
     """Like :func:`paired_cells` after max-pooling both frames inside their rows."""
-    pool = lambda c: max_pool(map_values(F.col(c), clean_score), ni, nj, kernel, stride)
-    pooled = matched.withColumns({"forecast": pool("forecast"), "truth": pool("truth")})
+    sides = ("forecast", "truth")
+    clean = matched.withColumns({c: map_values(F.col(c), clean_score) for c in sides})
+    pooled = clean.withColumns({c: max_pool(F.col(c), ni, nj, kernel, stride) for c in sides})
     return paired_cells(pooled, keys)
 
 

@@ -10,23 +10,28 @@ from pluvia.operators.align import attach_latest, first_scan_in_minutes, match_t
 from pluvia.operators.interpolate import apply_weights, interpolate
 
 
-def with_cloud_height(rain: DataFrame, heights: DataFrame, tile: float = 0.25) -> DataFrame:
+def with_cloud_height(
+    rain: DataFrame, heights: DataFrame, tile: float = 0.25, unknown: str = "drop"
+) -> DataFrame:
     """Rain pixels with the cloud height of the latest height scan at or before them.
 
     ``rain``: ``creation, row, col, lat, lon, value``; ``heights``: the same with
     ``height``. The scans are matched on distinct times; heights are then
-    interpolated at the pixel positions, joined by (scan, tile).
+    interpolated at the pixel positions, joined by (scan, tile). Pixels with no
+    known height are dropped, or kept with a NULL height.
     """
     h = heights.withColumnRenamed("creation", "creation_h")
     matched = match_times(rain, h, "creation", "creation_h")
     pixels = rain.join(matched, "creation", "left")
-    pixel = F.struct("creation", "row", "col")
+    fields = rain.columns if unknown == "drop" else ["creation", "row", "col"]
     targets = pixels.where("creation_h is not null").select(
-        "creation_h", pixel.alias("target"), "lat", "lon"
+        "creation_h", F.struct(*fields).alias("target"), "lat", "lon"
     )
     found = interpolate(h, targets, ["creation_h"], "height", ["creation_h"], tile)
-    found = found.select("target.creation", "target.row", "target.col", "height")
-    return pixels.drop("creation_h").join(found, ["creation", "row", "col"], "left")
+    found = found.select("target.*", "height")
+    if unknown == "drop":
+        return found
+    return rain.join(found, ["creation", "row", "col"], "left")
 
 
 def correct_parallax(
@@ -39,7 +44,7 @@ def correct_parallax(
     sat_alt: float = SATELLITE_ALT,
 ) -> DataFrame:
     """Rain pixels moved below their clouds, once per scan."""
-    located = with_cloud_height(rain, heights, tile)
+    located = with_cloud_height(rain, heights, tile, unknown)
     moved = parallax_shift(
         located, "height", sat_lon=sat_lon, sat_lat=sat_lat, sat_alt=sat_alt, unknown=unknown
     )
@@ -47,33 +52,35 @@ def correct_parallax(
 
 
 def satellite_frames(
-    pixels: DataFrame,
+    rain: DataFrame,
     target_times: DataFrame,
-    grids: dict[str, DataFrame],
+    grids: list[DataFrame],
+    heights: DataFrame | None = None,
     offset_minutes: int = 5,
     tolerance_minutes: int | None = None,
     tile: float = 0.25,
+    unknown: str = "drop",
 ) -> DataFrame:
-    """Cells of every target time on every grid (one channel per grid).
+    """Cells of every target time on every grid; grid ``n`` is channel ``n``.
 
-    Each scan is interpolated once per grid, then copied to the target times that
-    use it. ``grids`` maps a resolution to ``target, lat, lon``; the first is
-    channel 0.
+    Only the scans that some target time uses are corrected (with ``heights``) and
+    interpolated, each once for all grids; the cells are then copied to the target
+    times. ``grids`` hold ``target, lat, lon``.
     """
     used = match_times(
-        target_times, pixels, "frame_ts", "creation",
+        target_times, rain, "frame_ts", "creation",
         offset_minutes=offset_minutes, tolerance_minutes=tolerance_minutes,
     )
-    needed = pixels.join(used.select("creation").distinct(), "creation", "left_semi")
-    parts = []
-    for ch, grid in enumerate(grids.values()):
-        cells = interpolate(needed, grid, ["creation"], "value", tile=tile)
-        parts.append(cells.withColumn("ch", F.lit(ch)))
-    cells = parts[0]
-    for p in parts[1:]:
-        cells = cells.unionByName(p)
+    pixels = rain.join(used.select("creation").distinct(), "creation", "left_semi")
+    if heights is not None:
+        pixels = correct_parallax(pixels, heights, tile, unknown)
+    targets = None
+    for ch, grid in enumerate(grids):
+        g = grid.select(F.struct(F.lit(ch).alias("ch"), "target").alias("target"), "lat", "lon")
+        targets = g if targets is None else targets.unionByName(g)
+    cells = interpolate(pixels, targets, ["creation"], "value", tile=tile)
     return used.join(cells, "creation", "inner").select(
-        "frame_ts", "creation", "ch", "target", "value"
+        "frame_ts", "creation", "target.ch", "target.target", "value"
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pluvia.functions import geo
 from pluvia.functions.arrays import positions, smooth_symmetric
+from pluvia.functions.radar import REFERENCE_LAT, REFERENCE_LON, bin_range
 from pluvia.operators import align, objects
 from pluvia.operators import radar as R
 from pluvia.operators.grid import (
@@ -20,7 +22,7 @@ from pluvia.operators.interpolate import apply_weights, interpolate, interpolati
 from pluvia.operators.samples import past_frames
 from pluvia.operators.scoring import score_frames, stack_inputs
 from pluvia.plans import views as V
-from pluvia.plans.frames import correct_parallax, radar_frames, satellite_frames
+from pluvia.plans.frames import radar_frames, satellite_frames
 from pluvia.plans.registry import query
 
 SWEEP = ["scan_id"]
@@ -254,8 +256,8 @@ def _asof_by(spark, sf):
 @query(
     "asof_offset",
     f"""WITH {_CLICKS}, m AS (SELECT DISTINCT {V.SQL_MARK} AS target_ts FROM events)
-    SELECT target_ts, h_ts FROM (SELECT *, target_ts + INTERVAL 5 MINUTE AS at FROM m) t
-    ASOF LEFT JOIN h ON t.at >= h.h_ts""",
+    SELECT target_ts, h_ts FROM (SELECT *, target_ts + INTERVAL 5 MINUTE AS due FROM m) t
+    ASOF LEFT JOIN h ON t.due >= h.h_ts""",
 )
 def _asof_offset(spark, sf):
     _, height = _sides(spark, sf)
@@ -266,8 +268,8 @@ def _asof_offset(spark, sf):
 @query(
     "asof_tolerance",
     f"""WITH {_CLICKS}, m AS (SELECT DISTINCT {V.SQL_MARK} AS target_ts FROM events)
-    SELECT target_ts, CASE WHEN h_ts >= at - INTERVAL 30 MINUTE THEN h_ts END AS h_ts
-    FROM (SELECT *, target_ts + INTERVAL 5 MINUTE AS at FROM m) t ASOF LEFT JOIN h ON t.at >= h.h_ts""",
+    SELECT target_ts, CASE WHEN h_ts >= due - INTERVAL 30 MINUTE THEN h_ts END AS h_ts
+    FROM (SELECT *, target_ts + INTERVAL 5 MINUTE AS due FROM m) t ASOF LEFT JOIN h ON t.due >= h.h_ts""",
 )
 def _asof_tolerance(spark, sf):
     _, height = _sides(spark, sf)
@@ -374,8 +376,6 @@ SELECT ray, bin, round(degrees(atan2(sin(u1) * cos(sig) + cos(u1) * sin(sig) * c
 
 @query("polar_to_latlon", _VINCENTY)
 def _polar(spark, sf):
-    from pluvia.functions.radar import REFERENCE_LAT, REFERENCE_LON, bin_range
-
     dim = V.volume(spark, sf).select("ray", "bin").distinct()
     dim = dim.withColumns(
         {"az": F.col("ray").cast("double"), "dist": bin_range(F.col("bin"), 0.0, 5000.0)}
@@ -439,14 +439,14 @@ def _interp_weights(spark, sf):
     f"""WITH {_TRI}, m AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events),
     sc AS (SELECT vec_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id * 10 AS INT)) AS creation
       FROM embeddings),
-    u AS (SELECT frame_ts, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS at FROM m) t
-      ASOF JOIN sc ON t.at >= sc.creation WHERE creation >= at - INTERVAL 20 MINUTE)
+    u AS (SELECT frame_ts, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) t
+      ASOF JOIN sc ON t.due >= sc.creation WHERE creation >= due - INTERVAL 20 MINUTE)
     SELECT frame_ts, creation, 0 AS ch, target, round(value, 6) AS value FROM u JOIN hit USING (vec_id)""",
 )
 def _satellite_frames(spark, sf):
+    rain = V.pixels(spark, sf).drop("vec_id")
     out = satellite_frames(
-        V.pixels(spark, sf), V.marks(spark, sf), {"fine": V.target_grid(spark)},
-        tolerance_minutes=20, tile=0.1,
+        rain, V.marks(spark, sf), [V.target_grid(spark)], tolerance_minutes=20, tile=0.1
     )
     return out.withColumn("value", r6("value"))
 
@@ -455,9 +455,10 @@ def _satellite_frames(spark, sf):
 def _parallax_frames(spark, sf):
     rain = V.pixels(spark, sf).drop("vec_id")
     heights = rain.withColumn("height", F.lit(2000.0) + F.col("value") * 100).drop("value")
-    moved = correct_parallax(rain, heights, tile=0.1)
-    grids = {"fine": V.target_grid(spark), "coarse": V.target_grid(spark, 3)}
-    out = satellite_frames(moved, V.marks(spark, sf), grids, tolerance_minutes=20, tile=0.1)
+    grids = [V.target_grid(spark), V.target_grid(spark, 3)]
+    out = satellite_frames(
+        rain, V.marks(spark, sf), grids, heights, tolerance_minutes=20, tile=0.1
+    )
     return out.withColumn("value", r6("value"))
 
 
@@ -469,7 +470,7 @@ def _parallax_frames(spark, sf):
     c AS (SELECT frame_ts, scan_ts, vec_id, row_number() OVER (PARTITION BY frame_ts
       ORDER BY date_trunc('minute', scan_ts) DESC, scan_ts) AS rn FROM m JOIN sc
       ON date_trunc('minute', scan_ts) BETWEEN frame_ts - INTERVAL 4 MINUTE AND frame_ts)
-    SELECT m.frame_ts, c.scan_ts, target, round(value, 6) AS value FROM m
+    SELECT m.frame_ts, c.scan_ts, coalesce(target, -1) AS target, round(value, 6) AS value FROM m
     LEFT JOIN c ON c.frame_ts = m.frame_ts AND rn = 1 LEFT JOIN hit USING (vec_id)""",
 )
 def _radar_frames(spark, sf):
@@ -480,7 +481,7 @@ def _radar_frames(spark, sf):
         mins=(F.col("vec_id") * 10 - F.pmod("vec_id", F.lit(7))).cast("int"), secs=F.lit(30)
     )
     scans = p.withColumn("scan_ts", F.lit(V.T0).cast("timestamp_ntz") + late)
-    out = radar_frames(scans, V.marks(spark, sf), weights)
+    out = radar_frames(scans, V.marks(spark, sf), weights).na.fill({"target": -1})
     return out.withColumn("value", r6("value"))
 
 
@@ -593,9 +594,12 @@ def _despeckle_time(spark, sf):
 # --- motion ------------------------------------------------------------------
 
 
-def _flow(values, fx, fy):
-    """Packed motion that depends on the frame and the cell."""
-    return F.transform(positions(64), lambda k: fx(k)), F.transform(positions(64), lambda k: fy(k))
+def _motion_arrays(across, down):
+    """Packed ``du`` (same in every cell) and ``dv`` (by cell) columns."""
+    return {
+        "du": F.array_repeat(across, 64),
+        "dv": F.transform(positions(64), lambda k: (F.pmod(k, F.lit(5)) - 2) * F.lit(down)),
+    }
 
 
 _MOVE = """mv AS (SELECT vec_id, i, j, k, value,
@@ -603,11 +607,9 @@ _MOVE = """mv AS (SELECT vec_id, i, j, k, value,
 
 
 def _moved(spark, sf, mode, padding):
-    f = V.frames(spark, sf)
-    n = (F.pmod("vec_id", F.lit(3)) - 1) * F.lit(0.75)
-    du, dv = _flow(F.col("values"), lambda k: n, lambda k: (F.pmod(k, F.lit(5)) - 2) * F.lit(0.6))
-    out = f.select("vec_id", warp(F.col("values"), du, dv, 8, 8, mode, padding).alias("values"))
-    return unpack_frames(out, 8, ["vec_id"]).withColumn("value", r6("value"))
+    across = (F.pmod("vec_id", F.lit(3)) - 1) * F.lit(0.75)
+    f = V.frames(spark, sf).withColumns(_motion_arrays(across, 0.6))
+    return warp(f, 8, 8, ["vec_id"], mode, padding).withColumn("value", r6("value"))
 
 
 @query(
@@ -659,10 +661,9 @@ def _evolve(spark, sf):
     motion = f.select(
         "vec_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("lead")
     )
-    n = (F.pmod(F.col("vec_id") + F.col("lead"), F.lit(3)) - 1) * F.lit(0.75)
-    du, dv = _flow(None, lambda k: n, lambda k: (F.pmod(k, F.lit(5)) - 2) * F.lit(0.6))
+    across = (F.pmod(F.col("vec_id") + F.col("lead"), F.lit(3)) - 1) * F.lit(0.75)
     gain = F.array_repeat(F.lit(0.1) * F.col("lead"), 64)
-    motion = motion.select("vec_id", "lead", du.alias("du"), dv.alias("dv"), gain.alias("intensity"))
+    motion = motion.withColumns({**_motion_arrays(across, 0.6), "intensity": gain})
     out = evolve(f, motion, 8, 8, 4, key="vec_id")
     return unpack_frames(out, 8, ["vec_id", "lead"]).withColumn("value", r6("value"))
 
@@ -735,8 +736,6 @@ def _ensemble(spark, sf):
       round(exp(greatest(x * (1 - 0.1 * lead), 0) * 1.2) - 1, 6) AS value FROM m CROSS JOIN l""",
 )
 def _score_model(spark, sf):
-    import numpy as np
-
     f = V.frames(spark, sf)
     keys = f.select(F.col("frame_ts").alias("key_ts"), F.col("vec_id").alias("issue"))
     samples = stack_inputs(past_frames(keys, f, 3), 8, 8)
