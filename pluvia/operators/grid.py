@@ -162,6 +162,10 @@ def evolve(
     return flat.mapInPandas(follow, f"{key} {kind}, lead int, values array<double>")
 
 
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
 def block_motion(
     pairs: DataFrame, ni: int, nj: int, block: int, radius: int, key: str = "frame_ts"
 ) -> DataFrame:
@@ -183,8 +187,8 @@ def block_motion(
         for pdf in batches:
             if pdf.empty:
                 continue
-            cur = _to_matrix(pdf["cur"]).reshape(-1, ni, nj)
-            prev = _to_matrix(pdf["prev"]).reshape(-1, ni, nj)
+            cur = _stack(pdf["cur"]).reshape(-1, ni, nj)
+            prev = _stack(pdf["prev"]).reshape(-1, ni, nj)
             edge = np.pad(prev, ((0, 0), (radius, radius), (radius, radius)), mode="edge")
             best = np.full((len(pdf), bi, bj), np.inf)
             pick = np.zeros((len(pdf), bi, bj), int)
