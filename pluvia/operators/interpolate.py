@@ -7,14 +7,15 @@ map tile they touch; the barycentric weights are plain arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.session import BROADCAST_MAX_ROWS, fits_broadcast
 
 _CORNERS = {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (1, 1)}
-# All corners present: two triangles on the b-c diagonal. One missing: the rest.
-_TRIANGLES = {"abc": 0, "dcb": 1, "acd": 2, "abd": 3}
+# Triangle kinds by number. All corners present: two triangles on the b-c diagonal.
+# One corner missing: the remaining three.
+_TRIANGLES = ["abc", "dcb", "acd", "abd"]
 
 
 def triangles(points: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
@@ -25,70 +26,47 @@ def triangles(points: DataFrame, by: list[str], payload: list[str]) -> DataFrame
     position shift) and triangles without area are dropped.
     """
     fields = ["lat", "lon", *payload]
-    reports = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    (F.col("row") - dr).cast("long").alias("qr"),
-                    (F.col("col") - dc).cast("long").alias("qc"),
-                    F.lit(c).alias("corner"),
-                )
-                for c, (dr, dc) in _CORNERS.items()
-            ]
-        )
-    )
-    known = points.where(
-        F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    reports = ", ".join(
+        f"struct(CAST(row - {dr} AS BIGINT) AS qr, CAST(col - {dc} AS BIGINT) AS qc, '{c}' AS corner)"
+        for c, (dr, dc) in _CORNERS.items()
     )
-    corners = known.select(*by, *fields, reports.alias("_q"))
+    known = points.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+    corners = known.selectExpr(*by, *fields, f"explode(array({reports})) AS _q")
     quads = corners.groupBy(*by, "_q.qr", "_q.qc").agg(
         *[
-            F.max(F.when(F.col("_q.corner") == c, F.col(f))).alias(f"{c}_{f}")
+            F.expr(f"max({f}) FILTER (WHERE _q.corner = '{c}') AS {c}_{f}")
             for c in _CORNERS
             for f in fields
         ]
     )
-    has = {c: F.col(f"{c}_lat").isNotNull() for c in _CORNERS}
-    full = has["a"] & has["b"] & has["c"] & has["d"]
-    aligned = _area("a", "b", "c") * _area("d", "c", "b") > 0
-    present = {
-        "abc": has["a"] & has["b"] & has["c"] & (~has["d"] | aligned),
-        "dcb": has["b"] & has["c"] & has["d"] & (~has["a"] | aligned),
-        "acd": has["a"] & has["c"] & has["d"] & ~has["b"],
-        "abd": has["a"] & has["b"] & has["d"] & ~has["c"],
-    }
-    made = F.explode(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.coalesce(present[t] & (_area(*t) != 0), F.lit(False)),
-                        F.struct(
-                            (F.col("qr") * (2**32) + F.col("qc") * 4 + n).alias("tri"),
-                            *[
-                                F.col(f"{c}_{f}").alias(f"{f}{k}")
-                                for k, c in enumerate(t, start=1)
-                                for f in fields
-                            ],
-                        ),
-                    )
-                    for t, n in _TRIANGLES.items()
-                ]
-            )
-        )
+    has = lambda t: " AND ".join(f"{c}_lat IS NOT NULL" for c in t)
+    aligned = f"({_area(*'abc')}) * ({_area(*'dcb')}) > 0"
+    kinds = f"""CASE WHEN {has("abcd")} THEN IF({aligned}, array(0, 1), NULL)
+        WHEN {has("abc")} THEN array(0) WHEN {has("bcd")} THEN array(1)
+        WHEN {has("acd")} THEN array(2) WHEN {has("abd")} THEN array(3) END"""
+    pick = lambda k, f: " ".join(
+        ["CASE _kind", *[f"WHEN {n} THEN {t[k]}_{f}" for n, t in enumerate(_TRIANGLES)], "END"]
     )
-    return quads.select(*by, made.alias("_t")).select(*by, "_t.*")
+    made = quads.selectExpr("*", f"explode({kinds}) AS _kind").selectExpr(
+        *by,
+        f"qr * {2**32} + qc * 4 + _kind AS tri",
+        *[f"{pick(k, f)} AS {f}{k + 1}" for k in range(3) for f in fields],
+    )
+    return made.selectExpr("*", f"{_DET} AS det").where("det <> 0")
 
 
-def _area(p: str, q: str, r: str) -> Column:
-    c = lambda k, f: F.col(f"{k}_{f}")
-    return (c(q, "lat") - c(p, "lat")) * (c(r, "lon") - c(p, "lon")) - (
-        c(q, "lon") - c(p, "lon")
-    ) * (c(r, "lat") - c(p, "lat"))
+_DET = "(lat2 - lat3) * (lon1 - lon3) + (lon3 - lon2) * (lat1 - lat3)"
 
 
-def _tile(v: Column, size: float) -> Column:
-    return F.floor(v / size)
+def _area(p: str, q: str, r: str) -> str:
+    """Twice the signed area of the triangle of three corners."""
+    return (
+        f"({q}_lat - {p}_lat) * ({r}_lon - {p}_lon) - ({q}_lon - {p}_lon) * ({r}_lat - {p}_lat)"
+    )
+
+
+def _tile(v: str, size: float) -> str:
+    return f"floor({v} / {size!r}D)"
 
 
 def locate(
@@ -107,23 +85,15 @@ def locate(
     broadcast when small enough; otherwise each tile is split over ``salts`` so
     that it does not collect the triangles of every scan in one task.
     """
-    spans = tris.withColumns(
-        {
-            "_ty": F.explode(
-                F.sequence(_tile(F.least("lat1", "lat2", "lat3"), tile),
-                           _tile(F.greatest("lat1", "lat2", "lat3"), tile))
-            )
-        }
-    ).withColumn(
-        "_tx",
-        F.explode(
-            F.sequence(_tile(F.least("lon1", "lon2", "lon3"), tile),
-                       _tile(F.greatest("lon1", "lon2", "lon3"), tile))
-        ),
+    span = lambda c: (
+        f"explode(sequence({_tile(f'least({c}1, {c}2, {c}3)', tile)}, "
+        f"{_tile(f'greatest({c}1, {c}2, {c}3)', tile)}))"
+    )
+    spans = tris.selectExpr("*", f"{span('lat')} AS _ty").selectExpr("*", f"{span('lon')} AS _tx")
+    at = targets.selectExpr(
+        *target_by, "target", "lat AS _y", "lon AS _x",
+        f"{_tile('lat', tile)} AS _ty", f"{_tile('lon', tile)} AS _tx",
     )
-    at = targets.select(
-        *target_by, "target", F.col("lat").alias("_y"), F.col("lon").alias("_x")
-    ).withColumns({"_ty": _tile(F.col("_y"), tile), "_tx": _tile(F.col("_x"), tile)})
     on = [*target_by, "_ty", "_tx"]
     if set(target_by) == set(by) and by:
         met = spans.join(at, on, "inner")
@@ -135,18 +105,13 @@ def locate(
         )
         copies = at.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = salted.join(copies, [*on, "_salt"], "inner").drop("_salt")
-    met = met.withColumn(
-        "_d",
-        F.expr("(lat2 - lat3) * (lon1 - lon3) + (lon3 - lon2) * (lat1 - lat3)"),
-    ).withColumns(
-        {
-            "w1": F.expr("((lat2 - lat3) * (_x - lon3) + (lon3 - lon2) * (_y - lat3)) / _d"),
-            "w2": F.expr("((lat3 - lat1) * (_x - lon3) + (lon1 - lon3) * (_y - lat3)) / _d"),
-        }
-    )
-    met = met.withColumn("w3", F.expr("1.0D - w1 - w2"))
+    met = met.selectExpr(
+        "*",
+        "((lat2 - lat3) * (_x - lon3) + (lon3 - lon2) * (_y - lat3)) / det AS w1",
+        "((lat3 - lat1) * (_x - lon3) + (lon1 - lon3) * (_y - lat3)) / det AS w2",
+    ).selectExpr("*", "1.0D - w1 - w2 AS w3")
     # A hair of slack so that a target on a shared edge is never lost to rounding.
-    return met.where("w1 >= -1e-12 and w2 >= -1e-12 and w3 >= -1e-12").drop("_d", "_ty", "_tx")
+    return met.where("w1 >= -1e-12 and w2 >= -1e-12 and w3 >= -1e-12").drop("det", "_ty", "_tx")
 
 
 def interpolate(

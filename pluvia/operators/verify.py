@@ -204,21 +204,16 @@ def best_worst(
         place = F.col(model)
     # A worst model is the first of those with the largest signed score, so the two
     # rankings differ in direction of the score only.
-    picks = []
-    for m in metrics:
-        v = F.col(f"`{m}`")
-        signed = v if lower_is_better(m) else -v
-        for kind, s in (("best", signed), ("worst", -signed)):
-            key = F.when(v.isNotNull(), F.struct(s.alias("s"), place.alias("p")))
-            picks.append(F.min_by(F.col(model), key).alias(f"_{kind}_{m}"))
-    chosen = scores.groupBy(*by).agg(*picks)
-    joined = scores.join(chosen, by, "left")
-    flags = [
-        (F.col(f"`_{kind}_{m}`") == F.col(model)).alias(f"{kind}_{m}")
-        for kind in ("worst", "best")
-        for m in metrics
-    ]
-    return joined.select(*[F.col(f"`{c}`") for c in scores.columns], *flags)
+    group = Window.partitionBy(*by)
+    flags = []
+    for kind in ("worst", "best"):
+        for m in metrics:
+            v = F.col(f"`{m}`")
+            signed = v if lower_is_better(m) == (kind == "best") else -v
+            key = F.when(v.isNotNull(), F.struct(signed.alias("s"), place.alias("p")))
+            pick = F.min_by(F.col(model), key).over(group)
+            flags.append((pick == F.col(model)).alias(f"{kind}_{m}"))
+    return scores.select(*[F.col(f"`{c}`") for c in scores.columns], *flags)
 
 
 def comparison_issue(frames: DataFrame, ts: str = "frame_ts", back: int = HORIZON) -> DataFrame:

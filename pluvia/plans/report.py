@@ -34,7 +34,7 @@ def score_report(
     pairs = paired_cells(match_forecasts(predictions, truth, "inner"), keys)
     scores = score(pairs, keys, metrics)
     if models:
-        lags = scores.select("lag").distinct()
+        lags = predictions.select("lag").distinct()
         wanted = lags.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
         scores = wanted.join(scores, keys, "left").select(*scores.columns)
     return best_worst(scores, ["lag"], "model", metrics, models)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pluvia.functions.arrays import map_values
 from pluvia.functions.times import floor_minutes, minutes
 from pluvia.operators.verify import HORIZON
+from pluvia.session import spread
 
 NI = NJ = 8
 BINS = 64
@@ -33,7 +34,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     rain = map_values(
         F.col("embedding"), lambda e: F.greatest(F.lit(0.0), F.lit(40.0) * e.cast("double"))
     )
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
         "vec_id", mark_ts(F.col("vec_id")).alias("frame_ts"), rain.alias("values")
     )
 
@@ -103,7 +104,7 @@ def mark_frames(spark: SparkSession, sf: str, event_type: str | None = None) ->
 
 def volume(spark: SparkSession, sf: str) -> DataFrame:
     """Radar volume cells ``scan_id, elev_idx, ray, bin, raw`` from order lines."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"), "l_orderkey")
     return li.groupBy(
         F.floor(F.col("l_orderkey") / 600).alias("scan_id"),
         F.col("l_linenumber").alias("elev_idx"),

@@ -26,6 +26,8 @@ def get_session(master: str | None = None, app: str = "pluvia", **conf: str) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # Recording the call site of every column expression makes long plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master is not None:
         builder = builder.master(master)
@@ -55,6 +57,15 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return dim.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share a table stored in too few files among all cores before heavy work.
+
+    A table that already has a partition per core is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def join_dimension(
     big: DataFrame,
     dim: DataFrame,
