@@ -156,15 +156,17 @@ class Source:
 
 
 def multi_source_samples(
-    sources: list[Source], step: int = 10, ts: str = "frame_ts"
+    sources: list[Source], step: int = 10, ts: str = "frame_ts", keys: DataFrame | None = None
 ) -> DataFrame:
     """Input and target frames of every key common to all sources.
 
     Output rows: ``key_ts, kind ('x'|'y'), source, lag, channel, values`` where
     ``channel`` is the first channel the frame takes in the stacked sample. Each
-    source fills its own range, newest frame first for inputs.
+    source fills its own range, newest frame first for inputs. ``keys`` (``key_ts``)
+    replaces the common keys.
     """
-    keys = common_keys([s.frames for s in sources], ts).select(F.col(ts).alias("key_ts"))
+    if keys is None:
+        keys = common_keys([s.frames for s in sources], ts).select(F.col(ts).alias("key_ts"))
     parts, x0, y0 = [], 0, 0
     for n, s in enumerate(sources):
         if s.n_before:

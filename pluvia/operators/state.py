@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.session import join_dimension
+
 # Fixed value: last update assumed for a key that has none.
 NEVER = datetime(1900, 1, 1)
 
@@ -45,9 +47,12 @@ def newer_rows(
     """Rows strictly newer than their key's high-water mark.
 
     A key without a mark counts as never updated; rows without a key are dropped.
+    There is one mark per key: a list of checked size is copied to the rows, which
+    then do not move at all; a longer one is joined with each key spread by time.
     """
     marks = state.groupBy(key).agg(F.max(last).alias(last))
-    joined = batch.where(F.col(key).isNotNull()).join(marks, key, "left")
+    known = batch.where(F.col(key).isNotNull())
+    joined = join_dimension(known, marks, [key], "left", spread=ts)
     mark = F.coalesce(F.col(last), never(batch, ts))
     return joined.withColumn(last, mark).where(F.col(ts) > F.col(last))
 

@@ -384,30 +384,34 @@ def _polar(spark, sf):
     return out.select("ray", "bin", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
-_TRI = f"""{V.SQL_PIXELS},
-quads AS (SELECT vec_id, r, c FROM pixels WHERE r < 7 AND c < 7),
+def _tri_sql(pixels, targets):
+    """CTEs from a pixel table: triangles, weights and the value at every target."""
+    return f"""quads AS (SELECT a.vec_id, a.r, a.c, a.lat AS ya, a.lon AS xa, a.value AS va,
+    b.lat AS yb, b.lon AS xb, b.value AS vb, c.lat AS yc, c.lon AS xc, c.value AS vc,
+    d.lat AS yd, d.lon AS xd, d.value AS vd
+  FROM {pixels} a JOIN {pixels} b ON b.vec_id = a.vec_id AND b.r = a.r AND b.c = a.c + 1
+  JOIN {pixels} c ON c.vec_id = a.vec_id AND c.r = a.r + 1 AND c.c = a.c
+  JOIN {pixels} d ON d.vec_id = a.vec_id AND d.r = a.r + 1 AND d.c = a.c + 1),
+good AS (SELECT * FROM quads WHERE ((yb - ya) * (xc - xa) - (xb - xa) * (yc - ya))
+  * ((yc - yd) * (xb - xd) - (xc - xd) * (yb - yd)) > 0),
 tri AS (
-  SELECT q.vec_id, q.r * 1000 + q.c * 4 AS tid, a.lat AS y1, a.lon AS x1, a.value AS v1,
-    b.lat AS y2, b.lon AS x2, b.value AS v2, d.lat AS y3, d.lon AS x3, d.value AS v3
-  FROM quads q JOIN pixels a ON a.vec_id = q.vec_id AND a.r = q.r AND a.c = q.c
-  JOIN pixels b ON b.vec_id = q.vec_id AND b.r = q.r AND b.c = q.c + 1
-  JOIN pixels d ON d.vec_id = q.vec_id AND d.r = q.r + 1 AND d.c = q.c
+  SELECT vec_id, r * 1000 + c * 4 AS tid, ya AS y1, xa AS x1, va AS v1, yb AS y2, xb AS x2,
+    vb AS v2, yc AS y3, xc AS x3, vc AS v3 FROM good
   UNION ALL
-  SELECT q.vec_id, q.r * 1000 + q.c * 4 + 1, a.lat, a.lon, a.value, b.lat, b.lon, b.value,
-    d.lat, d.lon, d.value
-  FROM quads q JOIN pixels a ON a.vec_id = q.vec_id AND a.r = q.r + 1 AND a.c = q.c + 1
-  JOIN pixels b ON b.vec_id = q.vec_id AND b.r = q.r + 1 AND b.c = q.c
-  JOIN pixels d ON d.vec_id = q.vec_id AND d.r = q.r AND d.c = q.c + 1),
+  SELECT vec_id, r * 1000 + c * 4 + 1, yd, xd, vd, yc, xc, vc, yb, xb, vb FROM good),
 wts AS (SELECT *, ((y2 - y3) * (t.lon - x3) + (x3 - x2) * (t.lat - y3)) /
     ((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)) AS w1,
   ((y3 - y1) * (t.lon - x3) + (x1 - x3) * (t.lat - y3)) /
     ((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)) AS w2
-  FROM tri JOIN targets t ON t.lat BETWEEN least(y1, y2, y3) AND greatest(y1, y2, y3)
+  FROM tri JOIN {targets} t ON t.lat BETWEEN least(y1, y2, y3) AND greatest(y1, y2, y3)
     AND t.lon BETWEEN least(x1, x2, x3) AND greatest(x1, x2, x3)),
 hit AS (SELECT vec_id, target, arg_min(w1 * v1 + w2 * v2 + (1 - w1 - w2) * v3, tid) AS value
   FROM wts WHERE w1 >= -1e-12 AND w2 >= -1e-12 AND 1 - w1 - w2 >= -1e-12 GROUP BY 1, 2)"""
 
 
+_TRI = f"{V.SQL_PIXELS}, {_tri_sql('pixels', 'targets')}"
+
+
 @query(
     "interp_grid",
     f"""WITH {_TRI} SELECT e.vec_id, t.target, round(h.value, 6) AS value FROM embeddings e
@@ -451,7 +455,32 @@ def _satellite_frames(spark, sf):
     return out.withColumn("value", r6("value"))
 
 
-@query("satellite_parallax_frames")
+_SHIFTED = f"""{V.SQL_PIXELS},
+u AS (SELECT *, 2000 + 100 * value AS h, cos(radians(lat)) * cos(radians(lon)) AS ux,
+  cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz,
+  42157200.0 * cos(radians(-75.2)) AS sx, 42157200.0 * sin(radians(-75.2)) AS sy FROM pixels),
+s AS (SELECT *, sx - 6371000.0 * ux AS vx, sy - 6371000.0 * uy AS vy, -6371000.0 * uz AS vz FROM u),
+t AS (SELECT *, h / (vx * ux + vy * uy + vz * uz) AS t FROM s),
+g AS (SELECT vec_id, r, c, value, 6371000.0 * ux + t * vx AS px, 6371000.0 * uy + t * vy AS py,
+  6371000.0 * uz + t * vz AS pz FROM t),
+moved AS (SELECT vec_id, r, c, value, degrees(atan2(pz, sqrt(px * px + py * py))) AS lat,
+  degrees(atan2(py, px)) AS lon FROM g),
+both_grids AS (SELECT target, lat, lon FROM targets UNION ALL
+  SELECT 100 + n, -21.95::DOUBLE - floor(n / 3.0) * 0.153::DOUBLE,
+    -43.95::DOUBLE + (n % 3) * 0.147::DOUBLE FROM (SELECT unnest(generate_series(0, 8)) AS n))"""
+
+
+@query(
+    "satellite_parallax_frames",
+    f"""WITH {_SHIFTED}, {_tri_sql("moved", "both_grids")},
+    m AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events),
+    sc AS (SELECT vec_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id * 10 AS INT)) AS creation
+      FROM embeddings),
+    used AS (SELECT frame_ts, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) q
+      ASOF JOIN sc ON q.due >= sc.creation WHERE creation >= due - INTERVAL 20 MINUTE)
+    SELECT frame_ts, creation, CAST(target >= 100 AS INT) AS ch, target % 100 AS target,
+      round(value, 5) AS value FROM used JOIN hit USING (vec_id)""",
+)
 def _parallax_frames(spark, sf):
     rain = V.pixels(spark, sf).drop("vec_id")
     heights = rain.withColumn("height", F.lit(2000.0) + F.col("value") * 100).drop("value")
@@ -459,7 +488,7 @@ def _parallax_frames(spark, sf):
     out = satellite_frames(
         rain, V.marks(spark, sf), grids, heights, tolerance_minutes=20, tile=0.1
     )
-    return out.withColumn("value", r6("value"))
+    return out.withColumn("value", F.round("value", 5))
 
 
 @query(

@@ -12,6 +12,7 @@ from pluvia.operators.grid import frame_times, pack_frames, unpack_frames
 from pluvia.operators.ordering import dataset_of, dataset_offsets, time_rank
 from pluvia.plans import views as V
 from pluvia.plans.registry import query
+from pluvia.plans.samples import sample_table
 from pluvia.sources.files import hours_needed
 
 MARKS = f"marks AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events)"
@@ -310,6 +311,32 @@ def _lead_expansion(spark, sf):
     return S.lead_expansion(V.marks(spark, sf), 6)
 
 
+@query(
+    "sample_table",
+    f"""WITH {V.SQL_CELLS}, f AS (SELECT vec_id, sum(value) AS total FROM cells GROUP BY 1),
+    {_span('lags', 0, 6)},
+    rows_ AS (
+      SELECT k.vec_id, 'x' AS kind, 0 AS source, lag, lag AS channel, f.total / 2 AS total FROM f k
+        JOIN lags ON lag < 4 LEFT JOIN f ON f.vec_id = k.vec_id - lag
+      UNION ALL SELECT k.vec_id, 'y', 0, lag, lag - 1, f.total FROM f k
+        JOIN lags ON lag BETWEEN 1 AND 6 LEFT JOIN f ON f.vec_id = k.vec_id + lag
+      UNION ALL SELECT k.vec_id, 'x', 1, lag, 4 + lag * 2, f.total / 2 FROM f k
+        JOIN lags ON lag < 4 LEFT JOIN f ON f.vec_id = k.vec_id - lag
+      UNION ALL SELECT k.vec_id, 'x', 2, lag, 12 + lag - 1, f.total * (1 - 0.05 * lag) / 2
+        FROM f k JOIN lags ON lag BETWEEN 1 AND 6 JOIN f ON f.vec_id = k.vec_id)
+    SELECT TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id * 10 AS INT)) AS key_ts, kind,
+      source, lag, channel, round(total, 4) AS total FROM rows_""",
+)
+def _sample_table(spark, sf):
+    total = F.array(F.aggregate("values", F.lit(0.0), lambda s, v: s + v))
+    f = V.frames(spark, sf).select("frame_ts", total.alias("values"))
+    faded = V.predictions(spark, sf).where(F.col("model") == "damped").withColumn("values", total)
+    out = sample_table(
+        f, 4, 6, radar=f, predictions=faded, x_transform=lambda a: F.transform(a, lambda v: v / 2)
+    )
+    return out.withColumn("values", F.round(_first(), 4)).withColumnRenamed("values", "total")
+
+
 def _channel_rows(spark, sf):
     """Samples with fine (view) and coarse (click) frames plus metadata rows."""
     rows = V.readings(spark, sf).select(

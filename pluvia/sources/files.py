@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions.names import dataset_prefix, file_extension, radar_file_time
+from pluvia.functions.radar import VARIABLES
 from pluvia.functions.times import listing_parts
 from pluvia.operators.quality import bounding_box, drop_invalid
 
@@ -177,6 +178,14 @@ def read_archives(spark: SparkSession, folder: str, pattern: str = "*.{zip,gz}")
     )
 
 
+def select_variable(cells: DataFrame, feature: str) -> DataFrame:
+    """Cells of one radar variable of decoded volumes (``variable`` holds its dataset name)."""
+    if feature not in VARIABLES:
+        raise ValueError(f"unknown radar variable {feature}")
+    chosen = cells.where(F.col("variable") == VARIABLES[feature])
+    return chosen.drop("variable").withColumn("feature", F.lit(feature))
+
+
 def pixel_rows(
     pixels: DataFrame,
     lat_bounds: tuple[float, float] | None,

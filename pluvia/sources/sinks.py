@@ -106,6 +106,13 @@ def dataset_meta(
     )
 
 
+def write_composites(composites: DataFrame, path: str, mode: str = "append") -> None:
+    """Radar composites by process, variable and date; list columns are stored as they are."""
+    composites.withColumn("date", F.to_date("scan_ts")).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("process_type", "feature", "date").parquet(path)
+
+
 def prediction_rows(forecasts: DataFrame, step: int = 10) -> DataFrame:
     """One row per issue and valid time from a row with the whole horizon.
 

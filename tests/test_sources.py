@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pluvia.operators.radar import composite
 from pluvia.sources import files, models, sinks, tables
 
 T = datetime(2024, 1, 1, 6, 30)
@@ -172,3 +173,36 @@ def test_state_json_table(spark):
 
 def test_local_suffix():
     assert sinks.local_suffix(datetime.fromisoformat("2024-01-01T02:30:00+00:00")) == "202312312330"
+
+
+def test_radar_volume_scan(spark, tmp_path):
+    def decode(path, content):
+        for line in content.decode().splitlines():
+            variable, elev, ray, values = line.split(";")
+            raw = [float(v) for v in values.split(",")]
+            yield pd.DataFrame(
+                {
+                    "scan": path.rsplit("/", 1)[-1], "variable": variable, "elev_idx": int(elev),
+                    "ray": int(ray), "bin": np.arange(len(raw), dtype="int32"), "raw": raw,
+                }
+            )
+
+    (tmp_path / "v1.vol").write_text("data2;0;0;1,5\ndata2;1;0;4,2\ndata1;0;0;9,9")
+    schema = "scan string, variable string, elev_idx int, ray int, bin int, raw double"
+    cells = files.decode_files(spark, str(tmp_path), decode, schema, "*.vol")
+    dbzh = files.select_variable(cells, "DBZH")
+    top = {r.bin: (r.value, r.elev_idx) for r in composite(dbzh, ["scan", "ray", "bin"]).collect()}
+    assert top == {0: (4.0, 1), 1: (5.0, 0)}
+    with pytest.raises(ValueError):
+        files.select_variable(cells, "NOPE")
+
+
+def test_composite_store_keeps_lists(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("CMAX", "DBZH", T, 0, 0, 1.0, [0, 2])],
+        "process_type string, feature string, scan_ts timestamp_ntz, ray int, bin int, "
+        "value double, elevs array<int>",
+    )
+    sinks.write_composites(df, str(tmp_path / "c"))
+    back = tables.read_composites(spark.read.parquet(str(tmp_path / "c"))).first()
+    assert back.elevs == [0, 2] and (back.rscale, back.rstart, back.compressed) == (250.0, 0.0, True)
