@@ -26,27 +26,29 @@ def _version(path: str, batch_id: int) -> str:
 
 
 def _read_version(
-    spark: SparkSession, path: str, batch_id: int, schema: str
+    spark: SparkSession, path: str, batch_id: int, schema: str, initial: DataFrame | None = None
 ) -> DataFrame:
-    if batch_id < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(path, batch_id))
+    if batch_id >= 0:
+        return spark.read.schema(schema).parquet(_version(path, batch_id))
+    return spark.createDataFrame([], schema) if initial is None else initial
 
 
 def high_water_batches(
-    state_path: str, out_path: str, key: str, ts: str, key_type: str
+    state_path: str, out_path: str, key: str, ts: str, key_type: str,
+    initial: DataFrame | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: append rows newer than their key's mark, then move the marks.
 
     Batch ``n`` reads state version ``n - 1`` and writes version ``n``, and its output
     goes to a folder of its own, so a batch that runs again gives the same result.
     The rows of a busy key stay spread over tasks; only marks are kept per key.
+    ``initial`` holds the marks before the first batch.
     """
     schema = f"{key} {key_type}, last_update timestamp"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = _read_version(spark, state_path, batch_id - 1, schema)
+        state = _read_version(spark, state_path, batch_id - 1, schema, initial)
         fresh = newer_rows(batch, state, key, ts).drop("last_update")
         fresh.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
         marks = advance_marks(batch, state, key, ts)
