@@ -37,8 +37,10 @@ def _readings(spark, sf):
     )
 
 
-def _finish(writer) -> None:
-    q = W.scheduled(writer).start()
+def _finish(spark: SparkSession, writer) -> None:
+    cores = spark.sparkContext.defaultParallelism
+    with W.state_settings(spark, partitions=cores, rocksdb=True):
+        q = W.scheduled(writer).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -48,9 +50,10 @@ def _run(df: DataFrame) -> DataFrame:
     """Run an append stream to its end and read its result."""
     spark = df.sparkSession
     folder = _folder(spark)
+    writer = df.writeStream.format("parquet").outputMode("append")
     _finish(
-        df.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+        spark,
+        writer.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"),
     )
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
@@ -108,7 +111,8 @@ def _high_water(spark, sf):
     step = SS.high_water_batches(
         f"{folder}/marks", f"{folder}/out", "station_id", "ts", "bigint", marks
     )
-    _finish(r.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint"))
+    writer = r.writeStream.foreachBatch(step)
+    _finish(spark, writer.option("checkpointLocation", f"{folder}/checkpoint"))
     out = spark.read.schema(r.schema).parquet(f"{folder}/out")
     return _naive(out, "ts").select("event_id", "station_id", "ts")
 
@@ -118,7 +122,6 @@ def _high_water(spark, sf):
     "SELECT event_id, user_id AS station_id, ts FROM events",
 )
 def _high_water_state(spark, sf):
-    SS.use_rocksdb(spark)
     r = _readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out = _run(SS.high_water_stream(r, "station_id", "ts"))
     return _naive(out, "ts").select("event_id", "station_id", "ts")
@@ -135,11 +138,20 @@ def _last_files(spark, sf):
         F.concat(F.lit("f_"), F.date_format("ts", "yyyyMMddHHmm")).alias("path")
     )
     step = SS.last_files_batches(f"{folder}/state")
-    _finish(names.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint"))
+    writer = names.writeStream.foreachBatch(step)
+    _finish(spark, writer.option("checkpointLocation", f"{folder}/checkpoint"))
     return spark.read.schema("path string").parquet(f"{folder}/state/version=0")
 
 
-@query("stream_latest_height")
+@query(
+    "stream_latest_height",
+    """WITH h AS (SELECT DISTINCT ts AS height_ts FROM events WHERE event_type = 'click'),
+    v AS (SELECT DISTINCT ts FROM events WHERE event_type = 'view'),
+    seen AS (SELECT least((SELECT max(ts) FROM v) - INTERVAL 10 MINUTE,
+      (SELECT max(height_ts) FROM h) - INTERVAL 2 HOUR) AS mark)
+    SELECT ts, height_ts FROM v ASOF JOIN h ON v.ts >= h.height_ts
+    WHERE height_ts >= ts - INTERVAL 2 HOUR AND ts <= (SELECT mark FROM seen) - INTERVAL 2 HOUR""",
+)
 def _latest_height(spark, sf):
     kind = lambda k: _readings(spark, sf).where(F.col("event_type") == k).select("ts")
     rain = W.event_time(kind("view"), "ts", "rain")

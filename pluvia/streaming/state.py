@@ -13,14 +13,6 @@ from pluvia.functions.times import minutes
 from pluvia.operators.ordering import keep_last
 from pluvia.operators.state import advance_marks, newer_rows
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """State store that ``transformWithState`` needs; keeps large state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def _version(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/version={batch_id}"
 
@@ -99,7 +91,7 @@ class HighWaterMarks(StatefulProcessor):
 
 
 def high_water_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
-    """Rows newer than their key's mark, with the mark in keyed state.
+    """Rows newer than their key's mark, with the mark in keyed state (RocksDB).
 
     A key's rows of one batch pass through one task as a sequence of Arrow chunks;
     where a single key may carry much of the data use :func:`high_water_batches`.

@@ -5,12 +5,16 @@ Watermarks need zoned timestamps: cast naive ones with :func:`event_time` first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pluvia.functions.scalars import clean_score
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # How late each source may arrive, the run cadence and the horizon.
 LATENESS = {"rain": "10 minutes", "height": "2 hours"}
 CADENCE = "60 minutes"
@@ -22,6 +26,29 @@ def event_time(df: DataFrame, ts: str, source: str = "rain") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATENESS[source])
 
 
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None = None, rocksdb: bool = False):
+    """Settings a stream fixes when it starts, restored afterwards.
+
+    A stateful stream keeps the number of state partitions of its first run, so size
+    it for the full key space. ``rocksdb`` keeps large state off the heap and is
+    needed by ``transformWithState``.
+    """
+    wanted = {}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    if rocksdb:
+        wanted["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def scheduled(writer: DataStreamWriter, live: bool = False) -> DataStreamWriter:
     """Hourly trigger for a running service, or one pass over what is there."""
     return writer.trigger(processingTime=CADENCE) if live else writer.trigger(availableNow=True)

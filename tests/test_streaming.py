@@ -114,7 +114,6 @@ def test_high_water_batches_equal_batch_operator(spark, tmp_path):
 
 
 def test_high_water_state_equal_batch_operator(spark, tmp_path):
-    SS.use_rocksdb(spark)
     stream = feed(spark, tmp_path / "in", high_water_input(), READING)
     got = drain(SS.high_water_stream(stream, "station", "ts"), spark, tmp_path, "hws")
     assert sorted(r.value for r in got.collect()) == expected_high_water(spark)
