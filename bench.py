@@ -40,6 +40,8 @@ def main() -> None:
         "pluvia-bench",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
+        # The tables are small and the cores few: keep one partition per core.
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="32k",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

@@ -166,16 +166,21 @@ def interpolation_weights(
 
 
 def apply_weights(
-    cells: DataFrame, weights: DataFrame, by: list[str], value: str = "value"
+    cells: DataFrame,
+    weights: DataFrame,
+    by: list[str],
+    value: str = "value",
+    n_targets: int | None = None,
 ) -> DataFrame:
     """Interpolated value per scan and target from a weight table.
 
-    A target with a missing source value is missing. The weights are a bounded
-    dimension; above the broadcast limit the join falls back to a shuffle on
-    (row, col), whose keys are as many as the radar has cells.
+    A target with a missing source value is missing. ``n_targets`` bounds the weights
+    (three rows each), which are then broadcast without being counted; above the
+    limit the join shuffles on (row, col), whose keys are as many as the radar has
+    cells.
     """
-    w = F.broadcast(weights) if fits_broadcast(weights) else weights
-    joined = cells.join(w, ["row", "col"], "inner")
+    small = 3 * n_targets <= BROADCAST_MAX_ROWS if n_targets else fits_broadcast(weights)
+    joined = cells.join(F.broadcast(weights) if small else weights, ["row", "col"], "inner")
     total = F.sum(F.col("weight") * F.col(value))
     complete = F.count(F.when(F.col(value).isNotNull(), 1)) == 3
     return joined.groupBy(*by, "target").agg(F.when(complete, total).alias(value))

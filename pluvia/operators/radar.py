@@ -45,9 +45,14 @@ def missing_sectors(histogram: DataFrame) -> DataFrame:
 
 
 def _median(values: Column) -> Column:
-    s = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    n = F.size(s)
-    return (F.get(s, int_div(n - 1, 2)) + F.get(s, int_div(n, 2))) / 2
+    """Median of the known elements; the array is sorted once."""
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return (F.get(s, int_div(n - 1, 2)) + F.get(s, int_div(n, 2))) / 2
+
+    ordered = F.array(F.array_sort(F.filter(values, lambda v: v.isNotNull())))
+    return F.get(F.transform(ordered, middle), F.lit(0))
 
 
 def merge_repeats(rays: DataFrame, by: list[str]) -> DataFrame:

@@ -293,14 +293,14 @@ def rolling_weights(
     """
     span = n_before + n_after
     offs = F.sequence(F.lit(-n_after), F.lit(n_before - 1))
-    shared = weights.select(F.col(idx).alias("_i"), "weight", F.explode(offs).alias("_off"))
-    shared = shared.select((F.col("_i") + F.col("_off")).alias(idx), "weight")
-    own = weights.select(idx, F.lit(None).cast("double").alias("weight"), F.lit(1).alias("_own"))
-    sums = shared.withColumn("_own", F.lit(0)).unionByName(own).groupBy(idx).agg(
-        F.sum("weight").alias("_s"), F.count("weight").alias("_n"), F.max("_own").alias("_own")
+    sent = weights.select(F.col(idx).alias("_i"), "weight", F.explode(offs).alias("_off"))
+    sums = sent.groupBy((F.col("_i") + F.col("_off")).alias(idx)).agg(
+        F.sum("weight").alias("_s"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(F.col("_off") == 0, 1)).alias("_own"),
     )
     low = weights.agg(F.min("weight")).scalar()
-    filled = sums.where(F.col("_own") == 1).select(
+    filled = sums.where(F.col("_own") > 0).select(
         idx, (F.col("_s") + (F.lit(span) - F.col("_n")) * low).alias("sum_weight")
     )
     lift = F.greatest(F.lit(float(min_sum)), -F.min("sum_weight"))

@@ -89,6 +89,7 @@ def radar_frames(
     target_times: DataFrame,
     weights: DataFrame,
     back: int = 4,
+    n_targets: int | None = None,
 ) -> DataFrame:
     """Cells of every target time from the scan of its minute or up to ``back`` earlier.
 
@@ -97,7 +98,7 @@ def radar_frames(
     """
     used = first_scan_in_minutes(target_times, composites, "frame_ts", "scan_ts", back=back)
     needed = composites.join(used.select("scan_ts").distinct(), "scan_ts", "left_semi")
-    cells = apply_weights(needed, weights, ["scan_ts"])
+    cells = apply_weights(needed, weights, ["scan_ts"], n_targets=n_targets)
     return used.join(cells, "scan_ts", "left").select("frame_ts", "scan_ts", "target", "value")
 
 

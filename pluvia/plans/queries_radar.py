@@ -432,7 +432,7 @@ def _interp_weights(spark, sf):
     p = V.pixels(spark, sf)
     geometry = p.select("row", "col", "lat", "lon").distinct()
     weights = interpolation_weights(geometry, V.target_grid(spark), tile=0.1)
-    return apply_weights(p, weights, ["vec_id"]).withColumn("value", r6("value"))
+    return apply_weights(p, weights, ["vec_id"], n_targets=36).withColumn("value", r6("value"))
 
 
 # --- frame building ----------------------------------------------------------
@@ -510,7 +510,7 @@ def _radar_frames(spark, sf):
         mins=(F.col("vec_id") * 10 - F.pmod("vec_id", F.lit(7))).cast("int"), secs=F.lit(30)
     )
     scans = p.withColumn("scan_ts", F.lit(V.T0).cast("timestamp_ntz") + late)
-    out = radar_frames(scans, V.marks(spark, sf), weights).na.fill({"target": -1})
+    out = radar_frames(scans, V.marks(spark, sf), weights, n_targets=36).na.fill({"target": -1})
     return out.withColumn("value", r6("value"))
 
 
