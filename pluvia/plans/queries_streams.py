@@ -66,13 +66,14 @@ def _naive(df: DataFrame, *cols: str) -> DataFrame:
     "stream_tumbling_frames",
     f"""WITH w AS (SELECT {V.SQL_MARK} AS start, event_type, avg(value) AS mean, count(*) AS n
       FROM events GROUP BY 1, 2)
-    SELECT start, start + INTERVAL 10 MINUTE AS "end", event_type, round(mean, 6) AS mean, n FROM w
+    SELECT start, start + INTERVAL 10 MINUTE AS "end", event_type, round(mean * n, 4) AS total, n FROM w
     WHERE start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 )
 def _tumbling(spark, sf):
     r = W.event_time(_readings(spark, sf), "ts")
     out = _run(W.tumbling_frames(r, "ts", ["event_type"], "value"))
-    return _naive(out, "start", "end").withColumn("mean", F.round("mean", 6))
+    total = F.round(F.col("mean") * F.col("n"), 4).alias("total")
+    return _naive(out, "start", "end").select("start", "end", "event_type", total, "n")
 
 
 @query(
@@ -80,13 +81,14 @@ def _tumbling(spark, sf):
     """WITH h AS (SELECT date_trunc('hour', ts) AS h, value, event_type FROM events),
     w AS (SELECT h - to_hours(CAST(o AS INT)) AS start, event_type, avg(value) AS mean, count(*) AS n
       FROM h CROSS JOIN (SELECT unnest(generate_series(0, 5)) AS o) GROUP BY 1, 2)
-    SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, round(mean, 6) AS mean, n FROM w
+    SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, round(mean * n, 4) AS total, n FROM w
     WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 )
 def _rolling(spark, sf):
     r = W.event_time(_readings(spark, sf), "ts")
     out = _run(W.rolling_hours(r, "ts", ["event_type"], "value"))
-    return _naive(out, "start", "end").withColumn("mean", F.round("mean", 6))
+    total = F.round(F.col("mean") * F.col("n"), 4).alias("total")
+    return _naive(out, "start", "end").select("start", "end", "event_type", total, "n")
 
 
 @query(

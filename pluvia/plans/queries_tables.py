@@ -695,14 +695,14 @@ def _inverse_transforms(spark, sf):
 
 @query(
     "zr_relation",
-    """SELECT event_id, round(223.0 * pow(pow(10.0, value / 100), 1.56), 4) AS z,
-      round(223.0 * pow(pow(10.0, value / 100), 1.53), 4) AS z_forward FROM events""",
+    """SELECT event_id, round(223.0 * pow(pow(10.0, value / 100), 1.56) / 1e6, 6) AS z,
+      round(223.0 * pow(pow(10.0, value / 100), 1.53) / 1e6, 6) AS z_forward FROM events""",
 )
 def _zr(spark, sf):
     v = F.col("value") / 10
     return V.readings(spark, sf).select(
-        "event_id", F.round(scalars.reflectivity(v), 4).alias("z"),
-        F.round(scalars.reflectivity(v, b=scalars.ZR_B_FORWARD), 4).alias("z_forward"),
+        "event_id", r6(scalars.reflectivity(v) / 1e6).alias("z"),
+        r6(scalars.reflectivity(v, b=scalars.ZR_B_FORWARD) / 1e6).alias("z_forward"),
     )
 
 
@@ -710,7 +710,7 @@ def _zr(spark, sf):
     "db_transform",
     """WITH x AS (SELECT event_id, value / 100 AS x FROM events)
     SELECT event_id, CASE WHEN x < 0.1 THEN -15.0 ELSE round(10 * log10(x), 6) END::DOUBLE AS db,
-      round(10 * log10(x), 6) AS display, round(pow(10.0, x / 10), 6) AS linear,
+      CASE WHEN x > 0 THEN round(10 * log10(x), 6) END AS display, round(pow(10.0, x / 10), 6) AS linear,
       CASE WHEN x <= 0.001 THEN 0 ELSE x END AS flushed FROM x""",
 )
 def _db(spark, sf):
