@@ -260,6 +260,11 @@ def ensemble_mean_packed(
     return ensemble_mean(unpack_frames(members, nj, keys, values), [*keys, "i", "j"])
 
 
+def map_order(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Rows from north to south, each row from west to east (a distributed range sort)."""
+    return df.orderBy(F.col(lat).desc(), F.col(lon).asc())
+
+
 def pivot_to_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Latitude x longitude matrix: one row per latitude, values west to east."""
     line = F.array_sort(F.collect_list(F.struct("lon", "value")))

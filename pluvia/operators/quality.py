@@ -145,10 +145,12 @@ def same_layout(meta: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return meta.agg((F.count_distinct(layout) <= 1).alias("same_layout"))
 
 
-def comparable_scans(left: DataFrame, right: DataFrame) -> list[Column]:
-    """Join condition for scans of equal geometry."""
-    keys = ["nbins", "nrays", "rscale", "rstart", "lat", "lon"]
-    return [left[k].eqNullSafe(right[k]) for k in keys]
+GEOMETRY = ["nbins", "nrays", "rscale", "rstart", "lat", "lon"]
+
+
+def comparable_scans(left: str, right: str) -> list[Column]:
+    """Join condition for scans of equal geometry, for two aliased scan tables."""
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in GEOMETRY]
 
 
 def usable_models(

@@ -10,7 +10,7 @@ from pluvia.functions.geo import cell_lat, cell_lon
 from pluvia.functions.radar import mean_azimuth, pack, unpack
 from pluvia.operators import quality as Q
 from pluvia.operators import state as ST
-from pluvia.operators.grid import pivot_to_rows, unpack_frames
+from pluvia.operators.grid import map_order, pivot_to_rows, unpack_frames
 from pluvia.operators.ordering import keep_last
 from pluvia.plans import views as V
 from pluvia.plans.registry import query
@@ -611,8 +611,7 @@ def _comparable(spark, sf):
         F.col("s_nationkey").cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
     )
     a, b = s.withColumn("next", F.col("scan") + 1).alias("a"), s.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-            for k in ("nbins", "nrays", "rscale", "rstart", "lat", "lon")]
+    same = Q.comparable_scans("a", "b")
     return a.join(b, [F.col("a.next") == F.col("b.scan"), *same]).select(
         F.col("a.scan").alias("left_scan"), F.col("b.scan").alias("right_scan")
     )
@@ -778,7 +777,8 @@ def _index_to_latlon(spark, sf):
     wide = located.groupBy("issue", "latitude", "longitude").pivot("lag", [6, 12, 18]).agg(
         r6(F.max("v"))
     )
-    return wide.withColumnsRenamed({"6": "1h_prediction", "12": "2h_prediction", "18": "3h_prediction"})
+    named = {"6": "1h_prediction", "12": "2h_prediction", "18": "3h_prediction"}
+    return map_order(wide.withColumnsRenamed(named))
 
 
 @query(
