@@ -40,6 +40,8 @@ def pack_frames(
             *keys, F.explode(positions(ni * nj)).alias("_k"), F.lit(None).cast("double").alias("value")
         )
         placed = placed.unionByName(blanks)
+    # Placed by frame once; both groupings below then work without another shuffle.
+    placed = placed.repartition(*keys)
     one = placed.groupBy(*keys, "_k").agg(F.max("value").alias("value"))
     cells_in_order = F.array_sort(F.collect_list(F.struct("_k", "value")))
     return one.groupBy(*keys).agg(
@@ -256,8 +258,13 @@ def ensemble_mean(cells: DataFrame, keys: list[str], value: str = "value") -> Da
 def ensemble_mean_packed(
     members: DataFrame, keys: list[str], nj: int, values: str = "values"
 ) -> DataFrame:
-    """Cell-wise ensemble mean of packed members, as cells."""
-    return ensemble_mean(unpack_frames(members, nj, keys, values), [*keys, "i", "j"])
+    """Cell-wise ensemble mean of packed members, as cells.
+
+    The packed members of a forecast meet first and are unpacked where they are, so
+    the shuffle carries arrays instead of keyed cells.
+    """
+    met = members.select(*keys, values).repartition(*keys)
+    return ensemble_mean(unpack_frames(met, nj, keys, values), [*keys, "i", "j"])
 
 
 def map_order(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

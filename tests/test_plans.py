@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.operators import samples, verify
+from pluvia.operators import grid, samples, verify
 from pluvia.operators.objects import echo_cells, label_objects, object_stats
 from pluvia.plans import views as V
 from pluvia.plans.catalog import QUERIES
@@ -68,6 +68,14 @@ def test_object_windows_share_one_partitioning(spark, tmp_path, static_plans):
     assert shuffles(stats) == 2
 
 
+def test_packing_and_ensembles_shuffle_once(spark, tmp_path, static_plans):
+    f = stored(spark, tmp_path, V.frames(spark, SF).select("vec_id", "values"), "f")
+    cells = grid.unpack_frames(f, 8, ["vec_id"])
+    assert shuffles(grid.pack_frames(cells, 8, 8, ["vec_id"])) == 1
+    members = f.withColumn("member", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert shuffles(grid.ensemble_mean_packed(members, ["vec_id"], 8)) == 1
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(QUERIES["latest_per_key"](spark, SF))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in text
