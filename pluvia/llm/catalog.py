@@ -3,6 +3,7 @@
 from pluvia.llm import (  # noqa: F401
     mixing,
     quality,
+    simhash,
     url_filter,
 )
 from pluvia.llm.common import ORACLES, QUERIES
