@@ -1,9 +1,11 @@
 """All queries of the corpus operators."""
 
 from pluvia.llm import (  # noqa: F401
+    language_id,
     mixing,
     quality,
     simhash,
+    toxicity,
     url_filter,
 )
 from pluvia.llm.common import ORACLES, QUERIES
