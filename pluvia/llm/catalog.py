@@ -1,6 +1,7 @@
 """All queries of the corpus operators."""
 
 from pluvia.llm import (  # noqa: F401
+    decontaminate,
     language_id,
     mixing,
     quality,

@@ -17,23 +17,18 @@ from pluvia.llm.textarrays import SortedHashes, mixed, pieces
 SPACE = 0x20
 
 
-def _lower_letters() -> np.ndarray:
-    """Lower-case letter of every code point of the basic plane; a space if it is no letter."""
-    out = np.full(1 << 16, SPACE, np.uint32)
-    for c in range(1 << 16):
-        if chr(c).isalpha():
-            low = chr(c).lower()
-            out[c] = ord(low[0])
-    return out
-
-
-_LETTERS: list[np.ndarray] = []
+_LETTERS: dict[bool, np.ndarray] = {}
 
 
-def letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(_lower_letters())
-    return _LETTERS[0]
+def letters(digits: bool = False) -> np.ndarray:
+    """Lower-case letter (or digit) of every code point of the basic plane; a space if it is none."""
+    if digits not in _LETTERS:
+        out = np.full(1 << 16, SPACE, np.uint32)
+        for c in range(1 << 16):
+            if chr(c).isalpha() or digits and chr(c).isalnum():
+                out[c] = ord(chr(c).lower()[0])
+        _LETTERS[digits] = out
+    return _LETTERS[digits]
 
 
 def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +48,15 @@ def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(lead, offs)
 
 
-def letter_stream(data: np.ndarray, offs: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letter_stream(
+    data: np.ndarray, offs: np.ndarray, pad: int, digits: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters and single spaces of all rows, each after ``pad`` spaces and before one.
 
     Returns the characters, the rows' offsets (at the first pad), and which rows have a letter.
     """
     cp, at = code_points(data, offs)
-    low = np.where(cp < 1 << 16, letters()[np.minimum(cp, 0xFFFF)], cp)
+    low = np.where(cp < 1 << 16, letters(digits)[np.minimum(cp, 0xFFFF)], cp)
     gap = low == SPACE
     keep = ~gap
     # A space stays where it follows a letter of the same row.
