@@ -6,6 +6,7 @@ from pluvia.llm import (  # noqa: F401
     mixing,
     quality,
     simhash,
+    token_files,
     toxicity,
     url_filter,
 )
