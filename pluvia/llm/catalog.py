@@ -2,6 +2,7 @@
 
 from pluvia.llm import (  # noqa: F401
     decontaminate,
+    hmm,
     language_id,
     mixing,
     quality,
