@@ -6,8 +6,8 @@ population counts that differ by no more than the radius, so only tile pairs who
 counts come that near are made: an equi-join of tile numbers on the population count, without
 their contents. A pair is one task's exact comparison by exclusive-or and bit counts; inside
 it blocks are skipped by the counts of their quarters, whose differences add up to a lower
-bound of the distance. What a pair returns is a spanning forest of its links, so a large group
-of near copies costs as many rows as it has members, not pairs.
+bound of the distance. A pair returns what its links connect, each member with the first of its
+group, so a large group of near copies costs as many rows as it has members, not pairs.
 
 Links join into components by rounds of large-star and small-star steps, each stored.
 Copies meet as one fingerprint, whatever their number.
@@ -123,33 +123,38 @@ def tiles(distinct: DataFrame, n: int) -> DataFrame:
     return ranged.mapInArrow(_tile_batches, "tile long, low int, high int, fs binary")
 
 
-class Forest:
-    """Union-find over the places of two tiles; remembers the links that joined something."""
+def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (smallest place of each group) after joining the groups of all places ``i``, ``j``."""
+    a, b = labels[i], labels[j]
+    apart = a != b
+    if not apart.any():
+        return labels
+    pairs = np.unique(np.stack([np.maximum(a, b)[apart], np.minimum(a, b)[apart]], 1), axis=0)
+    up = {int(x): int(x) for x in np.unique(pairs)}
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.links: list[tuple[int, int]] = []
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+    for x, y in pairs.tolist():
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    to = np.arange(len(labels))
+    to[list(up)] = [root(x) for x in up]
+    return to[labels]
 
 
 def near_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of all links between two tiles (or inside one), as two arrays of values."""
+    """What the links between two tiles (or inside one) connect: each value with the first of its
+    group, for groups of two or more."""
     qa, qb = _quarter_counts(a), _quarter_counts(b)
     sa, sb = np.arange(0, len(a), BLOCK), np.arange(0, len(b), BLOCK)
     low_a, high_a = np.minimum.reduceat(qa, sa), np.maximum.reduceat(qa, sa)
     low_b, high_b = np.minimum.reduceat(qb, sb), np.maximum.reduceat(qb, sb)
-    forest, shift = Forest(len(a) + (0 if same else len(b))), 0 if same else len(a)
+    both, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+    labels = np.arange(len(both))
     for k, x in enumerate(sa):
         gap = np.maximum(low_a[k] - high_b, low_b - high_a[k])
         near = np.flatnonzero(np.maximum(gap, 0).sum(1) <= radius)
@@ -163,12 +168,9 @@ def near_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
                 hits = np.flatnonzero(np.bitwise_count(left ^ b[None, y0:y1]) <= radius)
                 if len(hits):
                     width = min(y1, len(b)) - y0
-                    for i, j in zip((hits // width + x).tolist(), (hits % width + y0).tolist(), strict=True):
-                        if not same or i < j:
-                            forest.join(i, j + shift)
-    both = a if same else np.concatenate([a, b])
-    ends = np.array(forest.links, np.int64).reshape(-1, 2)
-    return both[ends[:, 0]], both[ends[:, 1]]
+                    labels = merge_labels(labels, hits // width + x, hits % width + y0 + shift)
+    member = np.flatnonzero(labels != np.arange(len(both)))
+    return both[member], both[labels[member]]
 
 
 def _link_batches(radius: int):
