@@ -7,6 +7,7 @@ from pluvia.llm import (  # noqa: F401
     mixing,
     quality,
     simhash,
+    suffix_dedup,
     token_files,
     toxicity,
     url_filter,

@@ -93,19 +93,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base & (2**64 - 1)), np.uint64)
-    if n:
+    """The first ``n`` powers modulo 2 ** 64; those of usual pieces are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        out = np.full(max(n, 1), np.uint64(base & (2**64 - 1)), np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        known = np.multiply.accumulate(out)
+        if n <= 2 * PIECE_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from one running sum of a polynomial."""
+def span_hasher(data: np.ndarray):
+    """Function of starts and ends that gives 64-bit hashes of byte spans, from one running sum
+    of a polynomial."""
     n = len(data)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * powers(_P, n), out=running[1:])
-    return mixed((running[ends] - running[starts]) * powers(_inverse(_P), n + 1)[starts])
+    back = powers(_inverse(_P), n + 1)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((running[ends] - running[starts]) * back[starts])
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
 class SortedHashes:
