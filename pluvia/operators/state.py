@@ -64,9 +64,13 @@ def latest_per_key(df: DataFrame, key: str, ts: str, out: str | None = None) ->
 def advance_marks(
     batch: DataFrame, state: DataFrame, key: str, ts: str, last: str = "last_update"
 ) -> DataFrame:
-    """State after the batch: accepted rows move their key's mark forward."""
-    accepted = newer_rows(batch, state, key, ts, last)
-    moved = latest_per_key(accepted, key, ts, last)
+    """State after the batch: accepted rows move their key's mark forward.
+
+    A row that is not accepted is no newer than the mark, so the greatest of both is the
+    mark after the batch and no join is needed.
+    """
+    moved = latest_per_key(batch.where(F.col(ts) > never(batch, ts)), key, ts, last)
+    moved = moved.select(key, F.col(last).cast(state.schema[last].dataType).alias(last))
     return state.select(key, last).unionByName(moved).groupBy(key).agg(F.max(last).alias(last))
 
 

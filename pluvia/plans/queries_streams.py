@@ -27,8 +27,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table's files as a stream, whether it is one file or a folder of files.
+
+    A stream source takes a folder or a pattern but no single file, so the table's own path
+    is given as a pattern. Reading the schema fails if there is no such table.
+    """
     schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _readings(spark, sf):
@@ -119,13 +124,11 @@ def _high_water(spark, sf):
     return _naive(out, "ts").select("event_id", "station_id", "ts")
 
 
-@query(
-    "stream_high_water_state",
-    "SELECT event_id, user_id AS station_id, ts FROM events",
-)
+@query("stream_high_water_state", _NEWER)
 def _high_water_state(spark, sf):
+    marks = V.station_state(spark, sf).withColumn("last_update", F.col("last_update").cast("timestamp"))
     r = _readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _run(SS.high_water_stream(r, "station_id", "ts"))
+    out = _run(SS.high_water_stream(r, "station_id", "ts", marks))
     return _naive(out, "ts").select("event_id", "station_id", "ts")
 
 
@@ -142,7 +145,7 @@ def _last_files(spark, sf):
     step = SS.last_files_batches(f"{folder}/state")
     writer = names.writeStream.foreachBatch(step)
     _finish(spark, writer.option("checkpointLocation", f"{folder}/checkpoint"))
-    return spark.read.schema("path string").parquet(f"{folder}/state/version=0")
+    return SS.latest_state(spark, f"{folder}/state", "path string")
 
 
 @query(
@@ -151,8 +154,9 @@ def _last_files(spark, sf):
     v AS (SELECT DISTINCT ts FROM events WHERE event_type = 'view'),
     seen AS (SELECT least((SELECT max(ts) FROM v) - INTERVAL 10 MINUTE,
       (SELECT max(height_ts) FROM h) - INTERVAL 2 HOUR) AS mark)
-    SELECT ts, height_ts FROM v ASOF JOIN h ON v.ts >= h.height_ts
-    WHERE height_ts >= ts - INTERVAL 2 HOUR AND ts <= (SELECT mark FROM seen) - INTERVAL 2 HOUR""",
+    SELECT ts, CASE WHEN height_ts >= ts - INTERVAL 2 HOUR THEN height_ts END AS height_ts
+    FROM v ASOF LEFT JOIN h ON v.ts >= h.height_ts
+    WHERE ts <= (SELECT mark FROM seen) - INTERVAL 2 HOUR""",
 )
 def _latest_height(spark, sf):
     kind = lambda k: _readings(spark, sf).where(F.col("event_type") == k).select("ts")

@@ -13,6 +13,10 @@ from pluvia.functions.times import minutes
 from pluvia.operators.ordering import keep_last
 from pluvia.operators.state import advance_marks, newer_rows
 
+# A batch reads the version before its own, so older ones are not needed again.
+KEEP_VERSIONS = 2
+
+
 def _version(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/version={batch_id}"
 
@@ -25,6 +29,21 @@ def _read_version(
     return spark.createDataFrame([], schema) if initial is None else initial
 
 
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove the version that no batch can ask for any more."""
+    old = batch_id - KEEP_VERSIONS
+    if old >= 0:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_version(path, old))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def latest_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The state after the last batch that was written."""
+    found = spark.read.schema(f"{schema}, version bigint").parquet(path)
+    last = found.agg(F.max("version").alias("version"))
+    return found.join(F.broadcast(last), "version").drop("version")
+
+
 def high_water_batches(
     state_path: str, out_path: str, key: str, ts: str, key_type: str,
     initial: DataFrame | None = None,
@@ -45,6 +64,7 @@ def high_water_batches(
         fresh.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
         marks = advance_marks(batch, state, key, ts)
         marks.write.mode("overwrite").parquet(_version(state_path, batch_id))
+        _forget(spark, state_path, batch_id)
 
     return run
 
@@ -58,6 +78,7 @@ def last_files_batches(
         known = _read_version(batch.sparkSession, state_path, batch_id - 1, f"{col} string")
         top = keep_last(known.unionByName(batch.select(col)), col, n)
         top.write.mode("overwrite").parquet(_version(state_path, batch_id))
+        _forget(batch.sparkSession, state_path, batch_id)
 
     return run
 
@@ -86,13 +107,22 @@ class HighWaterMarks(StatefulProcessor):
         if top is not None and top != mark:
             self.mark.update((top,))
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        marks = initialState["last_update"].dropna()
+        if not marks.empty:
+            self.mark.update((marks.max().to_pydatetime(),))
+
     def close(self) -> None:
         pass
 
 
-def high_water_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
+def high_water_stream(
+    stream: DataFrame, key: str, ts: str, initial: DataFrame | None = None
+) -> DataFrame:
     """Rows newer than their key's mark, with the mark in keyed state (RocksDB).
 
+    ``initial`` holds the marks (``last_update``) before the first batch.
+
     A key's rows of one batch pass through one task as a sequence of Arrow chunks;
     where a single key may carry much of the data use :func:`high_water_batches`.
     """
@@ -102,6 +132,7 @@ def high_water_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
         outputStructType=known.schema,
         outputMode="Append",
         timeMode="None",
+        initialState=None if initial is None else initial.where(F.col(key).isNotNull()).groupBy(key),
     )
 
 

@@ -93,7 +93,8 @@ def latest_height(
 
     Both inputs are distinct scan times with watermarks. A rain scan joins the hours
     it may look back to by equality and the time bounds expire both states. It is
-    reported once no older height can arrive; one without a height is not reported.
+    reported once no older height can arrive; one without a height within the bound,
+    which the state needs, has NULL.
     """
     hours = F.sequence(
         F.date_trunc("hour", F.col(ts) - F.make_dt_interval(hours=F.lit(back_hours))),
@@ -108,7 +109,7 @@ def latest_height(
             f"hour = height_hour AND {height_ts} <= {ts} "
             f"AND {height_ts} >= {ts} - INTERVAL {back_hours} HOURS"
         ),
-        "inner",
+        "left_outer",
     )
     return pairs.groupBy(ts).agg(F.max(height_ts).alias(height_ts))
 
