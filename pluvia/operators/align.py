@@ -95,14 +95,10 @@ def first_scan_in_minutes(
     t = targets.select(*by, target_ts).distinct()
     wanted = t.select(
         *by, target_ts, F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_back")
-    ).withColumn("_minute", _minute_text(F.col(target_ts) - minutes(F.col("_back"))))
-    per_minute = scans.withColumn("_minute", _minute_text(F.col(scan_ts))).groupBy(
+    ).withColumn("_minute", F.date_trunc("minute", F.col(target_ts) - minutes(F.col("_back"))))
+    per_minute = scans.withColumn("_minute", F.date_trunc("minute", scan_ts)).groupBy(
         *by, "_minute"
     ).agg(F.min(scan_ts).alias(scan_ts))
     found = wanted.join(per_minute, [*by, "_minute"], "inner")
     best = found.groupBy(*by, target_ts).agg(F.min_by(scan_ts, "_back").alias(scan_ts))
     return t.join(best, [*by, target_ts], "left")
-
-
-def _minute_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMddHHmm")

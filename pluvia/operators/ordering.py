@@ -10,6 +10,8 @@ from pluvia.functions.times import floor_minutes
 
 # Width of a time slot; the distinct times of one slot are ordered in one task.
 SLOT_MINUTES = 60
+# Indices per stretch of the axis that datasets are looked up by.
+STRETCH = 1 << 20
 
 
 def time_rank(
@@ -73,10 +75,16 @@ def dataset_offsets(sizes: DataFrame, dataset: str, n: str) -> DataFrame:
 def dataset_of(index: DataFrame, offsets: DataFrame, dataset: str, idx: str = "idx") -> DataFrame:
     """Which dataset each running index falls in, and its position inside it.
 
-    The offsets are spread to one row per index, so the lookup is an equality join.
+    The axis is cut into stretches of ``STRETCH`` indices and every dataset is listed
+    under the stretches it touches, so the lookup is an equality join and a comparison.
     """
-    spread = offsets.where(F.col("end") > F.col("first")).select(
-        dataset, "first", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias(idx)
+    stretch = lambda c: F.floor(c / F.lit(STRETCH))
+    listed = offsets.where(F.col("end") > F.col("first")).select(
+        dataset, "first", "end",
+        F.explode(F.sequence(stretch(F.col("first")), stretch(F.col("end") - 1))).alias("_at"),
+    )
+    hit = index.withColumn("_at", stretch(F.col(idx))).join(listed, "_at", "inner")
+    hit = hit.where((F.col(idx) >= F.col("first")) & (F.col(idx) < F.col("end")))
+    return hit.select(
+        *index.columns, dataset, (F.col(idx) - F.col("first")).alias("local")
     )
-    hit = index.join(spread, idx, "inner")
-    return hit.withColumn("local", F.col(idx) - F.col("first")).drop("first")

@@ -74,23 +74,30 @@ def lead_pairs(
     key: str = "key_ts",
     ts: str = "frame_ts",
     values: str = "values",
+    on: list[str] | None = None,
 ) -> DataFrame:
     """One row per key and lead with the frame before the lead and the frame at it.
 
-    If either frame is missing, both are NULL.
+    If either frame is missing, both are NULL. ``on`` lists the columns, such as the
+    location, that keys and frames must share besides the time. ``keys`` are distinct.
+    Every frame is fetched once and sent to the two leads that use it.
     """
-    leads = expand_future(keys, n_after, step, key)
-    target = _fetch(leads, frames, ts, values, []).withColumnsRenamed(
-        {"values": "_target", "need_ts": "_target_ts"}
+    steps = keys.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n_after))))
+    wanted = steps.withColumn("need_ts", F.col(key) + minutes(F.col("_step") * step))
+    got = _fetch(wanted, frames, ts, values, on or [])
+    role = F.explode(F.array(F.lit(0), F.lit(1)))
+    used = got.withColumn("_role", role).withColumn("lead", F.col("_step") + 1 - F.col("_role"))
+    used = used.where((F.col("lead") >= 1) & (F.col("lead") <= n_after))
+    pick = lambda r: F.max(F.when(F.col("_role") == r, F.col("values")))
+    both = used.groupBy(*keys.columns, "lead").agg(
+        pick(0).alias("previous"), pick(1).alias("target")
     )
-    before = target.withColumn("need_ts", F.col("_target_ts") - minutes(step))
-    both = _fetch(before, frames, ts, values, [])
-    complete = F.col("values").isNotNull() & F.col("_target").isNotNull()
+    complete = F.col("previous").isNotNull() & F.col("target").isNotNull()
     return both.select(
         *keys.columns,
         "lead",
-        F.when(complete, F.col("values")).alias("previous"),
-        F.when(complete, F.col("_target")).alias("target"),
+        F.when(complete, F.col("previous")).alias("previous"),
+        F.when(complete, F.col("target")).alias("target"),
     )
 
 
@@ -132,16 +139,22 @@ def valid_keys(
     return counted.where(good).select(*by, ts)
 
 
-def requested_keys(requested: DataFrame, frames: DataFrame, ts: str = "frame_ts") -> DataFrame:
-    """Requested times that have a frame."""
-    return requested.join(frames.select(ts).distinct(), ts, "left_semi")
+def requested_keys(
+    requested: DataFrame, frames: DataFrame, ts: str = "frame_ts", by: list[str] | None = None
+) -> DataFrame:
+    """Requested times (of each ``by``, such as the location) that have a frame."""
+    on = [*(by or []), ts]
+    return requested.join(frames.select(*on).distinct(), on, "left_semi")
 
 
-def common_keys(sources: list[DataFrame], ts: str = "frame_ts") -> DataFrame:
-    """Times present in every source."""
-    keys = sources[0].select(ts).distinct()
+def common_keys(
+    sources: list[DataFrame], ts: str = "frame_ts", by: list[str] | None = None
+) -> DataFrame:
+    """Times (of each ``by``, such as the location) present in every source."""
+    on = [*(by or []), ts]
+    keys = sources[0].select(*on).distinct()
     for other in sources[1:]:
-        keys = keys.intersect(other.select(ts))
+        keys = keys.intersect(other.select(*on))
     return keys
 
 
@@ -156,26 +169,39 @@ class Source:
 
 
 def multi_source_samples(
-    sources: list[Source], step: int = 10, ts: str = "frame_ts", keys: DataFrame | None = None
+    sources: list[Source],
+    step: int = 10,
+    ts: str = "frame_ts",
+    keys: DataFrame | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Input and target frames of every key common to all sources.
 
     Output rows: ``key_ts, kind ('x'|'y'), source, lag, channel, values`` where
     ``channel`` is the first channel the frame takes in the stacked sample. Each
-    source fills its own range, newest frame first for inputs. ``keys`` (``key_ts``)
-    replaces the common keys.
+    source fills its own range, newest frame first for inputs. ``keys`` (``by, key_ts``)
+    replaces the common keys. ``by`` columns, such as the location, lead the output and
+    keys and frames must share them. A source is joined once for inputs and targets.
     """
+    by = by or []
     if keys is None:
-        keys = common_keys([s.frames for s in sources], ts).select(F.col(ts).alias("key_ts"))
+        keys = common_keys([s.frames for s in sources], ts, by)
+        keys = keys.select(*by, F.col(ts).alias("key_ts"))
     parts, x0, y0 = [], 0, 0
     for n, s in enumerate(sources):
-        if s.n_before:
-            past = past_frames(keys, s.frames, s.n_before, step, ts=ts)
-            parts.append(_stack(past, "x", n, F.col("lag"), x0 + F.col("lag") * s.channels))
-        if s.n_after:
-            nxt = future_frames(keys, s.frames, s.n_after, step, ts=ts)
-            first = y0 + (F.col("lead") - 1) * s.channels
-            parts.append(_stack(nxt, "y", n, F.col("lead"), first))
+        if s.n_before or s.n_after:
+            # Step 0 is the key's own frame: the newest input, lag 0.
+            steps = F.sequence(F.lit(1 - s.n_before), F.lit(s.n_after))
+            wanted = keys.select(*by, "key_ts", F.explode(steps).alias("_step"))
+            at = F.col("key_ts") + minutes(F.col("_step") * step)
+            got = _fetch(wanted.withColumn("need_ts", at), s.frames, ts, "values", by)
+            future = F.col("_step") > 0
+            lag = F.when(future, F.col("_step")).otherwise(-F.col("_step"))
+            channel = F.when(future, y0 + (F.col("_step") - 1) * s.channels).otherwise(
+                x0 - F.col("_step") * s.channels
+            )
+            kind = F.when(future, "y").otherwise("x")
+            parts.append(_stack(got, by, kind, n, lag, channel))
         x0 += s.n_before * s.channels
         y0 += s.n_after * s.channels
     out = parts[0]
@@ -184,10 +210,13 @@ def multi_source_samples(
     return out
 
 
-def _stack(df: DataFrame, kind: str, source: int, lag: Column, channel: Column) -> DataFrame:
+def _stack(
+    df: DataFrame, by: list[str], kind: Column, source: int, lag: Column, channel: Column
+) -> DataFrame:
     return df.select(
+        *by,
         "key_ts",
-        F.lit(kind).alias("kind"),
+        kind.alias("kind"),
         F.lit(source).alias("source"),
         lag.cast("int").alias("lag"),
         channel.cast("int").alias("channel"),
@@ -201,16 +230,18 @@ def with_predictions(
     n_after: int,
     step: int = 10,
     key: str = "key_ts",
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Another model's forecasts for every key and lead. A missing one is an error.
 
-    The error is raised while the join runs, so no separate check reads the data.
+    ``by`` lists the columns, such as the location, that both must share. The error is raised while the join runs, so no separate check reads the data.
     """
     wanted = expand_future(keys, n_after, step, key).withColumnRenamed("need_ts", "valid_ts")
+    by = by or []
     got = predictions.select(
-        F.col("issue_ts").alias(key), "valid_ts", "values", F.lit(True).alias("_found")
+        *by, F.col("issue_ts").alias(key), "valid_ts", "values", F.lit(True).alias("_found")
     )
-    joined = wanted.join(got, [key, "valid_ts"], "left")
+    joined = wanted.join(got, [*by, key, "valid_ts"], "left")
     values = F.when(F.col("_found"), F.col("values")).otherwise(
         F.raise_error(
             F.concat_ws(" ", F.lit("no prediction for"), F.col(key).cast("string"),
@@ -277,7 +308,9 @@ def sample_weights(
         F.lit(0.0),
         lambda s, v: s + sample_mass(v),
     )
-    raw = samples.groupBy(key).agg((F.sum(mass) + minimum).alias("raw_weight"))
+    raw = samples.select(key, mass.alias("_mass")).groupBy(key).agg(
+        (F.sum("_mass") + minimum).alias("raw_weight")
+    )
     total = raw.agg(F.sum("raw_weight")).scalar()
     return raw.withColumn("weight", F.col("raw_weight") / total)
 

@@ -86,14 +86,19 @@ def match_forecasts(
     observed: str = "frame_ts",
     forecast_values: str = "values",
     observed_values: str = "values",
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Every packed forecast beside the packed frame observed at its valid time.
 
     One row per forecast: the cells travel inside the rows, so the join shuffles
-    frames and not cells. ``how='left'`` keeps forecasts without an observation.
+    frames and not cells. ``how='left'`` keeps forecasts without an observation. ``by``
+    lists the columns, such as the location, that both must share.
     """
-    t = truth.select(F.col(observed).alias(valid), F.col(observed_values).alias("truth"))
-    return predictions.withColumnRenamed(forecast_values, "forecast").join(t, valid, how)
+    on = [*(by or []), valid]
+    t = truth.select(
+        *(by or []), F.col(observed).alias(valid), F.col(observed_values).alias("truth")
+    )
+    return predictions.withColumnRenamed(forecast_values, "forecast").join(t, on, how)
 
 
 def paired_cells(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,16 +230,22 @@ def forecast_table(
     predictions: DataFrame, frames: DataFrame, ts: str = "frame_ts"
 ) -> DataFrame:
     """Forecasts issued at the last observed frame: the next-hours display set."""
-    last = frames.agg(F.max(ts)).scalar()
-    return predictions.where(F.col("issue_ts") == last)
+    return _issued_at(predictions, frames.agg(F.max(ts)).scalar())
+
+
+def _issued_at(predictions: DataFrame, issue: Column) -> DataFrame:
+    """Forecasts of one issue; a table partitioned by ``issue_date`` is read at that date only."""
+    found = predictions.where(F.col("issue_ts") == issue)
+    if "issue_date" in predictions.columns:
+        found = found.where(F.col("issue_date") == issue.cast("date"))
+    return found
 
 
 def hindcast_table(
     predictions: DataFrame, frames: DataFrame, ts: str = "frame_ts", back: int = HORIZON
 ) -> DataFrame:
     """Forecasts issued ``back`` frames ago, to compare with what followed."""
-    issue = comparison_issue(frames, ts, back).select(ts).scalar()
-    return predictions.where(F.col("issue_ts") == issue)
+    return _issued_at(predictions, comparison_issue(frames, ts, back).select(ts).scalar())
 
 
 def marker_table(cells: DataFrame, feature: str) -> DataFrame:

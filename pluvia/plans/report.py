@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.operators.verify import (
@@ -22,22 +22,31 @@ def score_report(
     models: list[str] | None = None,
     metrics: list[str] | None = None,
     keys: list[str] | None = None,
+    by: list[str] | None = None,
+    issue: Column | None = None,
 ) -> DataFrame:
     """Scores per model and lag with best and worst flags per lag.
 
     ``predictions``: ``model, lag, valid_ts, values``. One join on the valid time and
     one aggregation cover all lags. With ``models`` every (model, lag) pair is
-    reported; a pair that was never forecast has NULL scores.
+    reported; a pair that was never forecast has NULL scores. ``by`` columns, such as
+    the location, are matched and reported apart. ``issue`` limits the report to the
+    forecasts of one issue time (UTC), which it then carries as ``issue_ts``.
     """
     metrics = metrics or HEADLINE
-    keys = keys or ["model", "lag"]
-    pairs = paired_cells(match_forecasts(predictions, truth, "inner"), keys)
+    by = by or []
+    group = [*by, "lag"]
+    if issue is not None:
+        predictions = predictions.where(F.col("issue_ts") == issue)
+        group = ["issue_ts", *group]
+    keys = keys or ["model", *group]
+    pairs = paired_cells(match_forecasts(predictions, truth, "inner", by=by), keys)
     scores = score(pairs, keys, metrics)
     if models:
-        lags = predictions.select("lag").distinct()
+        lags = predictions.select(*group).distinct()
         wanted = lags.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
         scores = wanted.join(scores, keys, "left").select(*scores.columns)
-    return best_worst(scores, ["lag"], "model", metrics, models)
+    return best_worst(scores, group, "model", metrics, models)
 
 
 def comparison_sets(

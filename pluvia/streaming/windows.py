@@ -114,21 +114,26 @@ def latest_height(
     return pairs.groupBy(ts).agg(F.max(height_ts).alias(height_ts))
 
 
-def matched_forecasts(predictions: DataFrame, frames: DataFrame) -> DataFrame:
+def matched_forecasts(
+    predictions: DataFrame, frames: DataFrame, by: list[str] | None = None
+) -> DataFrame:
     """Forecasts beside the frame observed at their valid time, as frames arrive.
 
     ``predictions``: ``model, issue_ts, valid_ts, values``, watermark on ``issue_ts``;
     ``frames``: ``frame_ts, observed``, watermark on ``frame_ts``. The horizon bounds
-    both states.
+    both states. ``by`` lists the columns, such as the location, that both must share.
     """
-    return predictions.join(
-        frames,
+    seen = frames.withColumnsRenamed({c: f"_{c}" for c in by or []})
+    same = "".join(f"{c} = _{c} AND " for c in by or [])
+    matched = predictions.join(
+        seen,
         F.expr(
-            "frame_ts = valid_ts AND frame_ts > issue_ts "
+            f"{same}frame_ts = valid_ts AND frame_ts > issue_ts "
             f"AND frame_ts <= issue_ts + INTERVAL {HORIZON}"
         ),
         "inner",
     )
+    return matched.drop(*[f"_{c}" for c in by or []])
 
 
 def frame_scores(matched: DataFrame, thresholds: list[float]) -> DataFrame:
