@@ -28,8 +28,8 @@ def pack_frames(
 ) -> DataFrame:
     """One row per frame from one row per cell.
 
-    ``sparse`` fills absent cells with NULL first; without it every frame must be
-    complete. Repeated cells keep the largest value, merged before the frame is
+    ``sparse`` fills absent cells with NULL first; without it a frame that is not
+    complete is an error, as later reads go by position. Repeated cells keep the largest value, merged before the frame is
     collected, so a group never holds more than ``ni * nj`` cells.
     """
     placed = cells.select(
@@ -44,8 +44,14 @@ def pack_frames(
     placed = placed.repartition(*keys)
     one = placed.groupBy(*keys, "_k").agg(F.max("value").alias("value"))
     cells_in_order = F.array_sort(F.collect_list(F.struct("_k", "value")))
-    return one.groupBy(*keys).agg(
-        F.transform(cells_in_order, lambda c: c["value"]).alias("values")
+    packed = one.groupBy(*keys).agg(cells_in_order.alias("_c"))
+    whole = (F.size("_c") == ni * nj) & (F.get("_c", F.lit(0))["_k"] == 0) & (
+        F.element_at("_c", -1)["_k"] == ni * nj - 1
+    )
+    values = F.transform("_c", lambda c: c["value"])
+    wrong = F.raise_error(F.lit(f"a frame does not have the cells of {ni} x {nj}"))
+    return packed.select(
+        *keys, F.when(whole, values).otherwise(wrong.cast("array<double>")).alias("values")
     )
 
 
@@ -228,13 +234,18 @@ def extrapolate(
     n_leads: int,
     key: str = "frame_ts",
     values: str = "values",
+    keep_missing: bool = False,
 ) -> DataFrame:
-    """Forecast each lead by moving every block along its own shift, clamped to the frame."""
+    """Forecast each lead by moving every block along its own shift, clamped to the frame.
+
+    ``keep_missing`` reports frames without motion too, their forecasts NULL.
+    """
     nbj = nj // block
     per_frame = motion.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("bi", "bj", "di", "dj"))).alias("_m")
     )
-    joined = frames.select(key, F.col(values).alias("_v")).join(per_frame, key, "inner")
+    how = "left" if keep_missing else "inner"
+    joined = frames.select(key, F.col(values).alias("_v")).join(per_frame, key, how)
     leads = joined.select(
         key, "_v", "_m", F.explode(F.sequence(F.lit(1), F.lit(n_leads))).alias("lead")
     )
@@ -246,13 +257,20 @@ def extrapolate(
         sj = clip_index(j - F.col("lead") * m["dj"], nj)
         return F.get("_v", si * nj + sj)
 
-    return leads.select(key, "lead", F.transform(positions(ni * nj), cell).alias("values"))
+    moved = F.when(F.col("_m").isNotNull(), F.transform(positions(ni * nj), cell))
+    return leads.select(key, "lead", moved.alias("values"))
 
 
-def ensemble_mean(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Mean over members, skipping missing values (NULL or NaN)."""
+def ensemble_mean(
+    cells: DataFrame, keys: list[str], value: str = "value", skip_missing: bool = True
+) -> DataFrame:
+    """Mean over members, skipping missing values (NULL or NaN).
+
+    Without ``skip_missing`` a value that any member misses is NULL.
+    """
     v = F.when(~F.isnan(value), F.col(value))
-    return cells.groupBy(*keys).agg(F.avg(v).alias(value))
+    mean = F.avg(v) if skip_missing else F.when(F.count(v) == F.count(F.lit(1)), F.avg(v))
+    return cells.groupBy(*keys).agg(mean.alias(value))
 
 
 def ensemble_mean_packed(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.session import BROADCAST_MAX_ROWS, fits_broadcast
+from pluvia.session import BROADCAST_MAX_BYTES, fits_broadcast
 
 _CORNERS = {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (1, 1)}
 # Triangle kinds by number. All corners present: two triangles on the b-c diagonal.
@@ -76,7 +76,7 @@ def locate(
     target_by: list[str],
     tile: float,
     salts: int = 32,
-    max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """(triangle, target) rows where the target lies in the triangle, with weights.
 
@@ -97,7 +97,7 @@ def locate(
     on = [*target_by, "_ty", "_tx"]
     if set(target_by) == set(by) and by:
         met = spans.join(at, on, "inner")
-    elif fits_broadcast(targets, max_rows):
+    elif fits_broadcast(targets, max_bytes):
         met = spans.join(F.broadcast(at), on, "inner")
     else:
         salted = spans.withColumn(
@@ -174,12 +174,16 @@ def apply_weights(
 ) -> DataFrame:
     """Interpolated value per scan and target from a weight table.
 
-    A target with a missing source value is missing. ``n_targets`` bounds the weights
-    (three rows each), which are then broadcast without being counted; above the
-    limit the join shuffles on (row, col), whose keys are as many as the radar has
-    cells.
+    A target with a missing source value is missing. Weights of a checked size are
+    broadcast; else the join shuffles on (row, col), whose keys are as many as the radar
+    has cells. ``n_targets`` says how many targets there are: three weights of 40 bytes
+    each, for a weight table whose own statistics do not show its size.
     """
-    small = 3 * n_targets <= BROADCAST_MAX_ROWS if n_targets else fits_broadcast(weights)
+    known = n_targets is not None and 3 * 40 * n_targets <= BROADCAST_MAX_BYTES
+    if known:
+        # Never more rows than stated, whatever the table holds.
+        weights = weights.where((F.col("target") >= 0) & (F.col("target") < n_targets))
+    small = known or fits_broadcast(weights)
     joined = cells.join(F.broadcast(weights) if small else weights, ["row", "col"], "inner")
     total = F.sum(F.col("weight") * F.col(value))
     complete = F.count(F.when(F.col(value).isNotNull(), 1)) == 3

@@ -231,39 +231,43 @@ def despeckle_time(
     smooth_window: int | None = None,
     scan: str = "scan_id",
     ray: str = "ray",
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Echo cells of objects that overlap echoes in enough neighbouring scans.
 
-    ``scans`` gives every scan its position in time (``scan``, ``seq``);
+    ``scans`` gives every scan its position in time (``scan``, ``seq``) and the ``by``
+    columns, such as the site and its geometry: only scans that agree in them are
+    compared. Scan ids are unique over all sites, positions within ``by``.
     ``neighbours`` lists the positions to compare with. Each object cell announces
     itself to the scans that look at it, then one aggregation per (scan, ray, bin)
     counts the announcements: no self-join and no pairs.
     """
-    offsets = neighbours or [-1, 1]
+    offsets, by = neighbours or [-1, 1], by or []
+    seqs = scans.select(F.col(scan).alias("scan"), "seq", *by)
     cells = echo_cells(rays, threshold, smooth_window, scan, ray)
     labelled = label_objects(cells, nbins, nrays).where("label is not null")
-    placed = labelled.join(
-        scans.select(F.col(scan).alias("scan"), "seq"), "scan", "inner"
-    ).withColumn("_own", F.lit(1))
+    placed = labelled.join(seqs, "scan", "inner").withColumn("_own", F.lit(1))
     if smooth_window:
         # Neighbouring scans are thresholded without smoothing.
         plain = echo_cells(rays, threshold, None, scan, ray).select("scan", "ray", "bin")
-        echoes = plain.join(scans.select(F.col(scan).alias("scan"), "seq"), "scan", "inner")
+        echoes = plain.join(seqs, "scan", "inner")
     else:
         echoes = placed
     shifts = F.explode(F.array(*[F.lit(o) for o in offsets]))
-    seen = echoes.select(F.col("seq").alias("_s"), "ray", "bin", shifts.alias("_o"))
-    seen = seen.select((F.col("_s") - F.col("_o")).alias("seq"), "ray", "bin")
-    votes = placed.select("scan", "seq", "ray", "bin", "value", "label", "_own").unionByName(
+    seen = echoes.select(*by, F.col("seq").alias("_s"), "ray", "bin", shifts.alias("_o"))
+    seen = seen.select(*by, (F.col("_s") - F.col("_o")).alias("seq"), "ray", "bin")
+    votes = placed.select(*by, "scan", "seq", "ray", "bin", "value", "label", "_own").unionByName(
         seen, allowMissingColumns=True
     )
-    cell = votes.groupBy("seq", "ray", "bin").agg(
+    cell = votes.groupBy(*by, "seq", "ray", "bin").agg(
         F.max("scan").alias("scan"), F.max("value").alias("value"),
         F.max("label").alias("label"), F.count("_own").alias("_own"),
         F.count(F.when(F.col("_own").isNull(), 1)).alias("n_overlaps"),
     ).where("_own > 0")
-    best = F.max("n_overlaps").over(Window.partitionBy("seq", "label"))
+    best = F.max("n_overlaps").over(Window.partitionBy(*by, "seq", "label"))
     kept = cell.withColumn("object_overlaps", best).where(
         (F.col("object_overlaps") >= min_intersections) & (F.col("value") >= threshold)
     )
-    return kept.select("scan", "ray", "bin", "value", "label", "n_overlaps", "object_overlaps")
+    return kept.select(
+        "scan", *by, "ray", "bin", "value", "label", "n_overlaps", "object_overlaps"
+    )

@@ -11,17 +11,25 @@ from pluvia.operators.interpolate import apply_weights, interpolate
 
 
 def with_cloud_height(
-    rain: DataFrame, heights: DataFrame, tile: float = 0.25, unknown: str = "drop"
+    rain: DataFrame,
+    heights: DataFrame,
+    tile: float = 0.25,
+    unknown: str = "drop",
+    scans: DataFrame | None = None,
+    height_scans: DataFrame | None = None,
 ) -> DataFrame:
     """Rain pixels with the cloud height of the latest height scan at or before them.
 
     ``rain``: ``creation, row, col, lat, lon, value``; ``heights``: the same with
     ``height``. The scans are matched on distinct times; heights are then
     interpolated at the pixel positions, joined by (scan, tile). Pixels with no
-    known height are dropped, or kept with a NULL height.
+    known height are dropped, or kept with a NULL height. ``scans`` and
+    ``height_scans`` (``creation``, one row per scan) save reading the pixels for the
+    times alone.
     """
     h = heights.withColumnRenamed("creation", "creation_h")
-    matched = match_times(rain, h, "creation", "creation_h")
+    times_h = h if height_scans is None else height_scans.withColumnRenamed("creation", "creation_h")
+    matched = match_times(rain if scans is None else scans, times_h, "creation", "creation_h")
     pixels = rain.join(matched, "creation", "left")
     fields = rain.columns if unknown == "drop" else ["creation", "row", "col"]
     targets = pixels.where("creation_h is not null").select(
@@ -42,9 +50,11 @@ def correct_parallax(
     sat_lon: float = SATELLITE_LON,
     sat_lat: float = SATELLITE_LAT,
     sat_alt: float = SATELLITE_ALT,
+    scans: DataFrame | None = None,
+    height_scans: DataFrame | None = None,
 ) -> DataFrame:
     """Rain pixels moved below their clouds, once per scan."""
-    located = with_cloud_height(rain, heights, tile, unknown)
+    located = with_cloud_height(rain, heights, tile, unknown, scans, height_scans)
     moved = parallax_shift(
         located, "height", sat_lon=sat_lon, sat_lat=sat_lat, sat_alt=sat_alt, unknown=unknown
     )
@@ -60,26 +70,38 @@ def satellite_frames(
     tolerance_minutes: int | None = None,
     tile: float = 0.25,
     unknown: str = "drop",
+    scans: DataFrame | None = None,
+    height_scans: DataFrame | None = None,
 ) -> DataFrame:
     """Cells of every target time on every grid; grid ``n`` is channel ``n``.
 
-    Only the scans that some target time uses are corrected (with ``heights``) and
-    interpolated, each once for all grids; the cells are then copied to the target
-    times. ``grids`` hold ``target, lat, lon``.
+    Every target time has every cell of every grid, NULL where no scan or no pixel
+    tells its value. Only the scans that some target time uses are corrected (with
+    ``heights``) and interpolated, each once for all grids; the cells are then copied to
+    the target times. ``grids`` hold ``target, lat, lon``. ``scans`` and
+    ``height_scans`` (``creation``, one row per scan) serve the matching of times; without
+    them the times are gathered from the pixels.
     """
     used = match_times(
-        target_times, rain, "frame_ts", "creation",
+        target_times, rain if scans is None else scans, "frame_ts", "creation",
         offset_minutes=offset_minutes, tolerance_minutes=tolerance_minutes,
     )
-    pixels = rain.join(used.select("creation").distinct(), "creation", "left_semi")
+    needed = used.select("creation").distinct()
+    pixels = rain.join(needed, "creation", "left_semi")
     if heights is not None:
-        pixels = correct_parallax(pixels, heights, tile, unknown)
+        some = None if scans is None else scans.join(needed, "creation", "left_semi")
+        pixels = correct_parallax(
+            pixels, heights, tile, unknown, scans=some, height_scans=height_scans
+        )
     targets = None
     for ch, grid in enumerate(grids):
         g = grid.select(F.struct(F.lit(ch).alias("ch"), "target").alias("target"), "lat", "lon")
         targets = g if targets is None else targets.unionByName(g)
     cells = interpolate(pixels, targets, ["creation"], "value", tile=tile)
-    return used.join(cells, "creation", "inner").select(
+    # The grids are configuration: their cells fit one row, which every time takes along.
+    every = targets.agg(F.collect_list("target")).scalar()
+    wanted = used.select("frame_ts", "creation", F.explode(every).alias("target"))
+    return wanted.join(cells, ["creation", "target"], "left").select(
         "frame_ts", "creation", "target.ch", "target.target", "value"
     )
 

@@ -443,14 +443,19 @@ def _interp_weights(spark, sf):
     f"""WITH {_TRI}, m AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events),
     sc AS (SELECT vec_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id * 10 AS INT)) AS creation
       FROM embeddings),
-    u AS (SELECT frame_ts, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) t
-      ASOF JOIN sc ON t.due >= sc.creation WHERE creation >= due - INTERVAL 20 MINUTE)
-    SELECT frame_ts, creation, 0 AS ch, target, round(value, 6) AS value FROM u JOIN hit USING (vec_id)""",
+    a AS (SELECT frame_ts, due, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) t
+      ASOF LEFT JOIN sc ON t.due >= sc.creation),
+    u AS (SELECT frame_ts, CASE WHEN creation >= due - INTERVAL 20 MINUTE THEN vec_id END AS vec_id,
+      CASE WHEN creation >= due - INTERVAL 20 MINUTE THEN creation END AS creation FROM a)
+    SELECT frame_ts, creation, 0 AS ch, t.target, round(value, 6) AS value FROM u CROSS JOIN targets t
+    LEFT JOIN hit ON hit.vec_id = u.vec_id AND hit.target = t.target""",
 )
 def _satellite_frames(spark, sf):
     rain = V.pixels(spark, sf).drop("vec_id")
+    scans = V.frames(spark, sf).select(F.col("frame_ts").alias("creation"))
     out = satellite_frames(
-        rain, V.marks(spark, sf), [V.target_grid(spark)], tolerance_minutes=20, tile=0.1
+        rain, V.marks(spark, sf), [V.target_grid(spark)], tolerance_minutes=20, tile=0.1,
+        scans=scans,
     )
     return out.withColumn("value", r6("value"))
 
@@ -476,17 +481,22 @@ both_grids AS (SELECT target, lat, lon FROM targets UNION ALL
     m AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events),
     sc AS (SELECT vec_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id * 10 AS INT)) AS creation
       FROM embeddings),
-    used AS (SELECT frame_ts, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) q
-      ASOF JOIN sc ON q.due >= sc.creation WHERE creation >= due - INTERVAL 20 MINUTE)
-    SELECT frame_ts, creation, CAST(target >= 100 AS INT) AS ch, target % 100 AS target,
-      round(value, 5) AS value FROM used JOIN hit USING (vec_id)""",
+    a AS (SELECT frame_ts, due, vec_id, creation FROM (SELECT *, frame_ts + INTERVAL 5 MINUTE AS due FROM m) q
+      ASOF LEFT JOIN sc ON q.due >= sc.creation),
+    used AS (SELECT frame_ts, CASE WHEN creation >= due - INTERVAL 20 MINUTE THEN vec_id END AS vec_id,
+      CASE WHEN creation >= due - INTERVAL 20 MINUTE THEN creation END AS creation FROM a)
+    SELECT frame_ts, creation, CAST(g.target >= 100 AS INT) AS ch, g.target % 100 AS target,
+      round(value, 5) AS value FROM used CROSS JOIN both_grids g
+    LEFT JOIN hit ON hit.vec_id = used.vec_id AND hit.target = g.target""",
 )
 def _parallax_frames(spark, sf):
     rain = V.pixels(spark, sf).drop("vec_id")
     heights = rain.withColumn("height", F.lit(2000.0) + F.col("value") * 100).drop("value")
     grids = [V.target_grid(spark), V.target_grid(spark, 3)]
+    scans = V.frames(spark, sf).select(F.col("frame_ts").alias("creation"))
     out = satellite_frames(
-        rain, V.marks(spark, sf), grids, heights, tolerance_minutes=20, tile=0.1
+        rain, V.marks(spark, sf), grids, heights, tolerance_minutes=20, tile=0.1,
+        scans=scans, height_scans=scans,
     )
     return out.withColumn("value", F.round("value", 5))
 

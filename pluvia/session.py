@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension larger than this many rows is never broadcast by hint; the caller
+# A dimension whose size statistics exceed this is never broadcast by hint; the caller
 # takes the shuffled path instead.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def get_session(master: str | None = None, app: str = "pluvia", **conf: str) -> SparkSession:
@@ -49,12 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+def fits_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Whether a dimension is small enough to copy to every executor.
 
-    Counts at most ``max_rows + 1`` rows, so the check stays cheap on a large table.
+    Decided by the optimizer's size statistics, which run no job; where they know no
+    better they are too large, and the shuffled path is taken.
     """
-    return dim.limit(max_rows + 1).count() <= max_rows
+    stats = dim._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) <= max_bytes
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -73,7 +75,7 @@ def join_dimension(
     how: str = "inner",
     spread: str | None = None,
     salts: int = 32,
-    max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Join a large table with a dimension whose key has few distinct values.
 
@@ -81,7 +83,7 @@ def join_dimension(
     ``spread`` (a column of ``big``) each key is split over ``salts`` partitions
     so that one key holding most of the rows does not land in one task.
     """
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_bytes):
         return big.join(F.broadcast(dim), on, how)
     if spread is None:
         return big.join(dim, on, how)

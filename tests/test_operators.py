@@ -197,7 +197,7 @@ def test_join_dimension_salted_equals_broadcast(spark):
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(3)], "k long, name string")
     rows = lambda df: sorted(map(tuple, df.select("k", "id", "name").collect()))
     assert rows(join_dimension(big, dim, ["k"])) == rows(
-        join_dimension(big, dim, ["k"], spread="id", salts=5, max_rows=1)
+        join_dimension(big, dim, ["k"], spread="id", salts=5, max_bytes=1)
     )
 
 
@@ -432,7 +432,7 @@ def test_interpolation_of_a_plane_is_exact(spark):
     assert got[100] is None and len(got) == 101
     for k, la, lo in tg[:100]:
         assert got[k] == pytest.approx(2 + 3 * la - 5 * lo)
-    big = interpolate.locate(interpolate.triangles(points, ["s"], ["value"]), targets, ["s"], [], 0.07, max_rows=1)
+    big = interpolate.locate(interpolate.triangles(points, ["s"], ["value"]), targets, ["s"], [], 0.07, max_bytes=1)
     small = interpolate.locate(interpolate.triangles(points, ["s"], ["value"]), targets, ["s"], [], 0.07)
     assert sorted(r.target for r in big.collect()) == sorted(r.target for r in small.collect())
 
