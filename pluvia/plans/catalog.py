@@ -4,6 +4,7 @@ from pluvia.plans import (  # noqa: F401
     queries_radar,
     queries_samples,
     queries_scores,
+    queries_sites,
     queries_streams,
     queries_tables,
 )
