@@ -261,7 +261,7 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
             while at < len(texts):
                 # Some megabytes at a time, so that a shard does not outgrow its bound by much.
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < 2_000_000):
+                while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < min(2_000_000, shard_tokens)):
                     chars += len(texts[upto] or "")
                     upto += 1
                 ids, offs = tokenizer.encode_all([t or "" for t in texts[at:upto]])
