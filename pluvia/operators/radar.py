@@ -227,21 +227,24 @@ def flatten_ragged(df: DataFrame, by: list[str], order: list[str], arr: str) ->
 
 
 def rebuild_ragged(df: DataFrame, by: list[str]) -> DataFrame:
-    """Inverse of :func:`flatten_ragged`: one row per list, numbered from 0."""
-    lengths = df.select(*by, F.posexplode("lengths").alias("pos", "_len"))
-    running = Window.partitionBy(*by).orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    lengths = lengths.withColumn("_from", F.sum("_len").over(running) - F.col("_len"))
-    places = F.when(
-        F.col("_len") > 0, F.sequence(F.col("_from"), F.col("_from") + F.col("_len") - 1)
-    )
-    slots = lengths.select(*by, "pos", F.explode_outer(places).alias("_k"))
-    items = df.select(*by, F.posexplode("flat").alias("_p", "item")).select(
-        *by, F.col("_p").cast("long").alias("_k"), "item"
-    )
-    joined = slots.join(items, [*by, "_k"], "left")
-    pairs = F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "item")))
-    return joined.groupBy(*by, "pos").agg(
+    """Inverse of :func:`flatten_ragged`: one row per list, numbered from 0.
+
+    Every item learns the number of its list inside its row, so one grouping suffices.
+    """
+    number = F.flatten(F.transform("lengths", lambda n, i: F.array_repeat(i, n.cast("int"))))
+    zipped = F.arrays_zip(F.col("flat").alias("item"), number.alias("pos"))
+    items = F.transform(
+        zipped, lambda s, k: F.struct(k.alias("k"), s["pos"].alias("pos"), s["item"].alias("item"))
+    )
+    kind = df.schema["flat"].dataType.elementType
+    blank = lambda i: F.struct(
+        F.lit(None).cast("int").alias("k"), i.alias("pos"), F.lit(None).cast(kind).alias("item")
+    )
+    empty = F.filter(
+        F.transform("lengths", lambda n, i: F.when(n == 0, i)), lambda i: i.isNotNull()
+    )
+    rows = df.select(*by, F.explode(F.concat(items, F.transform(empty, blank))).alias("_s"))
+    pairs = F.collect_list(F.when(F.col("_s.k").isNotNull(), F.struct("_s.k", "_s.item")))
+    return rows.groupBy(*by, F.col("_s.pos").alias("pos")).agg(
         F.transform(F.array_sort(pairs), lambda s: s["item"]).alias("items")
     )

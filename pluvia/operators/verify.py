@@ -103,14 +103,18 @@ def match_forecasts(
 
 def paired_cells(matched: DataFrame, keys: list[str]) -> DataFrame:
     """Cleaned (forecast, truth) cells of matched frames; the observation drives the cells."""
-    cells = matched.select(*keys, "forecast", F.posexplode("truth").alias("cell", "_t"))
+    forecast = F.coalesce("forecast", F.array().cast(matched.schema["forecast"].dataType))
+    both = F.arrays_zip(forecast.alias("p"), F.col("truth").alias("t"))
+    # The cells travel as pairs of numbers, not beside the whole arrays.
+    cells = matched.select(
+        *keys, F.col("forecast").isNotNull().alias("_has"), F.size("truth").alias("_n"),
+        F.posexplode(both).alias("cell", "_c"),
+    ).where(F.col("cell") < F.col("_n"))
     return cells.select(
         *keys,
         "cell",
-        F.when(F.col("forecast").isNotNull(), clean_score(F.get("forecast", F.col("cell")))).alias(
-            "p"
-        ),
-        clean_score(F.col("_t")).alias("t"),
+        F.when(F.col("_has"), clean_score(F.col("_c.p"))).alias("p"),
+        clean_score(F.col("_c.t")).alias("t"),
     )
 
 

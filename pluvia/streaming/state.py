@@ -60,10 +60,12 @@ def high_water_batches(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = _read_version(spark, state_path, batch_id - 1, schema, initial)
+        batch.persist()  # read for the rows and again for the marks
         fresh = newer_rows(batch, state, key, ts).drop("last_update")
         fresh.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
         marks = advance_marks(batch, state, key, ts)
         marks.write.mode("overwrite").parquet(_version(state_path, batch_id))
+        batch.unpersist()
         _forget(spark, state_path, batch_id)
 
     return run
