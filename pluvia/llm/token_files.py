@@ -38,72 +38,146 @@ MIN_USES = 8
 #: Distinct pieces that a task remembers before it starts afresh.
 TABLE_PIECES = 400_000
 MAGIC = b"RPF1"
-#: White space next to white space (of any alphabet), or a mark used below.
-_ENTANGLED = re.compile(r"\s\s|\x00")
+#: White space (of any alphabet) at an end of a piece or next to other white space.
+_ENTANGLED = re.compile(r"^\s|\s\s|\s$")
+#: Characters whose kind (letter, digit, other) is the same for all versions of Unicode.
+_PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand
+    for themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+class _Places(dict):
+    """Place of every piece; new ones are numbered and noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self)
+        self.new.append(piece)
+        return at
 
 
 class Tokenizer:
-    """Encodes texts with the ``tokenizers`` library, each distinct piece once."""
+    """Encodes texts with the ``tokenizers`` library, each distinct piece once.
+
+    Pieces of plain characters are cut by the tokenizer's own pattern into parts, and the
+    library's model encodes each distinct part once; other pieces go through the whole
+    tokenizer.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         import tokenizers
 
-        self.encode = tokenizers.Tokenizer.from_file(path).encode
+        whole = tokenizers.Tokenizer.from_file(path)
+        self.encode = whole.encode
+        special = [re.escape(str(t.content)) for t in whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = _byte_letters()
+        self.mark = self.letters[10]  # stands for a line feed, which plain pieces do not hold
+        self.model = tokenizers.Tokenizer(whole.model)
+        self.model.pre_tokenizer = tokenizers.pre_tokenizers.Split(self.mark, "isolated")
+        self.mark_id = whole.token_to_id(self.mark)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
+        self.place, self.known = _Places(), _Places()
+        # Ids of all pieces and of all parts, one after the other, and where each begins.
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.part_flat = np.zeros(0, np.uint32)
+        self.part_start, self.part_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kind = np.zeros(0, np.int8)
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Ids of new parts, marks between them, in one call of the library's model. Parts that
+        begin with a zero go through the whole tokenizer."""
+        plain = [p for p in parts if p[0] != "\0"]
+        text = self.mark.join(p.encode().decode("latin-1").translate(self.letters) for p in plain)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = ids == self.mark_id
+        ends = np.append(np.flatnonzero(marks), len(ids))
+        sizes = np.diff(ends, prepend=-1) - 1 if plain else np.zeros(0, np.int64)
+        direct = [self._direct(p[1:]) for p in parts if p[0] == "\0"]
+        # Plain parts first, then the others; each has its own start.
+        is_plain = np.fromiter((p[0] != "\0" for p in parts), bool, len(parts))
+        n = np.empty(len(parts), np.int64)
+        n[is_plain] = sizes
+        n[~is_plain] = [len(d) for d in direct]
+        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        start = np.empty(len(parts), np.int64)
+        start[order] = len(self.part_flat) + np.cumsum(n[order]) - n[order]
+        self.part_flat = np.concatenate([self.part_flat, ids[~marks], *direct])
+        self.part_start, self.part_size = np.append(self.part_start, start), np.append(self.part_size, n)
+
     def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces: ``\\0word`` stands alone, all others follow a space."""
-        line = self._direct("\n")
-        plain = [w for w in new if w and w[0] != "\0" and not any(c.isspace() for c in w)] if len(line) == 1 else []
-        split: dict[str, np.ndarray] = {}
-        if plain:
-            # One text, a line feed between the pieces: it is always a token of its own.
-            ids = self._direct("\n".join(" " + w for w in plain))
-            cuts = np.flatnonzero(ids == line[0])
-            if len(cuts) == len(plain) - 1:
-                split = dict(zip(plain, np.split(ids, cuts), strict=True))
-        parts = []
+        """Ids of new pieces: ``\0word`` stands alone, all others follow a space."""
+        flat: list[str] = []
+        n, kinds = [], []
         for w in new:
-            got = split.get(w)
-            if got is None:
-                got = line if w == "\n" else self._direct(w[1:] if w[:1] == "\0" else " " + w)
-            elif len(got) and got[0] == line[0]:
-                got = got[1:]
-            parts.append(got)
-        self.flat = np.concatenate([self.flat, *parts])
-        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(p) for p in parts]))
+            alone = w[:1] == "\0"
+            body = w[1:] if alone else w
+            if _PLAIN.fullmatch(body) and not self.special(body):
+                parts = self.parts(body if alone else " " + body)
+                kinds.append(0)
+            else:
+                parts = ["\0" + (body if alone or w == "\n" else " " + body)] if body or not alone else []
+                kinds.append((3 if alone else 2) if not body else int(w != "\n" and bool(_ENTANGLED.search(body))))
+            flat += parts
+            n.append(len(parts))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.known.new:
+            self._learn_parts(self.known.new)
+            self.known.new.clear()
+        sizes = self.part_size[at]
+        ids = _gathered(self.part_flat, self.part_start[at], sizes)
+        sums = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
+        self.flat = np.concatenate([self.flat, ids])
+        self.first = np.append(self.first, self.first[-1] + sums)
+        self.kind = np.append(self.kind, np.array(kinds, np.int8))
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their offsets."""
         if len(self.place) > TABLE_PIECES:
             self.forget()
         words: list[str] = []
-        ends, whole = [], {}
+        ends = []
+        whole = {}
         for k, text in enumerate(texts):
-            if _ENTANGLED.search(text):
+            if "\0" in text:
                 whole[k] = self._direct(text)
             elif text:
                 words += ("\0" + text).replace("\n", " \n \0").split(" ")
             ends.append(len(words))
-        place, new = self.place, []
-        for w in set(words).difference(place):
-            place[w] = len(place)
-            new.append(w)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new.clear()
         n = self.first[at + 1] - self.first[at]
-        ids = self.flat[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        offs = np.concatenate([[0], np.concatenate([[0], np.cumsum(n)])[np.array(ends, np.int64)]])
+        ids = _gathered(self.flat, self.first[at], n)
+        edges = np.concatenate([[0], np.array(ends, np.int64)])
+        offs = np.concatenate([[0], np.cumsum(n)])[edges]
+        # Empty pieces are white space next to white space, but for those at the ends of a text.
+        kind = self.kind[at]
+        full = np.flatnonzero(np.diff(edges))
+        first, last = edges[:-1][full], edges[1:][full] - 1
+        kind[first] = np.where(kind[first] == 3, 0, kind[first])
+        kind[last] = np.where(kind[last] >= 2, 0, kind[last])
+        if kind.any():
+            for k in np.unique(np.searchsorted(edges, np.flatnonzero(kind), "right") - 1).tolist():
+                whole[k] = self._direct(texts[k])
         if whole:
             parts = [whole.get(k, ids[offs[k] : offs[k + 1]]) for k in range(len(texts))]
             ids = np.concatenate(parts)
@@ -111,6 +185,11 @@ class Tokenizer:
         return ids, offs
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def re_pair(
     ids: np.ndarray, offs: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, min_uses: int = MIN_USES
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -121,28 +200,39 @@ def re_pair(
     seq = ids.astype(np.uint32)
     offs = offs.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
+    # Pairs fit 32 bits as long as all symbols fit 16.
+    narrow = base + rounds * per_round <= 1 << 16
+    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+    stir, shift = (0x9E3779B1, 12) if narrow else (0x9E3779B97F4A7C15, 44)
     rules = np.zeros((0, 2), np.uint32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inside = np.ones(len(key), bool)
-        inner = offs[1:-1]
-        inside[inner[(inner > 0) & (inner < len(seq))] - 1] = False
+        key = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
         # Counts by hash leave few candidates, which are then counted exactly.
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
-        count = np.bincount(slot[inside], minlength=1 << 20)
+        slot = (key * kind(stir) >> kind(shift)).astype(np.intp)
+        inner = offs[1:-1]
+        slot[inner[(inner > 0) & (inner < len(seq))] - 1] = 1 << 20  # pairs across rows
+        count = np.bincount(slot, minlength=(1 << 20) + 1)
+        count[-1] = 0
         least = max(min_uses, int(np.partition(count, -per_round)[-per_round]))
-        spots = np.flatnonzero((count >= least)[slot] & inside)
+        spots = np.flatnonzero((count >= least)[slot])
         if not len(spots):
             break
-        pairs, which, uses = np.unique(key[spots], return_inverse=True, return_counts=True)
-        top = np.argsort(-uses, kind="stable")[:per_round]
-        top = np.sort(top[uses[top] >= min_uses])
-        number = np.full(len(pairs), -1, np.int64)
-        number[top] = np.arange(len(top))
-        chosen = number[which] >= 0
-        spots, which = spots[chosen], number[which[chosen]]
+        key, slot = key[spots], slot[spots]
+        ordered = np.sort(key)
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        pairs, uses = ordered[edges[:-1]], np.diff(edges)
+        top = np.argsort(uses, kind="stable")[::-1][:per_round]
+        pairs = pairs[top[uses[top] >= min_uses]]
+        # Of pairs with one hash the most frequent stays; the others wait for the next round.
+        pairs = pairs[::-1]
+        rule_of = np.full((1 << 20) + 1, -1, np.int32)
+        rule_of[(pairs * kind(stir) >> kind(shift)).astype(np.intp)] = np.arange(len(pairs))
+        which = rule_of[slot]
+        chosen = which >= 0
+        chosen[chosen] = pairs[which[chosen]] == key[chosen]
+        spots, which = spots[chosen], which[chosen]
         if not len(spots):
             break
         # Of pairs that overlap one another, every second one from the left is replaced.
@@ -150,10 +240,12 @@ def re_pair(
         run = np.maximum.accumulate(np.where(starts, np.arange(len(spots)), 0))
         free = (np.arange(len(spots)) - run) % 2 == 0
         spots, which = spots[free], which[free]
-        used, which = np.unique(which, return_inverse=True)
-        found = pairs[top[used]]
-        seq[spots] = (base + len(rules) + which).astype(np.uint32)
-        rules = np.vstack([rules, np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        used = np.bincount(which, minlength=len(pairs)) > 0
+        number = np.cumsum(used) - 1
+        found = pairs[used]
+        seq[spots] = (base + len(rules) + number[which]).astype(np.uint32)
+        low = found & kind((1 << half) - 1)
+        rules = np.vstack([rules, np.stack([found >> kind(half), low], 1).astype(np.uint32)])
         keep = np.ones(len(seq), bool)
         keep[spots + 1] = False
         offs = np.concatenate([[0], np.cumsum(keep)])[offs]
