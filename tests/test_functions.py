@@ -183,3 +183,11 @@ def test_smooth_matches_numpy(spark, w, n, seed):
     ext = np.pad(a, (before, after), mode="symmetric")
     want = [ext[k : k + w].mean() for k in range(n)]
     assert got == pytest.approx(want)
+
+
+def test_velocities_keep_their_sign(spark):
+    rows = spark.createDataFrame([("VRAD",), ("VRADH",)], "feature string")
+    args = F.lit(-4), F.lit(0.5), F.lit(1.0), F.col("feature")
+    plain, both = radar.unpack(*args), radar.unpack(*args, radar.ALL_VELOCITIES)
+    got = rows.select(plain.alias("plain"), both.alias("both")).collect()
+    assert [tuple(r) for r in got] == [(-1.0, -1.0), (None, -1.0)]
