@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pluvia.operators import grid, objects, ordering, samples, scoring, state, verify
+from pluvia.plans.samples import sample_table
 from pluvia.streaming import state as stream_state
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +125,18 @@ def test_samples_stay_in_their_location(spark, two_places):
     assert matched.where("forecast <> truth").count() == 0 and matched.count() == 8
 
 
+def test_chosen_locations_and_leads(spark, two_places):
+    both = sample_table(two_places, 1, 2, locations=["x", "y"])
+    one = sample_table(two_places, 1, 2, locations=["y"])
+    assert both.count() == 2 * one.count() == 24
+    assert {r.location for r in one.collect()} == {"y"}
+    led = sample_table(two_places, 1, 2, locations=["y"], lead_conditioned=True)
+    rows = [r for r in led.collect() if r.key_ts == at(1)]
+    assert sorted((r.lead, r.kind, r.lag, r["values"][0]) for r in rows) == [
+        (1, "x", 0, 11.0), (1, "y", 1, 12.0), (2, "x", 0, 11.0), (2, "y", 2, 13.0)
+    ]
+
+
 def test_one_issue_reads_one_date(spark, tmp_path, two_places):
     predictions = two_places.select(
         F.col("frame_ts").alias("issue_ts"), "values", F.to_date("frame_ts").alias("issue_date")
