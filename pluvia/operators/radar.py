@@ -55,6 +55,10 @@ def _median(values: Column) -> Column:
     return F.get(F.transform(ordered, middle), F.lit(0))
 
 
+def _struct_of(rays: DataFrame) -> str:
+    return f"struct<values:{rays.schema['values'].dataType.simpleString()}>"
+
+
 def merge_repeats(rays: DataFrame, by: list[str]) -> DataFrame:
     """One ray per sector.
 
@@ -62,27 +66,29 @@ def merge_repeats(rays: DataFrame, by: list[str]) -> DataFrame:
     that are not all zero and of the first ray in the nearest occupied sector on
     either side. All medians use the rays as measured.
     """
-    sectors = rays.groupBy(*by, "ray_bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ray_idx").alias("_first")
-    )
+    sector = Window.partitionBy(*by, "ray_bin")
     order = Window.partitionBy(*by).orderBy("ray_bin")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sectors = sectors.withColumns(
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    # A sweep is placed once; all windows and the grouping work on that.
+    placed = rays.repartition(*by).select(
+        *by, "ray_bin", "values", F.count(F.lit(1)).over(sector).alias("_n"),
+        (F.row_number().over(sector.orderBy("ray_idx")) == 1).alias("_leads"),
+    )
+    leader = F.when(F.col("_leads"), F.struct("values"))
+    last = lambda lo, hi: F.last(leader, ignorenulls=True).over(order.rangeBetween(lo, hi))
+    first = lambda lo, hi: F.first(leader, ignorenulls=True).over(order.rangeBetween(lo, hi))
+    placed = placed.withColumns(
         {
-            "_before": F.coalesce(F.lag("_first").over(order), F.last("_first").over(whole)),
-            "_after": F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)),
+            "_before": F.coalesce(last(start, -1), last(start, end)),
+            "_after": F.coalesce(first(1, end), first(start, end)),
         }
     )
-    own = rays.join(sectors.select(*by, "ray_bin", "_n"), [*by, "ray_bin"], "inner")
-    own = own.where((F.col("_n") == 1) | F.exists("values", lambda v: v != 0))
-    near = sectors.where(F.col("_n") > 1).select(
-        *by, "ray_bin", "_n", F.explode(F.array("_before", "_after")).alias("ray_idx")
-    )
-    near = near.join(rays.select(*by, "ray_idx", "values"), [*by, "ray_idx"], "inner")
-    cols = [*by, "ray_bin", "_n", "values"]
-    grouped = own.select(*cols).unionByName(near.select(*cols)).groupBy(*by, "ray_bin").agg(
-        F.collect_list("values").alias("_v")
-    )
+    several = F.col("_n") > 1
+    own = F.when(~several | F.exists("values", lambda v: v != 0), F.struct("values"))
+    near = F.when(several & F.col("_leads"), F.array("_before", "_after"))
+    all_ = F.concat(F.array(own), F.coalesce(near, F.array().cast(f"array<{_struct_of(rays)}>")))
+    kept = placed.select(*by, "ray_bin", F.explode(all_).alias("_e")).where("_e is not null")
+    grouped = kept.groupBy(*by, "ray_bin").agg(F.collect_list("_e.values").alias("_v"))
     size = F.array_max(F.transform("_v", lambda v: F.size(v)))
     merged = F.transform(
         F.sequence(F.lit(0), size - 1),
