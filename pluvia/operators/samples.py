@@ -330,15 +330,31 @@ def rolling_weights(
     sums = sent.groupBy((F.col("_i") + F.col("_off")).alias(idx)).agg(
         F.sum("weight").alias("_s"),
         F.count(F.lit(1)).alias("_n"),
-        F.count(F.when(F.col("_off") == 0, 1)).alias("_own"),
+        F.min(F.when(F.col("_off") == 0, F.col("weight"))).alias("_own"),
     )
-    low = weights.agg(F.min("weight")).scalar()
-    filled = sums.where(F.col("_own") > 0).select(
-        idx, (F.col("_s") + (F.lit(span) - F.col("_n")) * low).alias("sum_weight")
+    known = sums.where(F.col("_own").isNotNull())
+    # All that the shift needs, by the number of positions inside the dataset: few rows.
+    groups = known.groupBy("_n").agg(
+        F.min("_s").alias("least"), F.sum("_s").alias("sum"), F.count(F.lit(1)).alias("count"),
+        F.min("_own").alias("own"),
+    )
+    one = groups.agg(
+        F.collect_list(F.struct("_n", "least", "sum", "count")).alias("g"), F.min("own").alias("low")
+    )
+    low = F.col("low")
+    outside = lambda g: (F.lit(span) - g["_n"]) * low
+    least = F.array_min(F.transform("g", lambda g: g["least"] + outside(g)))
+    lift = F.greatest(F.lit(float(min_sum)), -least)
+    total = F.aggregate(
+        "g", F.lit(0.0), lambda t, g: t + g["sum"] + g["count"] * outside(g)
+    )
+    count = F.aggregate("g", F.lit(0).cast("long"), lambda t, g: t + g["count"])
+    stats = one.select(
+        F.struct(low.alias("low"), lift.alias("lift"), (total + count * lift).alias("total"))
+    ).scalar()
+    filled = known.select(
+        idx, (F.col("_s") + (F.lit(span) - F.col("_n")) * stats["low"]).alias("sum_weight")
     )
-    lift = F.greatest(F.lit(float(min_sum)), -F.min("sum_weight"))
-    total = F.sum("sum_weight") + F.count(F.lit(1)) * lift
-    stats = filled.agg(F.struct(lift.alias("lift"), total.alias("total"))).scalar()
     return filled.withColumn(
         "weight", (F.col("sum_weight") + stats["lift"]) / stats["total"]
     )
