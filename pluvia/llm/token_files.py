@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import query, stored, table
-from pluvia.llm.textarrays import bounded_batches
+from pluvia.llm.textarrays import bounded_batches, pieces
 
 END_ID = 2
 SHARD_TOKENS = 4_000_000
@@ -37,6 +37,10 @@ RULES_PER_ROUND = 2500
 MIN_USES = 8
 #: Distinct pieces that a task remembers before it starts afresh.
 TABLE_PIECES = 400_000
+#: Parts that the library encodes in one call, and places that Re-Pair hashes in one step; both
+#: bound the memory of what is needed for a moment only.
+PARTS_AT_ONCE = 20_000
+PLACES_AT_ONCE = 1 << 20
 MAGIC = b"RPF1"
 #: White space (of any alphabet) at an end of a piece or next to other white space.
 _ENTANGLED = re.compile(r"^\s|\s\s|\s$")
@@ -102,24 +106,27 @@ class Tokenizer:
         return np.array(self.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn_parts(self, parts: list[str]) -> None:
-        """Ids of new parts, marks between them, in one call of the library's model. Parts that
-        begin with a zero go through the whole tokenizer."""
+        """Ids of new parts, many in one call of the library's model with marks between them.
+        Parts that begin with a zero go through the whole tokenizer."""
         plain = [p for p in parts if p[0] != "\0"]
-        text = self.mark.join(p.encode().decode("latin-1").translate(self.letters) for p in plain)
-        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        marks = ids == self.mark_id
-        ends = np.append(np.flatnonzero(marks), len(ids))
-        sizes = np.diff(ends, prepend=-1) - 1 if plain else np.zeros(0, np.int64)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(plain), PARTS_AT_ONCE):
+            some = plain[k : k + PARTS_AT_ONCE]
+            text = self.mark.join(p.encode().decode("latin-1").translate(self.letters) for p in some)
+            got = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = got == self.mark_id
+            sizes.append(np.diff(np.append(np.flatnonzero(marks), len(got)), prepend=-1) - 1)
+            ids.append(got[~marks])
         direct = [self._direct(p[1:]) for p in parts if p[0] == "\0"]
         # Plain parts first, then the others; each has its own start.
         is_plain = np.fromiter((p[0] != "\0" for p in parts), bool, len(parts))
         n = np.empty(len(parts), np.int64)
-        n[is_plain] = sizes
+        n[is_plain] = np.concatenate(sizes)
         n[~is_plain] = [len(d) for d in direct]
         order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
         start = np.empty(len(parts), np.int64)
         start[order] = len(self.part_flat) + np.cumsum(n[order]) - n[order]
-        self.part_flat = np.concatenate([self.part_flat, ids[~marks], *direct])
+        self.part_flat = np.concatenate([self.part_flat, *ids, *direct])
         self.part_start, self.part_size = np.append(self.part_start, start), np.append(self.part_size, n)
 
     def _learn(self, new: list[str]) -> None:
@@ -209,17 +216,29 @@ def re_pair(
         if len(seq) < 2:
             break
         key = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
-        # Counts by hash leave few candidates, which are then counted exactly.
-        slot = (key * kind(stir) >> kind(shift)).astype(np.intp)
+        # No pair goes across rows: its second symbol is the first of a row.
         inner = offs[1:-1]
-        slot[inner[(inner > 0) & (inner < len(seq))] - 1] = 1 << 20  # pairs across rows
-        count = np.bincount(slot, minlength=(1 << 20) + 1)
+        across = np.zeros(len(key), bool)
+        across[inner[(inner > 0) & (inner < len(seq))] - 1] = True
+
+        def slots(lo: int) -> np.ndarray:
+            """Hash of the pairs from ``lo`` on, the last one for those across rows."""
+            some = (key[lo : lo + PLACES_AT_ONCE] * kind(stir) >> kind(shift)).astype(np.intp)
+            some[across[lo : lo + PLACES_AT_ONCE]] = 1 << 20
+            return some
+
+        # Counts by hash leave few candidates, which are then counted exactly.
+        count = np.zeros((1 << 20) + 1, np.int64)
+        steps = range(0, len(key), PLACES_AT_ONCE)
+        for lo in steps:
+            count += np.bincount(slots(lo), minlength=len(count))
         count[-1] = 0
         least = max(min_uses, int(np.partition(count, -per_round)[-per_round]))
-        spots = np.flatnonzero((count >= least)[slot])
+        frequent = count >= least
+        spots = np.concatenate([(np.flatnonzero(frequent[slots(lo)]) + lo).astype(np.int32) for lo in steps])
         if not len(spots):
             break
-        key, slot = key[spots], slot[spots]
+        key = key[spots]
         ordered = np.sort(key)
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         pairs, uses = ordered[edges[:-1]], np.diff(edges)
@@ -229,21 +248,22 @@ def re_pair(
         pairs = pairs[::-1]
         rule_of = np.full((1 << 20) + 1, -1, np.int32)
         rule_of[(pairs * kind(stir) >> kind(shift)).astype(np.intp)] = np.arange(len(pairs))
-        which = rule_of[slot]
+        which = rule_of[(key * kind(stir) >> kind(shift)).astype(np.int32)]
         chosen = which >= 0
         chosen[chosen] = pairs[which[chosen]] == key[chosen]
         spots, which = spots[chosen], which[chosen]
+        del key, ordered, edges, across
         if not len(spots):
             break
         # Of pairs that overlap one another, every second one from the left is replaced.
         starts = np.concatenate([[True], np.diff(spots) != 1])
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(spots)), 0))
-        free = (np.arange(len(spots)) - run) % 2 == 0
+        place = np.arange(len(spots), dtype=np.int32)
+        free = (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0
         spots, which = spots[free], which[free]
         used = np.bincount(which, minlength=len(pairs)) > 0
         number = np.cumsum(used) - 1
         found = pairs[used]
-        seq[spots] = (base + len(rules) + number[which]).astype(np.uint32)
+        seq[spots] = (base + len(rules) + number).astype(np.uint32)[which]
         low = found & kind((1 << half) - 1)
         rules = np.vstack([rules, np.stack([found >> kind(half), low], 1).astype(np.uint32)])
         keep = np.ones(len(seq), bool)
@@ -335,6 +355,7 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
         def flush() -> pa.RecordBatch:
             nonlocal nth, total
             ids, n = np.concatenate(held), np.concatenate(sizes)
+            held.clear()
             doc_ids = pa.concat_arrays(keys)
             row = [
                 part, nth, len(n), len(ids), doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
@@ -342,27 +363,19 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
                 pack_shard(ids, np.concatenate([[0], np.cumsum(n)])),
             ]
             nth, total = nth + 1, 0
-            keys.clear(), held.clear(), sizes.clear()
+            keys.clear(), sizes.clear()
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             names = ["part", "nth", "n_docs", "n_tokens", "doc_ids", "null_ids", "block"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            at = 0
-            texts = batch.column("text").to_pylist()
-            while at < len(texts):
-                # Some megabytes at a time, so that a shard does not outgrow its bound by much.
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < min(2_000_000, shard_tokens)):
-                    chars += len(texts[upto] or "")
-                    upto += 1
-                ids, offs = tokenizer.encode_all([t or "" for t in texts[at:upto]])
-                n = np.diff(offs)
+            # Some megabytes at a time, so that a shard does not outgrow its bound by much.
+            for rows, _, _ in pieces([batch], limit=min(2_000_000, shard_tokens)):
+                ids, offs = tokenizer.encode_all([t or "" for t in rows.column("text").to_pylist()])
                 held.append(np.insert(ids, offs[1:], end_id))
-                sizes.append(n + 1)
-                keys.append(batch.column("doc_id").slice(at, upto - at))
+                sizes.append(np.diff(offs) + 1)
+                keys.append(rows.column("doc_id"))
                 total += len(held[-1])
-                at = upto
                 if total >= shard_tokens:
                     yield flush()
         if total:
