@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,8 @@ class Tokenizer:
 
         whole = tokenizers.Tokenizer.from_file(path)
         self.encode = whole.encode
-        special = [re.escape(str(t.content)) for t in whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or "(?!)").search
+        # Texts that hold one of these go through the whole tokenizer.
+        self.special = ["\0", *(str(t.content) for t in whole.get_added_tokens_decoder().values())]
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.mark = self.letters[10]  # stands for a line feed, which plain pieces do not hold
@@ -136,7 +137,7 @@ class Tokenizer:
         for w in new:
             alone = w[:1] == "\0"
             body = w[1:] if alone else w
-            if _PLAIN.fullmatch(body) and not self.special(body):
+            if _PLAIN.fullmatch(body):
                 parts = self.parts(body if alone else " " + body)
                 kinds.append(0)
             else:
@@ -144,7 +145,7 @@ class Tokenizer:
                 kinds.append((3 if alone else 2) if not body else int(w != "\n" and bool(_ENTANGLED.search(body))))
             flat += parts
             n.append(len(parts))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        at = _places(self.known, flat)
         if self.known.new:
             self._learn_parts(self.known.new)
             self.known.new.clear()
@@ -155,27 +156,30 @@ class Tokenizer:
         self.first = np.append(self.first, self.first[-1] + sums)
         self.kind = np.append(self.kind, np.array(kinds, np.int8))
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their offsets."""
+    def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end id behind each, one after the other, and their offsets."""
         if len(self.place) > TABLE_PIECES:
             self.forget()
         words: list[str] = []
         ends = []
         whole = {}
         for k, text in enumerate(texts):
-            if "\0" in text:
+            if any(mark in text for mark in self.special):
                 whole[k] = self._direct(text)
             elif text:
                 words += ("\0" + text).replace("\n", " \n \0").split(" ")
             ends.append(len(words))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        at = _places(self.place, words)
         if self.place.new:
             self._learn(self.place.new)
             self.place.new.clear()
         n = self.first[at + 1] - self.first[at]
-        ids = _gathered(self.flat, self.first[at], n)
         edges = np.concatenate([[0], np.array(ends, np.int64)])
-        offs = np.concatenate([[0], np.cumsum(n)])[edges]
+        # The end of a text is one more stretch, the last of the table.
+        start = np.insert(self.first[at], edges[1:], len(self.flat))
+        n = np.insert(n, edges[1:], 1)
+        ids = _gathered(np.append(self.flat, np.uint32(end_id)), start, n)
+        offs = np.concatenate([[0], np.cumsum(n)])[edges + np.arange(len(edges))]
         # Empty pieces are white space next to white space, but for those at the ends of a text.
         kind = self.kind[at]
         full = np.flatnonzero(np.diff(edges))
@@ -186,15 +190,27 @@ class Tokenizer:
             for k in np.unique(np.searchsorted(edges, np.flatnonzero(kind), "right") - 1).tolist():
                 whole[k] = self._direct(texts[k])
         if whole:
-            parts = [whole.get(k, ids[offs[k] : offs[k + 1]]) for k in range(len(texts))]
+            own = {k: np.append(v, np.uint32(end_id)) for k, v in whole.items()}
+            parts = [own.get(k, ids[offs[k] : offs[k + 1]]) for k in range(len(texts))]
             ids = np.concatenate(parts)
             offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, offs
 
 
+def _places(table: _Places, names: list[str]) -> np.ndarray:
+    if len(names) < 2:
+        return np.array([table[n] for n in names], np.int64)
+    return np.fromiter(itemgetter(*names)(table), np.int64, len(names))
+
+
 def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Stretches of ``flat``, one after the other."""
-    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def re_pair(
@@ -274,23 +290,28 @@ def re_pair(
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that every symbol from 0 on stands for, one after the other, and their offsets."""
-    sizes = np.ones(base + len(rules), np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        sizes[base + r] = sizes[a] + sizes[b]
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.zeros(offs[-1], np.uint32)
-    flat[:base] = np.arange(base)
-    for r, (a, b) in enumerate(rules.tolist()):
-        k = offs[base + r]
-        flat[k : k + sizes[a]] = flat[offs[a] : offs[a + 1]]
-        flat[k + sizes[a] : offs[base + r + 1]] = flat[offs[b] : offs[b + 1]]
-    return flat, offs
+    """Ids that every symbol from 0 on stands for, one after the other, and their offsets.
+
+    Rules follow their symbols, so stretches of rules that name only earlier symbols are
+    expanded together: about one stretch per round.
+    """
+    sizes = np.ones(base, np.int64)
+    flat = np.arange(base, dtype=np.uint32)
+    highest = rules.max(1) if len(rules) else np.zeros(0, np.uint32)
+    at = 0
+    while at < len(rules):
+        later = np.flatnonzero(highest[at:] >= len(sizes))
+        upto = at + int(later[0]) if len(later) else len(rules)
+        pairs = rules[at:upto].ravel().astype(np.int64)
+        offs = np.cumsum(sizes) - sizes
+        flat = np.concatenate([flat, _gathered(flat, offs[pairs], sizes[pairs])])
+        sizes = np.append(sizes, sizes[pairs].reshape(-1, 2).sum(1))
+        at = upto
+    return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def expand(seq: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    n = offs[seq + 1] - offs[seq]
-    return flat[np.repeat(offs[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return _gathered(flat, offs[seq], offs[seq + 1] - offs[seq])
 
 
 def pack_shard(ids: np.ndarray, offs: np.ndarray) -> bytes:
@@ -371,9 +392,9 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
         for batch in batches:
             # Some megabytes at a time, so that a shard does not outgrow its bound by much.
             for rows, _, _ in pieces([batch], limit=min(2_000_000, shard_tokens)):
-                ids, offs = tokenizer.encode_all([t or "" for t in rows.column("text").to_pylist()])
-                held.append(np.insert(ids, offs[1:], end_id))
-                sizes.append(np.diff(offs) + 1)
+                ids, offs = tokenizer.encode_all([t or "" for t in rows.column("text").to_pylist()], end_id)
+                held.append(ids)
+                sizes.append(np.diff(offs))
                 keys.append(rows.column("doc_id"))
                 total += len(held[-1])
                 if total >= shard_tokens:

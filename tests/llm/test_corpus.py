@@ -350,9 +350,9 @@ def test_pieces_encode_like_whole_texts(tokenizer):
     ]
     t = token_files.Tokenizer(token_files.default_path())
     for _ in range(2):  # the second time from the table
-        ids, offs = t.encode_all(texts)
+        ids, offs = t.encode_all(texts, 9)
         for k, text in enumerate(texts):
-            assert ids[offs[k] : offs[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+            assert ids[offs[k] : offs[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 9], text
 
 
 @pytest.mark.parametrize("seed", range(6))
