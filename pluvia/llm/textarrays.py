@@ -1,6 +1,6 @@
 """Texts as byte arrays inside tasks: words, hashes and look-ups without a loop per word.
 
-Functions here get Arrow batches from ``mapInArrow`` and work on pieces of a few megabytes, so
+Functions here get Arrow batches from ``mapInArrow`` and work on pieces of a megabyte, so
 a task's memory depends neither on its number of rows nor on the size of a batch; a single
 longer text is one piece.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 BATCH_BYTES = 16 << 20
 
 #: The six white-space characters of the word pattern.
