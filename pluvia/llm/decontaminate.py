@@ -4,7 +4,9 @@ An item of ``m`` characters that occurs in a text with at most ``k`` edits share
 ``m + 1 - q (k + 1)`` q-grams with it, and these lie on at most ``k + 1`` neighbouring
 diagonals. So the shared q-grams are counted in diagonal bands, ``2 (k + 1)`` wide and
 overlapping by half: one band holds all that a match shares. Bands that reach the bound are
-verified by banded alignment of the whole item.
+verified by banded alignment of the whole item. The bound is positive from 20 characters on with
+``q = 10``, and for the shorter items that may have an edit with ``q = 8``. Items too short for
+an edit are looked up as whole words by their hash, then compared.
 
 The items travel with the query in blocks of at most ``BLOCK_CHARS`` characters (one longer item
 is a block of its own); every block is one pass over the texts, and nothing is shuffled. A
@@ -25,10 +27,13 @@ from pluvia.llm.charlm import letter_stream
 from pluvia.llm.common import query, table
 from pluvia.llm.textarrays import SortedHashes, bounded_batches, mixed, pieces, raw_bytes
 
-Q = 10
+#: Length of the q-grams of items of at least so many characters.
+Q_OF = {20: 10, 17: 8}
 EDIT_RATE = 0.06
-#: Shorter items (letters, digits, single spaces) prove nothing and are left out.
-MIN_ITEM_CHARS = 30
+#: Items without a letter or digit have nothing to find.
+MIN_ITEM_CHARS = 1
+#: Scripts written without spaces: a word may begin and end anywhere (first and last code point).
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 BLOCK_CHARS = 4_000_000
 MARK_BITS = 22
 
@@ -38,29 +43,72 @@ def folded(stream: np.ndarray) -> np.ndarray:
     return (stream ^ (stream >> 7)).astype(np.uint8)
 
 
-def qgram_keys(stream: np.ndarray) -> np.ndarray:
-    """64-bit key of the ``Q`` characters from each position on."""
-    n = len(stream) - Q + 1
+def qgram_keys(stream: np.ndarray, q: int) -> np.ndarray:
+    """64-bit key of the ``q`` characters (8 to 16) from each position on."""
+    n = len(stream) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     raw = np.zeros(len(stream) + 8, np.uint8)
     raw[: len(stream)] = folded(stream)
     word = np.ndarray((len(stream),), "<u8", raw, strides=(1,))
     first = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    return first ^ mixed(word[Q - 8 : Q - 8 + n])
+    return first ^ mixed(word[q - 8 : q - 8 + n])
+
+
+def span_keys(stream: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """64-bit key of the ``size`` characters from each start on."""
+    h = np.full(len(starts), size, np.uint64)
+    for k in range(size):
+        h = mixed(h ^ stream[starts + k])
+    return h
+
+
+def unspaced(stream: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(stream), bool)
+    if len(stream) and stream.max() >= UNSPACED[0][0]:
+        for a, b in UNSPACED:
+            out |= (stream >= a) & (stream <= b)
+    return out
+
+
+class Index:
+    """Where items have their keys: ``posts`` (item << 32 | offset) in the order of the keys."""
+
+    def __init__(self, size: int, keys: list[np.ndarray], items: list[int]):
+        self.size = size  # characters of a key
+        posts = [np.int64(k) << 32 | np.arange(len(x), dtype=np.int64) for k, x in zip(items, keys, strict=True)]
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        distinct, first = np.unique(flat[order], return_index=True)
+        self.keys = SortedHashes(distinct)
+        self.first = np.append(first, len(flat))  # of each key, its place in ``posts``
+        self.posts = np.concatenate(posts)[order]
+        self.marks = np.zeros(1 << MARK_BITS, bool)  # by leading bits of a key: may be in the index
+        self.marks[flat >> np.uint64(64 - MARK_BITS)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that the index holds, and their places in it."""
+        spots = np.flatnonzero(self.marks[keys >> np.uint64(64 - MARK_BITS)])
+        place = self.keys.find(keys[spots])
+        return spots[place >= 0], place[place >= 0]
+
+    def posts_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All posts of the keys at ``place``, and which of them each belongs to."""
+        n = self.first[place + 1] - self.first[place]
+        each = np.repeat(np.arange(len(place)), n)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        return self.posts[self.first[place[each]] + nth], each
 
 
 @dataclass
 class Block:
-    """Items of a block and the index of their q-grams."""
+    """Items of a block, the indexes of their q-grams and those of the short items by length."""
 
     ids: np.ndarray
     text: np.ndarray  # characters of all items
     offs: np.ndarray
-    keys: SortedHashes
-    first: np.ndarray  # of each key, its place in ``posts``
-    posts: np.ndarray  # item << 32 | offset
-    marks: np.ndarray  # by leading bits of a key: may be in the index
+    qgrams: list[Index]
+    short: list[Index]
 
     @property
     def sizes(self) -> np.ndarray:
@@ -80,36 +128,56 @@ def make_block(ids: list[int], texts: list[str]) -> Block:
     parts = [p[1:] if len(p) and p[0] == 0x20 else p for p in parts]
     kept = [k for k, p in enumerate(parts) if len(p) >= MIN_ITEM_CHARS]
     parts = [parts[k] for k in kept]
-    keys = [mixed(qgram_keys(p)) for p in parts]
-    posts = [np.int64(k) << 32 | np.arange(len(x), dtype=np.int64) for k, x in enumerate(keys)]
-    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
-    order = np.argsort(flat, kind="stable")
-    distinct, first = np.unique(flat[order], return_index=True)
-    marks = np.zeros(1 << MARK_BITS, bool)
-    marks[flat >> np.uint64(64 - MARK_BITS)] = True
+    groups: dict[tuple[bool, int], list[int]] = {}
+    for k, p in enumerate(parts):
+        q = next((q for least, q in Q_OF.items() if len(p) >= least), 0)
+        groups.setdefault((q > 0, q or len(p)), []).append(k)
+    qgrams, short = [], []
+    for (long, size), items in sorted(groups.items()):
+        if long:
+            qgrams.append(Index(size, [mixed(qgram_keys(parts[k], size)) for k in items], items))
+        else:
+            short.append(Index(size, [span_keys(parts[k], np.zeros(1, np.int64), size) for k in items], items))
     return Block(
         np.array([ids[k] for k in kept], np.int64), np.concatenate([np.zeros(0, np.uint32), *parts]),
-        np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), SortedHashes(distinct),
-        np.append(first, len(flat)), np.concatenate([np.zeros(0, np.int64), *posts])[order], marks,
+        np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), qgrams, short,
     )
 
 
-def _bands(stream: np.ndarray, at: np.ndarray, block: Block) -> np.ndarray:
+def _whole_words(stream: np.ndarray, at: np.ndarray, block: Block) -> np.ndarray:
+    """Rows ``row, item`` of the short items that stand in a row as whole words."""
+    found = [np.zeros((0, 2), np.int64)]
+    free = unspaced(stream)
+    gap = stream == 0x20
+    # Between the character before and this one a word may begin or end.
+    edge = np.ones(len(stream) + 1, bool)
+    edge[1:-1] = gap[:-1] | gap[1:] | free[:-1] | free[1:]
+    edge[at] = True
+    begin = np.flatnonzero(edge[:-1] & ~gap)
+    row = np.searchsorted(at, begin, "right") - 1
+    for index in block.short:
+        m = index.size
+        fits = np.flatnonzero(begin + m <= at[row + 1])
+        fits = fits[edge[begin[fits] + m]]
+        spots, place = index.find(span_keys(stream, begin[fits], m))
+        posts, each = index.posts_of(place)
+        item, where = posts >> 32, fits[spots[each]]
+        lanes = np.arange(m)
+        same = (stream[begin[where][:, None] + lanes] == block.text[block.offs[item][:, None] + lanes]).all(1)
+        found.append(np.unique(np.stack([row[where], item], 1)[same], axis=0))
+    return np.concatenate(found)
+
+
+def _bands(stream: np.ndarray, at: np.ndarray, block: Block, index: Index) -> np.ndarray:
     """Rows ``row, item, band`` whose shared q-grams reach the bound."""
-    none = np.zeros((0, 3), np.int64)
-    keys = mixed(qgram_keys(stream))
-    spots = np.flatnonzero(block.marks[keys >> np.uint64(64 - MARK_BITS)])
-    place = block.keys.find(keys[spots])
-    spots, place = spots[place >= 0], place[place >= 0]
+    q = index.size
+    spots, place = index.find(mixed(qgram_keys(stream, q)))
     row = np.searchsorted(at, spots, "right") - 1
-    whole = spots + Q <= at[row + 1]
+    whole = spots + q <= at[row + 1]
     spots, place, row = spots[whole], place[whole], row[whole]
     if not len(spots):
-        return none
-    n = block.first[place + 1] - block.first[place]
-    each = np.repeat(np.arange(len(spots)), n)
-    nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    post = block.posts[block.first[place[each]] + nth]
+        return np.zeros((0, 3), np.int64)
+    post, each = index.posts_of(place)
     item, row = post >> 32, row[each]
     k = edits_allowed(block.sizes[item])
     # Diagonals are counted from one item length before the row.
@@ -122,7 +190,7 @@ def _bands(stream: np.ndarray, at: np.ndarray, block: Block) -> np.ndarray:
     count = np.diff(np.append(new, triples.shape[1]))
     found = triples[:, new].T
     m = block.sizes[found[:, 1]]
-    return found[count >= np.maximum(1, m + 1 - Q * (edits_allowed(m) + 1))]
+    return found[count >= np.maximum(1, m + 1 - q * (edits_allowed(m) + 1))]
 
 
 def banded_edits(stream: np.ndarray, at: np.ndarray, block: Block, bands: np.ndarray) -> np.ndarray:
@@ -163,8 +231,11 @@ def find_items(data: np.ndarray, offs: np.ndarray, block: Block) -> list[tuple[i
     if not len(block.ids):
         return []
     stream, at, _ = letter_stream(data, offs, 0, digits=True)
-    bands = _bands(stream, at, block)
     out: dict[tuple[int, int], int] = {}
+    if block.short:
+        for row, item in _whole_words(stream, at, block).tolist():
+            out[row, int(block.ids[item])] = 0
+    bands = np.concatenate([np.zeros((0, 3), np.int64), *[_bands(stream, at, block, x) for x in block.qgrams]])
     for part in range(0, len(bands), 4096):
         some = bands[part : part + 4096]
         edits = banded_edits(stream, at, block, some)
@@ -193,7 +264,8 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[Blo
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits``: every item that a row of ``docs`` holds, the fewest edits.
 
-    Case, punctuation and white space do not count. Null and empty texts hold nothing; repeated
+    Case, punctuation and white space do not count. An item counts where all of it occurs, within
+    its edits; items of up to 16 characters, which have none, only as whole words. Null and empty texts hold nothing; repeated
     rows are reported each. Without items, or on an empty table, the result is empty. Other
     columns are left out.
     """

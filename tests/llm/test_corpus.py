@@ -316,6 +316,26 @@ def test_decontamination_of_odd_tables(spark, docs, empty, clashing):
     assert table(decontaminate.keep_clean(docs, none)) == table(docs)
 
 
+def test_short_items(spark):
+    items = {
+        1: "What is a cat?", 2: "今天天气怎么样", 3: "7", 4: "how are you all doing", 5: "which way is it", 6: "near the old mill",
+        7: "over the old mill road today", 8: "What is a CAT", 9: "?!", 10: "の",
+    }
+    rows = {
+        1: "So: what is a cat", 2: "what is a cathedral", 3: "somewhat is a cat", 4: "问题今天天气怎么样。", 5: "room 7, floor 17",
+        6: "x how are you al doing y", 7: "which way is itt", 8: "which way is it", 9: "near thee old mill", 10: "over the old mil road today",
+        11: "", 12: None, 13: "near a nold mill", 14: "猫のcat", 15: "7",
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {
+        (1, 1, 0), (1, 8, 0), (4, 2, 0), (5, 3, 0), (15, 3, 0), (6, 4, 1), (8, 5, 0), (9, 6, 1), (10, 7, 1), (14, 10, 0),
+    }
+    clean = decontaminate.keep_clean(docs, bench).collect()
+    assert {r.doc_id for r in clean} == {2, 3, 7, 11, 12, 13}
+
+
 # --- token files -----------------------------------------------------------------------------
 
 
