@@ -4,8 +4,10 @@ One model per language, fitted on a sample of about ``SAMPLE_ROWS`` rows per lan
 a hash of the id; Spark adds up the counts. All languages share sorted hash arrays of n-grams
 and contexts, with one column of log probabilities per language, so a position is looked up
 once. The language with the lowest cross-entropy per character is chosen. Its cross-entropy is
-compared with that of sampled rows of the language which the counts did not see: a text far
-above them is rejected. Scoring reads each text once and shuffles nothing.
+compared with that of sampled rows of the language which the counts did not see, and of their
+beginnings, at the same length: a text far above their median is rejected. Medians decide both
+the middle and the spread, so that junk among these rows does not. Scoring reads each text once
+and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -32,8 +34,15 @@ from pluvia.llm.textarrays import PIECE_BYTES, bounded_batches, mixed, pieces
 ORDER = 4
 SAMPLE_ROWS = 400
 CALIBRATION_SHARE = 4  # one sampled row in so many calibrates
-#: A text is rejected so many standard deviations above the texts of its language.
-REJECT_AT = 12.0
+#: A text is rejected so many robust standard deviations (by the median absolute deviation) above
+#: texts of its language and length.
+REJECT_AT = 8.0
+#: Least spread, in bits per character.
+LEAST_SPREAD = 0.05
+#: Characters from which a length class begins, a factor of two apart.
+LENGTHS = 2 ** np.arange(2, 14)
+#: Texts of a length class that a language needs for a limit of its own.
+LEAST_TEXTS = 8
 UNDETERMINED = "und"
 
 
@@ -45,7 +54,7 @@ class Model:
     grams: list = field(default_factory=list)  # per order: sorted hashes, log2 probabilities
     contexts: list = field(default_factory=list)  # per order: sorted hashes, log2 weights
     floor: float = 0.0
-    limits: np.ndarray | None = None  # per language: mean, spread of texts, spread of characters
+    limits: np.ndarray | None = None  # per language and length class: most bits per character
     sharpness: float = 10.0
 
     def cross_entropies(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +93,14 @@ class Model:
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
         share = 1 / np.exp2(-self.sharpness * (h - low[:, None])).sum(1)
-        mean, spread, per_char = self.limits[best].T
-        above = low - mean > REJECT_AT * (spread + per_char / np.sqrt(np.maximum(n, 1)))
+        above = low > self.limits[best, length_class(n)]
         return np.where(has, best, -1), np.where(has, share, 0.0), low, above | ~has
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.maximum(np.searchsorted(LENGTHS, n, "right") - 1, 0)
+
+
 def _piece_limit(n_languages: int) -> int:
     return max(1, PIECE_BYTES * 8 // max(8, n_languages))
 
@@ -98,27 +110,56 @@ def _entropy_batches(model: Model):
         for rows, data, offs in pieces(batches, limit=_piece_limit(len(model.languages))):
             h, n, _ = model.cross_entropies(data, offs)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("cls"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n.astype(np.int64))],
-                ["cls", "h", "n"],
+                [rows.column("cls"), rows.column("whole"), pa.array(h.tolist(), pa.list_(pa.float64())),
+                 pa.array(n.astype(np.int64))], ["cls", "whole", "h", "n"],
             )
 
     return run
 
 
-def _calibrated(model: Model, cls: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
+def robust_limit(h: np.ndarray) -> float:
+    """``REJECT_AT`` spreads above the median; less than half of ``h`` may be anything."""
+    middle = np.median(h)
+    return float(middle + REJECT_AT * max(1.4826 * np.median(np.abs(h - middle)), LEAST_SPREAD))
+
+
+def _limits(model: Model, cls: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Limits from the bits per character of unseen texts under their own language.
+
+    Where a language has too few texts of a length, its next shorter class counts for them, else
+    the next longer. Languages that have too few of every length share the limits of all their
+    texts together, or the widest of the others; without any text the cost of characters drawn
+    evenly from the alphabet is the limit.
+    """
+    wide, kinds = len(model.languages), length_class(n)
+
+    def of(chosen: np.ndarray) -> np.ndarray:
+        out = np.full(len(LENGTHS), np.nan)
+        for k in range(len(LENGTHS)):
+            here = own[chosen & (kinds == k)]
+            if len(here) >= LEAST_TEXTS:
+                out[k] = robust_limit(here)
+        known = np.flatnonzero(~np.isnan(out))
+        if len(known):
+            out = out[known[np.maximum(np.searchsorted(known, np.arange(len(out)), "right") - 1, 0)]]
+        return out
+
+    limits = np.array([of(cls == c) for c in range(wide)])
+    few = np.isnan(limits[:, 0])
+    if few.any():
+        shared = of(np.isin(cls, np.flatnonzero(few)))
+        if np.isnan(shared[0]):
+            shared = limits[~few].max(0) if not few.all() else np.full(len(LENGTHS), -model.floor)
+        limits[few] = shared
+    return limits
+
+
+def _calibrated(model: Model, cls: np.ndarray, whole: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
     """Sets the limits of every language and the sharpness of the shares."""
-    rows = []
-    for c in range(len(model.languages)):
-        own, chars = h[cls == c, c] if len(h) else np.zeros(0), n[cls == c]
-        if len(own) < 8:
-            rows.append((np.inf, 0.0, 0.0))  # too few texts to reject by
-            continue
-        mean = np.average(own, weights=np.maximum(chars, 1))
-        long = chars >= np.median(chars)
-        spread = np.sqrt(np.mean((own[long] - mean) ** 2)) + 1e-3
-        per_char = np.sqrt(np.mean((own - mean) ** 2 * chars))
-        rows.append((mean, spread, per_char))
-    model.limits = np.array(rows)
+    lettered = n > 0
+    cls, whole, h, n = cls[lettered], whole[lettered], h[lettered], n[lettered]
+    model.limits = _limits(model, cls, h[np.arange(len(h)), cls], n)
+    cls, h = cls[whole], h[whole]
     if len(h) and len(model.languages) > 1:
         def loss(s: float) -> float:
             z = -s * (h - h.min(1, keepdims=True))
@@ -159,11 +200,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) ->
     for level in levels:
         model.grams.append(_logs(level.grams, level.p))
         model.contexts.append(_logs(level.contexts, level.backoff))
-    unseen = sample.where("part = 0").select("text", "cls").mapInArrow(
-        _entropy_batches(model), "cls long, h array<double>, n long"
-    ).collect()
-    cls, h, n = (np.array(x) for x in zip(*unseen, strict=True)) if unseen else (np.zeros(0, int), np.zeros((0, 1)), np.zeros(0))
-    _calibrated(model, cls, h, n)
+    size = F.array(*[F.lit(int(x)) for x in LENGTHS], F.length("text"))
+    unseen = sample.where("part = 0").select("text", "cls", F.explode(F.array_distinct(size)).alias("_size"))
+    unseen = unseen.where(F.col("_size") <= F.length("text")).select(
+        F.expr("left(text, _size)").alias("text"), "cls", (F.col("_size") == F.length("text")).alias("whole")
+    )
+    unseen = unseen.mapInArrow(_entropy_batches(model), "cls long, whole boolean, h array<double>, n long").collect()
+    none = (np.zeros(0, int), np.zeros(0, bool), np.zeros((0, len(languages))), np.zeros(0, int))
+    _calibrated(model, *((np.array(x) for x in zip(*unseen, strict=True)) if unseen else none))
     return model
 
 

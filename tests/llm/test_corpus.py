@@ -230,6 +230,27 @@ def test_rejection_is_calibrated(spark, labelled):
     assert got == {1: True, 2: False}
 
 
+def test_rejection_stands_junk_and_few_texts(spark, labelled):
+    rng = np.random.RandomState(8)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), n))
+
+    langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    n = labelled.count() // len(langs)
+    junk = [(10_000 + k, letters(300), lang) for k, lang in enumerate(langs * (n // 8))]
+    junk += [(20_000 + k, "vov kik pap " * 20, "rare") for k in range(3)]
+    extra = spark.createDataFrame(junk, "doc_id long, text string, lang string")
+    model = language_id.fit(labelled.select("doc_id", "text", "lang").union(extra))
+    assert np.isfinite(model.limits).all()
+    noise = [(k, letters(size)) for k, size in enumerate((60, 100, 200, 500) * 5)]
+    foreign = [(100, "wekuvy jaxoqi ywuhu qijaxo vykuwe " * 10)]
+    good = [(1000 + r.doc_id, r.text) for r in labelled.limit(50).collect()]
+    rows = spark.createDataFrame(noise + foreign + good, "doc_id long, text string")
+    rejected = {r.doc_id for r in language_id.identify(rows, model).collect() if r.rejected}
+    assert rejected == {k for k, _ in noise + foreign}
+
+
 def test_toxic_words_are_found(labelled):
     train = labelled.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
     model = toxicity.fit(labelled, train)
