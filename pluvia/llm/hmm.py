@@ -5,35 +5,37 @@ training texts, added up over the partitions, re-estimate start, transition and
 probabilities. The likelihood of a text is exact: the scaled forward recursion over the whole
 of it.
 
-The vocabulary grows with the corpus, so it is split. The ``HEAD`` most frequent words (a bound,
-found by a histogram of counts) have emission probabilities per state and travel with the
-query. All other words are one symbol to the states, and share the distribution of rare words,
-``(c + 1) / (N' + V' + 1)`` over the rare part of the vocabulary. So a text's likelihood is the
-states' likelihood of its symbols times those of its rare words, and only rare words are joined
-with their counts: one row per text and rare word, shuffled by word. Counts are added up in the
-tasks before they are shuffled, and frequent words never are keys of a join.
+Every word has emission probabilities of its own per state: its expected counts, one more
+token dealt by the states' shares, and a share of the unigram model; a word that training did not
+see has the last two. The vocabulary grows with the corpus, so it is split. The ``HEAD`` most
+frequent words (a bound, found by a histogram of counts) travel with the query. The expected
+counts of all others are a table by word. Texts are stored as chunks of about ``RUN_TOKENS``
+symbols with the list of the chunk's other words; each iteration joins these lists with the table,
+brings the counts to their chunk, and adds up the new ones by word. So frequent words never are
+keys of a join, and where the split lies does not change the model.
 
 Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import query, remainder, stored, table
-from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, pieces, span_hashes, word_spans
+from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, mixed, pieces, span_hashes, word_spans
 
 STATES = 6
 HEAD = 50_000
-#: Iterations on a sample of about so many training texts, then on all of them.
-WARM_ITERATIONS = 8
-WARM_ROWS = 1500
+#: Iterations, all on all training texts: so many, and those that the caller asks for.
+FIRST_ITERATIONS = 8
 ITERATIONS = 2
 SEED = 5
 #: Weight of the unigram distribution in a state's emissions, in tokens.
@@ -96,13 +98,21 @@ class Vocabulary:
         place = self.head.find(h)
         return np.where(place < 0, np.int32(self.rare), place)
 
+    @property
+    def mass(self) -> float:
+        return self.n_tokens + self.n_kinds + 1.0
+
     def unigram(self) -> np.ndarray:
-        n = np.append(self.counts, [self.rare_tokens, self.n_texts]) + 1.0
-        return n / n.sum()
+        """Add-one probabilities of the head, all other words with those not seen, and the end."""
+        return (np.append(self.counts, [self.rare_tokens, self.n_texts]) + self.kinds()) / self.mass
+
+    def kinds(self) -> np.ndarray:
+        """Words behind each symbol; the words not seen count as one."""
+        return np.append(np.ones(len(self.counts)), [self.rare_kinds + 1.0, 1.0])
 
     def base(self, c: np.ndarray) -> np.ndarray:
         """log10 of the add-one probability of words with count ``c``."""
-        return np.log10((c + 1.0) / (self.n_tokens + self.n_kinds + 1.0))
+        return np.log10((c + 1.0) / self.mass)
 
 
 def vocabulary(counts: DataFrame, n_texts: int, head: int = HEAD) -> Vocabulary:
@@ -125,26 +135,53 @@ def vocabulary(counts: DataFrame, n_texts: int, head: int = HEAD) -> Vocabulary:
     )
 
 
+def noise(h: np.ndarray, states: int) -> np.ndarray:
+    """Log-normal factors of words (rows) and states that depend on the word's hash alone."""
+    out = np.empty((len(h), states))
+    for s in range(states):
+        a, b = (
+            ((mixed(h + np.uint64(2 * (SEED * 64 + s) + k)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            for k in (0, 1)
+        )
+        out[:, s] = np.exp(0.5 * np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b))
+    return out
+
+
 @dataclass
 class Hmm:
     start: np.ndarray
     move: np.ndarray
-    emit: np.ndarray  # symbols x states
+    emit: np.ndarray  # symbols x states; all words outside the head together have one row
+    #: Emissions of such a word with counts c: (c + added + smooth * (sum of c + 1)) / total.
+    added: np.ndarray | float = 0.0
+    smooth: float = 0.0
+    total: np.ndarray | float = 1.0
 
     @staticmethod
-    def begin(unigram: np.ndarray, states: int, seed: int) -> "Hmm":
-        """Near the unigram model, with states that last; the seed breaks the tie between them."""
-        noise = np.random.RandomState(seed).lognormal(0, 0.5, (len(unigram), states))
-        emit = unigram[:, None] * noise
+    def begin(words: Vocabulary, rest: np.ndarray, states: int) -> "Hmm":
+        """Near the unigram model, with states that last; noise breaks the tie between them.
+
+        ``rest``: sums of the first counts, ``(n + 1) * noise``, of all words outside the head.
+        """
+        end = (words.n_texts + 1) * noise(np.zeros(1, np.uint64), states)
+        head = (words.counts + 1)[:, None] * noise(words.head.keys[: len(words.counts)], states)
+        emit = np.vstack([head, rest + 1.0, end])
         move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-        return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
+        return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0), total=emit.sum(0))
 
-    def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> "Hmm":
+    def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, words: Vocabulary) -> "Hmm":
         k = len(self.start)
         start = start + 1.0
         move = move + 1.0 / k
-        emit = emit + SMOOTHING * unigram[:, None]
-        return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        share = emit.sum(0) + 1e-9
+        share /= share.sum()
+        emit = emit + words.kinds()[:, None] * share + SMOOTHING * words.unigram()[:, None]
+        total = emit.sum(0)
+        return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / total, share, SMOOTHING / words.mass, total)
+
+    def of_counts(self, c: np.ndarray) -> np.ndarray:
+        """Emissions of words outside the head."""
+        return (c + self.added + self.smooth * (c.sum(1, keepdims=True) + 1.0)) / self.total
 
 
 class Packed:
@@ -209,142 +246,174 @@ def expected_counts(model: Hmm, x: Packed) -> tuple[np.ndarray, np.ndarray, np.n
     return start, move * model.move, emit
 
 
-def _runs(batches, vocabulary_: Vocabulary, columns: list[str]):
-    """Symbols of whole texts with their ends, about ``RUN_TOKENS`` at a time."""
-    held: list = []
-    total = 0
-    for rows, data, offs in pieces(batches):
-        h, at = piece_words(data, offs)
-        symbols = np.insert(vocabulary_.symbols(h), at[1:], np.int32(vocabulary_.rare + 1))
-        held.append((symbols, np.diff(at) + 1, [rows.column(c) for c in columns], h, at))
-        total += len(symbols)
-        if total >= RUN_TOKENS:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+CHUNKS = "chunk long, ids array<long>, sizes array<int>, symbols binary, rare array<long>"
+
+
+def _chunk_batches(words: Vocabulary):
+    """Whole texts with their ends, about ``RUN_TOKENS`` symbols a row.
 
+    Symbols from ``words.rare + 2`` on are places in the row's list of words outside the head.
+    """
 
-def _expected_batches(model: Hmm, words: Vocabulary):
-    """``kind, at, c0, c1, ...``: expected starts, moves and emissions of a partition."""
+    def row(chunk: int, held: list) -> pa.RecordBatch:
+        symbols, h, sizes, ids = (np.concatenate([x[k] for x in held]) if k < 3 else pa.concat_arrays([x[k] for x in held]) for k in range(4))
+        where = np.flatnonzero(symbols == words.rare)
+        rare, at = np.unique(h[where], return_inverse=True)
+        symbols[where] = words.rare + 2 + at
+        return _rows(
+            ["chunk", "ids", "sizes", "symbols", "rare"], pa.array([chunk], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
+            pa.array([pa.compress(symbols.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), pa.array(rare.view(np.int64))),
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.start)
-        sums = [np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)]
-        for held in _runs(batches, words, []):
-            x = Packed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            for s, more in zip(sums, expected_counts(model, x), strict=True):
-                s += more
-        seen = np.flatnonzero(sums[2].sum(1))
-        kind = np.concatenate([[0], np.full(k, 1), np.full(len(seen), 2)])
-        at = np.concatenate([[0], np.arange(k), seen])
-        values = np.vstack([sums[0][None], sums[1], sums[2][seen]])
-        yield _rows(["kind", "at", *[f"c{s}" for s in range(k)]], kind, at, *values.T)
+        chunk = TaskContext.get().partitionId() << 32
+        held: list = []
+        total = 0
+        for rows, data, offs in pieces(batches):
+            h, at = piece_words(data, offs)
+            symbols = np.insert(words.symbols(h).astype(np.int64), at[1:], words.rare + 1)
+            held.append((symbols, np.insert(h, at[1:], np.uint64(0)), np.diff(at) + 1, rows.column("doc_id")))
+            total += len(symbols)
+            if total >= RUN_TOKENS:
+                yield row(chunk, held)
+                chunk, held, total = chunk + 1, [], 0
+        if held:
+            yield row(chunk, held)
 
     return run
 
 
-def baum_welch(model: Hmm, texts: DataFrame, words: Vocabulary) -> Hmm:
-    """One iteration over all of ``texts``; the summed counts are bounded by head and states."""
+def _chunks(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.mapInArrow(_chunk_batches(words), CHUNKS))
+
+
+def _with_counts(chunks: DataFrame, table_: DataFrame):
+    """Chunks, each with the rows of ``table_`` of its words outside the head."""
+    own = chunks.select(F.col("chunk").alias("of"), F.posexplode("rare").alias("at", "w")).join(table_, "w").drop("w")
+    return chunks.groupBy("chunk").cogroup(own.groupBy("of"))
+
+
+def _unpacked(chunk: pa.Table, own: pa.Table, model: Hmm) -> tuple[Hmm, Packed, np.ndarray, np.ndarray, np.ndarray]:
+    """The model with the chunk's emissions, its texts, their sizes and symbols, and the list."""
+    row = chunk.combine_chunks().to_batches()[0]
+    sizes = row.column("sizes").values.to_numpy().astype(np.int64)
+    symbols = pa.decompress(row.column("symbols")[0].as_buffer(), 4 * int(sizes.sum()), "zstd")
+    symbols = np.frombuffer(symbols, "<i4").astype(np.int64)
+    rare = row.column("rare").values.to_numpy(zero_copy_only=False)
+    c = np.zeros((len(rare), len(model.start)))
+    c[own.column("at").to_numpy()] = np.stack([own.column(f"c{s}").to_numpy() for s in range(c.shape[1])], 1)
+    local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
+    return local, Packed(symbols, sizes), sizes, symbols, rare
+
+
+def baum_welch(model: Hmm, chunks: DataFrame, counts: DataFrame, words: Vocabulary) -> tuple[Hmm, DataFrame]:
+    """One iteration over all texts: the new model and the counts ``w, c0, c1, ...`` of the words
+    outside the head. The driver gets the sums of the head, which are bounded."""
     k = len(model.start)
     names = [f"c{s}" for s in range(k)]
-    schema = "kind long, at long, " + ", ".join(f"{c} double" for c in names)
-    parts = texts.select("text").mapInArrow(_expected_batches(model, words), schema)
-    rows = parts.groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    size = len(words.counts) + 2
+
+    def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
+        local, x, _, _, rare = _unpacked(chunk, own, model)
+        start, move, emit = expected_counts(local, x)
+        head, tail = emit[:size], emit[size:]
+        head[words.rare] = tail.sum(0)
+        seen = np.flatnonzero(head.sum(1))
+        kind = np.concatenate([[0], np.full(k, 1), np.full(len(seen), 2), np.full(len(rare), 3)])
+        at = np.concatenate([[0], np.arange(k), seen, rare])
+        values = np.vstack([start[None], move, head[seen], tail])
+        return pa.Table.from_batches([_rows(["kind", "at", *names], kind, at, *values.T.astype(np.float32))])
+
+    schema = "kind long, at long, " + ", ".join(f"{c} float" for c in names)
+    parts = _with_counts(chunks, counts).applyInArrow(run, schema)
+    sums = stored(parts.groupBy("kind", "at").agg(*[F.sum(c).cast("float").alias(c) for c in names]))
+    rows = sums.where("kind < 3").toPandas()
     start, move, emit = np.zeros((1, k)), np.zeros((k, k)), np.zeros_like(model.emit)
     for kind, into in enumerate((start, move, emit)):
         part = rows[rows.kind == kind]
         into[part["at"].to_numpy()] = part[names].to_numpy()
-    return model.updated(start[0], move, emit, words.unigram())
-
+    return model.updated(start[0], move, emit, words), sums.where("kind = 3").select(F.col("at").alias("w"), *names)
 
-def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, iterations: int = ITERATIONS) -> tuple[Hmm, Vocabulary, DataFrame]:
-    """Model, vocabulary and the stored counts ``w, n`` of all words of ``docs`` (id, text).
-
-    The first iterations run on a sample of about ``WARM_ROWS`` texts, drawn by a hash of the
-    id, the last ones on all texts.
-    """
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("string").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = stored(texts.select("text").mapInArrow(_count_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    n_texts = texts.select("_id").count()
-    words = vocabulary(counts, n_texts, head)
-    model = Hmm.begin(words.unigram(), states, SEED)
-    share = int(min(1.0, WARM_ROWS / max(n_texts, 1)) * (1 << 30))
-    warm = stored(texts.where(F.pmod(F.xxhash64(F.coalesce("_id", F.lit("")), F.lit(9)), F.lit(1 << 30)) < share))
-    for _ in range(WARM_ITERATIONS):
-        model = baum_welch(model, warm, words)
-    for _ in range(iterations):
-        model = baum_welch(model, texts, words)
-    return model, words, counts
-
-
-def _score_batches(model: Hmm, words: Vocabulary):
-    """Everything but the rare words, which go along as hashes and numbers of occurrences."""
 
+def _first_counts(states: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.append(words.counts, 0)
-        of_head = np.append(words.base(words.counts), 0.0)  # rare words add theirs later
-        end = float(words.base(np.array([words.n_texts]))[0])
-        for held in _runs(batches, words, ["row", "doc_id"]):
-            x = Packed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            logs, _, _ = forward(model, x, False)
-            logs, at_log = logs / np.log(10), 0
-            for _, sizes, (row, doc_id), h, at in held:
-                symbols = words.symbols(h)
-                is_rare = symbols == words.rare
-                sums = np.concatenate([[0.0], np.cumsum(of_head[symbols])])
-                seen = np.concatenate([[0], np.cumsum(known[symbols] > 0)])
-                rare_h, owner = h[is_rare], np.repeat(np.arange(len(sizes)), np.diff(at))[is_rare]
-                order = np.lexsort((rare_h, owner))
-                rare_h, owner = rare_h[order], owner[order]
-                new = np.concatenate([[True], (np.diff(rare_h) != 0) | (np.diff(owner) != 0)])[: len(owner)]
-                spots = np.flatnonzero(new)
-                n = np.diff(np.append(spots, len(owner)))
-                lists = np.searchsorted(owner[spots], np.arange(len(sizes) + 1)).astype(np.int32)
-                yield _rows(
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"], row, doc_id,
-                    sizes.astype(np.int64), (seen[at[1:]] - seen[at[:-1]] + (words.n_texts > 0)).astype(np.int64),
-                    sums[at[1:]] - sums[at[:-1]] + end, logs[at_log : at_log + len(sizes)],
-                    pa.ListArray.from_arrays(lists, pa.array(rare_h[spots].view(np.int64))),
-                    pa.ListArray.from_arrays(lists, pa.array(n.astype(np.int32))),
-                )
-                at_log += len(sizes)
+        for rows in batches:
+            w, n = (rows.column(c).to_numpy() for c in ("w", "n"))
+            c = (n + 1)[:, None] * noise(w.view(np.uint64), states)
+            yield _rows(["w", *[f"c{s}" for s in range(states)]], w, *c.T.astype(np.float32))
 
     return run
 
 
+def _outside(counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """Counts of the words outside the head."""
+    least = int(words.counts.min()) if len(words.counts) else None
+    return counts if least is None else counts.where(F.col("n") < least)
+
+
+def _forget(old: DataFrame) -> None:
+    """Delete the stored counts of an earlier iteration; shuffle files go once nothing refers to them."""
+    jvm = old.sparkSession._jvm
+    conf = old.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, iterations: int = ITERATIONS) -> tuple[Hmm, Vocabulary, DataFrame]:
+    """Model, vocabulary and the table ``w, n, c0, c1, ...`` of the words of ``docs`` outside the head."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names = [f"c{s}" for s in range(states)]
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = stored(texts.mapInArrow(_count_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    words = vocabulary(counts, texts.count(), head)
+    outside = _outside(counts, words)
+    schema = "w long, " + ", ".join(f"{c} float" for c in names)
+    own = stored(outside.mapInArrow(_first_counts(states), schema))
+    rest = own.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
+    model = Hmm.begin(words, np.array(rest, float), states)
+    chunks = _chunks(docs, words)
+    for _ in range(FIRST_ITERATIONS + iterations):
+        old = own
+        model, own = baum_welch(model, chunks, old, words)
+        _forget(old)
+    known = stored(outside.join(own, "w"))
+    _forget(own)
+    _forget(chunks)
+    return model, words, known
+
+
 def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Null and empty texts are their end alone. Repeated rows are scored each, other columns are
     left out. Without training texts every token has probability one in the base model.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
-    part = stored(rows.mapInArrow(_score_batches(model, words), schema))
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("_r")).select(
-        "row", F.col("_r.rare").alias("w"), F.col("_r.times").alias("times")
-    )
-    c = F.coalesce("n", F.lit(0))
-    own = rare.join(counts, "w", "left").select(
-        "row", F.when(c > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((c + 1) / F.lit(words.n_tokens + words.n_kinds + 1.0))).alias("base"),
-        (F.col("times") * F.log10((c + 1) / F.lit(words.rare_tokens + words.rare_kinds + 1.0))).alias("score"),
-    )
-    own = own.groupBy("row").agg(
-        F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("score").alias("_score")
-    )
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return part.drop("rare", "times").join(own, "row", "left").select(
-        "doc_id", "n_tokens", plus("n_known", "_known").alias("n_known"),
-        F.lit(words.n_tokens).cast("long").alias("train_tokens"),
-        plus("base", "_base").alias("base_score"), plus("score", "_score").alias("score"),
-    )
+
+    def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
+        local, x, sizes, symbols, rare = _unpacked(chunk, own, model)
+        logs, _, _ = forward(local, x, False)
+        n = np.concatenate([words.counts, [0, words.n_texts], np.zeros(len(rare), np.int64)])
+        n[len(words.counts) + 2 + own.column("at").to_numpy()] = own.column("n").to_numpy()
+        first = np.cumsum(sizes) - sizes
+        known = np.add.reduceat((n > 0)[symbols].astype(np.int64), first)
+        base = np.add.reduceat(words.base(n)[symbols], first)
+        ids = chunk.combine_chunks().to_batches()[0].column("ids").values
+        return pa.Table.from_batches([_rows(
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ids, sizes, known,
+            np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),
+        )])
+
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _with_counts(_chunks(docs, words), counts).applyInArrow(run, schema)
 
 
 @query("op6_hmm")

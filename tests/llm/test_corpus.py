@@ -562,6 +562,17 @@ def test_rare_words_do_not_change_with_the_head(docs):
         assert vocabulary.rare_tokens + vocabulary.counts.sum() + 3 == vocabulary.n_tokens
 
 
+def test_scores_do_not_change_with_the_head(docs):
+    """Every word has its own emissions per state, wherever its counts are kept."""
+    train = docs.where("doc_id is null or doc_id % 3 <> 0")
+    scores = []
+    for head in (1, 30, 1000):
+        out = hmm.score(docs, *hmm.fit(train, states=2, head=head, iterations=1))
+        scores.append(sorted((r.n_tokens, r.score) for r in out.collect()))
+    for other in scores[1:]:
+        assert [x for _, x in other] == pytest.approx([x for _, x in scores[0]], rel=1e-4)
+
+
 # --- repeated strings ------------------------------------------------------------------------
 
 
