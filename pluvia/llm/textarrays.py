@@ -126,6 +126,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hasher(data)(starts, ends)
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
+
+
 class SortedHashes:
     """A sorted array of distinct 64-bit hashes with the first place of each leading-bits group."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import query, stored, table
-from pluvia.llm.textarrays import bounded_batches, pieces
+from pluvia.llm.textarrays import bounded_batches, gathered, pieces
 
 END_ID = 2
 SHARD_TOKENS = 4_000_000
@@ -150,7 +150,7 @@ class Tokenizer:
             self._learn_parts(self.known.new)
             self.known.new.clear()
         sizes = self.part_size[at]
-        ids = _gathered(self.part_flat, self.part_start[at], sizes)
+        ids = gathered(self.part_flat, self.part_start[at], sizes)
         sums = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.append(self.first, self.first[-1] + sums)
@@ -178,7 +178,7 @@ class Tokenizer:
         # The end of a text is one more stretch, the last of the table.
         start = np.insert(self.first[at], edges[1:], len(self.flat))
         n = np.insert(n, edges[1:], 1)
-        ids = _gathered(np.append(self.flat, np.uint32(end_id)), start, n)
+        ids = gathered(np.append(self.flat, np.uint32(end_id)), start, n)
         offs = np.concatenate([[0], np.cumsum(n)])[edges + np.arange(len(edges))]
         # Empty pieces are white space next to white space, but for those at the ends of a text.
         kind = self.kind[at]
@@ -203,16 +203,6 @@ def _places(table: _Places, names: list[str]) -> np.ndarray:
     return np.fromiter(itemgetter(*names)(table), np.int64, len(names))
 
 
-def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Stretches of ``flat``, one after the other."""
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-    at = np.repeat((start - (ends - n)).astype(kind), n)
-    at += np.arange(total, dtype=kind)
-    return flat[at]
-
-
 def re_pair(
     ids: np.ndarray, offs: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, min_uses: int = MIN_USES
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -304,14 +294,14 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         upto = at + int(later[0]) if len(later) else len(rules)
         pairs = rules[at:upto].ravel().astype(np.int64)
         offs = np.cumsum(sizes) - sizes
-        flat = np.concatenate([flat, _gathered(flat, offs[pairs], sizes[pairs])])
+        flat = np.concatenate([flat, gathered(flat, offs[pairs], sizes[pairs])])
         sizes = np.append(sizes, sizes[pairs].reshape(-1, 2).sum(1))
         at = upto
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def expand(seq: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return _gathered(flat, offs[seq], offs[seq + 1] - offs[seq])
+    return gathered(flat, offs[seq], offs[seq + 1] - offs[seq])
 
 
 def pack_shard(ids: np.ndarray, offs: np.ndarray) -> bytes:
