@@ -29,8 +29,9 @@ def pack_frames(
     """One row per frame from one row per cell.
 
     ``sparse`` fills absent cells with NULL first; without it a frame that is not
-    complete is an error, as later reads go by position. Repeated cells keep the largest value, merged before the frame is
-    collected, so a group never holds more than ``ni * nj`` cells.
+    complete is an error, as later reads go by position. Repeated cells keep the largest value. They
+    are merged by frame and cell, on the map side first, before the frame is collected; so a frame
+    with many repeats is no hot key and a group never holds more than ``ni * nj`` cells.
     """
     placed = cells.select(
         *keys, (F.col("i") * nj + F.col("j")).cast("int").alias("_k"), F.col("value")
@@ -40,8 +41,6 @@ def pack_frames(
             *keys, F.explode(positions(ni * nj)).alias("_k"), F.lit(None).cast("double").alias("value")
         )
         placed = placed.unionByName(blanks)
-    # Placed by frame once; both groupings below then work without another shuffle.
-    placed = placed.repartition(*keys)
     one = placed.groupBy(*keys, "_k").agg(F.max("value").alias("value"))
     cells_in_order = F.array_sort(F.collect_list(F.struct("_k", "value")))
     packed = one.groupBy(*keys).agg(cells_in_order.alias("_c"))
@@ -183,13 +182,29 @@ def block_motion(
     shift, then the smallest ``di``, ``dj``. Cells beyond the edge repeat it. Each
     frame pair is independent, so no shuffle is needed here.
     """
-    if ni % block or nj % block:
-        raise ValueError("frame size must be a multiple of the block size")
-    shifts = sorted(
-        ((di, dj) for di in range(-radius, radius + 1) for dj in range(-radius, radius + 1)),
-        key=lambda s: (s[0] ** 2 + s[1] ** 2, s[0], s[1]),
+    found = block_shifts(pairs, ni, nj, block, radius, key)
+    blocks = found.select(key, F.posexplode("shifts").alias("_b", "_s"))
+    return blocks.select(
+        key, int_div(F.col("_b"), nj // block).alias("bi"), F.pmod(F.col("_b"), F.lit(nj // block)).alias("bj"),
+        "_s.di", "_s.dj", "_s.ssd",
     )
-    bi, bj = ni // block, nj // block
+
+
+def block_shifts(
+    pairs: DataFrame, ni: int, nj: int, block: int, radius: int, key: str = "frame_ts", levels: int = 0
+) -> DataFrame:
+    """The shifts of :func:`block_motion` as one row per pair: ``key, cur, shifts`` with an array of
+    ``di, dj, ssd`` by block, beside the frame they belong to.
+
+    With ``levels`` the search runs over a pyramid: frames are averaged over 2 x 2 cells that often;
+    the coarsest level is searched within ``radius`` of its own cells, every finer one within one cell
+    of twice the shift above. So shifts of up to ``radius * 2 ** levels`` cells and some more are found
+    at a cost that grows with the logarithm of the shift; on smooth motion they are those of the full
+    search. Sizes must be divisible by the block, and blocks by ``2 ** levels``.
+    """
+    if ni % block or nj % block or block % (1 << levels):
+        raise ValueError("frame size must be a multiple of the block size, blocks of 2 ** levels")
+    kind = pairs.schema[key].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,34 +212,57 @@ def block_motion(
                 continue
             cur = _stack(pdf["cur"]).reshape(-1, ni, nj)
             prev = _stack(pdf["prev"]).reshape(-1, ni, nj)
-            edge = np.pad(prev, ((0, 0), (radius, radius), (radius, radius)), mode="edge")
-            best = np.full((len(pdf), bi, bj), np.inf)
-            pick = np.zeros((len(pdf), bi, bj), int)
-            for s, (di, dj) in enumerate(shifts):
-                moved = edge[:, radius - di : radius - di + ni, radius - dj : radius - dj + nj]
-                diff = (cur - moved) ** 2
-                ssd = diff.reshape(-1, bi, block, bj, block).sum(axis=(2, 4))
-                better = ssd < best
-                best, pick = np.where(better, ssd, best), np.where(better, s, pick)
-            chosen = np.array(shifts)[pick]
-            f, a, b = np.indices(best.shape)
-            yield pd.DataFrame(
-                {
-                    key: pdf[key].to_numpy()[f.ravel()],
-                    "bi": a.ravel().astype("int32"),
-                    "bj": b.ravel().astype("int32"),
-                    "di": chosen[..., 0].ravel().astype("int32"),
-                    "dj": chosen[..., 1].ravel().astype("int32"),
-                    "ssd": best.ravel(),
-                }
-            )
+            scales = [(cur, prev)]
+            for _ in range(levels):
+                scales.append(tuple(_halved(a) for a in scales[-1]))
+            shift = np.zeros((len(pdf), ni // block, nj // block, 2), np.int64)
+            for level in range(levels, -1, -1):
+                reach = radius if level == levels else 1
+                shift, ssd = _best_shifts(*scales[level], block >> level, 2 * shift, reach)
+            flat, cost = shift.reshape(len(pdf), -1, 2), ssd.reshape(len(pdf), -1)
+            shifts = [
+                [{"di": int(a), "dj": int(b), "ssd": float(c)} for (a, b), c in zip(f, s, strict=True)]
+                for f, s in zip(flat, cost, strict=True)
+            ]
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "cur": pdf["cur"].to_numpy(), "shifts": shifts})
 
-    kind = pairs.schema[key].dataType.simpleString()
     return pairs.select(key, "cur", "prev").mapInPandas(
-        search, f"{key} {kind}, bi int, bj int, di int, dj int, ssd double"
+        search, f"{key} {kind}, cur array<double>, shifts array<struct<di: int, dj: int, ssd: double>>"
     )
 
 
+def _halved(frames: np.ndarray) -> np.ndarray:
+    n, ni, nj = frames.shape
+    return frames.reshape(n, ni // 2, 2, nj // 2, 2).mean(axis=(2, 4))
+
+
+def _best_shifts(
+    cur: np.ndarray, prev: np.ndarray, block: int, start: np.ndarray, reach: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Best shifts of all blocks within ``reach`` of their start, and their squared differences."""
+    n, ni, nj = cur.shape
+    bi, bj = ni // block, nj // block
+    steps = [(di, dj) for di in range(-reach, reach + 1) for dj in range(-reach, reach + 1)]
+    cells = cur.reshape(n, bi, block, bj, block).transpose(0, 1, 3, 2, 4)
+    rows = (np.arange(bi) * block)[:, None] + np.arange(block)
+    cols = (np.arange(bj) * block)[:, None] + np.arange(block)
+    frame = np.arange(n)[:, None, None, None, None]
+    best, pick = np.full((n, bi, bj), np.inf), np.zeros((n, bi, bj, 2), np.int64)
+    for di, dj in steps:
+        tried = start + np.array([di, dj])
+        i = np.clip(rows[None, :, None, :] - tried[..., 0, None], 0, ni - 1)
+        j = np.clip(cols[None, None, :, :] - tried[..., 1, None], 0, nj - 1)
+        moved = prev[frame, i[..., :, None], j[..., None, :]]
+        ssd = ((cells - moved) ** 2).sum(axis=(3, 4))
+        # Of equal differences the smallest shift, then the smallest di, dj.
+        rank = lambda s: ((s**2).sum(-1), s[..., 0], s[..., 1])
+        (a, b, c), (x, y, z) = rank(tried), rank(pick)
+        nearer = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c < z))))
+        better = (ssd < best) | ((ssd == best) & nearer)
+        best, pick = np.where(better, ssd, best), np.where(better[..., None], tried, pick)
+    return pick, best
+
+
 def extrapolate(
     frames: DataFrame,
     motion: DataFrame,
@@ -234,20 +272,32 @@ def extrapolate(
     n_leads: int,
     key: str = "frame_ts",
     values: str = "values",
-    keep_missing: bool = False,
+    keep_missing: bool = True,
 ) -> DataFrame:
     """Forecast each lead by moving every block along its own shift, clamped to the frame.
 
-    ``keep_missing`` reports frames without motion too, their forecasts NULL.
+    ``motion`` holds one row per block (:func:`block_motion`), or per frame the packed shifts
+    (:func:`block_shifts`). Frames without motion have NULL forecasts; without ``keep_missing`` they
+    have no row. Where the shifts stand beside the frame, :func:`extrapolate_moved` needs no join.
     """
-    nbj = nj // block
-    per_frame = motion.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("bi", "bj", "di", "dj"))).alias("_m")
-    )
+    if "shifts" not in motion.columns:
+        blocks = F.array_sort(F.collect_list(F.struct("bi", "bj", "di", "dj")))
+        motion = motion.groupBy(key).agg(
+            F.transform(blocks, lambda b: F.struct(b["di"].alias("di"), b["dj"].alias("dj"))).alias("shifts")
+        )
     how = "left" if keep_missing else "inner"
-    joined = frames.select(key, F.col(values).alias("_v")).join(per_frame, key, how)
-    leads = joined.select(
-        key, "_v", "_m", F.explode(F.sequence(F.lit(1), F.lit(n_leads))).alias("lead")
+    joined = frames.select(key, F.col(values).alias("values")).join(motion.select(key, "shifts"), key, how)
+    return extrapolate_moved(joined, ni, nj, block, n_leads, key)
+
+
+def extrapolate_moved(
+    frames: DataFrame, ni: int, nj: int, block: int, n_leads: int, key: str = "frame_ts", values: str = "values"
+) -> DataFrame:
+    """:func:`extrapolate` of rows that hold a frame and its ``shifts``: nothing is shuffled."""
+    nbj = nj // block
+    leads = frames.select(
+        key, F.col(values).alias("_v"), F.col("shifts").alias("_m"),
+        F.explode(F.sequence(F.lit(1), F.lit(n_leads))).alias("lead"),
     )
 
     def cell(k: Column) -> Column:

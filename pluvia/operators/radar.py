@@ -7,13 +7,17 @@ there are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.arrays import int_div
 from pluvia.functions.radar import NRAYS, mean_azimuth, ray_bin
+from pluvia.session import extended
 
 
 def with_ray_bin(
@@ -235,22 +239,26 @@ def flatten_ragged(df: DataFrame, by: list[str], order: list[str], arr: str) ->
 def rebuild_ragged(df: DataFrame, by: list[str]) -> DataFrame:
     """Inverse of :func:`flatten_ragged`: one row per list, numbered from 0.
 
-    Every item learns the number of its list inside its row, so one grouping suffices.
+    The lists are slices of the row's items, so nothing is shuffled. Lengths that do not add up to
+    the items are an error.
     """
-    number = F.flatten(F.transform("lengths", lambda n, i: F.array_repeat(i, n.cast("int"))))
-    zipped = F.arrays_zip(F.col("flat").alias("item"), number.alias("pos"))
-    items = F.transform(
-        zipped, lambda s, k: F.struct(k.alias("k"), s["pos"].alias("pos"), s["item"].alias("item"))
-    )
-    kind = df.schema["flat"].dataType.elementType
-    blank = lambda i: F.struct(
-        F.lit(None).cast("int").alias("k"), i.alias("pos"), F.lit(None).cast(kind).alias("item")
-    )
-    empty = F.filter(
-        F.transform("lengths", lambda n, i: F.when(n == 0, i)), lambda i: i.isNotNull()
-    )
-    rows = df.select(*by, F.explode(F.concat(items, F.transform(empty, blank))).alias("_s"))
-    pairs = F.collect_list(F.when(F.col("_s.k").isNotNull(), F.struct("_s.k", "_s.item")))
-    return rows.groupBy(*by, F.col("_s.pos").alias("pos")).agg(
-        F.transform(F.array_sort(pairs), lambda s: s["item"]).alias("items")
-    )
+    kind = df.schema["flat"].dataType.elementType.simpleString()
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, flat = batch.column("lengths"), batch.column("flat")
+            row = lengths.value_parent_indices()
+            n = lengths.flatten().cast(pa.int64()).to_numpy()
+            if lengths.null_count or flat.null_count or int(n.sum()) != len(flat.flatten()):
+                raise ValueError("lengths do not add up to the items")
+            offs = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            first = np.cumsum(pc.list_value_length(lengths).to_numpy()) - pc.list_value_length(lengths).to_numpy()
+            pos = np.arange(len(n)) - first[row.to_numpy()]
+            columns = [batch.column(c).take(row) for c in by]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(pos.astype(np.int32)), pa.ListArray.from_arrays(offs, flat.flatten())],
+                [*by, "pos", "items"],
+            )
+
+    schema = extended(df.select(*by), f"pos int, items array<{kind}>")
+    return df.select(*by, "flat", "lengths").mapInArrow(cut, schema)

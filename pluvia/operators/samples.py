@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions.scalars import sample_mass
@@ -66,6 +66,26 @@ def future_frames(
     return _fetch(expand_future(keys, n_after, step, key), frames, ts, values, on or [])
 
 
+def bucketed_samples(
+    spark: SparkSession, name: str, n_before: int, n_after: int, step: int = 10, ts: str = "frame_ts"
+) -> DataFrame:
+    """Past and future frames of every frame of a bucketed table, without a shuffle.
+
+    ``source, location, key_ts, lag, values``: lag 0 is the key, positive lags are earlier and negative
+    ones later; a missing frame has NULL values. The table holds all that a key needs in the key's own
+    bucket (:func:`pluvia.sources.sinks.write_frame_buckets`, with at least this horizon). Joining by more
+    columns than the buckets have needs the setting this switches on.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    table = spark.table(name)
+    place = ["source", "location", "slot"]
+    lag = F.explode(F.sequence(F.lit(-n_after), F.lit(n_before - 1))).alias("lag")
+    keys = table.where("own").select(*place, F.col(ts).alias("key_ts"), lag)
+    wanted = keys.withColumn("need_ts", F.col("key_ts") - minutes(F.col("lag") * step))
+    got = _fetch(wanted, table, ts, "values", place)
+    return got.select("source", "location", "key_ts", "lag", "values")
+
+
 def lead_pairs(
     keys: DataFrame,
     frames: DataFrame,
@@ -79,25 +99,20 @@ def lead_pairs(
     """One row per key and lead with the frame before the lead and the frame at it.
 
     If either frame is missing, both are NULL. ``on`` lists the columns, such as the
-    location, that keys and frames must share besides the time. ``keys`` are distinct.
-    Every frame is fetched once and sent to the two leads that use it.
+    location, that keys and frames must share besides the time. Frames meet their successors
+    once, by time; the keys' leads then join these pairs where they lie, so a frame moves
+    twice whatever the number of leads, and repeated keys keep their rows.
     """
-    steps = keys.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n_after))))
-    wanted = steps.withColumn("need_ts", F.col(key) + minutes(F.col("_step") * step))
-    got = _fetch(wanted, frames, ts, values, on or [])
-    role = F.explode(F.array(F.lit(0), F.lit(1)))
-    used = got.withColumn("_role", role).withColumn("lead", F.col("_step") + 1 - F.col("_role"))
-    used = used.where((F.col("lead") >= 1) & (F.col("lead") <= n_after))
-    pick = lambda r: F.max(F.when(F.col("_role") == r, F.col("values")))
-    both = used.groupBy(*keys.columns, "lead").agg(
-        pick(0).alias("previous"), pick(1).alias("target")
+    on = on or []
+    known = frames.where(F.col(values).isNotNull())
+    target = known.select(*on, F.col(ts).alias("need_ts"), F.col(values).alias("target"))
+    previous = known.select(
+        *on, (F.col(ts) + minutes(step)).alias("need_ts"), F.col(values).alias("previous")
     )
-    complete = F.col("previous").isNotNull() & F.col("target").isNotNull()
-    return both.select(
-        *keys.columns,
-        "lead",
-        F.when(complete, F.col("previous")).alias("previous"),
-        F.when(complete, F.col("target")).alias("target"),
+    pairs = target.join(previous, [*on, "need_ts"], "inner")
+    wanted = expand_future(keys, n_after, step, key)
+    return wanted.join(pairs, [*on, "need_ts"], "left").select(
+        *keys.columns, "lead", "previous", "target"
     )
 
 
@@ -295,19 +310,27 @@ def select_channels(
     return samples.where(x | y | meta)
 
 
+def frame_mass(frames: DataFrame, values: str = "values") -> DataFrame:
+    """Frames with ``values`` replaced by the one number that weights need: their rain mass."""
+    mass = F.aggregate(
+        F.coalesce(F.col(values), F.array().cast("array<double>")),
+        F.lit(0.0),
+        lambda s, v: s + sample_mass(v),
+    )
+    return frames.withColumn(values, mass)
+
+
 def sample_weights(
     samples: DataFrame, key: str = "key_ts", values: str = "values", minimum: float = MIN_WEIGHT
 ) -> DataFrame:
     """Normalised weight per key from the rain in its input and target frames.
 
-    The cells of a frame are reduced inside the row, so the shuffle carries one
-    number per frame.
+    ``samples`` hold the frames, or better their masses: samples joined from
+    :func:`frame_mass` move one number per frame. The total is one row.
     """
-    mass = F.aggregate(
-        F.coalesce(F.col(values), F.array().cast("array<double>")),
-        F.lit(0.0),
-        lambda s, v: s + sample_mass(v),
-    )
+    if samples.schema[values].dataType.simpleString().startswith("array"):
+        samples = frame_mass(samples, values)
+    mass = F.coalesce(F.col(values), F.lit(0.0))
     raw = samples.select(key, mass.alias("_mass")).groupBy(key).agg(
         (F.sum("_mass") + minimum).alias("raw_weight")
     )

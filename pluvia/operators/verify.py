@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +135,61 @@ def score(
     return pairs.groupBy(*by).agg(*[build(p, t).alias(m) for m, build in chosen.items()])
 
 
+@dataclass(frozen=True)
+class UserMetric:
+    """A score by a function of arrays, as sums that frames add up.
+
+    ``partial`` gets the cells of one forecast and of its observation, cleaned like those of all scores,
+    and returns ``parts`` numbers; ``finish`` makes the score from the columns of their sums. So the
+    function sees one frame at a time, in Arrow batches, and a group of any size is only a sum.
+    """
+
+    partial: Callable[[np.ndarray, np.ndarray], Sequence[float]]
+    parts: int
+    finish: Callable[..., Column]
+
+
+def _frame_parts(metrics: dict[str, UserMetric]):
+    """Arrow function: partial sums of all metrics of packed pairs, one list per pair."""
+    count = sum(m.parts for m in metrics.values())
+
+    @F.arrow_udf("array<double>")
+    def run(forecast: pa.Array, truth: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(truth)):
+            if not (forecast[k].is_valid and truth[k].is_valid):
+                out.append(np.zeros(count))
+                continue
+            p, t = (np.asarray(a[k].values.to_numpy(zero_copy_only=False), np.float64) for a in (forecast, truth))
+            sums = [np.asarray(m.partial(p, t), np.float64) for m in metrics.values()]
+            if [len(s) for s in sums] != [m.parts for m in metrics.values()]:
+                raise ValueError("a user metric gave another number of parts than it states")
+            out.append(np.concatenate(sums))
+        ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * count)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *out])))
+
+    return run
+
+
+def score_frames_by(matched: DataFrame, by: list[str], metrics: dict[str, UserMetric]) -> DataFrame:
+    """User metrics of matched frames (:func:`match_forecasts`) per group.
+
+    Cells beyond the observation are left out, like those of :func:`paired_cells`.
+    """
+    n = F.size("truth")
+    short = F.array_repeat(F.lit(None).cast("double"), F.greatest(n - F.size("forecast"), F.lit(0)))
+    p = F.concat(F.slice("forecast", F.lit(1), n), short)
+    cleaned = [F.transform(c, clean_score) for c in (p, F.col("truth"))]
+    sums = matched.select(*by, _frame_parts(metrics)(*cleaned).alias("_s"))
+    count = sum(m.parts for m in metrics.values())
+    parts = sums.groupBy(*by).agg(*[F.sum(F.get("_s", F.lit(k))).alias(f"_s{k}") for k in range(count)])
+    out, first = [], 0
+    for name, m in metrics.items():
+        out.append(m.finish(*[F.col(f"_s{first + k}") for k in range(m.parts)]).alias(name))
+        first += m.parts
+    return parts.select(*by, *out)
+
+
 def csi_parts(pairs: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
     """Hit and event counts per threshold: the parts that may be summed across groups."""
     aggs = []
@@ -234,10 +292,10 @@ def forecast_table(
     predictions: DataFrame, frames: DataFrame, ts: str = "frame_ts"
 ) -> DataFrame:
     """Forecasts issued at the last observed frame: the next-hours display set."""
-    return _issued_at(predictions, frames.agg(F.max(ts)).scalar())
+    return issued_at(predictions, frames.agg(F.max(ts)).scalar())
 
 
-def _issued_at(predictions: DataFrame, issue: Column) -> DataFrame:
+def issued_at(predictions: DataFrame, issue: Column) -> DataFrame:
     """Forecasts of one issue; a table partitioned by ``issue_date`` is read at that date only."""
     found = predictions.where(F.col("issue_ts") == issue)
     if "issue_date" in predictions.columns:
@@ -249,7 +307,7 @@ def hindcast_table(
     predictions: DataFrame, frames: DataFrame, ts: str = "frame_ts", back: int = HORIZON
 ) -> DataFrame:
     """Forecasts issued ``back`` frames ago, to compare with what followed."""
-    return _issued_at(predictions, comparison_issue(frames, ts, back).select(ts).scalar())
+    return issued_at(predictions, comparison_issue(frames, ts, back).select(ts).scalar())
 
 
 def marker_table(cells: DataFrame, feature: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from pluvia.plans import (  # noqa: F401
+    queries_files,
     queries_radar,
     queries_samples,
     queries_scores,

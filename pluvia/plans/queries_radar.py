@@ -12,9 +12,11 @@ from pluvia.operators import align, objects
 from pluvia.operators import radar as R
 from pluvia.operators.grid import (
     block_motion,
+    block_shifts,
     ensemble_mean_packed,
     evolve,
     extrapolate,
+    extrapolate_moved,
     unpack_frames,
     warp,
 )
@@ -509,8 +511,8 @@ def _parallax_frames(spark, sf):
     c AS (SELECT frame_ts, scan_ts, vec_id, row_number() OVER (PARTITION BY frame_ts
       ORDER BY date_trunc('minute', scan_ts) DESC, scan_ts) AS rn FROM m JOIN sc
       ON date_trunc('minute', scan_ts) BETWEEN frame_ts - INTERVAL 4 MINUTE AND frame_ts)
-    SELECT m.frame_ts, c.scan_ts, coalesce(target, -1) AS target, round(value, 6) AS value FROM m
-    LEFT JOIN c ON c.frame_ts = m.frame_ts AND rn = 1 LEFT JOIN hit USING (vec_id)""",
+    SELECT m.frame_ts, c.scan_ts, t.target, round(value, 6) AS value FROM m CROSS JOIN targets t
+    LEFT JOIN c ON c.frame_ts = m.frame_ts AND rn = 1 LEFT JOIN hit ON hit.vec_id = c.vec_id AND hit.target = t.target""",
 )
 def _radar_frames(spark, sf):
     p = V.pixels(spark, sf)
@@ -520,7 +522,7 @@ def _radar_frames(spark, sf):
         mins=(F.col("vec_id") * 10 - F.pmod("vec_id", F.lit(7))).cast("int"), secs=F.lit(30)
     )
     scans = p.withColumn("scan_ts", F.lit(V.T0).cast("timestamp_ntz") + late)
-    out = radar_frames(scans, V.marks(spark, sf), weights, n_targets=36).na.fill({"target": -1})
+    out = radar_frames(scans, V.marks(spark, sf), weights, n_targets=36)
     return out.withColumn("value", r6("value"))
 
 
@@ -743,11 +745,66 @@ def _motion(spark, sf):
       AND s.j = greatest(least(c.j - lead * dj, 7), 0)""",
 )
 def _extrapolate(spark, sf):
-    motion = block_motion(_frame_pairs(spark, sf), 8, 8, 4, 1, key="vec_id")
-    out = extrapolate(V.frames(spark, sf), motion, 8, 8, 4, 3, key="vec_id")
+    moved = block_shifts(_frame_pairs(spark, sf), 8, 8, 4, 1, key="vec_id")
+    out = extrapolate_moved(moved, 8, 8, 4, 3, key="vec_id", values="cur")
     return unpack_frames(out, 8, ["vec_id", "lead"]).withColumn("value", r6("value"))
 
 
+@query(
+    "extrapolate_missing",
+    f"""WITH {_BLOCKS}, l AS (SELECT CAST(unnest([1, 2, 3]) AS INT) AS lead),
+    moved AS (SELECT c.vec_id, lead, round(sum(s.value), 4) AS total FROM cells c CROSS JOIN l
+      JOIN motion m ON m.vec_id = c.vec_id AND m.bi = c.i // 4 AND m.bj = c.j // 4
+      JOIN cells s ON s.vec_id = c.vec_id AND s.i = greatest(least(c.i - lead * di, 7), 0)
+        AND s.j = greatest(least(c.j - lead * dj, 7), 0) GROUP BY 1, 2)
+    SELECT e.vec_id, l.lead, total FROM embeddings e CROSS JOIN l
+    LEFT JOIN moved m ON m.vec_id = e.vec_id AND m.lead = l.lead""",
+)
+def _extrapolate_missing(spark, sf):
+    """The first frame has no motion: its forecasts are missing, not absent."""
+    motion = block_shifts(_frame_pairs(spark, sf), 8, 8, 4, 1, key="vec_id")
+    out = extrapolate(V.frames(spark, sf), motion, 8, 8, 4, 3, key="vec_id")
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    return out.select("vec_id", "lead", F.round(total, 4).alias("total"))
+
+
+@query(
+    "motion_pyramid",
+    f"""WITH {V.SQL_COMPOSITES},
+    small AS (SELECT scan, CAST(ray // 2 AS INT) AS i, CAST(bin // 2 AS INT) AS j, avg(value) AS value
+      FROM comp WHERE ray < 48 GROUP BY 1, 2, 3),
+    sh AS (SELECT a.s AS di, b.s AS dj FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS s) a
+      CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS s) b),
+    coarse AS (SELECT c.scan, CAST(c.i // 4 AS INT) AS bi, CAST(c.j // 4 AS INT) AS bj, di, dj,
+      sum((c.value - p.value) ** 2) AS ssd FROM small c CROSS JOIN sh JOIN small p ON p.scan = c.scan - 1
+      AND p.i = greatest(least(c.i - di, 23), 0) AND p.j = greatest(least(c.j - dj, 31), 0) GROUP BY 1, 2, 3, 4, 5),
+    first AS (SELECT * FROM coarse QUALIFY row_number() OVER (PARTITION BY scan, bi, bj
+      ORDER BY ssd, di * di + dj * dj, di, dj) = 1),
+    one AS (SELECT a.s AS di, b.s AS dj FROM (SELECT unnest([-1, 0, 1]) AS s) a
+      CROSS JOIN (SELECT unnest([-1, 0, 1]) AS s) b),
+    fine AS (SELECT c.scan, f.bi, f.bj, 2 * f.di + o.di AS di, 2 * f.dj + o.dj AS dj,
+      sum((c.value - p.value) ** 2) AS ssd FROM comp c
+      JOIN first f ON f.scan = c.scan AND f.bi = c.ray // 8 AND f.bj = c.bin // 8 CROSS JOIN one o
+      JOIN comp p ON p.scan = c.scan - 1 AND p.ray = greatest(least(c.ray - 2 * f.di - o.di, 47), 0)
+      AND p.bin = greatest(least(c.bin - 2 * f.dj - o.dj, 63), 0) WHERE c.ray < 48 GROUP BY 1, 2, 3, 4, 5)
+    SELECT scan AS scan_id, bi, bj, CAST(di AS INT) AS di, CAST(dj AS INT) AS dj, round(ssd, 3) AS ssd FROM fine
+    QUALIFY row_number() OVER (PARTITION BY scan, bi, bj ORDER BY ssd, di * di + dj * dj, di, dj) = 1""",
+)
+def _motion_pyramid(spark, sf):
+    """Composites of 48 x 64 cells: searched on half the size first, then refined."""
+    rays = V.composites(spark, sf).where("ray < 48")
+    lines = F.sort_array(F.collect_list(F.struct("ray", "values")))
+    packed = rays.groupBy("scan_id").agg(F.flatten(F.transform(lines, lambda r: r["values"])).alias("cur"))
+    whole = packed.where(F.size("cur") == 48 * V.BINS)
+    prev = whole.select((F.col("scan_id") + 1).alias("scan_id"), F.col("cur").alias("prev"))
+    found = block_shifts(whole.join(prev, "scan_id"), 48, V.BINS, 8, 2, "scan_id", levels=1)
+    blocks = found.select("scan_id", F.posexplode("shifts").alias("b", "s"))
+    return blocks.select(
+        "scan_id", F.floor(F.col("b") / 8).cast("int").alias("bi"), F.pmod("b", F.lit(8)).alias("bj"),
+        "s.di", "s.dj", F.round("s.ssd", 3).alias("ssd"),
+    )
+
+
 @query(
     "ensemble_mean",
     f"""WITH {V.SQL_PREDICTIONS}, m AS (SELECT unnest([0, 1, 2, 3]) AS member)

@@ -409,7 +409,7 @@ def _deinterleave(spark, sf):
       round(raw, 5) AS raw_weight, round(raw / sum(raw) OVER () * 1000, 6) AS weight FROM w""",
 )
 def _sample_weights(spark, sf):
-    f = V.frames(spark, sf)
+    f = S.frame_mass(V.frames(spark, sf))
     keys = f.select(F.col("frame_ts").alias("key_ts"))
     past, future = S.past_frames(keys, f, 3), S.future_frames(keys, f, 3)
     w = S.sample_weights(past.select("key_ts", "values").unionByName(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pluvia.functions.scalars import clean_score
@@ -9,6 +10,7 @@ from pluvia.operators.grid import centre_window, unpack_frames
 from pluvia.operators.ordering import nth_last, time_rank
 from pluvia.operators.verify import (
     HEADLINE,
+    UserMetric,
     csi_parts,
     hindcast_table,
     forecast_table,
@@ -96,6 +98,33 @@ def _score_report(spark, sf):
     return _tidy(report)
 
 
+@query(
+    "score_report_user_metric",
+    f"""WITH {V.SQL_PREDICTIONS}, s AS (SELECT model, lag, round(avg(abs(p - t)), 6) AS mae,
+      round(1 - sum(abs(p - t)) / sum(p + t), 6) AS overlap,
+      round(sqrt(sum((p - t) ** 2) / count(*)), 6) AS rmse FROM pairs GROUP BY 1, 2)
+    SELECT *, rmse = min(rmse) OVER (PARTITION BY lag) AND model = first_value(model) OVER (
+      PARTITION BY lag ORDER BY rmse, CASE model WHEN 'persistence' THEN 0 ELSE 1 END) AS best_rmse FROM s""",
+)
+def _score_report_user(spark, sf):
+    """The report with two scores given as functions of numpy arrays."""
+    user = {
+        "overlap": UserMetric(
+            lambda p, t: [np.nansum(np.abs(p - t)), np.nansum(p + t)], 2, lambda d, s: 1 - F.try_divide(d, s)
+        ),
+        "rmse": UserMetric(
+            lambda p, t: [np.nansum((p - t) ** 2), np.count_nonzero(~np.isnan(p - t))], 2,
+            lambda s, n: F.sqrt(F.try_divide(s, n)),
+        ),
+    }
+    report = score_report(
+        V.predictions(spark, sf), V.frames(spark, sf), ["persistence", "damped"], ["MAE"], user=user
+    )
+    return report.select(
+        "model", "lag", r6("MAE").alias("mae"), r6("overlap").alias("overlap"), r6("rmse").alias("rmse"), "best_rmse"
+    )
+
+
 @query(
     "error_scores",
     f"""WITH {V.SQL_PREDICTIONS} SELECT model, lag, round(avg((p - t) ** 2), 6) AS mse,

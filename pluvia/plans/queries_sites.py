@@ -9,10 +9,12 @@ from pluvia.functions.times import floor_minutes, minutes
 from pluvia.operators import objects
 from pluvia.operators import samples as S
 from pluvia.operators import state as ST
+from pluvia.operators.interpolate import interpolation_weights
 from pluvia.operators.scoring import stack_inputs
 from pluvia.operators.verify import match_forecasts, paired_cells, score
 from pluvia.plans import views as V
-from pluvia.plans.queries_radar import _LABELS, _ragged, THRESHOLD, r6
+from pluvia.plans.frames import radar_frames
+from pluvia.plans.queries_radar import _LABELS, _ragged, _tri_sql, THRESHOLD, r6
 from pluvia.plans.registry import query
 from pluvia.sources.sinks import prediction_rows
 
@@ -165,6 +167,46 @@ def _despeckle_time(spark, sf):
     return out.withColumn("value", r6("value"))
 
 
+_TWO_SITES = f"""{V.SQL_CELLS},
+pixels AS (SELECT vec_id, CAST(vec_id % 2 AS INT) AS site, i AS r, j AS c,
+  -22.0::DOUBLE - i * 0.1::DOUBLE - j * 0.01::DOUBLE - (vec_id % 2) * 0.2::DOUBLE AS lat,
+  -44.0::DOUBLE + j * 0.1::DOUBLE + i * 0.02::DOUBLE AS lon, value FROM cells),
+targets AS (SELECT n AS target, -21.95::DOUBLE - floor(n / 6.0) * 0.153::DOUBLE AS lat,
+  -43.95::DOUBLE + (n % 6) * 0.147::DOUBLE AS lon FROM (SELECT unnest(generate_series(0, 35)) AS n))"""
+
+
+@query(
+    "radar_frames_by_site",
+    f"""WITH {_TWO_SITES}, {_tri_sql("pixels", "targets")},
+    m AS (SELECT DISTINCT {V.SQL_MARK} AS frame_ts FROM events),
+    both_sites AS (SELECT CAST(unnest([0, 1, 2]) AS INT) AS site),
+    sc AS (SELECT vec_id, CAST(vec_id % 2 AS INT) AS site, TIMESTAMP '2024-01-01 00:00:00'
+      + to_seconds(CAST((vec_id // 2) * 600 - (vec_id % 7) * 60 + 30 AS INT)) AS scan_ts FROM embeddings),
+    c AS (SELECT frame_ts, site, scan_ts, vec_id, row_number() OVER (PARTITION BY frame_ts, site
+      ORDER BY date_trunc('minute', scan_ts) DESC, scan_ts) AS rn FROM m JOIN sc
+      ON date_trunc('minute', scan_ts) BETWEEN frame_ts - INTERVAL 4 MINUTE AND frame_ts)
+    SELECT s.site, m.frame_ts, c.scan_ts, t.target, round(value, 6) AS value FROM m CROSS JOIN both_sites s
+    CROSS JOIN targets t LEFT JOIN c ON c.frame_ts = m.frame_ts AND c.site = s.site AND rn = 1
+    LEFT JOIN hit ON hit.vec_id = c.vec_id AND hit.target = t.target""",
+)
+def _radar_frames(spark, sf):
+    """Two radars that scan at their own times, one 0.2 degrees further south, and one that is silent."""
+    p = V.pixels(spark, sf)
+    site = F.pmod("vec_id", F.lit(2)).cast("int")
+    p = p.withColumns({"site": site, "lat": F.col("lat") - F.pmod("vec_id", F.lit(2)) * F.lit(0.2)})
+    weights = None
+    for k in (0, 1):
+        geometry = p.where(F.col("site") == k).select("row", "col", "lat", "lon").distinct()
+        own = interpolation_weights(geometry, V.target_grid(spark), tile=0.1).withColumn("site", F.lit(k))
+        weights = own if weights is None else weights.unionByName(own)
+    minute = F.floor(F.col("vec_id") / 2) * 10 - F.pmod("vec_id", F.lit(7))
+    late = F.make_dt_interval(mins=minute.cast("int"), secs=F.lit(30))
+    scans = p.withColumn("scan_ts", F.lit(V.T0).cast("timestamp_ntz") + late)
+    marks = V.marks(spark, sf).select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("site"), "frame_ts")
+    out = radar_frames(scans, marks, weights, n_targets=36, by=["site"])
+    return out.withColumn("value", r6("value"))
+
+
 @query(
     "key_difference_sides",
     """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 2 = 0),
@@ -199,6 +241,15 @@ def _propagated(spark, sf):
     return objects.label_by_propagation(cells, V.BINS, V.RAYS).withColumn("value", r6("value"))
 
 
+@query(
+    "objects_by_tiles",
+    f"WITH RECURSIVE {_LABELS} SELECT scan, ray, bin, round(value, 6) AS value, label FROM labelled",
+)
+def _tiled(spark, sf):
+    cells = objects.echo_cells(V.composites(spark, sf), THRESHOLD)
+    return objects.label_by_tiles(cells, V.BINS, V.RAYS, 16, 16).withColumn("value", r6("value"))
+
+
 @query(
     "prediction_rows",
     f"""WITH {V.SQL_CELLS}, f AS (SELECT vec_id, sum(value) AS total FROM cells GROUP BY 1)

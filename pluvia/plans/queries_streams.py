@@ -183,6 +183,29 @@ def _trailing(spark, sf):
     )
 
 
+@query(
+    "stream_trailing_state",
+    f"""WITH {V.SQL_CELLS}, f AS (SELECT vec_id, sum(value) AS total FROM cells GROUP BY 1),
+    lags AS (SELECT CAST(unnest(generate_series(0, 5)) AS INT) AS lag)
+    SELECT 's' || (k.vec_id % 2) AS source, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(k.vec_id * 10 AS INT)) AS key_ts,
+      lag, round(f.total, 4) AS total FROM f k CROSS JOIN lags JOIN f ON f.vec_id = k.vec_id - 2 * lag
+    WHERE k.vec_id <= (SELECT max(vec_id) - 1 FROM embeddings)""",
+)
+def _trailing_state(spark, sf):
+    """Two sources that report every twenty minutes, in turn."""
+    place = F.concat(F.lit("s"), F.pmod("vec_id", F.lit(2)).cast("string")).alias("source")
+    rain = map_values(
+        F.col("embedding"), lambda e: F.greatest(F.lit(0.0), F.lit(40.0) * e.cast("double"))
+    )
+    f = _stream(spark, sf, "embeddings").select(
+        place, V.mark_ts(F.col("vec_id")).cast("timestamp").alias("frame_ts"), rain.alias("values")
+    )
+    out = _run(SS.trailing_frames_state(f, 6, step=20, block_minutes=360))
+    lags = out.select("source", "key_ts", F.explode("frames").alias("_f"))
+    total = F.aggregate("_f.values", F.lit(0.0), lambda s, v: s + v)
+    return _naive(lags.select("source", "key_ts", "_f.lag", F.round(total, 4).alias("total")), "key_ts")
+
+
 def _frames(spark, sf):
     rain = map_values(
         F.col("embedding"), lambda e: F.greatest(F.lit(0.0), F.lit(40.0) * e.cast("double"))

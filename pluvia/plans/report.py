@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from pluvia.operators.verify import (
     HEADLINE,
+    UserMetric,
     best_worst,
     forecast_table,
     hindcast_table,
+    issued_at,
     match_forecasts,
     paired_cells,
     score,
+    score_frames_by,
 )
 
 
@@ -24,6 +27,7 @@ def score_report(
     keys: list[str] | None = None,
     by: list[str] | None = None,
     issue: Column | None = None,
+    user: dict[str, UserMetric] | None = None,
 ) -> DataFrame:
     """Scores per model and lag with best and worst flags per lag.
 
@@ -31,17 +35,23 @@ def score_report(
     one aggregation cover all lags. With ``models`` every (model, lag) pair is
     reported; a pair that was never forecast has NULL scores. ``by`` columns, such as
     the location, are matched and reported apart. ``issue`` limits the report to the
-    forecasts of one issue time (UTC), which it then carries as ``issue_ts``.
+    forecasts of one issue time (UTC), which it then carries as ``issue_ts``. ``user`` names
+    further scores by functions of arrays; they are read from the matched frames, before the cells
+    appear, and flagged like the others (lower is better unless their name says CSI or ETS).
     """
     metrics = metrics or HEADLINE
     by = by or []
     group = [*by, "lag"]
     if issue is not None:
-        predictions = predictions.where(F.col("issue_ts") == issue)
+        predictions = issued_at(predictions, issue)
         group = ["issue_ts", *group]
     keys = keys or ["model", *group]
-    pairs = paired_cells(match_forecasts(predictions, truth, "inner", by=by), keys)
-    scores = score(pairs, keys, metrics)
+    matched = match_forecasts(predictions, truth, "inner", by=by)
+    scores = score(paired_cells(matched, keys), keys, metrics)
+    if user:
+        # One row per group on both sides.
+        scores = scores.join(score_frames_by(matched, keys, user), keys, "left")
+        metrics = [*metrics, *user]
     if models:
         lags = predictions.select(*group).distinct()
         wanted = lags.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # A dimension whose size statistics exceed this is never broadcast by hint; the caller
 # takes the shuffled path instead.
@@ -49,6 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """Path of a new folder below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Lineage ends here, the table is computed once however often it is used, and its size is known.
+    """
+    path = shared_folder(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Whether a dimension is small enough to copy to every executor.
 
@@ -59,6 +77,11 @@ def fits_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool
     return int(str(stats.sizeInBytes())) <= max_bytes
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """Schema of ``df`` with more columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Share a table stored in too few files among all cores before heavy work.
 
@@ -68,6 +91,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions, for groups whose work outweighs their bytes.
+
+    Adaptive execution merges small partitions by their size alone; these stay as they are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_dimension(
     big: DataFrame,
     dim: DataFrame,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -13,6 +15,14 @@ from pluvia.functions.times import LOCAL_ZONE, minutes
 from pluvia.operators.state import upsert
 from pluvia.sources.tables import PARTITION_COLUMNS, read_state
 
+#: CSV files have a header and keep microseconds.
+CSV = {
+    "header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+#: Folder below a loaded table whose files list the folders of each version.
+VERSIONS = "_versions"
+
 
 def with_partitions(df: DataFrame, ts: str) -> DataFrame:
     """Year, month and date partition columns taken from one timestamp."""
@@ -51,7 +61,7 @@ def write_partitioned(
         "partitionOverwriteMode", "dynamic"
     )
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)
 
 
@@ -60,16 +70,80 @@ def write_format(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
     if fmt not in ("csv", "parquet"):
         raise ValueError("fmt must be 'csv' or 'parquet'")
     writer = df.write.mode(mode)
-    (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
+    (writer.options(**CSV).csv if fmt == "csv" else writer.parquet)(path)
 
 
 def load_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Staging load: add rows (creating the table) or replace the table."""
+    """Plain staging load: add rows (creating the table) or replace the table.
+
+    Replacing deletes the old files first; where readers or failures must not see that, use
+    :func:`publish_table`.
+    """
     if mode not in ("append", "overwrite"):
         raise ValueError("mode must be 'append' or 'overwrite'")
     df.write.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
 
 
+def publish_table(
+    df: DataFrame, path: str, mode: str = "append", check: Callable[[DataFrame], bool] | None = None
+) -> None:
+    """Staging load that readers see as a whole or not at all.
+
+    The rows go to a folder of their own; once they are whole, and ``check`` (if given) accepts the
+    table as it would be, a new version that lists the folders is published. Readers of
+    :func:`published` see the old table or the new one, and a failed load leaves the old rows. Of
+    two loads at once the second fails, as its version exists.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be 'append' or 'overwrite'")
+    spark = df.sparkSession
+    version, folders = _versions(spark, path)
+    new = f"load-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{new}")
+    kept = [*(folders if mode == "append" else []), new]
+    if check is not None and not check(_folders(spark, path, kept, df.schema)):
+        raise ValueError("the loaded table was not accepted")
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{VERSIONS}/{version + 1:012d}")
+    # Created only if there is none of this number.
+    out = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, False)
+    try:
+        out.write(bytearray("\n".join(kept), "utf-8"))
+    finally:
+        out.close()
+
+
+def published(
+    spark: SparkSession, path: str, schema: T.StructType | str, version: int | None = None
+) -> DataFrame:
+    """The last published version of a loaded table, or an earlier one; empty before the first load."""
+    last, folders = _versions(spark, path, version)
+    if last < 0:
+        return spark.createDataFrame([], schema)
+    return _folders(spark, path, folders, schema)
+
+
+def _folders(spark: SparkSession, path: str, folders: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/{f}" for f in folders])
+
+
+def _versions(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[str]]:
+    """Number and folders of a version, the last one by default; -1 where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{VERSIONS}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(f.getPath().getName()) for f in store.listStatus(folder)] if store.exists(folder) else []
+    if version is None:
+        version = max(numbers, default=-1)
+    elif version not in numbers:
+        raise ValueError(f"no version {version}")
+    if version < 0:
+        return -1, []
+    file = store.open(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{version:012d}"))
+    try:
+        return version, bytes(file.readAllBytes()).decode().split("\n")
+    finally:
+        file.close()
+
+
 def write_frames(
     frames: DataFrame,
     meta: DataFrame,
@@ -89,6 +163,35 @@ def write_frames(
     meta.write.mode(mode).parquet(f"{path}/meta")
 
 
+def write_frame_buckets(
+    frames: DataFrame,
+    name: str,
+    path: str,
+    n_before: int,
+    n_after: int,
+    step: int = 10,
+    slot_minutes: int = 1440,
+    buckets: int = 64,
+    ts: str = "frame_ts",
+) -> None:
+    """Packed frames as a catalogue table in buckets by source, location and time slot.
+
+    Beside its own slot (``own``) a frame stands in the slots of other keys that need it: with a day as
+    slot and three hours as horizon about one frame in eight has a copy. So a key finds its whole sample in
+    its own bucket, and :func:`pluvia.operators.samples.bucketed_samples` joins without a shuffle.
+    """
+    slot = lambda shift: F.floor(
+        F.unix_micros((F.col(ts) + minutes(shift)).cast("timestamp")) / F.lit(slot_minutes * 60_000_000)
+    ).cast("long")
+    reach = F.sequence(slot(-n_after * step), slot((n_before - 1) * step))
+    spread = frames.withColumn("slot", F.explode(reach)).withColumn("own", F.col("slot") == slot(0))
+    keys = ["source", "location", "slot"]
+    # One file per bucket: rows of a bucket come together first.
+    spread.repartition(buckets, *keys).write.mode("errorifexists").option("path", path).bucketBy(
+        buckets, *keys
+    ).sortBy(*keys, ts).saveAsTable(name)
+
+
 def dataset_meta(
     frames: DataFrame, feature: str, process_type: str, ni: int, nj: int, step: int,
     stats: DataFrame, key_times: DataFrame, ts: str = "frame_ts",

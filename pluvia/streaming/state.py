@@ -164,3 +164,81 @@ def trailing_frames(
     frames = F.sort_array(F.collect_list(F.struct("lag", "frame_ts", "values")))
     samples = keyed.groupBy("source", "key_ts").agg(frames.alias("frames"))
     return samples.where(F.get("frames", F.lit(0))["lag"] == 0)
+
+
+class TrailingFrames(StatefulProcessor):
+    """Frames of one source and stretch of time, by their time; a timer reports each.
+
+    A frame is kept once. When the watermark passes it nothing earlier can arrive, so it goes out
+    with the steps before it, and the one that only it still needed is removed. A last timer clears the
+    stretch. Times are microseconds, timers milliseconds.
+    """
+
+    def __init__(self, n: int, step: int, block: int):
+        self.n, self.step, self.block = n, step * 60_000_000, block * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames = handle.getMapState("frames", "at long", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        for pdf in rows:
+            for at, values in zip(pdf["at"].tolist(), pdf["values"], strict=True):
+                self.frames.updateValue((at,), (None if values is None else [float(v) for v in values],))
+                if at // self.block == key[1]:
+                    self.handle.registerTimer(at // 1000)
+        self.handle.registerTimer(((key[1] + 1) * self.block + self.n * self.step) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if at >= (key[1] + 1) * self.block:
+            self.frames.clear()
+            return
+        lags = [k for k in range(self.n) if self.frames.containsKey((at - k * self.step,))]
+        found = [self.frames.getValue((at - k * self.step,))[0] for k in lags]
+        yield pd.DataFrame({"source": [key[0]], "at": [at], "lags": [lags], "found": [found]})
+        old = (at - (self.n - 1) * self.step,)
+        if self.n > 1 and self.frames.containsKey(old):
+            self.frames.removeKey(old)
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_frames_state(
+    stream: DataFrame,
+    n: int,
+    step: int = 10,
+    late_minutes: int = 10,
+    source: str = "source",
+    ts: str = "frame_ts",
+    values: str = "values",
+    block_minutes: int = 1440,
+) -> DataFrame:
+    """:func:`trailing_frames` with every frame once in keyed state (RocksDB).
+
+    A source is cut into stretches of ``block_minutes``, so that a busy one spreads over many keys; only
+    the last ``n - 1`` steps of a stretch are sent to the next one as well. Times of frames are whole
+    milliseconds. A frame that comes again replaces the earlier one.
+    """
+    block = block_minutes * 60_000_000
+    timed = stream.select(
+        F.col(source).alias("source"), F.col(ts).cast("timestamp").alias("frame_ts"),
+        F.col(values).cast("array<double>").alias("values"),
+    ).withWatermark("frame_ts", f"{late_minutes} minutes")
+    at = F.unix_micros("frame_ts")
+    stretch = lambda t: F.floor(t / F.lit(block)).cast("long")
+    reach = F.array_distinct(F.array(stretch(at), stretch(at + F.lit((n - 1) * step * 60_000_000))))
+    sent = timed.select("source", F.explode(reach).alias("block"), "frame_ts", at.alias("at"), "values")
+    out = sent.where("source is not null and frame_ts is not null").groupBy("source", "block").transformWithStateInPandas(
+        statefulProcessor=TrailingFrames(n, step, block_minutes),
+        outputStructType="source string, at long, lags array<int>, found array<array<double>>",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    moment = lambda lag: F.timestamp_micros(F.col("at") - lag.cast("long") * F.lit(step * 60_000_000))
+    pairs = F.zip_with("lags", "found", lambda lag, v: F.struct(
+        lag.alias("lag"), moment(lag).alias("frame_ts"), v.alias("values")
+    ))
+    return out.select("source", F.timestamp_micros("at").alias("key_ts"), pairs.alias("frames"))

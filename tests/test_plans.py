@@ -68,10 +68,12 @@ def test_object_windows_share_one_partitioning(spark, tmp_path, static_plans):
     assert shuffles(stats) == 2
 
 
-def test_packing_and_ensembles_shuffle_once(spark, tmp_path, static_plans):
+def test_packing_merges_repeats_before_they_move(spark, tmp_path, static_plans):
     f = stored(spark, tmp_path, V.frames(spark, SF).select("vec_id", "values"), "f")
     cells = grid.unpack_frames(f, 8, ["vec_id"])
-    assert shuffles(grid.pack_frames(cells, 8, 8, ["vec_id"])) == 1
+    packed = grid.pack_frames(cells, 8, 8, ["vec_id"])
+    # by frame and cell with a partial maximum, then one row per cell by frame
+    assert shuffles(packed) == 2 and "partial_max" in plan(packed)
     members = f.withColumn("member", F.explode(F.array(F.lit(0), F.lit(1))))
     assert shuffles(grid.ensemble_mean_packed(members, ["vec_id"], 8)) == 1
 

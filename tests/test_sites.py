@@ -162,6 +162,6 @@ def test_means_with_missing_members(spark):
 def test_frames_without_motion_have_missing_forecasts(spark):
     frames = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "frame_ts int, values array<double>")
     motion = spark.createDataFrame([(2, 0, 0, 0, 1), (2, 0, 1, 0, 1)], "frame_ts int, bi int, bj int, di int, dj int")
-    out = grid.extrapolate(frames, motion, 1, 2, 1, 1, keep_missing=True)
+    out = grid.extrapolate(frames, motion, 1, 2, 1, 1)
     assert {r.frame_ts: r["values"] for r in out.collect()} == {1: None, 2: [3.0, 3.0]}
-    assert grid.extrapolate(frames, motion, 1, 2, 1, 1).count() == 1
+    assert grid.extrapolate(frames, motion, 1, 2, 1, 1, keep_missing=False).count() == 1
