@@ -2,7 +2,9 @@
 
 A text is read as lower-case letters, with one space for everything between them. An n-gram of
 ``order`` characters is one 64-bit number: the characters' places in the model's alphabet, at
-``60 // order`` bits each; hashes of it (one to one) are what the sorted tables hold.
+``60 // order`` bits each; hashes of it (one to one) are what the sorted tables hold. Every character
+has a place of its own: where the alphabet is too wide for an order, the order is lowered
+(``fitting_order``).
 """
 
 from __future__ import annotations
@@ -31,6 +33,18 @@ def letters(digits: bool = False) -> np.ndarray:
     return _LETTERS[digits]
 
 
+def lowered(cp: np.ndarray, digits: bool = False) -> np.ndarray:
+    """:func:`letters` of code points of all planes."""
+    out = letters(digits)[np.minimum(cp, 0xFFFF)]
+    wide = np.flatnonzero(cp >= 1 << 16)
+    if len(wide):
+        kinds, at = np.unique(cp[wide], return_inverse=True)
+        chars = [chr(c) for c in kinds.tolist()]
+        own = [ord(c.lower()[0]) if c.isalpha() or digits and c.isalnum() else SPACE for c in chars]
+        out[wide] = np.array(own, np.uint32)[at]
+    return out
+
+
 def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the offsets of the rows among them."""
     if not len(data):
@@ -56,7 +70,7 @@ def letter_stream(
     Returns the characters, the rows' offsets (at the first pad), and which rows have a letter.
     """
     cp, at = code_points(data, offs)
-    low = np.where(cp < 1 << 16, letters(digits)[np.minimum(cp, 0xFFFF)], cp)
+    low = lowered(cp, digits)
     gap = low == SPACE
     keep = ~gap
     # A space stays where it follows a letter of the same row.
@@ -73,12 +87,21 @@ def letter_stream(
     return out, offs_out, np.diff(upto) > 0
 
 
+def fitting_order(n_chars: int, order: int) -> int:
+    """The longest n-grams, up to ``order``, that keep ``n_chars`` characters apart."""
+    while order > 1 and (1 << (60 // order)) - 2 < n_chars:
+        order -= 1
+    return order
+
+
 def alphabet_table(chars: np.ndarray, order: int) -> np.ndarray:
-    """Place of each code point of the basic plane in the alphabet: 1, 2, ...; the last is unknown."""
-    most = (1 << (60 // order)) - 2
-    out = np.full(1 << 16, most + 1, np.uint64)
-    known = [c for c in chars.tolist() if c < 1 << 16][:most]
-    out[known] = np.arange(1, len(known) + 1)
+    """Place of each code point in the alphabet: 1, 2, ...; the last entry, which stands for all code
+    points beyond the table, and those between are unknown."""
+    if fitting_order(len(chars), order) != order:
+        raise ValueError(f"{len(chars)} characters need a lower order than {order}")
+    size = max([1 << 16, *(int(c) + 2 for c in chars)])
+    out = np.full(size, (1 << (60 // order)) - 1, np.uint32)
+    out[chars] = np.arange(1, len(chars) + 1)
     return out
 
 
@@ -99,7 +122,7 @@ def row_grams(data, offs, table, order, in_word=False) -> tuple[np.ndarray, np.n
     shorter and begins with that space.
     """
     stream, at, has = letter_stream(data, offs, order - 1)
-    ids = table[np.minimum(stream, 0xFFFF)]
+    ids = table[np.minimum(stream, len(table) - 1)].astype(np.uint64)
     grams = packed(ids, order)
     if in_word and len(grams):
         last = np.maximum.accumulate(np.where(stream == SPACE, np.arange(len(stream), dtype=np.int32), 0))

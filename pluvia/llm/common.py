@@ -37,20 +37,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: With this setting Spark deletes the shuffle files of a finished query at once.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, clear: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The files are columnar and compressed, every executor can read them, and a lost
-    executor costs only its unfinished tasks. They stay until the folder that
-    ``spark.checkpoint.dir`` names is cleared.
+    executor costs only its unfinished tasks. They stay until ``forget``, or until the folder
+    that ``spark.checkpoint.dir`` names is cleared. With ``clear`` the shuffle files of the write,
+    which nothing else uses, go with its end.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    if clear:
+        spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clear and before is None:
+            spark.conf.unset(CLEAN)
+        elif clear:
+            spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(old: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once nothing reads them any more."""
+    spark = old.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " ")

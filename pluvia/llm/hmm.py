@@ -8,18 +8,19 @@ of it.
 Every word has emission probabilities of its own per state: its expected counts, one more
 token dealt by the states' shares, and a share of the unigram model; a word that training did not
 see has the last two. The vocabulary grows with the corpus, so it is split. The ``HEAD`` most
-frequent words (a bound, found by a histogram of counts) travel with the query. The expected
-counts of all others are a table by word. Texts are stored as chunks of about ``RUN_TOKENS``
-symbols with the list of the chunk's other words; each iteration joins these lists with the table,
-brings the counts to their chunk, and adds up the new ones by word. So frequent words never are
-keys of a join, and where the split lies does not change the model.
+frequent words (a bound, found by a histogram of counts) travel with the query. All others are
+dealt to ranges of their hashes. Texts are stored as chunks of about ``RUN_TOKENS`` symbols, and
+each chunk and range share one sorted list of words. Only then on do counts move, one packed array
+per chunk and range: a range adds up the arrays of its chunks and answers each with the sums of its
+words. So frequent words never are keys of a shuffle, no row is a single word, and where the split
+lies does not change the model. A range holds about ``RANGE_TOKENS`` tokens whatever the corpus'
+size. Every step is stored, and what the next step replaces is deleted.
 
 Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import query, remainder, stored, table
+from pluvia.llm.common import forget, query, remainder, stored, table
 from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, mixed, pieces, span_hashes, word_spans
 
 STATES = 6
@@ -41,7 +42,11 @@ SEED = 5
 #: Weight of the unigram distribution in a state's emissions, in tokens.
 SMOOTHING = 50.0
 #: Tokens that are run through the recursions together.
-RUN_TOKENS = 1_000_000
+RUN_TOKENS = 2_500_000
+#: Tokens outside the head whose words make a range.
+RANGE_TOKENS = 500_000
+#: Tasks that add up the heads of all chunks.
+HEAD_TASKS = 32
 #: Distinct words that a task adds up before it passes them on.
 HELD_WORDS = 2_000_000
 
@@ -94,6 +99,11 @@ class Vocabulary:
         """Symbol of all words outside the head; the end is the one after it."""
         return len(self.counts)
 
+    @property
+    def ranges(self) -> int:
+        """Ranges of the hashes of the words outside the head; grows with their tokens."""
+        return 1 + self.rare_tokens // RANGE_TOKENS
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         place = self.head.find(h)
         return np.where(place < 0, np.int32(self.rare), place)
@@ -189,231 +199,354 @@ class Packed:
 
     def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
         self.order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[self.order]
-        first = (np.cumsum(np.append(0, sizes[:-1])) if len(sizes) else sizes).astype(np.int64)
-        n = int(sizes[0]) if len(sizes) else 0
-        live = np.searchsorted(-sizes, -np.arange(1, n + 1), "right")  # how many reach step t
-        self.live = live
-        self.steps = np.concatenate([[0], np.cumsum(live)])
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        t = np.arange(len(row)) - first[row]
-        begin = np.zeros(len(sizes), np.int64)
-        begin[self.order] = np.arange(len(sizes))
-        original = np.concatenate([[0], np.cumsum(sizes[begin])])[:-1][self.order]
-        self.symbols = np.empty(len(row), np.int64)
-        self.symbols[self.steps[t] + row] = symbols[original[row] + t]
-
-
-def forward(model: Hmm, x: Packed, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        ordered = sizes[self.order]
+        n = int(ordered[0]) if len(ordered) else 0
+        self.live = np.searchsorted(-ordered, -np.arange(1, n + 1), "right")  # how many reach step t
+        self.steps = np.concatenate([[0], np.cumsum(self.live)])
+        place = np.empty(len(sizes), np.int64)
+        place[self.order] = np.arange(len(sizes))
+        # Where each symbol goes: its step's slice, its sequence's place in it.
+        step = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = self.steps[step]
+        at += np.repeat(place, sizes)
+        self.symbols = np.empty(len(symbols), np.int32)
+        self.symbols[at] = symbols
+
+    @property
+    def spans(self) -> list[tuple[int, int, int]]:
+        """Number of sequences, begin and end of every step's slice."""
+        return list(zip(self.live.tolist(), self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True))
+
+
+def forward(
+    model: Hmm, x: Packed, keep: bool, kind: type = np.float64
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Natural-log likelihoods in the original order; with ``keep`` all scaled vectors and scales."""
-    n, k = len(x.order), len(model.start)
-    total = np.zeros(n)
-    vectors = np.empty((len(x.symbols), k), np.float32) if keep else None
-    scales = np.empty(len(x.symbols)) if keep else None
-    a = np.broadcast_to(model.start, (n, k))
-    for t, live in enumerate(x.live.tolist()):
-        at = slice(x.steps[t], x.steps[t + 1])
-        a = (a if t == 0 else a[:live] @ model.move) * model.emit[x.symbols[at]]
-        c = a.sum(1)
-        a = a / c[:, None]
-        total[:live] += np.log(c)
-        if keep:
-            vectors[at], scales[at] = a, c
-    out = np.empty(n)
+    vectors = model.emit.astype(kind)[x.symbols]
+    move, ones = model.move.astype(kind), np.ones(len(model.start), kind)
+    scales = np.empty(len(x.symbols), kind)
+    last = None
+    for live, lo, hi in x.spans:
+        a = vectors[lo:hi]
+        a *= model.start.astype(kind) if last is None else last[:live] @ move
+        c = scales[lo:hi]
+        np.dot(a, ones, out=c)
+        a /= c[:, None]
+        last = a
+    total = np.zeros(len(x.order))
+    logs = np.log(scales.astype(np.float64))
+    for live, lo, hi in x.spans:
+        total[:live] += logs[lo:hi]
+    out = np.empty(len(x.order))
     out[x.order] = total
-    return out, vectors, scales
+    return (out, vectors, scales) if keep else (out, None, None)
 
 
-def expected_counts(model: Hmm, x: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected_counts(model: Hmm, x: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of the sequences, by the backward recursion."""
     k = len(model.start)
-    _, vectors, scales = forward(model, x, True)
+    _, vectors, scales = forward(model, x, True, kind)
+    onwards = model.emit.astype(kind)[x.symbols]
+    onwards /= scales[:, None]
+    back = np.ascontiguousarray(model.move.T, kind)
     move = np.zeros((k, k))
-    b = np.ones((0, k))
-    for t in range(len(x.live) - 1, -1, -1):
-        live, at = int(x.live[t]), slice(x.steps[t], x.steps[t + 1])
-        # Sequences that end at this step begin here with ones.
-        b = np.concatenate([b, np.ones((live - len(b), k))])
-        a = vectors[at].astype(np.float64)
-        vectors[at] = a * b
+    # Sequences that end at a step begin there with ones.
+    b = np.ones((len(x.order), k), kind)
+    spans = x.spans
+    for t in range(len(spans) - 1, -1, -1):
+        live, lo, hi = spans[t]
+        w, now = onwards[lo:hi], b[:live]
+        w *= now
+        a = vectors[lo:hi]
+        a *= now
         if t:
-            onwards = model.emit[x.symbols[at]] * b / scales[at, None]
-            before = slice(x.steps[t - 1], x.steps[t - 1] + live)
-            move += vectors[before].astype(np.float64).T @ onwards
-            b = onwards @ model.move.T
+            before = spans[t - 1][1]
+            move += vectors[before : before + live].T @ w
+            np.dot(w, back, out=now)
     start = vectors[: x.live[0]].sum(0, dtype=np.float64) if len(x.live) else np.zeros(k)
     emit = np.stack([np.bincount(x.symbols, vectors[:, s], len(model.emit)) for s in range(k)], 1)
     return start, move * model.move, emit
 
 
-CHUNKS = "chunk long, ids array<long>, sizes array<int>, symbols binary, rare array<long>"
+#: Texts of a chunk; and of each chunk and range the sorted words, or numbers of them.
+CHUNKS = "chunk long, range int, ids array<long>, sizes array<int>, data binary, n int"
+PARTS = "range int, chunk long, n int, data binary"
+#: The range of a chunk's texts, and of the sums of starts, moves and head.
+SUMS = -1
+#: In place of a chunk: all words of a range with their counts, the first sums.
+WORDS, FIRST = -(1 << 62), -(1 << 62) + 1
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Little-endian values, the first bytes of all, then the second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
 
+def _unpack(data, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
 
-def _chunk_batches(words: Vocabulary):
-    """Whole texts with their ends, about ``RUN_TOKENS`` symbols a row.
 
-    Symbols from ``words.rare + 2`` on are places in the row's list of words outside the head.
+def _parts(rows: list[tuple], sums: bool = False) -> pa.RecordBatch:
+    names = ["range", "chunk", "n", "data", "sums"][: 4 + sums]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()][: 4 + sums]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return _rows(names, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)])
+
+
+def _ranges(words: np.ndarray, n: int) -> np.ndarray:
+    """Edges of ``n`` ranges of hashes among sorted words."""
+    borders = np.array([(r << 64) // n for r in range(1, n)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(words, borders), [len(words)]])
+
+
+def _chunk_batches(words: Vocabulary, ranges: int):
+    """Whole texts with their ends, about ``RUN_TOKENS`` symbols a row, and the chunk's other words.
+
+    Symbols from ``words.rare + 2`` on are places in the chunk's list of words outside the head,
+    which follows in a row per range: ``n`` hashes, then how often each occurs.
     """
 
-    def row(chunk: int, held: list) -> pa.RecordBatch:
-        symbols, h, sizes, ids = (np.concatenate([x[k] for x in held]) if k < 3 else pa.concat_arrays([x[k] for x in held]) for k in range(4))
+    def rows(chunk: int, held: list) -> pa.RecordBatch:
+        symbols, h, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
+        ids = pa.concat_arrays([x[3] for x in held])
         where = np.flatnonzero(symbols == words.rare)
-        rare, at = np.unique(h[where], return_inverse=True)
+        rare, at, times = np.unique(h[where], return_inverse=True, return_counts=True)
         symbols[where] = words.rare + 2 + at
+        edges = _ranges(rare, ranges)
+        full = [r for r in range(ranges) if edges[r] < edges[r + 1]]
+        cut = [slice(edges[r], edges[r + 1]) for r in full]
+        data = [_pack(symbols), *[_pack(np.concatenate([rare[c], times[c].astype(np.uint64)])) for c in cut]]
+        none = pa.array([None] * len(full), pa.list_(pa.int64()))
         return _rows(
-            ["chunk", "ids", "sizes", "symbols", "rare"], pa.array([chunk], pa.int64()),
-            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-            pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
-            pa.array([pa.compress(symbols.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), pa.array(rare.view(np.int64))),
-        )
+            ["chunk", "range", "ids", "sizes", "data", "n"], pa.array([chunk] * (1 + len(full)), pa.int64()),
+            pa.array([SUMS, *full], pa.int32()),
+            pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), none]),
+            pa.concat_arrays([
+                pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
+                pa.array([None] * len(full), pa.list_(pa.int32())),
+            ]),
+            pa.array(data, pa.binary()), pa.array([len(symbols), *[c.stop - c.start for c in cut]], pa.int32()),
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         held: list = []
         total = 0
-        for rows, data, offs in pieces(batches):
+        for part, data, offs in pieces(batches):
             h, at = piece_words(data, offs)
-            symbols = np.insert(words.symbols(h).astype(np.int64), at[1:], words.rare + 1)
-            held.append((symbols, np.insert(h, at[1:], np.uint64(0)), np.diff(at) + 1, rows.column("doc_id")))
+            symbols = np.insert(words.symbols(h), at[1:], np.int32(words.rare + 1))
+            held.append((symbols, np.insert(h, at[1:], np.uint64(0)), np.diff(at) + 1, part.column("doc_id")))
             total += len(symbols)
             if total >= RUN_TOKENS:
-                yield row(chunk, held)
+                yield rows(chunk, held)
                 chunk, held, total = chunk + 1, [], 0
         if held:
-            yield row(chunk, held)
+            yield rows(chunk, held)
 
     return run
 
 
-def _chunks(docs: DataFrame, words: Vocabulary) -> DataFrame:
+def _chunks(docs: DataFrame, words: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """``chunk, ids, sizes, data, n``: the texts; ``chunk, range, data, n``: words by range."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(_chunk_batches(words), CHUNKS))
+    both = stored(rows.mapInArrow(_chunk_batches(words, words.ranges), CHUNKS), clear=True)
+    texts = both.where(F.col("range") == SUMS).select("chunk", "ids", "sizes", "data", "n")
+    return texts, both.where(F.col("range") != SUMS).select("chunk", "range", "data", "n")
 
 
-def _with_counts(chunks: DataFrame, table_: DataFrame):
-    """Chunks, each with the rows of ``table_`` of its words outside the head."""
-    own = chunks.select(F.col("chunk").alias("of"), F.posexplode("rare").alias("at", "w")).join(table_, "w").drop("w")
-    return chunks.groupBy("chunk").cogroup(own.groupBy("of"))
+def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words of a chunk in a range, and how often each occurs there."""
+    both = _unpack(row["data"], "<u8", 2 * row["n"])
+    return both[: row["n"]], both[row["n"] :].astype(np.int64)
 
 
-def _unpacked(chunk: pa.Table, own: pa.Table, model: Hmm) -> tuple[Hmm, Packed, np.ndarray, np.ndarray, np.ndarray]:
-    """The model with the chunk's emissions, its texts, their sizes and symbols, and the list."""
-    row = chunk.combine_chunks().to_batches()[0]
-    sizes = row.column("sizes").values.to_numpy().astype(np.int64)
-    symbols = pa.decompress(row.column("symbols")[0].as_buffer(), 4 * int(sizes.sum()), "zstd")
-    symbols = np.frombuffer(symbols, "<i4").astype(np.int64)
-    rare = row.column("rare").values.to_numpy(zero_copy_only=False)
-    c = np.zeros((len(rare), len(model.start)))
-    c[own.column("at").to_numpy()] = np.stack([own.column(f"c{s}").to_numpy() for s in range(c.shape[1])], 1)
-    local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
-    return local, Packed(symbols, sizes), sizes, symbols, rare
+def _first_answers(states: int):
+    """Of a range the places of every chunk's words among all of its words, and the first counts.
 
+    Rows of the chunk's number carry the counts for it, rows of ``~chunk`` its places; one row has all
+    words with their counts, one the first sums.
+    """
 
-def baum_welch(model: Hmm, chunks: DataFrame, counts: DataFrame, words: Vocabulary) -> tuple[Hmm, DataFrame]:
-    """One iteration over all texts: the new model and the counts ``w, c0, c1, ...`` of the words
-    outside the head. The driver gets the sums of the head, which are bounded."""
-    k = len(model.start)
-    names = [f"c{s}" for s in range(k)]
-    size = len(words.counts) + 2
-
-    def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
-        local, x, _, _, rare = _unpacked(chunk, own, model)
-        start, move, emit = expected_counts(local, x)
-        head, tail = emit[:size], emit[size:]
-        head[words.rare] = tail.sum(0)
-        seen = np.flatnonzero(head.sum(1))
-        kind = np.concatenate([[0], np.full(k, 1), np.full(len(seen), 2), np.full(len(rare), 3)])
-        at = np.concatenate([[0], np.arange(k), seen, rare])
-        values = np.vstack([start[None], move, head[seen], tail])
-        return pa.Table.from_batches([_rows(["kind", "at", *names], kind, at, *values.T.astype(np.float32))])
-
-    schema = "kind long, at long, " + ", ".join(f"{c} float" for c in names)
-    parts = _with_counts(chunks, counts).applyInArrow(run, schema)
-    sums = stored(parts.groupBy("kind", "at").agg(*[F.sum(c).cast("float").alias(c) for c in names]))
-    rows = sums.where("kind < 3").toPandas()
-    start, move, emit = np.zeros((1, k)), np.zeros((k, k)), np.zeros_like(model.emit)
-    for kind, into in enumerate((start, move, emit)):
-        part = rows[rows.kind == kind]
-        into[part["at"].to_numpy()] = part[names].to_numpy()
-    return model.updated(start[0], move, emit, words), sums.where("kind = 3").select(F.col("at").alias("w"), *names)
-
-
-def _first_counts(states: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            w, n = (rows.column(c).to_numpy() for c in ("w", "n"))
-            c = (n + 1)[:, None] * noise(w.view(np.uint64), states)
-            yield _rows(["w", *[f"c{s}" for s in range(states)]], w, *c.T.astype(np.float32))
+    def run(key: tuple, lists: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        rows = lists.to_pylist()
+        own = [_words_of(row) for row in rows]
+        words, at = np.unique(np.concatenate([w for w, _ in own]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([k for _, k in own])).astype(np.int64)
+        c = ((n + 1)[:, None] * noise(words, states)).astype("<f4")
+        out = [(r, WORDS, len(words), _pack(np.concatenate([words, n.astype(np.uint64)]))), (r, FIRST, states, _pack(c.sum(0, dtype=np.float64)))]
+        lo = 0
+        for row, (w, _) in zip(rows, own, strict=True):
+            places = at[lo : lo + len(w)]
+            lo += len(w)
+            out.append((r, row["chunk"], len(w), _pack(c[places])))
+            out.append((r, ~row["chunk"], len(w), _pack(places.astype("<i4"))))
+        return pa.Table.from_batches([_parts(out)])
 
     return run
 
 
-def _outside(counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """Counts of the words outside the head."""
-    least = int(words.counts.min()) if len(words.counts) else None
-    return counts if least is None else counts.where(F.col("n") < least)
+def _answers(states: int):
+    """A range's sums: one answer for each chunk, and with chunk ``WORDS`` all of them."""
 
+    def run(key: tuple, parts: pa.Table, places: pa.Table) -> pa.Table:
+        at = {~row["chunk"]: _unpack(row["data"], "<i4", row["n"]) for row in places.to_pylist()}
+        total = np.zeros((1 + max((int(a.max()) for a in at.values()), default=-1), states))
+        for row in parts.to_pylist():
+            total[at[row["chunk"]]] += _unpack(row["data"], "<f4", row["n"] * states).reshape(-1, states)
+        total = total.astype("<f4")
+        r = key[0].as_py()
+        out = [(r, chunk, len(a), _pack(total[a])) for chunk, a in at.items()]
+        return pa.Table.from_batches([_parts([*out, (r, WORDS, len(total), _pack(total))])])
 
-def _forget(old: DataFrame) -> None:
-    """Delete the stored counts of an earlier iteration; shuffle files go once nothing refers to them."""
-    jvm = old.sparkSession._jvm
-    conf = old.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    return run
+
+
+def _unpacked(text: dict, own: pa.Table, width: int, kind: str) -> tuple[Packed, np.ndarray, np.ndarray, list]:
+    """A chunk's texts, their sizes, the answers of all ranges in order, and (range, words) of each."""
+    sizes = np.asarray(text["sizes"], np.int64)
+    rows = sorted(own.to_pylist(), key=lambda row: row["range"])
+    c = [_unpack(row["data"], kind, row["n"] * width).reshape(-1, width) for row in rows]
+    c = np.concatenate([np.zeros((0, width), kind), *c])
+    return Packed(_unpack(text["data"], "<i4", text["n"]), sizes), sizes, c, [(row["range"], row["n"]) for row in rows]
+
+
+def _counted(model: Hmm, words: Vocabulary):
+    """A chunk's expected counts: a row for the head with start and moves, one per range."""
+    k, size = len(model.start), len(words.counts) + 2
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        out = []
+        for text in texts.to_pylist():
+            x, _, c, ranges = _unpacked(text, own, k, "<f4")
+            local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
+            start, move, emit = expected_counts(local, x, np.float32)
+            head, tail = emit[:size], emit[size:].astype("<f4")
+            head[words.rare] = emit[size:].sum(0)
+            sums = np.vstack([start[None], move, head]).astype("<f4")
+            out.append((SUMS, text["chunk"], len(sums), None, _pack(sums)))
+            lo = 0
+            for r, n in ranges:
+                out.append((r, text["chunk"], n, _pack(tail[lo : lo + n]), None))
+                lo += n
+        return pa.Table.from_batches([_parts(out, True)])
+
+    return run
+
+
+def _sum_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the heads of a task's chunks."""
+    total = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            sums = _unpack(row["sums"], "<f4", row["n"]).astype(np.float64)
+            total = sums if total is None else total + sums
+    if total is not None:
+        yield _rows(["n", "sums"], pa.array([len(total)], pa.int32()), pa.array([_pack(total)], pa.binary()))
+
+
+def baum_welch(model: Hmm, texts: DataFrame, places: DataFrame, answers: DataFrame, words: Vocabulary) -> tuple[Hmm, DataFrame]:
+    """One iteration over all texts: the new model and the ranges' new answers.
+
+    The driver gets the sums of the head, an array from each of ``HEAD_TASKS`` tasks.
+    """
+    k = len(model.start)
+    mine = answers.where(F.col("chunk") >= 0)
+    counted = texts.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_counted(model, words), PARTS + ", sums binary")
+    parts = stored(counted, clear=True)
+    sums = np.zeros((1 + k + len(words.counts) + 2, k))
+    heads = parts.where("sums is not null").select((F.col("n") * k).cast("int").alias("n"), "sums").coalesce(HEAD_TASKS)
+    for row in heads.mapInArrow(_sum_batches, "n int, sums binary").collect():
+        sums += _unpack(bytes(row.sums), "<f8", row.n).reshape(-1, k)
+    tails = parts.where(F.col("range") != SUMS).select("range", "chunk", "n", "data").groupBy("range")
+    new = stored(tails.cogroup(places.groupBy("range")).applyInArrow(_answers(k), PARTS), clear=True)
+    forget(parts)
+    return model.updated(sums[0], sums[1 : 1 + k], sums[1 + k :], words), new
 
 
 def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, iterations: int = ITERATIONS) -> tuple[Hmm, Vocabulary, DataFrame]:
-    """Model, vocabulary and the table ``w, n, c0, c1, ...`` of the words of ``docs`` outside the head."""
+    """Model, vocabulary, and the words of ``docs`` outside the head by range: ``range, n, words, data``,
+    hashes with their counts, and counts per state."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    names = [f"c{s}" for s in range(states)]
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = stored(texts.mapInArrow(_count_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    words = vocabulary(counts, texts.count(), head)
-    outside = _outside(counts, words)
-    schema = "w long, " + ", ".join(f"{c} float" for c in names)
-    own = stored(outside.mapInArrow(_first_counts(states), schema))
-    rest = own.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
-    model = Hmm.begin(words, np.array(rest, float), states)
-    chunks = _chunks(docs, words)
+    given = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = stored(given.mapInArrow(_count_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), clear=True)
+    words = vocabulary(counts, given.count(), head)
+    forget(counts)
+    texts, lists = _chunks(given, words)
+    first = stored(lists.groupBy("range").applyInArrow(_first_answers(states), PARTS), clear=True)
+    rest = np.zeros(states)
+    for row in first.where(F.col("chunk") == FIRST).toLocalIterator():
+        rest += _unpack(bytes(row.data), "<f8", states)
+    model = Hmm.begin(words, rest, states)
+    places = first.where((F.col("chunk") < 0) & (F.col("chunk") > FIRST))
+    answers = first
     for _ in range(FIRST_ITERATIONS + iterations):
-        old = own
-        model, own = baum_welch(model, chunks, old, words)
-        _forget(old)
-    known = stored(outside.join(own, "w"))
-    _forget(own)
-    _forget(chunks)
+        old = answers
+        model, answers = baum_welch(model, texts, places, old, words)
+        if old is not first:
+            forget(old)
+    own = first.where(F.col("chunk") == WORDS).select("range", "n", F.col("data").alias("words"))
+    sums = answers.where(F.col("chunk") == WORDS).select("range", "data")
+    known = stored(own.join(sums, "range"), clear=True)
+    for done in (texts, first, answers):
+        forget(done)
     return model, words, known
 
 
+def _known(states: int):
+    """Of every chunk's words in a range their training counts (0: not seen) and counts per state."""
+
+    def run(key: tuple, lists: pa.Table, known: pa.Table) -> pa.Table:
+        words, n, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, states), "<f4")
+        for row in known.to_pylist():
+            words, n = _words_of({"n": row["n"], "data": row["words"]})
+            c = _unpack(row["data"], "<f4", row["n"] * states).reshape(-1, states)
+        table_ = np.vstack([np.hstack([n[:, None], c]), np.zeros((1, 1 + states))])  # the last row: not seen
+        out = []
+        for row in lists.to_pylist():
+            w, _ = _words_of(row)
+            at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
+            at = np.where(words[at] == w, at, len(words)) if len(words) else np.zeros(len(w), np.int64)
+            out.append((key[0].as_py(), row["chunk"], len(w), _pack(table_[at])))
+        return pa.Table.from_batches([_parts(out)])
+
+    return run
+
+
 def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Null and empty texts are their end alone. Repeated rows are scored each, other columns are
     left out. Without training texts every token has probability one in the base model.
     """
+    k = len(model.start)
 
-    def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
-        local, x, sizes, symbols, rare = _unpacked(chunk, own, model)
-        logs, _, _ = forward(local, x, False)
-        n = np.concatenate([words.counts, [0, words.n_texts], np.zeros(len(rare), np.int64)])
-        n[len(words.counts) + 2 + own.column("at").to_numpy()] = own.column("n").to_numpy()
-        first = np.cumsum(sizes) - sizes
-        known = np.add.reduceat((n > 0)[symbols].astype(np.int64), first)
-        base = np.add.reduceat(words.base(n)[symbols], first)
-        ids = chunk.combine_chunks().to_batches()[0].column("ids").values
-        return pa.Table.from_batches([_rows(
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ids, sizes, known,
-            np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),
-        )])
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        out = []
+        for text in texts.to_pylist():
+            x, sizes, found, _ = _unpacked(text, own, 1 + k, "<f8")
+            local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(found[:, 1:])]))
+            logs, _, _ = forward(local, x, False)
+            n = np.concatenate([words.counts, [0, words.n_texts], found[:, 0].astype(np.int64)])
+            symbols = _unpack(text["data"], "<i4", text["n"])
+            first = np.cumsum(sizes) - sizes
+            known = np.add.reduceat((n > 0)[symbols].astype(np.int64), first)
+            base = np.add.reduceat(words.base(n)[symbols], first)
+            out.append(_rows(
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], pa.array(text["ids"], pa.int64()),
+                sizes, known, np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),
+            ))
+        return pa.Table.from_batches(out)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _with_counts(_chunks(docs, words), counts).applyInArrow(run, schema)
+    texts, lists = _chunks(docs, words)
+    own = lists.groupBy("range").cogroup(counts.groupBy("range")).applyInArrow(_known(k), PARTS)
+    return texts.groupBy("chunk").cogroup(stored(own, clear=True).groupBy("chunk")).applyInArrow(run, schema)
 
 
 @query("op6_hmm")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pluvia.llm.charlm import (
     alphabet_table,
+    fitting_order,
     char_count_batches,
     gram_count_batches,
     hashed,
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) ->
     ))
     chars = sample.select("text").mapInArrow(char_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     chars = [r.c for r in sorted(chars.collect(), key=lambda r: (-r.n, r.c))]
+    order = fitting_order(len(chars), order)
     alphabet = alphabet_table(np.array(chars, np.int64), order)
     counts = sample.where("part > 0").mapInArrow(gram_count_batches(alphabet, order, "cls"), "cls long, gram long, n long")
     rows = counts.groupBy("cls", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["cls", "gram"])

@@ -75,16 +75,24 @@ def _fingerprint_batches(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in pieces(batches):
             f = fingerprints_of(*shingle_hashes(data, offs, k))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "f"])
+            names = rows.schema.names[:-1]  # all but the text
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in names), pa.array(f.view(np.int64))], [*names, "f"]
+            )
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, f``: the fingerprint as a signed 64-bit number; null texts are empty."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, key: str | None = None) -> DataFrame:
+    """``doc_id, f``: the fingerprint as a signed 64-bit number; null texts are empty. With ``key`` the
+    long column of that name stands between them, as ``key``."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches(shingle_words), "doc_id long, f long")
+    keys = [] if key is None else [F.col(f"`{key}`").cast("long").alias("key")]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text")
+    )
+    schema = "doc_id long, f long" if key is None else "doc_id long, key long, f long"
+    return rows.mapInArrow(_fingerprint_batches(shingle_words), schema)
 
 
 def _quarter_counts(f: np.ndarray) -> np.ndarray:
@@ -237,6 +245,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _partitions(spark: SparkSession, partitions: int | None) -> int:
+    return partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def roots(marked: DataFrame, max_bits: int, n: int) -> DataFrame:
+    """``f, least, root``: of every fingerprint its smallest id and the fingerprint of its component."""
+    smallest = stored(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
+    joined = stored(components(stored(fingerprint_links(smallest.select("f"), max_bits, n))))
+    return smallest.join(joined, smallest["f"] == joined["node"], "left").select(
+        "f", "least", F.coalesce("root", "f").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, partitions: int | None = None
 ) -> DataFrame:
@@ -248,14 +269,9 @@ def near_duplicates(
     component only of rows that are linked to null ids alone. An empty table gives an empty
     result; other columns are left out.
     """
-    spark = docs.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = _partitions(docs.sparkSession, partitions)
     marked = stored(fingerprints(docs, shingle_words))
-    smallest = stored(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
-    joined = stored(components(stored(fingerprint_links(smallest.select("f"), max_bits, n))))
-    known = smallest.join(joined, smallest["f"] == joined["node"], "left").select(
-        "f", "least", F.coalesce("root", "f").alias("root")
-    )
+    known = roots(marked, max_bits, n)
     lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_value = stored(known.join(lowest, "root").select("f", "component_id"))
     # Equal fingerprints of many copies: Spark splits such a key, as the other side has it once.
@@ -267,14 +283,21 @@ def hexadecimal(f: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the component's smallest, with all their columns.
+    """One row of ``docs`` of each component, with all its columns: that with the smallest id, null ids
+    last, and of rows that repeat the id the first stored one.
 
-    Of rows that repeat an id all stay or all go. The ids that go are the other side of an
-    anti join, which leaves rows with a null id.
+    Rows are numbered when they are stored, so neither repeated nor missing ids matter.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
-    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    key = next(name for k in range(len(docs.columns) + 1) if (name := f"_row{k}") not in docs.columns)
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    marked = stored(fingerprints(rows, shingle_words, key))
+    known = stored(roots(marked, max_bits, _partitions(docs.sparkSession, None)))
+    placed = marked.join(known.select("f", "root"), "f")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    # The least row of a component: partial minima, so a large component is no hot key.
+    first = placed.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    gone = stored(marked.select("key").join(first, "key", "left_anti").select(F.col("key").alias("_gone")))
+    return rows.join(gone, rows[key] == gone["_gone"], "left_anti").drop(key)
 
 
 @query("op5_simhash")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pluvia.llm.charlm import (
     alphabet_table,
     char_count_batches,
+    fitting_order,
     gram_count_batches,
     hashed,
     kneser_ney,
@@ -85,18 +86,18 @@ def _ratio_table(keys: np.ndarray, ratio: np.ndarray) -> tuple[SortedHashes, np.
     return where, np.append(values, 0.0)
 
 
-def _model(counts: DataFrame, alphabet: np.ndarray, n_chars: int) -> Model:
+def _model(counts: DataFrame, alphabet: np.ndarray, n_chars: int, order: int = ORDER) -> Model:
     """What comes to the driver is bounded by the sample: one row per n-gram and class."""
     rows = counts.groupBy("cls", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["cls", "gram"])
     by_class = [rows[rows.cls == c] for c in (0, 1)]
     levels = kneser_ney(
-        [(r.gram.to_numpy().view(np.uint64), r.n.to_numpy()) for r in by_class], ORDER, n_chars, True, SPREADS, EXPECTED
+        [(r.gram.to_numpy().view(np.uint64), r.n.to_numpy()) for r in by_class], order, n_chars, True, SPREADS, EXPECTED
     )
     grams, p, contexts, weight = [], [], [], []
     begins = alphabet[0x20]
     for k, level in enumerate(levels, 1):
         # Counted n-grams have full length or begin with the space before their word.
-        own = level.mass.max(1) > 0 if k == ORDER else (level.grams >> np.uint64(60 // ORDER * (k - 1)) == begins) & (k > 1)
+        own = level.mass.max(1) > 0 if k == order else (level.grams >> np.uint64(60 // order * (k - 1)) == begins) & (k > 1)
         grams.append(level.grams[own])
         p.append(np.log(level.p[own]))
         uneven = level.backoff[:, 0] != level.backoff[:, 1]
@@ -105,7 +106,7 @@ def _model(counts: DataFrame, alphabet: np.ndarray, n_chars: int) -> Model:
     p, weight = np.concatenate(p), np.concatenate(weight)
     return Model(
         alphabet, _ratio_table(np.concatenate(grams), p[:, 1] - p[:, 0]),
-        _ratio_table(np.concatenate(contexts), weight[:, 1] - weight[:, 0]),
+        _ratio_table(np.concatenate(contexts), weight[:, 1] - weight[:, 0]), order,
     )
 
 
@@ -164,9 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sample = labelled_sample(docs, labels, sample_rows)
     chars = sample.select("text").mapInArrow(char_count_batches, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     chars = [r.c for r in sorted(chars.collect(), key=lambda r: (-r.n, r.c))]
-    alphabet = alphabet_table(np.array(chars, np.int64), ORDER)
-    counts = sample.where("part > 0").mapInArrow(gram_count_batches(alphabet, ORDER, "toxic", in_word=True), "cls long, gram long, n long")
-    model = _model(counts, alphabet, len(chars))
+    order = fitting_order(len(chars), ORDER)
+    alphabet = alphabet_table(np.array(chars, np.int64), order)
+    grams = gram_count_batches(alphabet, order, "toxic", in_word=True)
+    counts = sample.where("part > 0").mapInArrow(grams, "cls long, gram long, n long")
+    model = _model(counts, alphabet, len(chars), order)
     unseen = sample.where("part = 0").mapInArrow(_ratio_batches(model), "toxic long, ratio double, n long").collect()
     toxic, ratio, n = (np.array(x, float) for x in zip(*unseen, strict=True)) if unseen else (np.zeros(0),) * 3
     model.slope = calibrate(toxic, ratio, n)

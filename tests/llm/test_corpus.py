@@ -141,7 +141,7 @@ def test_code_points_and_letters():
     assert np.diff(at).tolist() == [len(t) for t in texts]
     stream, at, has = charlm.letter_stream(data, offs, 2)
     rows = ["".join(map(chr, stream[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
-    assert [r[2:-1].strip() for r in rows] == ["añ ß 𝄞x", "", "a b", "", "é"]
+    assert [r[2:-1].strip() for r in rows] == ["añ ß x", "", "a b", "", "é"]
     assert all(r[:2] == "  " and r[-1] == " " for r in rows)
     assert has.tolist() == [True, False, True, False, True]
 
