@@ -8,9 +8,14 @@ verified by banded alignment of the whole item. The bound is positive from 20 ch
 ``q = 10``, and for the shorter items that may have an edit with ``q = 8``. Items too short for
 an edit are looked up as whole words by their hash, then compared.
 
+The lemma holds for any part of an item's q-grams: of ``p`` of them a match lacks ``q k`` at most.
+So q-grams that very many items share, such as those of a common preamble, are left out of the
+index for every item that has enough others; this loses no match.
+
 The items travel with the query in blocks of at most ``BLOCK_CHARS`` characters (one longer item
-is a block of its own); every block is one pass over the texts, and nothing is shuffled. A
-text's memory is bounded by its piece.
+is a block of its own), whose index each task builds; every block is one pass over the texts, and
+nothing is shuffled. Shared q-grams are counted, and bands aligned, some at a time, so a task's
+memory is bounded by its block and its piece.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm.charlm import letter_stream
-from pluvia.llm.common import query, table
+from pluvia.llm.common import query, stored, table
 from pluvia.llm.textarrays import SortedHashes, bounded_batches, mixed, pieces, raw_bytes
 
 #: Length of the q-grams of items of at least so many characters.
@@ -35,6 +40,13 @@ MIN_ITEM_CHARS = 1
 #: Scripts written without spaces: a word may begin and end anywhere (first and last code point).
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 BLOCK_CHARS = 4_000_000
+#: Items that may share a q-gram before it is left out, if enough others remain: so many, that
+#: ``SPARE`` of them must be found.
+COMMON = 16
+SPARE = 8
+#: Pairs of q-grams, and cells of an alignment, that are held together.
+PAIRS_AT_ONCE = 1_000_000
+CELLS_AT_ONCE = 2_000_000
 MARK_BITS = 22
 
 
@@ -74,9 +86,17 @@ def unspaced(stream: np.ndarray) -> np.ndarray:
 class Index:
     """Where items have their keys: ``posts`` (item << 32 | offset) in the order of the keys."""
 
-    def __init__(self, size: int, keys: list[np.ndarray], items: list[int]):
+    def __init__(self, size: int, keys: list[np.ndarray], items: list[int], lacking: list[int] | None = None):
+        """``lacking``: of each item, how many of its keys a match may lack. Common keys are then left
+        out where that leaves enough."""
         self.size = size  # characters of a key
         posts = [np.int64(k) << 32 | np.arange(len(x), dtype=np.int64) for k, x in zip(items, keys, strict=True)]
+        self.need = None
+        if lacking is not None:
+            kept = _rare(keys, np.array(lacking, np.int64))
+            self.need = {k: len(p) - lack for k, p, lack in zip(items, kept, lacking, strict=True)}
+            keys = [x[p] for x, p in zip(keys, kept, strict=True)]
+            posts = [x[p] for x, p in zip(posts, kept, strict=True)]
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         distinct, first = np.unique(flat[order], return_index=True)
@@ -100,6 +120,20 @@ class Index:
         return self.posts[self.first[place[each]] + nth], each
 
 
+def _rare(keys: list[np.ndarray], lacking: np.ndarray) -> list[np.ndarray]:
+    """Places of the keys to keep of each item: the rarest, all that at most ``COMMON`` items share and
+    at least so many that a match has ``SPARE`` of them (or all)."""
+    distinct, at = np.unique(np.concatenate([np.unique(x) for x in keys]), return_inverse=True)
+    shared = np.bincount(at)
+    out = []
+    for x, lack in zip(keys, lacking.tolist(), strict=True):
+        count = shared[np.searchsorted(distinct, x)]
+        order = np.argsort(count, kind="stable")
+        n = max(int((count <= COMMON).sum()), min(len(x), lack + SPARE))
+        out.append(np.sort(order[:n]))
+    return out
+
+
 @dataclass
 class Block:
     """Items of a block, the indexes of their q-grams and those of the short items by length."""
@@ -135,7 +169,8 @@ def make_block(ids: list[int], texts: list[str]) -> Block:
     qgrams, short = [], []
     for (long, size), items in sorted(groups.items()):
         if long:
-            qgrams.append(Index(size, [mixed(qgram_keys(parts[k], size)) for k in items], items))
+            lacking = [size * int(edits_allowed(np.array(len(parts[k])))) for k in items]
+            qgrams.append(Index(size, [mixed(qgram_keys(parts[k], size)) for k in items], items, lacking))
         else:
             short.append(Index(size, [span_keys(parts[k], np.zeros(1, np.int64), size) for k in items], items))
     return Block(
@@ -177,20 +212,31 @@ def _bands(stream: np.ndarray, at: np.ndarray, block: Block, index: Index) -> np
     spots, place, row = spots[whole], place[whole], row[whole]
     if not len(spots):
         return np.zeros((0, 3), np.int64)
-    post, each = index.posts_of(place)
-    item, row = post >> 32, row[each]
-    k = edits_allowed(block.sizes[item])
-    # Diagonals are counted from one item length before the row.
-    diagonal = spots[each] - at[row] - (post & 0xFFFFFFFF) + block.sizes[item]
-    band = diagonal // (k + 1)
-    triples = np.stack([np.tile(row, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
-    order = np.lexsort(triples[::-1])
-    triples = triples[:, order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(triples) != 0).any(0)]))
-    count = np.diff(np.append(new, triples.shape[1]))
-    found = triples[:, new].T
-    m = block.sizes[found[:, 1]]
-    return found[count >= np.maximum(1, m + 1 - q * (edits_allowed(m) + 1))]
+    upto = np.cumsum(index.first[place + 1] - index.first[place])
+    cuts = np.searchsorted(upto, np.arange(1, int(upto[-1]) // PAIRS_AT_ONCE + 1) * PAIRS_AT_ONCE)
+    held: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+    for some in np.split(np.arange(len(spots)), cuts):
+        post, each = index.posts_of(place[some])
+        item, of = post >> 32, some[each]
+        k = edits_allowed(block.sizes[item])
+        # Diagonals are counted from one item length before the row.
+        diagonal = spots[of] - at[row[of]] - (post & 0xFFFFFFFF) + block.sizes[item]
+        band = diagonal // (k + 1)
+        triples = np.stack([np.tile(row[of], 2), np.tile(item, 2), np.concatenate([band, band - 1])], 1)
+        held = _counted(np.concatenate([held[0], triples]), np.concatenate([held[1], np.ones(len(triples), np.int64)]))
+    found, count = held
+    need = np.array([index.need[i] for i in found[:, 1].tolist()], np.int64)
+    return found[count >= np.maximum(1, need)]
+
+
+def _counted(triples: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct triples with the sums of their counts."""
+    if not len(triples):
+        return triples, count
+    order = np.lexsort(triples.T[::-1])
+    triples, count = triples[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(triples, axis=0) != 0).any(1)]))
+    return triples[new], np.add.reduceat(count, new)
 
 
 def banded_edits(stream: np.ndarray, at: np.ndarray, block: Block, bands: np.ndarray) -> np.ndarray:
@@ -210,8 +256,14 @@ def banded_edits(stream: np.ndarray, at: np.ndarray, block: Block, bands: np.nda
     # Entry d after i characters: fewest edits that end before text position begin + i + d.
     table_ = np.zeros((len(bands), width), np.int32)
     best = np.full(len(bands), 1 << 20, np.int32)
+    live = np.arange(len(bands))
     for i in range(int(m.max())):
-        live = np.flatnonzero(i < m)
+        if i % 16 == 0:
+            # Edits only grow: bands whose best cell has too many are done for.
+            live = live[table_[live].min(1) <= k[live]]
+        live = live[i < m[live]]
+        if not len(live):
+            break
         where = (begin[live] + i)[:, None] + lanes + low[live][:, None]
         inside = (where >= low[live][:, None]) & (where < high[live][:, None])
         char = stream[np.clip(where, 0, len(stream) - 1)]
@@ -236,8 +288,20 @@ def find_items(data: np.ndarray, offs: np.ndarray, block: Block) -> list[tuple[i
         for row, item in _whole_words(stream, at, block).tolist():
             out[row, int(block.ids[item])] = 0
     bands = np.concatenate([np.zeros((0, 3), np.int64), *[_bands(stream, at, block, x) for x in block.qgrams]])
-    for part in range(0, len(bands), 4096):
-        some = bands[part : part + 4096]
+    # Bands of items of like size together, so many that their cells stay few. A row that is shorter than
+    # an item less its edits has no match.
+    m = block.sizes[bands[:, 1]]
+    bands = bands[np.diff(at)[bands[:, 0]] >= m - edits_allowed(m)]
+    bands = bands[np.argsort(block.sizes[bands[:, 1]], kind="stable")]
+    width = 4 * edits_allowed(block.sizes[bands[:, 1]]) + 4
+    part = 0
+    while part < len(bands):
+        # Widths grow, so the last band of a part bounds all of it.
+        upto = part + 1
+        while upto < len(bands) and (upto + 1 - part) * width[upto] <= CELLS_AT_ONCE:
+            upto += 1
+        some = bands[part:upto]
+        part = upto
         edits = banded_edits(stream, at, block, some)
         fit = edits <= edits_allowed(block.sizes[some[:, 1]])
         for (row, item, _), e in zip(some[fit].tolist(), edits[fit].tolist(), strict=True):
@@ -246,19 +310,18 @@ def find_items(data: np.ndarray, offs: np.ndarray, block: Block) -> list[tuple[i
     return [(r, i, e) for (r, i), e in sorted(out.items())]
 
 
-def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[Block]:
-    """Blocks of the benchmark, each fetched by itself; items without an id or text are left out."""
+def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the benchmark block by block, one on the driver at a time; items without an id
+    or text are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     size = F.length("text").cast("long") + 1
     total = items.agg(F.sum(size)).first()[0] or 0
     n = -(-total // limit)
-    blocks = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows.sort()
-        blocks.append(make_block([r.item_id for r in rows], [r.text for r in rows]))
-    return blocks
+        yield [r.item_id for r in rows], [r.text for r in rows]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -273,8 +336,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int"
 
-    def finder(block: Block):
+    def finder(ids: list[int], texts: list[str]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = make_block(ids, texts)
             for part, data, offs in pieces(batches):
                 found = find_items(data, offs, block)
                 where, items, edits = zip(*found, strict=True) if found else ((), (), ())
@@ -286,8 +350,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark):
-        out = out.union(rows.mapInArrow(finder(block), schema))
+    for ids, texts in benchmark_blocks(benchmark):
+        out = out.union(rows.mapInArrow(finder(ids, texts), schema))
     return out
 
 
@@ -299,8 +363,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(fields)])
     text = f"c{fields.index('text')}"
 
-    def cleaner(block: Block):
+    def cleaner(ids: list[int], texts: list[str]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = make_block(ids, texts)
             for part, data, offs in pieces(batches, text):
                 clean = np.ones(part.num_rows, bool)
                 clean[[row for row, _, _ in find_items(data, offs, block)]] = False
@@ -308,8 +373,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for block in benchmark_blocks(benchmark):
-        inner = inner.mapInArrow(cleaner(block), inner.schema)
+    for nth, (ids, texts) in enumerate(benchmark_blocks(benchmark)):
+        # A pass ends before the next block begins: a task holds one index.
+        inner = (stored(inner) if nth else inner).mapInArrow(cleaner(ids, texts), inner.schema)
     return inner.toDF(*fields)
 
 

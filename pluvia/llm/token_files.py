@@ -32,10 +32,11 @@ from pluvia.llm.common import query, stored, table
 from pluvia.llm.textarrays import bounded_batches, gathered, pieces
 
 END_ID = 2
-SHARD_TOKENS = 4_000_000
-ROUNDS = 5
-RULES_PER_ROUND = 2500
-MIN_USES = 8
+SHARD_TOKENS = 2_000_000
+#: Uses from which a pair gets a rule; a rule takes the bytes of six symbols.
+MIN_USES = 32
+#: A round replaces the pairs that are at least this part as frequent as the most frequent one.
+NEAR_TOP = 16
 #: Distinct pieces that a task remembers before it starts afresh.
 TABLE_PIECES = 400_000
 #: Parts that the library encodes in one call, and places that Re-Pair hashes in one step; both
@@ -45,8 +46,6 @@ PLACES_AT_ONCE = 1 << 20
 MAGIC = b"RPF1"
 #: White space (of any alphabet) at an end of a piece or next to other white space.
 _ENTANGLED = re.compile(r"^\s|\s\s|\s$")
-#: Characters whose kind (letter, digit, other) is the same for all versions of Unicode.
-_PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,16 +57,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Places(dict):
-    """Place of every piece; new ones are numbered and noted."""
+    """Place of every piece."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        at = self[piece] = len(self)
-        self.new.append(piece)
-        return at
+    def number(self, names: list[str]) -> list[str]:
+        """Number the names that are new, and return them."""
+        new = [name for name in dict.fromkeys(names) if name not in self]
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        return new
 
 
 class Tokenizer:
@@ -97,64 +93,64 @@ class Tokenizer:
 
     def forget(self) -> None:
         self.place, self.known = _Places(), _Places()
+        # The first known part is the line feed that stands between pieces; it has no ids.
+        self.known.number(["\n"])
         # Ids of all pieces and of all parts, one after the other, and where each begins.
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.part_flat = np.zeros(0, np.uint32)
-        self.part_start, self.part_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.part_start, self.part_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.kind = np.zeros(0, np.int8)
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn_parts(self, parts: list[str]) -> None:
-        """Ids of new parts, many in one call of the library's model with marks between them.
-        Parts that begin with a zero go through the whole tokenizer."""
-        plain = [p for p in parts if p[0] != "\0"]
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for k in range(0, len(plain), PARTS_AT_ONCE):
-            some = plain[k : k + PARTS_AT_ONCE]
-            text = self.mark.join(p.encode().decode("latin-1").translate(self.letters) for p in some)
+        """Ids of new parts, many in one call of the library's model with marks between them."""
+        ids, sizes = [self.part_flat], [np.zeros(0, np.int64)]
+        for k in range(0, len(parts), PARTS_AT_ONCE):
+            # The bytes of all at once; the line feeds between them become the mark.
+            text = "\n".join(parts[k : k + PARTS_AT_ONCE]).encode().decode("latin-1").translate(self.letters)
             got = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             marks = got == self.mark_id
             sizes.append(np.diff(np.append(np.flatnonzero(marks), len(got)), prepend=-1) - 1)
             ids.append(got[~marks])
-        direct = [self._direct(p[1:]) for p in parts if p[0] == "\0"]
-        # Plain parts first, then the others; each has its own start.
-        is_plain = np.fromiter((p[0] != "\0" for p in parts), bool, len(parts))
-        n = np.empty(len(parts), np.int64)
-        n[is_plain] = np.concatenate(sizes)
-        n[~is_plain] = [len(d) for d in direct]
-        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
-        start = np.empty(len(parts), np.int64)
-        start[order] = len(self.part_flat) + np.cumsum(n[order]) - n[order]
-        self.part_flat = np.concatenate([self.part_flat, *ids, *direct])
-        self.part_start, self.part_size = np.append(self.part_start, start), np.append(self.part_size, n)
+        n = np.concatenate(sizes)
+        self.part_start = np.append(self.part_start, len(self.part_flat) + np.cumsum(n) - n)
+        self.part_size = np.append(self.part_size, n)
+        self.part_flat = np.concatenate(ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces: ``\0word`` stands alone, all others follow a space."""
-        flat: list[str] = []
-        n, kinds = [], []
-        for w in new:
+        """Ids of new pieces: ``\0word`` stands alone, all others follow a space.
+
+        The pattern runs once over all plain pieces, on lines of their own.
+        """
+        plain = _plain(new)
+        ids, n = [self.flat], np.zeros(len(new), np.int64)
+        kinds = np.zeros(len(new), np.int8)
+        lines = [w[1:] if w[0] == "\0" else " " + w for w, own in zip(new, plain.tolist(), strict=True) if own]
+        if lines:
+            parts = self.parts("\n".join(lines))
+            self._learn_parts(self.known.number(parts))
+            at = _places(self.known, parts)
+            sizes = self.part_size[at]
+            ids.append(gathered(self.part_flat, self.part_start[at], sizes))
+            ends = np.append(np.flatnonzero(at == 0), len(at))
+            n[plain] = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+        for k in np.flatnonzero(~plain).tolist():
+            w = new[k]
             alone = w[:1] == "\0"
             body = w[1:] if alone else w
-            if _PLAIN.fullmatch(body):
-                parts = self.parts(body if alone else " " + body)
-                kinds.append(0)
-            else:
-                parts = ["\0" + (body if alone or w == "\n" else " " + body)] if body or not alone else []
-                kinds.append((3 if alone else 2) if not body else int(w != "\n" and bool(_ENTANGLED.search(body))))
-            flat += parts
-            n.append(len(parts))
-        at = _places(self.known, flat)
-        if self.known.new:
-            self._learn_parts(self.known.new)
-            self.known.new.clear()
-        sizes = self.part_size[at]
-        ids = gathered(self.part_flat, self.part_start[at], sizes)
-        sums = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
-        self.flat = np.concatenate([self.flat, ids])
-        self.first = np.append(self.first, self.first[-1] + sums)
-        self.kind = np.append(self.kind, np.array(kinds, np.int8))
+            if body or not alone:
+                ids.append(self._direct(body if alone or w == "\n" else " " + body))
+                n[k] = len(ids[-1])
+            kinds[k] = (3 if alone else 2) if not body else int(w != "\n" and bool(_ENTANGLED.search(body)))
+        # Plain pieces lie first, then the others, each in their order.
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        start = np.empty(len(new), np.int64)
+        start[order] = len(self.flat) + np.cumsum(n[order]) - n[order]
+        self.flat = np.concatenate(ids)
+        self.start, self.size = np.append(self.start, start), np.append(self.size, n)
+        self.kind = np.append(self.kind, kinds)
 
     def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id behind each, one after the other, and their offsets."""
@@ -169,14 +165,14 @@ class Tokenizer:
             elif text:
                 words += ("\0" + text).replace("\n", " \n \0").split(" ")
             ends.append(len(words))
+        new = self.place.number(words)
+        if new:
+            self._learn(new)
         at = _places(self.place, words)
-        if self.place.new:
-            self._learn(self.place.new)
-            self.place.new.clear()
-        n = self.first[at + 1] - self.first[at]
+        n = self.size[at]
         edges = np.concatenate([[0], np.array(ends, np.int64)])
         # The end of a text is one more stretch, the last of the table.
-        start = np.insert(self.first[at], edges[1:], len(self.flat))
+        start = np.insert(self.start[at], edges[1:], len(self.flat))
         n = np.insert(n, edges[1:], 1)
         ids = gathered(np.append(self.flat, np.uint32(end_id)), start, n)
         offs = np.concatenate([[0], np.cumsum(n)])[edges + np.arange(len(edges))]
@@ -197,30 +193,43 @@ class Tokenizer:
         return ids, offs
 
 
+def _plain(pieces_: list[str]) -> np.ndarray:
+    """Which pieces are of characters whose kind all versions of Unicode agree on, and not empty."""
+    sizes = np.fromiter(map(len, pieces_), np.int64, len(pieces_))
+    text = np.frombuffer("".join(pieces_).encode("utf-32-le"), "<u4")
+    ends = np.cumsum(sizes)
+    odd = ~((text >= 0x21) & (text <= 0x7E) | (text >= 0xA1) & (text <= 0x24F))
+    # The zero that marks a piece that stands alone is no part of it.
+    alone = np.zeros(len(pieces_), bool)
+    full = np.flatnonzero(sizes)
+    alone[full] = text[(ends - sizes)[full]] == 0
+    odd[(ends - sizes)[alone]] = False
+    count = np.concatenate([[0], np.cumsum(odd)])
+    return (count[ends] == count[ends - sizes]) & (sizes - alone > 0)
+
+
 def _places(table: _Places, names: list[str]) -> np.ndarray:
     if len(names) < 2:
         return np.array([table[n] for n in names], np.int64)
     return np.fromiter(itemgetter(*names)(table), np.int64, len(names))
 
 
-def re_pair(
-    ids: np.ndarray, offs: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, min_uses: int = MIN_USES
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def re_pair(ids: np.ndarray, offs: np.ndarray, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sequence, offsets of the rows in it, rules (pairs of symbols), first nonterminal.
 
-    Symbol ``base + r`` stands for rule ``r``, whose two symbols are ids or earlier rules.
+    Symbol ``base + r`` stands for rule ``r``, whose two symbols are ids or earlier rules. Every round
+    replaces the pairs with at least ``1 / NEAR_TOP`` of the uses of the most frequent one together; the
+    rounds end when no pair has ``min_uses``.
     """
     seq = ids.astype(np.uint32)
     offs = offs.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
-    # Pairs fit 32 bits as long as all symbols fit 16.
-    narrow = base + rounds * per_round <= 1 << 16
-    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
-    stir, shift = (0x9E3779B1, 12) if narrow else (0x9E3779B97F4A7C15, 44)
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
+        # Pairs fit 32 bits as long as all symbols fit 16.
+        narrow = base + len(rules) <= 1 << 16
+        kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+        stir, shift = (0x9E3779B1, 12) if narrow else (0x9E3779B97F4A7C15, 44)
         key = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
         # No pair goes across rows: its second symbol is the first of a row.
         inner = offs[1:-1]
@@ -239,7 +248,8 @@ def re_pair(
         for lo in steps:
             count += np.bincount(slots(lo), minlength=len(count))
         count[-1] = 0
-        least = max(min_uses, int(np.partition(count, -per_round)[-per_round]))
+        # A slot counts all pairs with its hash, so it may promise too much, never too little.
+        least = max(min_uses, int(count.max()) // NEAR_TOP)
         frequent = count >= least
         spots = np.concatenate([(np.flatnonzero(frequent[slots(lo)]) + lo).astype(np.int32) for lo in steps])
         if not len(spots):
@@ -248,8 +258,11 @@ def re_pair(
         ordered = np.sort(key)
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         pairs, uses = ordered[edges[:-1]], np.diff(edges)
-        top = np.argsort(uses, kind="stable")[::-1][:per_round]
-        pairs = pairs[top[uses[top] >= min_uses]]
+        top = np.argsort(uses, kind="stable")[::-1]
+        least = max(min_uses, int(uses.max()) // NEAR_TOP)
+        pairs = pairs[top[uses[top] >= least]]
+        if not len(pairs):
+            break
         # Of pairs with one hash the most frequent stays; the others wait for the next round.
         pairs = pairs[::-1]
         rule_of = np.full((1 << 20) + 1, -1, np.int32)
@@ -334,22 +347,43 @@ class Shard:
         self.offs = take("<u8", n_docs + 1).astype(np.int64)
         self.at = take("<u8", n_docs + 1).astype(np.int64)
         self.seq = take(f"<u{width}", n_seq)
-        self.flat, self.where = expansions(rules, base)
+        self.rules, self.base = rules, base
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that symbols stand for, by the stored lengths."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.base
+        out[rule] = self.lengths[symbols[rule] - self.base]
+        return out
 
     def document(self, k: int) -> np.ndarray:
-        return expand(self.seq[self.at[k] : self.at[k + 1]].astype(np.int64), self.flat, self.where)
+        """The ids of one document; only its own symbols are expanded, level by level."""
+        part = self.seq[self.at[k] : self.at[k + 1]].astype(np.int64)
+        while (rule := part >= self.base).any():
+            where = np.cumsum(1 + rule) - (1 + rule)
+            out = np.empty(len(part) + int(rule.sum()), np.int64)
+            out[where] = part
+            pairs = self.rules[part[rule] - self.base]
+            out[where[rule]], out[where[rule] + 1] = pairs[:, 0], pairs[:, 1]
+            part = out
+        return part.astype(np.uint32)
 
     def token(self, i: int) -> int:
-        """The id at place ``i`` of the shard; only one document's lengths are added up."""
+        """The id at place ``i`` of the shard: the stored lengths lead to its symbol, and in that
+        symbol's rules down to it."""
         k = int(np.searchsorted(self.offs, i, "right")) - 1
         part = self.seq[self.at[k] : self.at[k + 1]].astype(np.int64)
-        ends = np.cumsum(self.where[part + 1] - self.where[part])
+        ends = np.cumsum(self._sizes(part))
         s = int(np.searchsorted(ends, i - self.offs[k], "right"))
-        before = int(ends[s - 1]) if s else 0
-        return int(self.flat[self.where[part[s]] + i - self.offs[k] - before])
+        symbol, rest = int(part[s]), int(i - self.offs[k] - (ends[s - 1] if s else 0))
+        while symbol >= self.base:
+            left, right = (int(x) for x in self.rules[symbol - self.base])
+            size = int(self._sizes(np.array([left]))[0])
+            symbol, rest = (left, rest) if rest < size else (right, rest - size)
+        return symbol
 
     def all(self) -> np.ndarray:
-        return expand(self.seq.astype(np.int64), self.flat, self.where)
+        return expand(self.seq.astype(np.int64), *expansions(self.rules, self.base))
 
 
 SHARD_SCHEMA = "part int, nth int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, block binary"
@@ -398,13 +432,16 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
 def write_shards(
     docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None
 ) -> DataFrame:
-    """Writes the shards of all rows in ascending id order (null ids first, equal ids by text)
-    and returns the table of the files. Null texts are empty: their end id alone."""
+    """Writes the shards of all rows in ascending id order (null ids first, equal ids by the hash of
+    their text) and returns the table of the files. Null texts are empty: their end id alone. Rows that
+    agree in both are dealt by their place, so a repeated or missing id is no hot key."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "_hash", "_place"]
+    placed = rows.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(_shard_batches(path, end_id, shard_tokens), SHARD_SCHEMA))
 
 
