@@ -218,17 +218,15 @@ class Packed:
         return list(zip(self.live.tolist(), self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True))
 
 
-def forward(
-    model: Hmm, x: Packed, keep: bool, kind: type = np.float64
-) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural-log likelihoods in the original order; with ``keep`` all scaled vectors and scales."""
-    vectors = model.emit.astype(kind)[x.symbols]
-    move, ones = model.move.astype(kind), np.ones(len(model.start), kind)
+def _forward(model: Hmm, x: Packed, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns the symbols' emissions into scaled vectors where they lie; log-likelihoods and scales."""
+    kind = vectors.dtype
+    start, move, ones = model.start.astype(kind), model.move.astype(kind), np.ones(len(model.start), kind)
     scales = np.empty(len(x.symbols), kind)
     last = None
     for live, lo, hi in x.spans:
         a = vectors[lo:hi]
-        a *= model.start.astype(kind) if last is None else last[:live] @ move
+        a *= start if last is None else last[:live] @ move
         c = scales[lo:hi]
         np.dot(a, ones, out=c)
         a /= c[:, None]
@@ -239,33 +237,46 @@ def forward(
         total[:live] += logs[lo:hi]
     out = np.empty(len(x.order))
     out[x.order] = total
-    return (out, vectors, scales) if keep else (out, None, None)
+    return out, scales
+
+
+def forward(model: Hmm, x: Packed) -> np.ndarray:
+    """Natural-log likelihoods in the original order."""
+    return _forward(model, x, model.emit[x.symbols])[0]
 
 
 def expected_counts(model: Hmm, x: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences, by the backward recursion."""
+    """Expected starts, moves and emissions of the sequences, by the backward recursion.
+
+    The recursion itself leaves ``w = emission * b / scale`` of every step; with the vectors of the step
+    before, all counts follow from ``w`` at once.
+    """
     k = len(model.start)
-    _, vectors, scales = forward(model, x, True, kind)
-    onwards = model.emit.astype(kind)[x.symbols]
-    onwards /= scales[:, None]
+    w = model.emit.astype(kind)[x.symbols]
+    vectors = w.copy()
+    _, scales = _forward(model, x, vectors)
+    w /= scales[:, None]
     back = np.ascontiguousarray(model.move.T, kind)
-    move = np.zeros((k, k))
     # Sequences that end at a step begin there with ones.
     b = np.ones((len(x.order), k), kind)
-    spans = x.spans
-    for t in range(len(spans) - 1, -1, -1):
-        live, lo, hi = spans[t]
-        w, now = onwards[lo:hi], b[:live]
-        w *= now
-        a = vectors[lo:hi]
-        a *= now
-        if t:
-            before = spans[t - 1][1]
-            move += vectors[before : before + live].T @ w
-            np.dot(w, back, out=now)
-    start = vectors[: x.live[0]].sum(0, dtype=np.float64) if len(x.live) else np.zeros(k)
-    emit = np.stack([np.bincount(x.symbols, vectors[:, s], len(model.emit)) for s in range(k)], 1)
-    return start, move * model.move, emit
+    for live, lo, hi in reversed(x.spans):
+        now, some = b[:live], w[lo:hi]
+        some *= now
+        np.dot(some, back, out=now)
+    first = int(x.live[0]) if len(x.live) else 0
+    start = model.start * w[:first]
+    move = np.zeros((k, k))
+    step = model.move.astype(kind)
+    # The row before one of step t lies as far back as step t - 1 has rows.
+    before = np.arange(first, len(w)) - np.repeat(x.live[:-1], x.live[1:])
+    for lo in range(0, len(before), 1 << 18):
+        at = slice(first + lo, first + lo + (1 << 18))
+        last = vectors[before[lo : lo + (1 << 18)]]
+        move += last.T @ w[at]
+        w[at] *= last @ step
+    w[:first] = start
+    emit = np.stack([np.bincount(x.symbols, w[:, s], len(model.emit)) for s in range(k)], 1)
+    return start.sum(0, dtype=np.float64) if first else np.zeros(k), move * model.move, emit
 
 
 #: Texts of a chunk; and of each chunk and range the sorted words, or numbers of them.
@@ -531,7 +542,7 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
         for text in texts.to_pylist():
             x, sizes, found, _ = _unpacked(text, own, 1 + k, "<f8")
             local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(found[:, 1:])]))
-            logs, _, _ = forward(local, x, False)
+            logs = forward(local, x)
             n = np.concatenate([words.counts, [0, words.n_texts], found[:, 0].astype(np.int64)])
             symbols = _unpack(text["data"], "<i4", text["n"])
             first = np.cumsum(sizes) - sizes
