@@ -538,8 +538,8 @@ def satellite_pixels(
     if end is not None:
         wanted = wanted.where(F.col("creation") < F.lit(end).cast("timestamp_ntz"))
     located = geostationary_to_latlon(wanted, "x", "y", height=height)
-    # Filters stay above a numbered row; pushed below the formulas they would each copy all of them.
-    located = located.withColumn("_number", F.monotonically_increasing_id())
+    # Filters stay above rows that are numbered; pushed below the formulas they would each copy all of them.
+    located = located.withColumn("_number", F.monotonically_increasing_id()).where("_number >= 0")
     rows = pixel_rows(located, lat_bounds, lon_bounds, ["value"])
     return rows.select("creation", "band", "row", "col", "lat", "lon", "value")
 
