@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import forget, query, remainder, stored, table
-from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, mixed, pieces, span_hashes, word_spans
+from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, give_back, mixed, pieces, span_hashes, word_spans
 
 STATES = 6
 HEAD = 50_000
@@ -205,10 +205,12 @@ class Packed:
         self.steps = np.concatenate([[0], np.cumsum(self.live)])
         place = np.empty(len(sizes), np.int64)
         place[self.order] = np.arange(len(sizes))
-        # Where each symbol goes: its step's slice, its sequence's place in it.
-        step = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = self.steps[step]
-        at += np.repeat(place, sizes)
+        # Where each symbol goes: its step's slice, its sequence's place in it. A chunk has less than
+        # 2 ** 31 symbols.
+        at = np.arange(len(symbols), dtype=np.int32)
+        at -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        at = self.steps.astype(np.int32)[at]
+        at += np.repeat(place.astype(np.int32), sizes)
         self.symbols = np.empty(len(symbols), np.int32)
         self.symbols[at] = symbols
 
@@ -232,7 +234,7 @@ def _forward(model: Hmm, x: Packed, vectors: np.ndarray) -> tuple[np.ndarray, np
         a /= c[:, None]
         last = a
     total = np.zeros(len(x.order))
-    logs = np.log(scales.astype(np.float64))
+    logs = np.log(scales)
     for live, lo, hi in x.spans:
         total[:live] += logs[lo:hi]
     out = np.empty(len(x.order))
@@ -268,7 +270,8 @@ def expected_counts(model: Hmm, x: Packed, kind: type = np.float64) -> tuple[np.
     move = np.zeros((k, k))
     step = model.move.astype(kind)
     # The row before one of step t lies as far back as step t - 1 has rows.
-    before = np.arange(first, len(w)) - np.repeat(x.live[:-1], x.live[1:])
+    before = np.arange(first, len(w), dtype=np.int32)
+    before -= np.repeat(x.live[:-1].astype(np.int32), x.live[1:])
     for lo in range(0, len(before), 1 << 18):
         at = slice(first + lo, first + lo + (1 << 18))
         last = vectors[before[lo : lo + (1 << 18)]]
@@ -436,6 +439,7 @@ def _counted(model: Hmm, words: Vocabulary):
             x, _, c, ranges = _unpacked(text, own, k, "<f4")
             local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
             start, move, emit = expected_counts(local, x, np.float32)
+            del local, x, c
             head, tail = emit[:size], emit[size:].astype("<f4")
             head[words.rare] = emit[size:].sum(0)
             sums = np.vstack([start[None], move, head]).astype("<f4")
@@ -444,6 +448,7 @@ def _counted(model: Hmm, words: Vocabulary):
             for r, n in ranges:
                 out.append((r, text["chunk"], n, _pack(tail[lo : lo + n]), None))
                 lo += n
+        give_back()
         return pa.Table.from_batches([_parts(out, True)])
 
     return run
@@ -552,6 +557,8 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], pa.array(text["ids"], pa.int64()),
                 sizes, known, np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),
             ))
+            del local, x, found
+        give_back()
         return pa.Table.from_batches(out)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
