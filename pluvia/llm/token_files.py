@@ -38,7 +38,7 @@ MIN_USES = 32
 #: A round replaces the pairs that are at least this part as frequent as the most frequent one.
 NEAR_TOP = 16
 #: Distinct pieces that a task remembers before it starts afresh.
-TABLE_PIECES = 400_000
+TABLE_PIECES = 250_000
 #: Parts that the library encodes in one call, and places that Re-Pair hashes in one step; both
 #: bound the memory of what is needed for a moment only.
 PARTS_AT_ONCE = 20_000
