@@ -41,8 +41,10 @@ ITERATIONS = 2
 SEED = 5
 #: Weight of the unigram distribution in a state's emissions, in tokens.
 SMOOTHING = 50.0
-#: Tokens that are run through the recursions together.
+#: Tokens of a chunk, whose texts share a list of words.
 RUN_TOKENS = 2_500_000
+#: Symbols of a chunk whose recursions run side by side; a single longer text runs alone.
+PART_TOKENS = 800_000
 #: Tokens outside the head whose words make a range.
 RANGE_TOKENS = 500_000
 #: Tasks that add up the heads of all chunks.
@@ -220,6 +222,16 @@ class Packed:
         return list(zip(self.live.tolist(), self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True))
 
 
+def packs(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, Packed]]:
+    """Sequences some at a time: which, and packed."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_TOKENS, "right")) - 1)
+        yield slice(lo, hi), Packed(symbols[ends[lo] : ends[hi]], sizes[lo:hi])
+        lo = hi
+
+
 def _forward(model: Hmm, x: Packed, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Turns the symbols' emissions into scaled vectors where they lie; log-likelihoods and scales."""
     kind = vectors.dtype
@@ -420,13 +432,13 @@ def _answers(states: int):
     return run
 
 
-def _unpacked(text: dict, own: pa.Table, width: int, kind: str) -> tuple[Packed, np.ndarray, np.ndarray, list]:
-    """A chunk's texts, their sizes, the answers of all ranges in order, and (range, words) of each."""
+def _unpacked(text: dict, own: pa.Table, width: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """A chunk's symbols, its texts' sizes, the answers of all ranges in order, and (range, words) of each."""
     sizes = np.asarray(text["sizes"], np.int64)
     rows = sorted(own.to_pylist(), key=lambda row: row["range"])
     c = [_unpack(row["data"], kind, row["n"] * width).reshape(-1, width) for row in rows]
     c = np.concatenate([np.zeros((0, width), kind), *c])
-    return Packed(_unpack(text["data"], "<i4", text["n"]), sizes), sizes, c, [(row["range"], row["n"]) for row in rows]
+    return _unpack(text["data"], "<i4", text["n"]), sizes, c, [(row["range"], row["n"]) for row in rows]
 
 
 def _counted(model: Hmm, words: Vocabulary):
@@ -436,10 +448,13 @@ def _counted(model: Hmm, words: Vocabulary):
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         out = []
         for text in texts.to_pylist():
-            x, _, c, ranges = _unpacked(text, own, k, "<f4")
+            symbols, sizes, c, ranges = _unpacked(text, own, k, "<f4")
             local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
-            start, move, emit = expected_counts(local, x, np.float32)
-            del local, x, c
+            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(local.emit)
+            for _, x in packs(symbols, sizes):
+                for total, part in zip((start, move, emit), expected_counts(local, x, np.float32), strict=True):
+                    total += part
+            del local, symbols, c
             head, tail = emit[:size], emit[size:].astype("<f4")
             head[words.rare] = emit[size:].sum(0)
             sums = np.vstack([start[None], move, head]).astype("<f4")
@@ -545,11 +560,12 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         out = []
         for text in texts.to_pylist():
-            x, sizes, found, _ = _unpacked(text, own, 1 + k, "<f8")
+            symbols, sizes, found, _ = _unpacked(text, own, 1 + k, "<f8")
             local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(found[:, 1:])]))
-            logs = forward(local, x)
+            logs = np.empty(len(sizes))
+            for which, x in packs(symbols, sizes):
+                logs[which] = forward(local, x)
             n = np.concatenate([words.counts, [0, words.n_texts], found[:, 0].astype(np.int64)])
-            symbols = _unpack(text["data"], "<i4", text["n"])
             first = np.cumsum(sizes) - sizes
             known = np.add.reduceat((n > 0)[symbols].astype(np.int64), first)
             base = np.add.reduceat(words.base(n)[symbols], first)
@@ -557,7 +573,7 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], pa.array(text["ids"], pa.int64()),
                 sizes, known, np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),
             ))
-            del local, x, found
+            del local, found
         give_back()
         return pa.Table.from_batches(out)
 

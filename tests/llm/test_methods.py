@@ -222,6 +222,7 @@ def plain_hmm(train, texts, states, iterations):
 def test_training_over_chunks_equals_plain_baum_welch(spark, monkeypatch, head):
     monkeypatch.setattr(hmm, "RUN_TOKENS", 60)
     monkeypatch.setattr(hmm, "RANGE_TOKENS", 40)
+    monkeypatch.setattr(hmm, "PART_TOKENS", 25)
     texts = [prose(k, 5 + 7 * k % 40) for k in range(12)] + ["", None]
     train, more = texts[:9] + texts[12:], [*texts, "words nobody has seen"]
     fitted = hmm.fit(frame(spark, list(enumerate(train))), states=3, head=head, iterations=-6)
@@ -230,3 +231,18 @@ def test_training_over_chunks_equals_plain_baum_welch(spark, monkeypatch, head):
     want = plain_hmm(train, more, 3, hmm.FIRST_ITERATIONS - 6)
     assert [got[k] for k in range(len(more))] == pytest.approx(want, rel=1e-5)
     assert not math.isnan(sum(want))
+
+
+def test_sequences_in_parts_count_like_all_together(monkeypatch):
+    rng = np.random.RandomState(3)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(20), 3).T)
+    sizes = np.array([1, 7, 40, 3, 1, 12, 90, 2])
+    symbols = rng.randint(0, 20, sizes.sum()).astype(np.int32)
+    whole = hmm.Packed(symbols, sizes)
+    want, logs = hmm.expected_counts(model, whole), hmm.forward(model, whole)
+    monkeypatch.setattr(hmm, "PART_TOKENS", 25)
+    parts = list(hmm.packs(symbols, sizes))
+    assert [len(p.symbols) for _, p in parts] == [8, 40, 16, 90, 2]
+    assert np.concatenate([hmm.forward(model, p) for _, p in parts]) == pytest.approx(logs)
+    for k, total in enumerate(want):
+        assert sum(hmm.expected_counts(model, p)[k] for _, p in parts) == pytest.approx(total)
