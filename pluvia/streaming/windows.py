@@ -5,11 +5,14 @@ Watermarks need zoned timestamps: cast naive ones with :func:`event_time` first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from pluvia.functions.scalars import clean_score
 
@@ -19,6 +22,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 LATENESS = {"rain": "10 minutes", "height": "2 hours"}
 CADENCE = "60 minutes"
 HORIZON = "3 hours"
+# Microseconds of an hour.
+HOUR = 3_600_000_000
 
 
 def event_time(df: DataFrame, ts: str, source: str = "rain") -> DataFrame:
@@ -91,27 +96,84 @@ def latest_height(
 ) -> DataFrame:
     """Latest height scan at or before each rain scan, looking ``back_hours`` at most.
 
-    Both inputs are distinct scan times with watermarks. A rain scan joins the hours
-    it may look back to by equality and the time bounds expire both states. It is
-    reported once no older height can arrive; one without a height within the bound,
-    which the state needs, has NULL.
+    Both inputs are scan times with watermarks; equal ones count once. Both are kept by the hour: a rain
+    scan in its own, a height in its own and in those that may look back to it. When no older height can
+    arrive for a rain scan, its hour looks it up among its heights in order, so the work grows with the
+    scans and not with their pairs. One without a height within the bound has NULL.
     """
-    hours = F.sequence(
-        F.date_trunc("hour", F.col(ts) - F.make_dt_interval(hours=F.lit(back_hours))),
-        F.date_trunc("hour", ts),
-        F.expr("INTERVAL 1 HOUR"),
+    hour = lambda t: F.floor(F.unix_micros(t) / F.lit(HOUR)).cast("long")
+    both = rain.select(F.lit(False).alias("height"), F.col(ts).alias("at")).unionByName(
+        height.select(F.lit(True).alias("height"), F.col(height_ts).alias("at"))
     )
-    wanted = rain.select(ts, F.explode(hours).alias("hour"))
-    scans = height.select(height_ts, F.date_trunc("hour", height_ts).alias("height_hour"))
-    pairs = wanted.join(
-        scans,
-        F.expr(
-            f"hour = height_hour AND {height_ts} <= {ts} "
-            f"AND {height_ts} >= {ts} - INTERVAL {back_hours} HOURS"
-        ),
-        "left_outer",
+    reach = F.when(F.col("height"), F.lit(back_hours)).otherwise(F.lit(0))
+    sent = both.where("at is not null").select(
+        "height", "at", F.explode(F.sequence(hour("at"), hour("at") + reach)).alias("hour")
     )
-    return pairs.groupBy(ts).agg(F.max(height_ts).alias(height_ts))
+    keyed = sent.withColumn("us", F.unix_micros("at"))
+    found = keyed.groupBy("hour").transformWithStateInPandas(
+        statefulProcessor=LatestHeight(back_hours * HOUR),
+        outputStructType="rain long, height long",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return found.select(F.timestamp_micros("rain").alias(ts), F.timestamp_micros("height").alias(height_ts))
+
+
+class LatestHeight(StatefulProcessor):
+    """Rain and height scans of one hour, in order; times are microseconds, timers milliseconds.
+
+    Of the heights before the hour only the latest is kept. A timer is set for the earliest rain scan that
+    waits and reports all that the watermark has passed; the last one clears the hour.
+    """
+
+    def __init__(self, back: int):
+        self.back = back
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scans = handle.getValueState("scans", "rain array<long>, heights array<long>")
+
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        rain, heights = self.scans.get() if self.scans.exists() else ([], [])
+        return np.array(rain, np.int64), np.array(heights, np.int64)
+
+    def _keep(self, key, rain: np.ndarray, heights: np.ndarray) -> None:
+        self.scans.update((rain.tolist(), heights.tolist()))
+        end = (key[0] + 1) * HOUR + self.back
+        due = int(rain[0]) + self.back if len(rain) else end
+        self.handle.registerTimer(-(-due // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        rain, heights = self._known()
+        for pdf in rows:
+            at, is_height = pdf["us"].to_numpy(np.int64), pdf["height"].to_numpy(bool)
+            rain = np.union1d(rain, at[~is_height])
+            heights = np.union1d(heights, at[is_height])
+            earlier = int(np.searchsorted(heights, key[0] * HOUR))
+            heights = heights[max(earlier - 1, 0) :]
+        self._keep(key, rain, heights)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rain, heights = self._known()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        n = int(np.searchsorted(rain, passed - self.back, "right"))
+        if n:
+            place = np.searchsorted(heights, rain[:n], "right") - 1
+            latest = np.append(heights, np.int64(0))[place]
+            none = (place < 0) | (latest < rain[:n] - self.back)
+            yield pd.DataFrame({"rain": rain[:n], "height": pd.array(latest, "Int64").copy()}).assign(
+                height=lambda d: d["height"].mask(none)
+            )
+        if n < len(rain):
+            self._keep(key, rain[n:], heights)
+        elif passed >= (key[0] + 1) * HOUR + self.back:
+            self.scans.clear()
+        elif n:
+            self._keep(key, rain[n:], heights)
+
+    def close(self) -> None:
+        pass
 
 
 def matched_forecasts(

@@ -140,6 +140,15 @@ def test_latest_height(spark, tmp_path):
     assert got == {at(10): at(8), at(30): at(30)}
 
 
+def test_latest_height_looks_up_and_does_not_pair(spark, tmp_path):
+    rain = feed(spark, tmp_path / "r", [[(at(10),), (at(10),), (at(125),), (at(400),)], [(FAR,)], [(FAR,)]], "ts timestamp")
+    height = feed(spark, tmp_path / "h", [[(at(5),), (at(5),), (at(130),)], [(FAR,)], [(FAR,)]], "height_ts timestamp")
+    out = W.latest_height(W.event_time(rain, "ts", "rain"), W.event_time(height, "height_ts", "height"))
+    assert "Join" not in out._jdf.queryExecution().analyzed().toString()
+    got = sorted((r.ts, r.height_ts) for r in drain(out, spark, tmp_path, "lh").collect() if r.ts < FAR)
+    assert got == [(at(10), at(5)), (at(125), at(5)), (at(400), None)]
+
+
 def test_trailing_frames(spark, tmp_path):
     schema = "source string, frame_ts timestamp, values array<double>"
     frames = [("s", at(10 * k), [float(k)]) for k in (0, 1, 3, 4)]
