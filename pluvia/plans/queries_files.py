@@ -20,6 +20,7 @@ from pluvia.operators.samples import bucketed_samples
 from pluvia.plans import views as V
 from pluvia.plans.queries_streams import _folder, _naive, _run
 from pluvia.plans.registry import query
+from pluvia.session import spread
 from pluvia.sources import files, scans, sinks, tables
 from pluvia.streaming import windows as W
 
@@ -196,7 +197,7 @@ def _zip_batches(folder: str):
 def _archives(spark, sf):
     """Members of zip archives, their bytes, and the first field of the text in them."""
     folder = _new_folder(spark)
-    rows = V.readings(spark, sf).where("event_id % 2 = 0").select(
+    rows = spread(V.readings(spark, sf), "event_id").where("event_id % 2 = 0").select(
         F.format_string("station/%d.csv", "event_id").alias("member"),
         F.concat_ws(",", "event_type", F.concat(F.col("station_id").cast("string"), F.lit("\n"))).alias("body"),
     )

@@ -25,6 +25,10 @@ PRODUCTS = {
     "ABI-L2-ACHAF": (["HT"], False),
 }
 
+# Members of an archive, and their bytes, that go to Spark together.
+MEMBERS_AT_ONCE = 10_000
+MEMBER_BYTES = 8 << 20
+
 # (path, bytes) -> frames of rows.
 Decoder = Callable[[str, bytes], Iterable[pd.DataFrame]]
 
@@ -155,14 +159,28 @@ def decode_files(
 
 
 def archive_members(path: str, content: bytes) -> Iterator[pd.DataFrame]:
-    """Members of one ``.zip`` or ``.gz`` file; other files are errors."""
+    """Members of one ``.zip`` or ``.gz`` file, some at a time; other files are errors."""
+    names: list[str] = []
+    held: list[bytes] = []
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"archive": [path] * len(names), "member": names, "bytes": held})
+
     if path.endswith(".zip"):
+        size = 0
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for info in z.infolist():
-                if not info.is_dir():
-                    yield pd.DataFrame(
-                        {"archive": [path], "member": [info.filename], "bytes": [z.read(info)]}
-                    )
+                if info.is_dir():
+                    continue
+                # A member that outgrows the bound goes alone.
+                if names and (len(names) >= MEMBERS_AT_ONCE or size + info.file_size > MEMBER_BYTES):
+                    yield rows()
+                    names, held, size = [], [], 0
+                names.append(info.filename)
+                held.append(z.read(info))
+                size += info.file_size
+        if names:
+            yield rows()
     elif path.endswith(".gz"):
         name = path.rsplit("/", 1)[-1][: -len(".gz")]
         yield pd.DataFrame(

@@ -52,6 +52,20 @@ def test_archives(spark, tmp_path):
     assert got == {"x/one.txt": b"1", "two.txt": b"22", "b.txt": b"333"}
 
 
+def test_members_go_together(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MEMBERS_AT_ONCE", 3)
+    monkeypatch.setattr(files, "MEMBER_BYTES", 100)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(7):
+            z.writestr(f"{k}.txt", b"x")
+        z.writestr("long.txt", b"y" * 200)
+        z.writestr("last.txt", b"")
+    parts = list(files.archive_members("a.zip", (tmp_path / "a.zip").read_bytes()))
+    assert [len(p) for p in parts] == [3, 3, 1, 1, 1]
+    assert [m for p in parts for m in p["member"]] == [*(f"{k}.txt" for k in range(7)), "long.txt", "last.txt"]
+    assert [len(b) for p in parts for b in p["bytes"]] == [1] * 7 + [200, 0]
+
+
 def test_listing_and_directories(spark, tmp_path):
     (tmp_path / "p" / "q").mkdir(parents=True)
     for n in ("b.h5", "a.h5", "c.txt"):
