@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.arrays import smooth_symmetric
 from pluvia.functions.radar import NRAYS
-from pluvia.session import by_key, ensure_checkpoint_dir, extended, fits_broadcast, stored
+from pluvia.session import by_key, extended, fits_broadcast, stored
+
+#: Rays and bins of the blocks by which cells are dealt.
+BLOCK = 64
 
 
 def echo_cells(
@@ -189,47 +192,58 @@ def label_by_tiles(
 
 
 def label_by_propagation(cells: DataFrame, nbins: int, nrays: int = NRAYS) -> DataFrame:
-    """The same labels by repeated joins: for arrays too large for one task.
+    """The same labels by repeated grouping: for arrays too large for one task.
 
-    Every round each object cell takes the smallest label among its neighbours, then
-    the label of the cell its label names, until nothing changes. Each round is
-    checkpointed, which keeps the plan short and survives lost executors.
+    Every round all cells of a label take the smallest label among their neighbours, then
+    the label of the cell that one names. A label whose cells see no other one is a whole object and
+    leaves, so later rounds move the long objects only; the rounds end when none is left. Each round is
+    stored once, which keeps the plan short and survives lost executors. Cells are dealt by blocks of an
+    array, so that most of what they send their neighbours is merged before it moves.
     """
-    ensure_checkpoint_dir(cells.sparkSession)
     core = cells.where("core").select(
         "scan", (F.col("ray").cast("long") * nbins + F.col("bin")).alias("cell")
     )
-    labels = core.withColumn("label", F.col("cell"))
+    labels = core.distinct().withColumn("label", F.col("cell"))
     ray, rbin = F.floor(F.col("cell") / nbins), F.pmod(F.col("cell"), F.lit(nbins))
+    block = [F.floor(ray / BLOCK).alias("_by"), F.floor(rbin / BLOCK).alias("_bx")]
     moves = F.explode(
         F.array(
             *[
-                F.when(
-                    (rbin + db).between(0, nbins - 1),
-                    F.pmod(ray + dr, F.lit(nrays)) * nbins + rbin + db,
+                F.struct(
+                    F.when(
+                        (rbin + db).between(0, nbins - 1),
+                        F.pmod(ray + dr, F.lit(nrays)) * nbins + rbin + db,
+                    ).alias("cell"),
+                    F.lit(dr == db == 0).alias("own"),
                 )
                 for dr in (-1, 0, 1)
                 for db in (-1, 0, 1)
             ]
         )
     )
+    whole = []
     while True:
-        sent = labels.select("scan", moves.alias("cell"), "label").where("cell is not null")
-        lowest = sent.groupBy("scan", "cell").agg(F.min("label").alias("_low"))
-        near = labels.join(lowest, ["scan", "cell"], "inner").select(
-            "scan", "cell", "label", F.col("_low")
-        )
-        jump = near.select(
-            "scan", F.col("cell").alias("_low"), F.col("_low").alias("_jump")
-        )
-        step = near.join(jump, ["scan", "_low"], "left").select(
-            "scan", "cell", F.least("_low", "_jump").alias("label"),
-            (F.least("_low", "_jump") < F.col("label")).alias("moved"),
-        )
-        step = step.checkpoint()
-        labels = step.drop("moved")
-        if step.where("moved").isEmpty():
+        dealt = labels.select("*", *block).repartition("scan", "_by", "_bx").select("scan", moves.alias("_m"), "label")
+        sent = dealt.select("scan", "_m.cell", "label", "_m.own").where("cell is not null")
+        near = sent.groupBy("scan", "cell").agg(
+            F.max(F.when(F.col("own"), F.col("label"))).alias("label"),
+            F.min("label").alias("_low"), F.max("label").alias("_high"),
+        ).where("label is not null")
+        step = stored(near)
+        seen = step.where("_low < _high").groupBy("scan", "label").agg(F.min("_low").alias("_to"))
+        going = stored(seen)
+        whole.append(step.join(going, ["scan", "label"], "left_anti").select("scan", "cell", "label"))
+        if going.isEmpty():
             break
+        named = step.select("scan", F.col("cell").alias("_to"), F.col("label").alias("_at"))
+        after = going.select("scan", F.col("label").alias("_at"), F.col("_to").alias("_jump"))
+        names = going.join(named, ["scan", "_to"]).join(after, ["scan", "_at"], "left").select(
+            "scan", "label", F.least("_to", "_at", "_jump").alias("_next")
+        )
+        labels = step.join(names, ["scan", "label"]).select("scan", "cell", F.col("_next").alias("label"))
+    labels = whole[0]
+    for part in whole[1:]:
+        labels = labels.unionByName(part)
     found = labels.select(
         "scan", F.floor(F.col("cell") / nbins).cast("int").alias("ray"),
         F.pmod(F.col("cell"), F.lit(nbins)).cast("int").alias("bin"), "label",

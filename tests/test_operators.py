@@ -339,6 +339,22 @@ def test_labels_three_ways(spark, density):
         assert got == want
 
 
+def test_propagation_of_repeated_cells_and_long_objects(spark, monkeypatch):
+    rounds = []
+    keep = objects.stored
+    monkeypatch.setattr(objects, "stored", lambda df: rounds.append(1) or keep(df))
+    a = np.zeros((12, 9))
+    a[::2] = 5.0  # a snake from ray 0 to ray 10
+    a[1, 8] = a[3, 0] = a[5, 8] = a[7, 0] = a[9, 8] = 5.0
+    cells = objects.echo_cells(rays_of(spark, [a, a]), 1.0)
+    want = {(s, *c): (label, 2) for s in (0, 1) for c, label in brute_labels(a, 1.0).items()}
+    got = objects.label_by_propagation(cells.unionAll(cells), 9, 12).groupBy("scan", "ray", "bin").agg(
+        F.max("label").alias("label"), F.count("*").alias("n")
+    )
+    assert {(r.scan, r.ray, r.bin): (r.label, r.n) for r in got.collect()} == want
+    assert len(rounds) <= 2 * 9
+
+
 def test_seam_object_is_one(spark):
     a = np.zeros((360, 4))
     a[359, 1] = a[0, 2] = 5.0
