@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.arrays import clip_index, int_div, positions
+from pluvia.session import bounded_batches
+
+#: Cells of the moved frames that a task holds before it passes them on.
+FOLLOWED_CELLS = 1 << 19
 
 
 def unpack_frames(packed: DataFrame, nj: int, keys: list[str], values: str = "values") -> DataFrame:
@@ -138,8 +142,9 @@ def evolve(
     steps = motion.where(F.col("lead").between(1, n_leads)).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("lead", "du", "dv", "intensity"))).alias("_s")
     )
-    joined = frames.select(key, F.col(values).alias("values")).join(steps, key, "inner")
-    flat = joined.select(
+    # Both sides are packed, and their statistics count an array as one number: never a broadcast.
+    joined = frames.select(key, F.col(values).alias("values")).hint("merge").join(steps, key, "inner")
+    flat = joined.where("values is not null").select(
         key,
         "values",
         F.transform("_s", lambda s: s["lead"]).alias("leads"),
@@ -148,24 +153,30 @@ def evolve(
         F.flatten(F.transform("_s", lambda s: s["intensity"])).alias("intensity"),
     )
     rows, cols = np.divmod(np.arange(ni * nj), nj)
+    kind = frames.schema[key].dataType.simpleString()
+    names = [key, "lead", "values"]
+    bounded_batches(frames.sparkSession)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                frame = np.asarray(rec.values, float)
-                shape = (len(rec.leads), ni * nj)
-                du, dv, gain = (
-                    np.asarray(a, float).reshape(shape) for a in (rec.du, rec.dv, rec.intensity)
-                )
-                for step, lead in enumerate(rec.leads):
+            for rec in pdf.itertuples(index=False, name=None):
+                at, values, leads = rec[:3]
+                frame = np.asarray(values, float)
+                shape = (len(leads), ni * nj)
+                du, dv, gain = (np.asarray(a, float).reshape(shape) for a in rec[3:])
+                for step, lead in enumerate(leads):
                     i = np.rint(np.clip(rows + dv[step], 0, ni - 1)).astype(int)
                     j = np.rint(np.clip(cols + du[step], 0, nj - 1)).astype(int)
                     frame = frame[i * nj + j] + gain[step]
-                    out.append((getattr(rec, key), int(lead), frame))
-            yield pd.DataFrame(out, columns=[key, "lead", "values"])
+                    out.append((at, int(lead), frame))
+                    held += frame.size
+                    if held >= FOLLOWED_CELLS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    kind = frames.schema[key].dataType.simpleString()
     return flat.mapInPandas(follow, f"{key} {kind}, lead int, values array<double>")
 
 

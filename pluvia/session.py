@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 # A dimension whose size statistics exceed this is never broadcast by hint; the caller
 # takes the shuffled path instead.
 BROADCAST_MAX_BYTES = 32 << 20
+# Bytes of one Arrow batch, as packed rows may be of any size.
+BATCH_BYTES = 16 << 20
 
 
 def get_session(master: str | None = None, app: str = "pluvia", **conf: str) -> SparkSession:
@@ -67,6 +69,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that Python workers get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fits_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Whether a dimension is small enough to copy to every executor.
 

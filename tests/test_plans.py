@@ -78,6 +78,18 @@ def test_packing_merges_repeats_before_they_move(spark, tmp_path, static_plans):
     assert shuffles(grid.ensemble_mean_packed(members, ["vec_id"], 8)) == 1
 
 
+def test_evolve_skips_missing_frames_and_never_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(grid, "FOLLOWED_CELLS", 4)
+    frames = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)] + [(9, None)], "issue_ts long, values array<double>")
+    motion = spark.range(10).selectExpr(
+        "id AS issue_ts", "explode(array(1, 2)) AS lead", "array(1D, 0D) AS du", "array(0D, 0D) AS dv", "array(0.5D, 0D) AS intensity"
+    )
+    out = grid.evolve(frames, motion, 1, 2, 2)
+    assert "Broadcast" not in plan(out)
+    got = {(r.issue_ts, r.lead): r["values"] for r in out.collect()}
+    assert got == {(k, lead): v for k in range(5) for lead, v in ((1, [2.5, 2.0]), (2, [2.5, 2.0]))}
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(QUERIES["latest_per_key"](spark, SF))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in text
