@@ -339,11 +339,24 @@ def ensemble_mean_packed(
 ) -> DataFrame:
     """Cell-wise ensemble mean of packed members, as cells.
 
-    The packed members of a forecast meet first and are unpacked where they are, so
-    the shuffle carries arrays instead of keyed cells.
+    The packed members of a forecast meet first and are averaged place by place, so the shuffle carries
+    arrays instead of keyed cells, and a task holds the members of one forecast, not the cells of all.
+    Rows are grouped in order of their keys: what does not fit is sorted on disk. Missing values
+    (NULL or NaN) are skipped, members of other lengths count where they have a cell.
     """
-    met = members.select(*keys, values).repartition(*keys)
-    return ensemble_mean(unpack_frames(met, nj, keys, values), [*keys, "i", "j"])
+    met = members.select(*keys, F.col(values).alias("_v")).repartition(*keys)
+    frames = met.groupBy(*keys).agg(F.collect_list("_v").alias("_m"))
+    # NaN compares greater than everything, so it does not pass as a value.
+    at = lambda k: F.filter(
+        F.transform("_m", lambda v: F.get(v, k).cast("double")), lambda x: x.isNotNull() & ~F.isnan(x)
+    )
+    mean = lambda x: F.when(
+        F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    )
+    longest = F.array_max(F.transform("_m", F.size))
+    means = F.transform(F.sequence(F.lit(0), longest - 1), lambda k: F.element_at(F.transform(F.array(at(k)), mean), 1))
+    packed = frames.select(*keys, F.when(longest > 0, means).alias("values"))
+    return unpack_frames(packed, nj, keys)
 
 
 def map_order(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

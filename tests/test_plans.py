@@ -78,6 +78,15 @@ def test_packing_merges_repeats_before_they_move(spark, tmp_path, static_plans):
     assert shuffles(grid.ensemble_mean_packed(members, ["vec_id"], 8)) == 1
 
 
+def test_ensemble_mean_groups_frames_not_cells(spark):
+    rows = [(1, [1.0, None, 4.0]), (1, [3.0, float("nan"), 6.0]), (1, [5.0]), (2, []), (3, None), (None, [2.0, 7.0])]
+    members = spark.createDataFrame(rows, "k long, values array<double>")
+    out = grid.ensemble_mean_packed(members, ["k"], 2)
+    assert "collect_list" in plan(out) and "avg(" not in plan(out)
+    got = {(r.k, r.i, r.j): r.value for r in out.collect()}
+    assert got == {(1, 0, 0): 3.0, (1, 0, 1): None, (1, 1, 0): 5.0, (None, 0, 0): 2.0, (None, 0, 1): 7.0}
+
+
 def test_evolve_skips_missing_frames_and_never_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(grid, "FOLLOWED_CELLS", 4)
     frames = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)] + [(9, None)], "issue_ts long, values array<double>")
