@@ -10,9 +10,9 @@ A shard is one row of a Parquet file, written by Spark's committer in the shared
 task leaves nothing behind. Its block is little-endian binary (see ``pack_shard``): rules,
 their expansion lengths, the place of each document in the sequence, the sequence.
 
-Tokenizing is one dictionary look-up per word: texts are cut at single spaces and line feeds,
-where no token of the byte-level tokenizer can cross, and each distinct piece goes through the
-tokenizer once per task and table. Texts with neighbouring white space go through it whole.
+Texts are cut at single spaces and line feeds, where no token of the byte-level tokenizer can cross.
+Arrow numbers the distinct pieces of a block of texts, and each of them goes through the tokenizer
+once per block. Texts with neighbouring white space go through it whole.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import query, stored, table
-from pluvia.llm.textarrays import bounded_batches, gathered, pieces
+from pluvia.llm.textarrays import bounded_batches, gathered, give_back, pieces
 
 END_ID = 2
 SHARD_TOKENS = 2_000_000
@@ -37,15 +39,20 @@ SHARD_TOKENS = 2_000_000
 MIN_USES = 32
 #: A round replaces the pairs that are at least this part as frequent as the most frequent one.
 NEAR_TOP = 16
-#: Distinct pieces that a task remembers before it starts afresh.
-TABLE_PIECES = 250_000
-#: Parts that the library encodes in one call, and places that Re-Pair hashes in one step; both
-#: bound the memory of what is needed for a moment only.
+#: Bytes of texts whose pieces are numbered together.
+BLOCK_BYTES = 24_000_000
+#: Parts that the library encodes, pieces that the pattern cuts, words whose ids are gathered and places
+#: that Re-Pair hashes in one step; they bound the memory of what is needed for a moment only.
 PARTS_AT_ONCE = 20_000
+PIECES_AT_ONCE = 50_000
+WORDS_AT_ONCE = 500_000
 PLACES_AT_ONCE = 1 << 20
 MAGIC = b"RPF1"
 #: White space (of any alphabet) at an end of a piece or next to other white space.
 _ENTANGLED = re.compile(r"^\s|\s\s|\s$")
+#: Characters whose kind all versions of Unicode agree on; none is white space.
+_PLAIN = ((0x21, 0x7E), (0xA1, 0x24F))
+_token_id = attrgetter("id")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,18 +63,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class _Places(dict):
-    """Place of every piece."""
+def _plain_pattern(pattern: str) -> re.Pattern:
+    """The pattern for texts of plain characters and white space: the classes of the pattern are written out,
+    which the standard library matches faster."""
+    import regex
 
-    def number(self, names: list[str]) -> list[str]:
-        """Number the names that are new, and return them."""
-        new = [name for name in dict.fromkeys(names) if name not in self]
-        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-        return new
+    def members(found: re.Match) -> str:
+        return "".join(re.escape(chr(c)) for a, b in _PLAIN for c in range(a, b + 1) if regex.match(found[0], chr(c)))
+
+    kind = re.compile(r"\\p\{\w+\}")
+    sets = re.compile(r"\[[^\]]*\]|" + kind.pattern)
+    return re.compile(sets.sub(lambda m: kind.sub(members, m[0] if m[0][0] == "[" else f"[{m[0]}]"), pattern))
+
+
+def _strings(names: pa.Array, mark: str) -> list[str]:
+    """The strings of an array, none of which holds ``mark``; one decoding for all."""
+    if not len(names):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+    return pc.binary_join(whole, pa.scalar(mark, names.type))[0].as_py().split(mark)
 
 
 class Tokenizer:
-    """Encodes texts with the ``tokenizers`` library, each distinct piece once.
+    """Encodes texts with the ``tokenizers`` library, each distinct piece of a call once.
 
     Pieces of plain characters are cut by the tokenizer's own pattern into parts, and the
     library's model encodes each distinct part once; other pieces go through the whole
@@ -76,68 +94,59 @@ class Tokenizer:
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
         import tokenizers
 
         whole = tokenizers.Tokenizer.from_file(path)
         self.encode = whole.encode
         # Texts that hold one of these go through the whole tokenizer.
         self.special = ["\0", *(str(t.content) for t in whole.get_added_tokens_decoder().values())]
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.parts = _plain_pattern(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.mark = self.letters[10]  # stands for a line feed, which plain pieces do not hold
-        self.model = tokenizers.Tokenizer(whole.model)
-        self.model.pre_tokenizer = tokenizers.pre_tokenizers.Split(self.mark, "isolated")
-        self.mark_id = whole.token_to_id(self.mark)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place, self.known = _Places(), _Places()
-        # The first known part is the line feed that stands between pieces; it has no ids.
-        self.known.number(["\n"])
-        # Ids of all pieces and of all parts, one after the other, and where each begins.
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.part_flat = np.zeros(0, np.uint32)
-        self.part_start, self.part_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.kind = np.zeros(0, np.int8)
+        self.model = whole.model
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Ids of new parts, many in one call of the library's model with marks between them."""
-        ids, sizes = [self.part_flat], [np.zeros(0, np.int64)]
+    def _part_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, one after the other, and how many each has; a line feed that stands
+        between pieces has none. Each other part is one call of the library's model."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for k in range(0, len(parts), PARTS_AT_ONCE):
-            # The bytes of all at once; the line feeds between them become the mark.
-            text = "\n".join(parts[k : k + PARTS_AT_ONCE]).encode().decode("latin-1").translate(self.letters)
-            got = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            marks = got == self.mark_id
-            sizes.append(np.diff(np.append(np.flatnonzero(marks), len(got)), prepend=-1) - 1)
-            ids.append(got[~marks])
-        n = np.concatenate(sizes)
-        self.part_start = np.append(self.part_start, len(self.part_flat) + np.cumsum(n) - n)
-        self.part_size = np.append(self.part_size, n)
-        self.part_flat = np.concatenate(ids)
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces: ``\0word`` stands alone, all others follow a space.
-
-        The pattern runs once over all plain pieces, on lines of their own.
-        """
-        plain = _plain(new)
-        ids, n = [self.flat], np.zeros(len(new), np.int64)
-        kinds = np.zeros(len(new), np.int8)
-        lines = [w[1:] if w[0] == "\0" else " " + w for w, own in zip(new, plain.tolist(), strict=True) if own]
-        if lines:
-            parts = self.parts("\n".join(lines))
-            self._learn_parts(self.known.number(parts))
-            at = _places(self.known, parts)
-            sizes = self.part_size[at]
-            ids.append(gathered(self.part_flat, self.part_start[at], sizes))
-            ends = np.append(np.flatnonzero(at == 0), len(at))
-            n[plain] = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+            # The bytes of all at once; no part holds the zero between them.
+            text = "\0".join(parts[k : k + PARTS_AT_ONCE]).encode().decode("latin-1").translate(self.letters)
+            found = [self.model.tokenize(x) if x != self.mark else [] for x in text.split(self.letters[0])]
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(map(_token_id, chain.from_iterable(found)), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _plain_ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct plain pieces, one after the other, and how many each has. The pattern runs over
+        many pieces at once, on lines of their own."""
+        cut = []
+        for k in range(0, len(names), PIECES_AT_ONCE):
+            lines = (" " + "\n ".join(names[k : k + PIECES_AT_ONCE])).replace(" \0", "") + "\n"
+            cut.append(pa.array(self.parts(lines), pa.large_string()))
+        parts = pa.concat_arrays(cut).dictionary_encode()
+        del cut
+        known = _strings(parts.dictionary, "\0")
+        flat, sizes = self._part_ids(known)
+        at = np.asarray(parts.indices)
+        ids = gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        ends = np.cumsum(sizes[at])[at == known.index("\n")]
+        return ids, np.diff(ends, prepend=0)
+
+    def _piece_ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, where each begins, how many it has, and its kind. ``\\0word`` stands
+        alone, all others follow a space."""
+        plain = _plain(names)
+        ids, n = [np.zeros(0, np.uint32)], np.zeros(len(names), np.int64)
+        kinds = np.zeros(len(names), np.int8)
+        if plain.any():
+            own, n[plain] = self._plain_ids([w for w, usual in zip(names, plain.tolist(), strict=True) if usual])
+            ids.append(own)
         for k in np.flatnonzero(~plain).tolist():
-            w = new[k]
+            w = names[k]
             alone = w[:1] == "\0"
             body = w[1:] if alone else w
             if body or not alone:
@@ -146,45 +155,51 @@ class Tokenizer:
             kinds[k] = (3 if alone else 2) if not body else int(w != "\n" and bool(_ENTANGLED.search(body)))
         # Plain pieces lie first, then the others, each in their order.
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        start = np.empty(len(new), np.int64)
-        start[order] = len(self.flat) + np.cumsum(n[order]) - n[order]
-        self.flat = np.concatenate(ids)
-        self.start, self.size = np.append(self.start, start), np.append(self.size, n)
-        self.kind = np.append(self.kind, kinds)
-
-    def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, an end id behind each, one after the other, and their offsets."""
-        if len(self.place) > TABLE_PIECES:
-            self.forget()
-        words: list[str] = []
-        ends = []
-        whole = {}
-        for k, text in enumerate(texts):
-            if any(mark in text for mark in self.special):
-                whole[k] = self._direct(text)
-            elif text:
-                words += ("\0" + text).replace("\n", " \n \0").split(" ")
-            ends.append(len(words))
-        new = self.place.number(words)
-        if new:
-            self._learn(new)
-        at = _places(self.place, words)
-        n = self.size[at]
-        edges = np.concatenate([[0], np.array(ends, np.int64)])
-        # The end of a text is one more stretch, the last of the table.
-        start = np.insert(self.start[at], edges[1:], len(self.flat))
-        n = np.insert(n, edges[1:], 1)
-        ids = gathered(np.append(self.flat, np.uint32(end_id)), start, n)
-        offs = np.concatenate([[0], np.cumsum(n)])[edges + np.arange(len(edges))]
+        start = np.empty(len(names), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(ids), start, n, kinds
+
+    def encode_all(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end id behind each, one after the other, and their offsets. Null
+        texts are empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.cast(pa.large_string()).fill_null("")
+        special = np.zeros(len(texts), bool)
+        for mark in self.special:
+            special |= np.asarray(pc.match_substring(texts, mark))
+        whole = {k: self._direct(texts[k].as_py()) for k in np.flatnonzero(special).tolist()}
+        usual = pa.array(~special & (np.asarray(pc.binary_length(texts)) > 0))
+        first, none, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", "", None))
+        lined = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n \0"), none)
+        words = pc.split_pattern(pc.if_else(usual, lined, nothing), " ")
+        del lined
+        edges = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(words).fill_null(0)), dtype=np.int64)])
+        words = words.flatten().dictionary_encode()
+        at = np.asarray(words.indices)
+        flat, starts, sizes, kinds = self._piece_ids(_strings(words.dictionary, " "))
+        # The end of a text is one more piece, the last one.
+        flat, starts, sizes = np.append(flat, np.uint32(end_id)), np.append(starts, len(flat)), np.append(sizes, 1)
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + WORDS_AT_ONCE, "right")) - 1)
+            some = np.insert(at[edges[lo] : edges[hi]], edges[lo + 1 : hi + 1] - edges[lo], len(starts) - 1)
+            n = sizes[some]
+            ids.append(gathered(flat, starts[some], n))
+            ends = edges[lo + 1 : hi + 1] - edges[lo] + np.arange(hi - lo)
+            counts.append(np.diff(np.cumsum(n)[ends], prepend=0))
+            lo = hi
+        offs = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         # Empty pieces are white space next to white space, but for those at the ends of a text.
-        kind = self.kind[at]
+        kind = kinds[at]
         full = np.flatnonzero(np.diff(edges))
         first, last = edges[:-1][full], edges[1:][full] - 1
         kind[first] = np.where(kind[first] == 3, 0, kind[first])
         kind[last] = np.where(kind[last] >= 2, 0, kind[last])
         if kind.any():
             for k in np.unique(np.searchsorted(edges, np.flatnonzero(kind), "right") - 1).tolist():
-                whole[k] = self._direct(texts[k])
+                whole[k] = self._direct(texts[k].as_py())
+        ids = np.concatenate(ids)
         if whole:
             own = {k: np.append(v, np.uint32(end_id)) for k, v in whole.items()}
             parts = [own.get(k, ids[offs[k] : offs[k + 1]]) for k in range(len(texts))]
@@ -194,11 +209,11 @@ class Tokenizer:
 
 
 def _plain(pieces_: list[str]) -> np.ndarray:
-    """Which pieces are of characters whose kind all versions of Unicode agree on, and not empty."""
+    """Which pieces are of plain characters, and not empty."""
     sizes = np.fromiter(map(len, pieces_), np.int64, len(pieces_))
     text = np.frombuffer("".join(pieces_).encode("utf-32-le"), "<u4")
     ends = np.cumsum(sizes)
-    odd = ~((text >= 0x21) & (text <= 0x7E) | (text >= 0xA1) & (text <= 0x24F))
+    odd = ~np.any([(text >= a) & (text <= b) for a, b in _PLAIN], axis=0)
     # The zero that marks a piece that stands alone is no part of it.
     alone = np.zeros(len(pieces_), bool)
     full = np.flatnonzero(sizes)
@@ -208,23 +223,19 @@ def _plain(pieces_: list[str]) -> np.ndarray:
     return (count[ends] == count[ends - sizes]) & (sizes - alone > 0)
 
 
-def _places(table: _Places, names: list[str]) -> np.ndarray:
-    if len(names) < 2:
-        return np.array([table[n] for n in names], np.int64)
-    return np.fromiter(itemgetter(*names)(table), np.int64, len(names))
-
-
 def re_pair(ids: np.ndarray, offs: np.ndarray, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sequence, offsets of the rows in it, rules (pairs of symbols), first nonterminal.
 
     Symbol ``base + r`` stands for rule ``r``, whose two symbols are ids or earlier rules. Every round
     replaces the pairs with at least ``1 / NEAR_TOP`` of the uses of the most frequent one together; the
-    rounds end when no pair has ``min_uses``.
+    rounds end when no pair has ``min_uses``. No chosen pair is left after its round, and none without a
+    new symbol comes up, so once all with ``min_uses`` were chosen only pairs of later symbols count.
     """
     seq = ids.astype(np.uint32)
     offs = offs.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules = np.zeros((0, 2), np.uint32)
+    recent = 0  # pairs of two symbols before this one are settled
     while len(seq) >= 2:
         # Pairs fit 32 bits as long as all symbols fit 16.
         narrow = base + len(rules) <= 1 << 16
@@ -235,6 +246,13 @@ def re_pair(ids: np.ndarray, offs: np.ndarray, min_uses: int = MIN_USES) -> tupl
         inner = offs[1:-1]
         across = np.zeros(len(key), bool)
         across[inner[(inner > 0) & (inner < len(seq))] - 1] = True
+        near = None
+        if recent:
+            late = seq >= recent
+            near = np.flatnonzero(late[:-1] | late[1:]).astype(np.int32)
+            if not len(near):
+                break
+            key, across = key[near], across[near]
 
         def slots(lo: int) -> np.ndarray:
             """Hash of the pairs from ``lo`` on, the last one for those across rows."""
@@ -250,11 +268,14 @@ def re_pair(ids: np.ndarray, offs: np.ndarray, min_uses: int = MIN_USES) -> tupl
         count[-1] = 0
         # A slot counts all pairs with its hash, so it may promise too much, never too little.
         least = max(min_uses, int(count.max()) // NEAR_TOP)
+        settled = least == min_uses
         frequent = count >= least
         spots = np.concatenate([(np.flatnonzero(frequent[slots(lo)]) + lo).astype(np.int32) for lo in steps])
         if not len(spots):
             break
         key = key[spots]
+        if near is not None:
+            spots = near[spots]
         ordered = np.sort(key)
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         pairs, uses = ordered[edges[:-1]], np.diff(edges)
@@ -267,11 +288,13 @@ def re_pair(ids: np.ndarray, offs: np.ndarray, min_uses: int = MIN_USES) -> tupl
         pairs = pairs[::-1]
         rule_of = np.full((1 << 20) + 1, -1, np.int32)
         rule_of[(pairs * kind(stir) >> kind(shift)).astype(np.intp)] = np.arange(len(pairs))
+        if settled and np.count_nonzero(rule_of >= 0) == len(pairs):
+            recent = base + len(rules)
         which = rule_of[(key * kind(stir) >> kind(shift)).astype(np.int32)]
         chosen = which >= 0
         chosen[chosen] = pairs[which[chosen]] == key[chosen]
         spots, which = spots[chosen], which[chosen]
-        del key, ordered, edges, across
+        del key, ordered, edges, across, near
         if not len(spots):
             break
         # Of pairs that overlap one another, every second one from the left is replaced.
@@ -389,9 +412,32 @@ class Shard:
 SHARD_SCHEMA = "part int, nth int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, block binary"
 
 
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about ``BLOCK_BYTES`` of text, whatever the size of a batch; a longer text is a
+    block of its own."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def block() -> pa.RecordBatch:
+        out = pa.concat_batches(held) if len(held) > 1 else held[0]
+        held.clear()
+        return out
+
+    for part, data, _ in pieces(batches, limit=BLOCK_BYTES):
+        if held and total + len(data) > BLOCK_BYTES:
+            yield block()
+            total = 0
+        held.append(part)
+        total += len(data)
+        del part, data
+    if held:
+        yield block()
+
+
 def _shard_batches(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, tokenizer = TaskContext.get().partitionId(), 0, Tokenizer(path)
+        # What is encoded and in no shard yet.
         keys: list[pa.Array] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -413,18 +459,25 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
             names = ["part", "nth", "n_docs", "n_tokens", "doc_ids", "null_ids", "block"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
-        for batch in batches:
-            # Some megabytes at a time, so that a shard does not outgrow its bound by much.
-            for rows, _, _ in pieces([batch], limit=min(2_000_000, shard_tokens)):
-                ids, offs = tokenizer.encode_all([t or "" for t in rows.column("text").to_pylist()], end_id)
-                held.append(ids)
-                sizes.append(np.diff(offs))
-                keys.append(rows.column("doc_id"))
+        for rows in _blocks(batches):
+            ids, offs = tokenizer.encode_all(rows.column("text"), end_id)
+            doc_ids = rows.column("doc_id")
+            del rows
+            lo = 0
+            while lo < len(doc_ids):
+                # Whole documents until the shard has its tokens.
+                hi = min(int(np.searchsorted(offs, offs[lo] + shard_tokens - total)), len(doc_ids))
+                held.append(ids[offs[lo] : offs[hi]].copy())
+                sizes.append(np.diff(offs[lo : hi + 1]))
+                keys.append(doc_ids.slice(lo, hi - lo))
                 total += len(held[-1])
+                lo = hi
                 if total >= shard_tokens:
                     yield flush()
         if total:
             yield flush()
+        del tokenizer
+        give_back()
 
     return run
 
@@ -438,7 +491,8 @@ def write_shards(
     missing id is no hot key."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Half the usual number of ranges: the more texts a block has, the fewer distinct pieces for each of them.
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", "_head", "_hash", "_place"]
     placed = rows.withColumns({

@@ -6,8 +6,10 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pluvia.llm import charlm, decontaminate, hmm, language_id, quality, simhash, token_files
@@ -65,6 +67,41 @@ def test_repeated_and_missing_ids_are_dealt_over_all_ranges(spark):
     assert token_files.read_documents(shards).count() == 600
 
 
+def test_each_distinct_part_is_encoded_once_in_a_block():
+    texts = [prose(k % 40, 300) + f"\nnumber {k % 7}, it's" for k in range(400)] + ["", None, "<|endoftext|>", "a  b"]
+    t = token_files.Tokenizer(token_files.default_path())
+    want = [[*(t._direct(text or "")), 2] for text in texts]
+    calls, model = Counter(), t.model
+
+    class Counting:
+        def tokenize(self, part):
+            calls[part] += 1
+            return model.tokenize(part)
+
+    t.model = Counting()
+    ids, offs = t.encode_all(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+    assert len(calls) > 50 and set(calls.values()) == {1}
+
+
+def test_written_out_pattern_cuts_like_the_tokenizers_own():
+    rng = random.Random(4)
+    some = " \n'stredvml09²½ªßé,.;«" + "".join(chr(c) for c in range(0x100, 0x250, 7))
+    for _ in range(300):
+        text = "".join(rng.choice(some) for _ in range(60))
+        own = regex.findall(public_tokenizers.PATTERN, text)
+        assert token_files._plain_pattern(public_tokenizers.PATTERN).findall(text) == own
+
+
+def test_small_batches_share_a_block(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 100)
+    batches = [pa.record_batch({"doc_id": [k, None], "text": ["x" * 9, None]}) for k in range(25)]
+    batches.append(pa.record_batch({"doc_id": [25], "text": ["y" * 250]}))
+    blocks = list(token_files._blocks(batches))
+    assert [b.num_rows for b in blocks] == [22, 22, 6, 1]
+    assert [i for b in blocks for i in b.column("doc_id").to_pylist() if i is not None] == list(range(26))
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
