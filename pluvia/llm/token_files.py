@@ -46,6 +46,7 @@ BLOCK_BYTES = 24_000_000
 PARTS_AT_ONCE = 20_000
 PIECES_AT_ONCE = 50_000
 WORDS_AT_ONCE = 500_000
+TEXTS_AT_ONCE = 1_000
 PLACES_AT_ONCE = 1 << 20
 MAGIC = b"RPF1"
 #: White space (of any alphabet) at an end of a piece or next to other white space.
@@ -168,38 +169,46 @@ class Tokenizer:
         for mark in self.special:
             special |= np.asarray(pc.match_substring(texts, mark))
         whole = {k: self._direct(texts[k].as_py()) for k in np.flatnonzero(special).tolist()}
-        usual = pa.array(~special & (np.asarray(pc.binary_length(texts)) > 0))
-        first, none, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", "", None))
-        lined = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n \0"), none)
-        words = pc.split_pattern(pc.if_else(usual, lined, nothing), " ")
-        del lined
-        edges = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(words).fill_null(0)), dtype=np.int64)])
-        words = words.flatten().dictionary_encode()
-        at = np.asarray(words.indices)
-        flat, starts, sizes, kinds = self._piece_ids(_strings(words.dictionary, " "))
+        usual = ~special & (np.asarray(pc.binary_length(texts)) > 0)
+        first, none = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+        # Some texts at a time are cut; their words are numbered together.
+        n_words, words = np.zeros(len(texts), np.int64), [pa.array([], pa.large_string())]
+        for k in range(0, len(texts), TEXTS_AT_ONCE):
+            own = usual[k : k + TEXTS_AT_ONCE]
+            some = texts.slice(k, TEXTS_AT_ONCE).filter(pa.array(own))
+            lined = pc.binary_join_element_wise(first, pc.replace_substring(some, "\n", " \n \0"), none)
+            lists = pc.split_pattern(lined, " ")
+            n_words[k : k + TEXTS_AT_ONCE][own] = np.asarray(pc.list_value_length(lists))
+            words.append(lists.flatten())
+        edges = np.concatenate([[0], np.cumsum(n_words)])
+        words = (pa.chunked_array(words) if n_words.any() else words[0]).dictionary_encode()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        at, names = np.asarray(words.indices), _strings(words.dictionary, " ")
+        del words
+        flat, starts, sizes, kinds = self._piece_ids(names)
+        del names
         # The end of a text is one more piece, the last one.
         flat, starts, sizes = np.append(flat, np.uint32(end_id)), np.append(starts, len(flat)), np.append(sizes, 1)
-        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        lo = 0
+        ids, counts = np.empty(int(sizes[at].sum()) + len(texts), np.uint32), [np.zeros(0, np.int64)]
+        lo = done = 0
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + WORDS_AT_ONCE, "right")) - 1)
             some = np.insert(at[edges[lo] : edges[hi]], edges[lo + 1 : hi + 1] - edges[lo], len(starts) - 1)
             n = sizes[some]
-            ids.append(gathered(flat, starts[some], n))
-            ends = edges[lo + 1 : hi + 1] - edges[lo] + np.arange(hi - lo)
-            counts.append(np.diff(np.cumsum(n)[ends], prepend=0))
-            lo = hi
+            ends = np.cumsum(n)[np.cumsum(n_words[lo:hi] + 1) - 1]
+            ids[done : done + ends[-1]] = gathered(flat, starts[some], n)
+            counts.append(np.diff(ends, prepend=0))
+            lo, done = hi, done + int(ends[-1])
         offs = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         # Empty pieces are white space next to white space, but for those at the ends of a text.
         kind = kinds[at]
-        full = np.flatnonzero(np.diff(edges))
+        full = np.flatnonzero(n_words)
         first, last = edges[:-1][full], edges[1:][full] - 1
         kind[first] = np.where(kind[first] == 3, 0, kind[first])
         kind[last] = np.where(kind[last] >= 2, 0, kind[last])
         if kind.any():
             for k in np.unique(np.searchsorted(edges, np.flatnonzero(kind), "right") - 1).tolist():
                 whole[k] = self._direct(texts[k].as_py())
-        ids = np.concatenate(ids)
         if whole:
             own = {k: np.append(v, np.uint32(end_id)) for k, v in whole.items()}
             parts = [own.get(k, ids[offs[k] : offs[k + 1]]) for k in range(len(texts))]
@@ -467,13 +476,16 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
             while lo < len(doc_ids):
                 # Whole documents until the shard has its tokens.
                 hi = min(int(np.searchsorted(offs, offs[lo] + shard_tokens - total)), len(doc_ids))
-                held.append(ids[offs[lo] : offs[hi]].copy())
+                held.append(ids[offs[lo] : offs[hi]])
                 sizes.append(np.diff(offs[lo : hi + 1]))
                 keys.append(doc_ids.slice(lo, hi - lo))
                 total += len(held[-1])
                 lo = hi
                 if total >= shard_tokens:
                     yield flush()
+            # What is left waits for the next block; the rest of this one goes.
+            held[:] = [x.copy() for x in held]
+            del ids, offs
         if total:
             yield flush()
         del tokenizer

@@ -67,7 +67,7 @@ def test_repeated_and_missing_ids_are_dealt_over_all_ranges(spark):
     assert token_files.read_documents(shards).count() == 600
 
 
-def test_each_distinct_part_is_encoded_once_in_a_block():
+def test_each_distinct_part_is_encoded_once_in_a_block(monkeypatch):
     texts = [prose(k % 40, 300) + f"\nnumber {k % 7}, it's" for k in range(400)] + ["", None, "<|endoftext|>", "a  b"]
     t = token_files.Tokenizer(token_files.default_path())
     want = [[*(t._direct(text or "")), 2] for text in texts]
@@ -82,6 +82,11 @@ def test_each_distinct_part_is_encoded_once_in_a_block():
     ids, offs = t.encode_all(pa.array(texts), 2)
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
     assert len(calls) > 50 and set(calls.values()) == {1}
+    monkeypatch.setattr(token_files, "TEXTS_AT_ONCE", 7)
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 1000)
+    ids, offs = t.encode_all(pa.array(texts).slice(5).slice(390), 2)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want[395:]
+    assert t.encode_all([], 2)[0].tolist() == []
 
 
 def test_written_out_pattern_cuts_like_the_tokenizers_own():
