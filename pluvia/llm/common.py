@@ -41,13 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, clear: bool = False) -> DataFrame:
+#: For columns that are compressed already: no second compression, no search for values that repeat.
+PACKED = {"compression": "none", "parquet.enable.dictionary": "false"}
+
+
+def stored(df: DataFrame, clear: bool = False, packed: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The files are columnar and compressed, every executor can read them, and a lost
     executor costs only its unfinished tasks. They stay until ``forget``, or until the folder
     that ``spark.checkpoint.dir`` names is cleared. With ``clear`` the shuffle files of the write,
-    which nothing else uses, go with its end.
+    which nothing else uses, go with its end. ``packed`` says that the columns are compressed already.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -56,7 +60,7 @@ def stored(df: DataFrame, clear: bool = False) -> DataFrame:
     if clear:
         spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(PACKED if packed else {})).parquet(path)
     finally:
         if clear and before is None:
             spark.conf.unset(CLEAN)

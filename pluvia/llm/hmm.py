@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import forget, query, remainder, stored, table
-from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, give_back, mixed, pieces, span_hashes, word_spans
+from pluvia.llm.textarrays import LOWER, SortedHashes, bounded_batches, gathered, give_back, mixed, pieces, span_hashes, word_spans
 
 STATES = 6
 HEAD = 50_000
@@ -42,9 +42,14 @@ SEED = 5
 #: Weight of the unigram distribution in a state's emissions, in tokens.
 SMOOTHING = 50.0
 #: Tokens of a chunk, whose texts share a list of words.
-RUN_TOKENS = 2_500_000
+RUN_TOKENS = 5_000_000
 #: Symbols of a chunk whose recursions run side by side; a single longer text runs alone.
 PART_TOKENS = 800_000
+#: Steps of a count's recursions of which one is scaled; the least sum that may come of that; rows that are
+#: counted together.
+SCALE_EVERY = 4
+LEAST = 1e-25
+BLOCK_ROWS = 1 << 15
 #: Tokens outside the head whose words make a range.
 RANGE_TOKENS = 500_000
 #: Tasks that add up the heads of all chunks.
@@ -192,8 +197,13 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / total, share, SMOOTHING / words.mass, total)
 
     def of_counts(self, c: np.ndarray) -> np.ndarray:
-        """Emissions of words outside the head."""
-        return (c + self.added + self.smooth * (c.sum(1, keepdims=True) + 1.0)) / self.total
+        """Emissions of words outside the head, as exact as their counts."""
+        kind, k = c.dtype, len(self.start)
+        out = np.dot(c, np.full((k, k), self.smooth, kind))
+        out += c
+        out += (self.added + self.smooth).astype(kind) if isinstance(self.added, np.ndarray) else kind.type(self.added + self.smooth)
+        out /= np.asarray(self.total, kind)
+        return out
 
 
 class Packed:
@@ -221,6 +231,13 @@ class Packed:
         """Number of sequences, begin and end of every step's slice."""
         return list(zip(self.live.tolist(), self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True))
 
+    @property
+    def before(self) -> np.ndarray:
+        """Where the symbol before lies, of all from the second step on: as far back as the step before has rows."""
+        out = np.arange(int(self.live[0]), len(self.symbols))
+        out -= np.repeat(self.live[:-1], self.live[1:])
+        return out
+
 
 def packs(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, Packed]]:
     """Sequences some at a time: which, and packed."""
@@ -260,38 +277,85 @@ def forward(model: Hmm, x: Packed) -> np.ndarray:
 
 
 def expected_counts(model: Hmm, x: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences, by the backward recursion.
+    """Expected starts, moves and emissions of the sequences, by the backward recursion."""
+    k = len(model.start)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
+    add_counts(model, relative(model.emit, kind), x, start, move, emit)
+    return start, move, emit.T
+
+
+def relative(emit: np.ndarray, kind: type) -> np.ndarray:
+    """Emissions of each symbol as parts of their sum; counts depend on no more."""
+    total = np.dot(emit, np.ones((emit.shape[1],) * 2, emit.dtype))
+    return np.divide(emit, total, out=np.zeros_like(emit), where=total > 0).astype(kind, copy=False)
 
-    The recursion itself leaves ``w = emission * b / scale`` of every step; with the vectors of the step
-    before, all counts follow from ``w`` at once.
+
+def add_counts(
+    model: Hmm, parts: np.ndarray, x: Packed, start: np.ndarray, move: np.ndarray, emit: np.ndarray,
+    space: np.ndarray | None = None, every: int = SCALE_EVERY,
+) -> None:
+    """Adds the expected starts, moves and emissions (states x symbols) of the sequences. ``space`` is used
+    for the vectors, if given.
+
+    Both recursions are scaled at some steps only, as the counts of each step are divided by their own
+    sum. The backward one leaves ``w = emission * b`` of every step; with the vectors of the step before,
+    all counts follow at once. Should a sum come too close to zero, all is done again with every step scaled.
     """
-    k = len(model.start)
-    w = model.emit.astype(kind)[x.symbols]
-    vectors = w.copy()
-    _, scales = _forward(model, x, vectors)
-    w /= scales[:, None]
-    back = np.ascontiguousarray(model.move.T, kind)
+    k, kind = len(start), parts.dtype
+    if not len(x.symbols):
+        return
+    symbols = x.symbols.astype(np.int64)
+    w, vectors = (np.empty((2, len(symbols), k), kind) if space is None else space)[:, : len(symbols)]
+    np.take(parts, symbols, 0, out=w, mode="clip")
+    vectors[:] = w
+    step, ones = model.move.astype(kind), np.ones((k, k), kind)
+    first = int(x.live[0])
+    vectors[:first] *= model.start.astype(kind)
+    spans = list(enumerate(x.spans))
+    held, last = np.empty((first, k), kind), vectors[:first]
+    for t, (live, lo, hi) in spans[1:]:
+        now, a = held[:live], vectors[lo:hi]
+        np.dot(last[:live], step, out=now)
+        a *= now
+        if t % every == 0:
+            np.dot(a, ones, out=now)
+            a /= now
+        last = a
+    back = np.ascontiguousarray(step.T)
     # Sequences that end at a step begin there with ones.
-    b = np.ones((len(x.order), k), kind)
-    for live, lo, hi in reversed(x.spans):
+    b = np.ones((first, k), kind)
+    for t, (live, lo, hi) in reversed(spans):
         now, some = b[:live], w[lo:hi]
         some *= now
+        if t % every == 0:
+            np.dot(some, ones, out=now)
+            some /= now
         np.dot(some, back, out=now)
-    first = int(x.live[0]) if len(x.live) else 0
-    start = model.start * w[:first]
-    move = np.zeros((k, k))
-    step = model.move.astype(kind)
-    # The row before one of step t lies as far back as step t - 1 has rows.
-    before = np.arange(first, len(w), dtype=np.int32)
-    before -= np.repeat(x.live[:-1].astype(np.int32), x.live[1:])
-    for lo in range(0, len(before), 1 << 18):
-        at = slice(first + lo, first + lo + (1 << 18))
-        last = vectors[before[lo : lo + (1 << 18)]]
-        move += last.T @ w[at]
-        w[at] *= last @ step
-    w[:first] = start
-    emit = np.stack([np.bincount(x.symbols, w[:, s], len(model.emit)) for s in range(k)], 1)
-    return start.sum(0, dtype=np.float64) if first else np.zeros(k), move * model.move, emit
+    opening = w[:first] * model.start.astype(kind)
+    sums = np.dot(opening, ones)
+    low, moves = sums.min(), np.zeros((k, k))
+    w[:first] = opening / sums
+    before = x.before
+    space = np.empty((3, min(len(before), BLOCK_ROWS), k), kind)
+    for lo in range(0, len(before), BLOCK_ROWS):
+        at = before[lo : lo + BLOCK_ROWS]
+        past, counts, sums = space[:, : len(at)]
+        own = w[first + lo : first + lo + len(at)]
+        np.take(vectors, at, 0, out=past, mode="clip")
+        np.dot(past, step, out=counts)
+        counts *= own
+        np.dot(counts, ones, out=sums)
+        low = min(low, sums.min())
+        past /= sums
+        moves += np.dot(past.T, own)
+        np.divide(counts, sums, out=own)
+    if every > 1 and not low > LEAST:
+        add_counts(model, parts, x, start, move, emit, space, 1)
+        return
+    start += w[:first].sum(0, dtype=np.float64)
+    move += moves * model.move
+    for s in range(k):
+        emit[s] += np.bincount(symbols, w[:, s], emit.shape[1])
 
 
 #: Texts of a chunk; and of each chunk and range the sorted words, or numbers of them.
@@ -312,7 +376,11 @@ def _pack(values: np.ndarray) -> bytes:
 def _unpack(data, kind: str, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+    out = planes[-1].astype(f"<u{size}")
+    for plane in planes[-2::-1]:
+        out <<= 8
+        out |= plane
+    return out.view(kind)
 
 
 def _parts(rows: list[tuple], sums: bool = False) -> pa.RecordBatch:
@@ -337,7 +405,12 @@ def _chunk_batches(words: Vocabulary, ranges: int):
 
     def rows(chunk: int, held: list) -> pa.RecordBatch:
         symbols, h, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
-        ids = pa.concat_arrays([x[3] for x in held])
+        # Longest texts first, so that parts of a chunk hold texts of like length and take few steps.
+        order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        symbols, h = gathered(symbols, starts, sizes), gathered(h, starts, sizes)
+        ids = pa.concat_arrays([x[3] for x in held]).take(pa.array(order))
         where = np.flatnonzero(symbols == words.rare)
         rare, at, times = np.unique(h[where], return_inverse=True, return_counts=True)
         symbols[where] = words.rare + 2 + at
@@ -379,7 +452,7 @@ def _chunks(docs: DataFrame, words: Vocabulary) -> tuple[DataFrame, DataFrame]:
     """``chunk, ids, sizes, data, n``: the texts; ``chunk, range, data, n``: words by range."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = stored(rows.mapInArrow(_chunk_batches(words, words.ranges), CHUNKS), clear=True)
+    both = stored(rows.mapInArrow(_chunk_batches(words, words.ranges), CHUNKS), clear=True, packed=True)
     texts = both.where(F.col("range") == SUMS).select("chunk", "ids", "sizes", "data", "n")
     return texts, both.where(F.col("range") != SUMS).select("chunk", "range", "data", "n")
 
@@ -416,8 +489,8 @@ def _first_answers(states: int):
     return run
 
 
-def _answers(states: int):
-    """A range's sums: one answer for each chunk, and with chunk ``WORDS`` all of them."""
+def _answers(states: int, last: bool):
+    """A range's sums: one answer for each chunk, or, if none follows, all of them with chunk ``WORDS``."""
 
     def run(key: tuple, parts: pa.Table, places: pa.Table) -> pa.Table:
         at = {~row["chunk"]: _unpack(row["data"], "<i4", row["n"]) for row in places.to_pylist()}
@@ -426,8 +499,9 @@ def _answers(states: int):
             total[at[row["chunk"]]] += _unpack(row["data"], "<f4", row["n"] * states).reshape(-1, states)
         total = total.astype("<f4")
         r = key[0].as_py()
-        out = [(r, chunk, len(a), _pack(total[a])) for chunk, a in at.items()]
-        return pa.Table.from_batches([_parts([*out, (r, WORDS, len(total), _pack(total))])])
+        if last:
+            return pa.Table.from_batches([_parts([(r, WORDS, len(total), _pack(total))])])
+        return pa.Table.from_batches([_parts([(r, chunk, len(a), _pack(total[a])) for chunk, a in at.items()])])
 
     return run
 
@@ -449,14 +523,14 @@ def _counted(model: Hmm, words: Vocabulary):
         out = []
         for text in texts.to_pylist():
             symbols, sizes, c, ranges = _unpacked(text, own, k, "<f4")
-            local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(c)]))
-            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(local.emit)
+            parts = np.concatenate([relative(model.emit, np.float32), relative(model.of_counts(c), np.float32)])
+            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(parts)))
+            space = np.empty((2, max(min(len(symbols), PART_TOKENS), int(sizes.max())), k), np.float32)
             for _, x in packs(symbols, sizes):
-                for total, part in zip((start, move, emit), expected_counts(local, x, np.float32), strict=True):
-                    total += part
-            del local, symbols, c
-            head, tail = emit[:size], emit[size:].astype("<f4")
-            head[words.rare] = emit[size:].sum(0)
+                add_counts(model, parts, x, start, move, emit, space)
+            del parts, symbols, c, space
+            head, tail = emit[:, :size].T, emit[:, size:].T.astype("<f4", order="C")
+            head[words.rare] = emit[:, size:].sum(1)
             sums = np.vstack([start[None], move, head]).astype("<f4")
             out.append((SUMS, text["chunk"], len(sums), None, _pack(sums)))
             lo = 0
@@ -480,21 +554,23 @@ def _sum_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(["n", "sums"], pa.array([len(total)], pa.int32()), pa.array([_pack(total)], pa.binary()))
 
 
-def baum_welch(model: Hmm, texts: DataFrame, places: DataFrame, answers: DataFrame, words: Vocabulary) -> tuple[Hmm, DataFrame]:
-    """One iteration over all texts: the new model and the ranges' new answers.
+def baum_welch(
+    model: Hmm, texts: DataFrame, places: DataFrame, answers: DataFrame, words: Vocabulary, last: bool
+) -> tuple[Hmm, DataFrame]:
+    """One iteration over all texts: the new model and the ranges' new answers, after the last one their sums.
 
     The driver gets the sums of the head, an array from each of ``HEAD_TASKS`` tasks.
     """
     k = len(model.start)
     mine = answers.where(F.col("chunk") >= 0)
     counted = texts.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_counted(model, words), PARTS + ", sums binary")
-    parts = stored(counted, clear=True)
+    parts = stored(counted, clear=True, packed=True)
     sums = np.zeros((1 + k + len(words.counts) + 2, k))
     heads = parts.where("sums is not null").select((F.col("n") * k).cast("int").alias("n"), "sums").coalesce(HEAD_TASKS)
     for row in heads.mapInArrow(_sum_batches, "n int, sums binary").collect():
         sums += _unpack(bytes(row.sums), "<f8", row.n).reshape(-1, k)
     tails = parts.where(F.col("range") != SUMS).select("range", "chunk", "n", "data").groupBy("range")
-    new = stored(tails.cogroup(places.groupBy("range")).applyInArrow(_answers(k), PARTS), clear=True)
+    new = stored(tails.cogroup(places.groupBy("range")).applyInArrow(_answers(k, last), PARTS), clear=True, packed=True)
     forget(parts)
     return model.updated(sums[0], sums[1 : 1 + k], sums[1 + k :], words), new
 
@@ -509,21 +585,22 @@ def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, iterations: int
     words = vocabulary(counts, given.count(), head)
     forget(counts)
     texts, lists = _chunks(given, words)
-    first = stored(lists.groupBy("range").applyInArrow(_first_answers(states), PARTS), clear=True)
+    first = stored(lists.groupBy("range").applyInArrow(_first_answers(states), PARTS), clear=True, packed=True)
     rest = np.zeros(states)
     for row in first.where(F.col("chunk") == FIRST).toLocalIterator():
         rest += _unpack(bytes(row.data), "<f8", states)
     model = Hmm.begin(words, rest, states)
     places = first.where((F.col("chunk") < 0) & (F.col("chunk") > FIRST))
     answers = first
-    for _ in range(FIRST_ITERATIONS + iterations):
+    rounds = FIRST_ITERATIONS + iterations
+    for k in range(rounds):
         old = answers
-        model, answers = baum_welch(model, texts, places, old, words)
+        model, answers = baum_welch(model, texts, places, old, words, k + 1 == rounds)
         if old is not first:
             forget(old)
     own = first.where(F.col("chunk") == WORDS).select("range", "n", F.col("data").alias("words"))
     sums = answers.where(F.col("chunk") == WORDS).select("range", "data")
-    known = stored(own.join(sums, "range"), clear=True)
+    known = stored(own.join(sums, "range"), clear=True, packed=True)
     for done in (texts, first, answers):
         forget(done)
     return model, words, known
@@ -580,7 +657,7 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     texts, lists = _chunks(docs, words)
     own = lists.groupBy("range").cogroup(counts.groupBy("range")).applyInArrow(_known(k), PARTS)
-    return texts.groupBy("chunk").cogroup(stored(own, clear=True).groupBy("chunk")).applyInArrow(run, schema)
+    return texts.groupBy("chunk").cogroup(stored(own, clear=True, packed=True).groupBy("chunk")).applyInArrow(run, schema)
 
 
 @query("op6_hmm")

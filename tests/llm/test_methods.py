@@ -288,3 +288,28 @@ def test_sequences_in_parts_count_like_all_together(monkeypatch):
     assert np.concatenate([hmm.forward(model, p) for _, p in parts]) == pytest.approx(logs)
     for k, total in enumerate(want):
         assert sum(hmm.expected_counts(model, p)[k] for _, p in parts) == pytest.approx(total)
+
+
+@pytest.mark.parametrize("least", [0.3, 1e-4, 1e-13])
+def test_counts_of_seldom_scaled_recursions(least):
+    rng = np.random.RandomState(4)
+    k, sizes = 3, np.array([1, 30, 9, 64, 2])
+    emit = rng.dirichlet(np.ones(12), k).T
+    emit[:6, 0], emit[6:, 1] = emit[:6, 0] * least, emit[6:, 1] * least
+    move = np.full((k, k), least / 2) + np.diag(np.full(k, 1 - 3 * least / 2))
+    model = hmm.Hmm(rng.dirichlet(np.ones(k)), move, emit)
+    x = hmm.Packed(rng.randint(0, 12, sizes.sum()).astype(np.int32), sizes)
+    want = hmm.expected_counts(model, x)
+    start, moves, found = np.zeros(k), np.zeros((k, k)), np.zeros((k, 12))
+    hmm.add_counts(model, hmm.relative(emit, np.float32), x, start, moves, found)
+    for a, b in zip((start, moves, found.T), want, strict=True):
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-4)
+    assert start.sum() == pytest.approx(len(sizes)) and found.sum() == pytest.approx(sizes.sum(), rel=1e-5)
+
+
+def test_chunks_hold_their_longest_texts_first(spark):
+    texts = ["a b", "a b c d", None, "c", "b c d a b"]
+    rows = frame(spark, list(enumerate(texts))).coalesce(1)
+    words = hmm.vocabulary(spark.createDataFrame([(1, 2), (2, 3)], "w long, n long"), 5, 1)
+    chunk = hmm._chunks(rows, words)[0].first()
+    assert chunk.ids == [4, 1, 0, 3, 2] and chunk.sizes == [6, 5, 3, 2, 1]
