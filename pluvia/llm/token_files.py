@@ -41,6 +41,8 @@ MIN_USES = 32
 NEAR_TOP = 16
 #: Bytes of texts whose pieces are numbered together.
 BLOCK_BYTES = 24_000_000
+#: Bytes of the batches that these blocks are made of.
+FILE_BATCH_BYTES = 4 << 20
 #: Parts that the library encodes, pieces that the pattern cuts, words whose ids are gathered and places
 #: that Re-Pair hashes in one step; they bound the memory of what is needed for a moment only.
 PARTS_AT_ONCE = 20_000
@@ -171,22 +173,26 @@ class Tokenizer:
         whole = {k: self._direct(texts[k].as_py()) for k in np.flatnonzero(special).tolist()}
         usual = ~special & (np.asarray(pc.binary_length(texts)) > 0)
         first, none = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
-        # Some texts at a time are cut; their words are numbered together.
-        n_words, words = np.zeros(len(texts), np.int64), [pa.array([], pa.large_string())]
+        # Some texts at a time are cut and their words numbered; only the distinct ones of each wait for the others.
+        n_words, words = np.zeros(len(texts), np.int64), [pa.array([], pa.large_string()).dictionary_encode()]
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             own = usual[k : k + TEXTS_AT_ONCE]
             some = texts.slice(k, TEXTS_AT_ONCE).filter(pa.array(own))
             lined = pc.binary_join_element_wise(first, pc.replace_substring(some, "\n", " \n \0"), none)
             lists = pc.split_pattern(lined, " ")
             n_words[k : k + TEXTS_AT_ONCE][own] = np.asarray(pc.list_value_length(lists))
-            words.append(lists.flatten())
+            words.append(lists.flatten().dictionary_encode())
+            del some, lined, lists
         edges = np.concatenate([[0], np.cumsum(n_words)])
-        words = (pa.chunked_array(words) if n_words.any() else words[0]).dictionary_encode()
-        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-        at, names = np.asarray(words.indices), _strings(words.dictionary, " ")
+        words = pa.chunked_array(words).unify_dictionaries()
+        at = np.concatenate([np.asarray(some.indices) for some in words.chunks])
+        names = _strings(words.chunk(0).dictionary, " ")
         del words
+        # What each step needed for a moment goes before the next one takes its own.
+        give_back()
         flat, starts, sizes, kinds = self._piece_ids(names)
         del names
+        give_back()
         # The end of a text is one more piece, the last one.
         flat, starts, sizes = np.append(flat, np.uint32(end_id)), np.append(starts, len(flat)), np.append(sizes, 1)
         ids, counts = np.empty(int(sizes[at].sum()) + len(texts), np.uint32), [np.zeros(0, np.int64)]
@@ -219,6 +225,11 @@ class Tokenizer:
 
 def _plain(pieces_: list[str]) -> np.ndarray:
     """Which pieces are of plain characters, and not empty."""
+    some = [_plain_some(pieces_[k : k + PIECES_AT_ONCE]) for k in range(0, len(pieces_), PIECES_AT_ONCE)]
+    return np.concatenate([np.zeros(0, bool), *some])
+
+
+def _plain_some(pieces_: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, pieces_), np.int64, len(pieces_))
     text = np.frombuffer("".join(pieces_).encode("utf-32-le"), "<u4")
     ends = np.cumsum(sizes)
@@ -486,6 +497,7 @@ def _shard_batches(path: str, end_id: int, shard_tokens: int):
             # What is left waits for the next block; the rest of this one goes.
             held[:] = [x.copy() for x in held]
             del ids, offs
+            give_back()
         if total:
             yield flush()
         del tokenizer
@@ -502,7 +514,7 @@ def write_shards(
     and are empty: their end id alone. Rows that agree in all are dealt by their place, so a repeated or
     missing id is no hot key."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, FILE_BATCH_BYTES)
     # Half the usual number of ranges: the more texts a block has, the fewer distinct pieces for each of them.
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -313,3 +313,18 @@ def test_chunks_hold_their_longest_texts_first(spark):
     words = hmm.vocabulary(spark.createDataFrame([(1, 2), (2, 3)], "w long, n long"), 5, 1)
     chunk = hmm._chunks(rows, words)[0].first()
     assert chunk.ids == [4, 1, 0, 3, 2] and chunk.sizes == [6, 5, 3, 2, 1]
+
+
+def test_numbering_pieces_takes_little_memory():
+    words = prose(1, 3000).split()
+    texts = pa.array([" ".join(words[k % 100 : k % 100 + 400]) for k in range(4000)], pa.large_string())
+    tokenizer = token_files.Tokenizer(token_files.default_path())
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        ids, offs = tokenizer.encode_all(texts, 2)
+    finally:
+        pa.set_memory_pool(usual)
+    assert len(offs) == 4001 and len(ids) == offs[-1]
+    assert pool.max_memory() < 2.5 * texts.nbytes
