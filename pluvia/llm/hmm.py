@@ -45,8 +45,9 @@ SMOOTHING = 50.0
 RUN_TOKENS = 5_000_000
 #: Symbols of a chunk whose recursions run side by side; a single longer text runs alone.
 PART_TOKENS = 800_000
-#: Steps of a count's recursions of which one is scaled; the least sum that may come of that; rows that are
-#: counted together.
+#: Steps of a likelihood's recursion of which one is scaled, in double precision; and of a count's recursions; the
+#: least sum that may come of the latter; rows that are counted together.
+FORWARD_EVERY = 8
 SCALE_EVERY = 4
 LEAST = 1e-25
 BLOCK_ROWS = 1 << 15
@@ -209,12 +210,16 @@ class Hmm:
 class Packed:
     """Sequences side by side, longest first: step ``t`` is one slice of all that are that long."""
 
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, laid: bool = False):
+        """``laid``: the symbols lie in the order of the steps already, as a chunk's do."""
         self.order = np.argsort(-sizes, kind="stable")
         ordered = sizes[self.order]
         n = int(ordered[0]) if len(ordered) else 0
         self.live = np.searchsorted(-ordered, -np.arange(1, n + 1), "right")  # how many reach step t
         self.steps = np.concatenate([[0], np.cumsum(self.live)])
+        if laid:
+            self.symbols = symbols
+            return
         place = np.empty(len(sizes), np.int64)
         place[self.order] = np.arange(len(sizes))
         # Where each symbol goes: its step's slice, its sequence's place in it. A chunk has less than
@@ -231,49 +236,57 @@ class Packed:
         """Number of sequences, begin and end of every step's slice."""
         return list(zip(self.live.tolist(), self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True))
 
-    @property
-    def before(self) -> np.ndarray:
-        """Where the symbol before lies, of all from the second step on: as far back as the step before has rows."""
-        out = np.arange(int(self.live[0]), len(self.symbols))
-        out -= np.repeat(self.live[:-1], self.live[1:])
+    def added(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the symbols' values by sequence, in the original order."""
+        total, out = np.zeros(len(self.order), values.dtype), np.empty(len(self.order), values.dtype)
+        for live, lo, hi in self.spans:
+            total[:live] += values[lo:hi]
+        out[self.order] = total
         return out
 
 
-def packs(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, Packed]]:
-    """Sequences some at a time: which, and packed."""
+def parted(sizes: np.ndarray) -> list[slice]:
+    """Which sequences' recursions run side by side."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
     lo = 0
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_TOKENS, "right")) - 1)
-        yield slice(lo, hi), Packed(symbols[ends[lo] : ends[hi]], sizes[lo:hi])
+        out.append(slice(lo, hi))
         lo = hi
+    return out
+
+
+def packs(symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, Packed]]:
+    """Sequences some at a time: which, and packed."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for which in parted(sizes):
+        yield which, Packed(symbols[ends[which.start] : ends[which.stop]], sizes[which])
 
 
-def _forward(model: Hmm, x: Packed, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns the symbols' emissions into scaled vectors where they lie; log-likelihoods and scales."""
-    kind = vectors.dtype
-    start, move, ones = model.start.astype(kind), model.move.astype(kind), np.ones(len(model.start), kind)
-    scales = np.empty(len(x.symbols), kind)
-    last = None
-    for live, lo, hi in x.spans:
-        a = vectors[lo:hi]
-        a *= start if last is None else last[:live] @ move
-        c = scales[lo:hi]
-        np.dot(a, ones, out=c)
-        a /= c[:, None]
-        last = a
+def forward(model: Hmm, x: Packed, every: int = FORWARD_EVERY) -> np.ndarray:
+    """Natural-log likelihoods in the original order, by the forward recursion.
+
+    Its vectors are scaled at every ``every``-th step; a sequence adds its scales and the sum at its end.
+    """
+    k = len(model.start)
     total = np.zeros(len(x.order))
-    logs = np.log(scales)
-    for live, lo, hi in x.spans:
-        total[:live] += logs[lo:hi]
+    emitted = np.take(model.emit, x.symbols.astype(np.int64), 0)
+    ones, a = np.ones((k, k)), emitted[:0]
+    ends = np.append(x.live[1:], 0).tolist()
+    for t, ((live, lo, hi), on) in enumerate(zip(x.spans, ends, strict=True)):
+        now = emitted[lo:hi]
+        now *= model.start if t == 0 else np.dot(a[:live], model.move)
+        if t % every == every - 1:
+            c = np.dot(now, ones)
+            now /= c
+            total[:live] += np.log(c[:, 0])
+        if on < live:
+            total[on:live] += np.log(now[on:].sum(1))
+        a = now
     out = np.empty(len(x.order))
     out[x.order] = total
-    return out, scales
-
-
-def forward(model: Hmm, x: Packed) -> np.ndarray:
-    """Natural-log likelihoods in the original order."""
-    return _forward(model, x, model.emit[x.symbols])[0]
+    return out
 
 
 def expected_counts(model: Hmm, x: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,71 +308,68 @@ def add_counts(
     space: np.ndarray | None = None, every: int = SCALE_EVERY,
 ) -> None:
     """Adds the expected starts, moves and emissions (states x symbols) of the sequences. ``space`` is used
-    for the vectors, if given.
+    for the vectors, if given: three times as many values as the symbols have states, or more.
 
     Both recursions are scaled at some steps only, as the counts of each step are divided by their own
-    sum. The backward one leaves ``w = emission * b`` of every step; with the vectors of the step before,
-    all counts follow at once. Should a sum come too close to zero, all is done again with every step scaled.
+    sum. The forward one leaves the vector of the step before beside every symbol, the backward one
+    ``w = emission * b`` of its own step; of these two all counts follow at once. Should a sum come too close
+    to zero, all is done again with every step scaled.
     """
-    k, kind = len(start), parts.dtype
-    if not len(x.symbols):
+    k, kind, n = len(start), parts.dtype, len(x.symbols)
+    if not n:
         return
     symbols = x.symbols.astype(np.int64)
-    w, vectors = (np.empty((2, len(symbols), k), kind) if space is None else space)[:, : len(symbols)]
+    flat = (np.empty(3 * n * k, kind) if space is None else space)[: 3 * n * k].reshape(3, -1)
+    w, past, found = flat[0].reshape(n, k), flat[1].reshape(n, k), flat[2].reshape(k, n)
     np.take(parts, symbols, 0, out=w, mode="clip")
-    vectors[:] = w
-    step, ones = model.move.astype(kind), np.ones((k, k), kind)
-    first = int(x.live[0])
-    vectors[:first] *= model.start.astype(kind)
+    first, ones = int(x.live[0]), np.ones((k, k), kind)
+    begin, step = model.start.astype(kind), model.move.astype(kind)
     spans = list(enumerate(x.spans))
-    held, last = np.empty((first, k), kind), vectors[:first]
+    held, at = np.tile(begin, (first, 1)), 0
     for t, (live, lo, hi) in spans[1:]:
-        now, a = held[:live], vectors[lo:hi]
-        np.dot(last[:live], step, out=now)
-        a *= now
+        now, a = held[:live], past[lo:hi]
+        np.multiply(now, w[at : at + live], out=a)
         if t % every == 0:
             np.dot(a, ones, out=now)
             a /= now
-        last = a
+        np.dot(a, step, out=now)
+        at = lo
     back = np.ascontiguousarray(step.T)
     # Sequences that end at a step begin there with ones.
-    b = np.ones((first, k), kind)
+    held[:] = 1
     for t, (live, lo, hi) in reversed(spans):
-        now, some = b[:live], w[lo:hi]
+        now, some = held[:live], w[lo:hi]
         some *= now
         if t % every == 0:
             np.dot(some, ones, out=now)
             some /= now
         np.dot(some, back, out=now)
-    opening = w[:first] * model.start.astype(kind)
+    opening = w[:first] * begin
     sums = np.dot(opening, ones)
     low, moves = sums.min(), np.zeros((k, k))
-    w[:first] = opening / sums
-    before = x.before
-    space = np.empty((3, min(len(before), BLOCK_ROWS), k), kind)
-    for lo in range(0, len(before), BLOCK_ROWS):
-        at = before[lo : lo + BLOCK_ROWS]
-        past, counts, sums = space[:, : len(at)]
-        own = w[first + lo : first + lo + len(at)]
-        np.take(vectors, at, 0, out=past, mode="clip")
-        np.dot(past, step, out=counts)
+    np.divide(opening.T, sums.T, out=found[:, :first])
+    block = np.empty((2, min(n, BLOCK_ROWS), k), kind)
+    for lo in range(first, n, BLOCK_ROWS):
+        a, own = past[lo : lo + BLOCK_ROWS], w[lo : lo + BLOCK_ROWS]
+        counts, sums = block[:, : len(a)]
+        np.dot(a, step, out=counts)
         counts *= own
         np.dot(counts, ones, out=sums)
         low = min(low, sums.min())
-        past /= sums
-        moves += np.dot(past.T, own)
-        np.divide(counts, sums, out=own)
+        a /= sums
+        moves += np.dot(a.T, own)
+        np.divide(counts.T, sums.T, out=found[:, lo : lo + len(a)])
     if every > 1 and not low > LEAST:
         add_counts(model, parts, x, start, move, emit, space, 1)
         return
-    start += w[:first].sum(0, dtype=np.float64)
+    start += found[:, :first].sum(1, dtype=np.float64)
     move += moves * model.move
     for s in range(k):
-        emit[s] += np.bincount(symbols, w[:, s], emit.shape[1])
+        emit[s] += np.bincount(symbols, found[s], emit.shape[1])
 
 
 #: Texts of a chunk; and of each chunk and range the sorted words, or numbers of them.
-CHUNKS = "chunk long, range int, ids array<long>, sizes array<int>, data binary, n int"
+CHUNKS = "chunk long, range int, ids array<long>, sizes array<int>, cuts array<int>, data binary, n int"
 PARTS = "range int, chunk long, n int, data binary"
 #: The range of a chunk's texts, and of the sums of starts, moves and head.
 SUMS = -1
@@ -370,17 +380,27 @@ WORDS, FIRST = -(1 << 62), -(1 << 62) + 1
 def _pack(values: np.ndarray) -> bytes:
     """Little-endian values, the first bytes of all, then the second ones and so on, compressed."""
     planes = np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.dtype.itemsize).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
 
 
-def _unpack(data, kind: str, n: int) -> np.ndarray:
+def _unpack(data, kind: str, n: int, out: np.ndarray | None = None) -> np.ndarray:
+    """The values, in ``out`` if it is given."""
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
-    out = planes[-1].astype(f"<u{size}")
+    values = np.empty(n, f"<u{size}") if out is None else out.view(f"<u{size}")
+    values[:] = planes[-1]
     for plane in planes[-2::-1]:
-        out <<= 8
-        out |= plane
-    return out.view(kind)
+        values <<= 8
+        values |= plane
+    return values.view(kind)
+
+
+def _given(rows: pa.Table) -> Iterator[dict]:
+    """Rows whose packed columns stay where they are."""
+    packed = [c for c in rows.column_names if pa.types.is_binary(rows.schema.field(c).type)]
+    plain = rows.drop_columns(packed).to_pylist()
+    for row, *data in zip(plain, *(rows.column(c) for c in packed), strict=True):
+        yield row | {c: d.as_buffer() for c, d in zip(packed, data, strict=True)}
 
 
 def _parts(rows: list[tuple], sums: bool = False) -> pa.RecordBatch:
@@ -399,34 +419,36 @@ def _ranges(words: np.ndarray, n: int) -> np.ndarray:
 def _chunk_batches(words: Vocabulary, ranges: int):
     """Whole texts with their ends, about ``RUN_TOKENS`` symbols a row, and the chunk's other words.
 
-    Symbols from ``words.rare + 2`` on are places in the chunk's list of words outside the head,
-    which follows in a row per range: ``n`` hashes, then how often each occurs.
+    The symbols lie as the recursions take them, part by part, and ``cuts`` has the bytes of each part. Symbols
+    from ``words.rare + 2`` on are places in the chunk's list of words outside the head, which follows in a row
+    per range: ``n`` hashes, then how often each occurs.
     """
 
+    def lists(values: list, kind: pa.DataType, nulls: int) -> pa.Array:
+        """A list for the texts, none for the ranges."""
+        return pa.array([values] + [None] * nulls, pa.list_(kind))
+
     def rows(chunk: int, held: list) -> pa.RecordBatch:
         symbols, h, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
+        ids = pa.concat_arrays([x[3] for x in held])
+        held.clear()
+        rare, at, times = np.unique(h, return_inverse=True, return_counts=True)
+        symbols[symbols == words.rare] = words.rare + 2 + at
+        del h, at
         # Longest texts first, so that parts of a chunk hold texts of like length and take few steps.
         order = np.argsort(-sizes, kind="stable")
         starts = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
-        symbols, h = gathered(symbols, starts, sizes), gathered(h, starts, sizes)
-        ids = pa.concat_arrays([x[3] for x in held]).take(pa.array(order))
-        where = np.flatnonzero(symbols == words.rare)
-        rare, at, times = np.unique(h[where], return_inverse=True, return_counts=True)
-        symbols[where] = words.rare + 2 + at
+        ids = ids.take(pa.array(order))
+        texts = [_pack(Packed(gathered(symbols, starts[p], sizes[p]), sizes[p]).symbols) for p in parted(sizes)]
         edges = _ranges(rare, ranges)
         full = [r for r in range(ranges) if edges[r] < edges[r + 1]]
         cut = [slice(edges[r], edges[r + 1]) for r in full]
-        data = [_pack(symbols), *[_pack(np.concatenate([rare[c], times[c].astype(np.uint64)])) for c in cut]]
-        none = pa.array([None] * len(full), pa.list_(pa.int64()))
+        data = [b"".join(texts), *[_pack(np.concatenate([rare[c], times[c].astype(np.uint64)])) for c in cut]]
         return _rows(
-            ["chunk", "range", "ids", "sizes", "data", "n"], pa.array([chunk] * (1 + len(full)), pa.int64()),
-            pa.array([SUMS, *full], pa.int32()),
-            pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), none]),
-            pa.concat_arrays([
-                pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
-                pa.array([None] * len(full), pa.list_(pa.int32())),
-            ]),
+            ["chunk", "range", "ids", "sizes", "cuts", "data", "n"], pa.array([chunk] * (1 + len(full)), pa.int64()),
+            pa.array([SUMS, *full], pa.int32()), lists(ids.to_pylist(), pa.int64(), len(full)),
+            lists(sizes.tolist(), pa.int32(), len(full)), lists([len(x) for x in texts], pa.int32(), len(full)),
             pa.array(data, pa.binary()), pa.array([len(symbols), *[c.stop - c.start for c in cut]], pa.int32()),
         )
 
@@ -436,8 +458,10 @@ def _chunk_batches(words: Vocabulary, ranges: int):
         total = 0
         for part, data, offs in pieces(batches):
             h, at = piece_words(data, offs)
-            symbols = np.insert(words.symbols(h), at[1:], np.int32(words.rare + 1))
-            held.append((symbols, np.insert(h, at[1:], np.uint64(0)), np.diff(at) + 1, part.column("doc_id")))
+            symbols = words.symbols(h)
+            h = h[symbols == words.rare]
+            symbols = np.insert(symbols, at[1:], np.int32(words.rare + 1))
+            held.append((symbols, h, np.diff(at) + 1, part.column("doc_id")))
             total += len(symbols)
             if total >= RUN_TOKENS:
                 yield rows(chunk, held)
@@ -449,11 +473,11 @@ def _chunk_batches(words: Vocabulary, ranges: int):
 
 
 def _chunks(docs: DataFrame, words: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """``chunk, ids, sizes, data, n``: the texts; ``chunk, range, data, n``: words by range."""
+    """``chunk, ids, sizes, cuts, data, n``: the texts; ``chunk, range, data, n``: words by range."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = stored(rows.mapInArrow(_chunk_batches(words, words.ranges), CHUNKS), clear=True, packed=True)
-    texts = both.where(F.col("range") == SUMS).select("chunk", "ids", "sizes", "data", "n")
+    texts = both.where(F.col("range") == SUMS).select("chunk", "ids", "sizes", "cuts", "data", "n")
     return texts, both.where(F.col("range") != SUMS).select("chunk", "range", "data", "n")
 
 
@@ -472,7 +496,7 @@ def _first_answers(states: int):
 
     def run(key: tuple, lists: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        rows = lists.to_pylist()
+        rows = list(_given(lists))
         own = [_words_of(row) for row in rows]
         words, at = np.unique(np.concatenate([w for w, _ in own]), return_inverse=True)
         n = np.bincount(at, np.concatenate([k for _, k in own])).astype(np.int64)
@@ -493,9 +517,9 @@ def _answers(states: int, last: bool):
     """A range's sums: one answer for each chunk, or, if none follows, all of them with chunk ``WORDS``."""
 
     def run(key: tuple, parts: pa.Table, places: pa.Table) -> pa.Table:
-        at = {~row["chunk"]: _unpack(row["data"], "<i4", row["n"]) for row in places.to_pylist()}
+        at = {~row["chunk"]: _unpack(row["data"], "<i4", row["n"]) for row in _given(places)}
         total = np.zeros((1 + max((int(a.max()) for a in at.values()), default=-1), states))
-        for row in parts.to_pylist():
+        for row in _given(parts):
             total[at[row["chunk"]]] += _unpack(row["data"], "<f4", row["n"] * states).reshape(-1, states)
         total = total.astype("<f4")
         r = key[0].as_py()
@@ -506,13 +530,21 @@ def _answers(states: int, last: bool):
     return run
 
 
-def _unpacked(text: dict, own: pa.Table, width: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """A chunk's symbols, its texts' sizes, the answers of all ranges in order, and (range, words) of each."""
-    sizes = np.asarray(text["sizes"], np.int64)
-    rows = sorted(own.to_pylist(), key=lambda row: row["range"])
-    c = [_unpack(row["data"], kind, row["n"] * width).reshape(-1, width) for row in rows]
-    c = np.concatenate([np.zeros((0, width), kind), *c])
-    return _unpack(text["data"], "<i4", text["n"]), sizes, c, [(row["range"], row["n"]) for row in rows]
+def _laid(text: dict) -> Iterator[tuple[slice, Packed]]:
+    """Texts of a chunk some at a time, as ``packs``."""
+    sizes, lo = np.asarray(text["sizes"], np.int64), 0
+    for which, n in zip(parted(sizes), text["cuts"], strict=True):
+        some = sizes[which]
+        yield which, Packed(_unpack(text["data"][lo : lo + n], "<i4", int(some.sum())), some, laid=True)
+        lo += n
+
+
+def _unpacked(own: pa.Table, width: int, kind: str) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """The answers of all ranges to a chunk in order: the range, which of the chunk's words, their values."""
+    lo = 0
+    for row in sorted(_given(own), key=lambda row: row["range"]):
+        yield row["range"], slice(lo, lo + row["n"]), _unpack(row["data"], kind, row["n"] * width).reshape(-1, width)
+        lo += row["n"]
 
 
 def _counted(model: Hmm, words: Vocabulary):
@@ -521,23 +553,25 @@ def _counted(model: Hmm, words: Vocabulary):
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         out = []
-        for text in texts.to_pylist():
-            symbols, sizes, c, ranges = _unpacked(text, own, k, "<f4")
-            parts = np.concatenate([relative(model.emit, np.float32), relative(model.of_counts(c), np.float32)])
+        for text in _given(texts):
+            parts = np.empty((size + sum(own.column("n").to_pylist()), k), np.float32)
+            parts[:size] = relative(model.emit, np.float32)
+            ranges = []
+            for r, which, c in _unpacked(own, k, "<f4"):
+                parts[size:][which] = relative(model.of_counts(c), np.float32)
+                ranges.append((r, which))
             start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(parts)))
-            space = np.empty((2, max(min(len(symbols), PART_TOKENS), int(sizes.max())), k), np.float32)
-            for _, x in packs(symbols, sizes):
+            space = np.empty(3 * k * max(min(text["n"], PART_TOKENS), max(text["sizes"])), np.float32)
+            for _, x in _laid(text):
                 add_counts(model, parts, x, start, move, emit, space)
-            del parts, symbols, c, space
-            head, tail = emit[:, :size].T, emit[:, size:].T.astype("<f4", order="C")
-            head[words.rare] = emit[:, size:].sum(1)
+            del parts, space, x
+            head, tail = emit[:, :size].T, emit[:, size:]
+            head[words.rare] = tail.sum(1)
             sums = np.vstack([start[None], move, head]).astype("<f4")
             out.append((SUMS, text["chunk"], len(sums), None, _pack(sums)))
-            lo = 0
-            for r, n in ranges:
-                out.append((r, text["chunk"], n, _pack(tail[lo : lo + n]), None))
-                lo += n
-        give_back()
+            for r, which in ranges:
+                found = tail[:, which].T.astype("<f4", order="C")
+                out.append((r, text["chunk"], len(found), _pack(found), None))
         return pa.Table.from_batches([_parts(out, True)])
 
     return run
@@ -611,12 +645,12 @@ def _known(states: int):
 
     def run(key: tuple, lists: pa.Table, known: pa.Table) -> pa.Table:
         words, n, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, states), "<f4")
-        for row in known.to_pylist():
+        for row in _given(known):
             words, n = _words_of({"n": row["n"], "data": row["words"]})
             c = _unpack(row["data"], "<f4", row["n"] * states).reshape(-1, states)
         table_ = np.vstack([np.hstack([n[:, None], c]), np.zeros((1, 1 + states))])  # the last row: not seen
         out = []
-        for row in lists.to_pylist():
+        for row in _given(lists):
             w, _ = _words_of(row)
             at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
             at = np.where(words[at] == w, at, len(words)) if len(words) else np.zeros(len(w), np.int64)
@@ -636,16 +670,16 @@ def score(docs: DataFrame, model: Hmm, words: Vocabulary, counts: DataFrame) ->
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         out = []
-        for text in texts.to_pylist():
-            symbols, sizes, found, _ = _unpacked(text, own, 1 + k, "<f8")
+        for text in _given(texts):
+            sizes = np.asarray(text["sizes"], np.int64)
+            found = np.concatenate([np.zeros((0, 1 + k)), *[c for _, _, c in _unpacked(own, 1 + k, "<f8")]])
             local = Hmm(model.start, model.move, np.vstack([model.emit, model.of_counts(found[:, 1:])]))
-            logs = np.empty(len(sizes))
-            for which, x in packs(symbols, sizes):
-                logs[which] = forward(local, x)
             n = np.concatenate([words.counts, [0, words.n_texts], found[:, 0].astype(np.int64)])
-            first = np.cumsum(sizes) - sizes
-            known = np.add.reduceat((n > 0)[symbols].astype(np.int64), first)
-            base = np.add.reduceat(words.base(n)[symbols], first)
+            in_base, seen = words.base(n), (n > 0).astype(np.int64)
+            logs, base, known = np.empty(len(sizes)), np.empty(len(sizes)), np.empty(len(sizes), np.int64)
+            for which, x in _laid(text):
+                logs[which] = forward(local, x)
+                base[which], known[which] = x.added(in_base[x.symbols]), x.added(seen[x.symbols])
             out.append(_rows(
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], pa.array(text["ids"], pa.int64()),
                 sizes, known, np.full(len(sizes), words.n_tokens, np.int64), base, logs / np.log(10),

@@ -315,6 +315,31 @@ def test_chunks_hold_their_longest_texts_first(spark):
     assert chunk.ids == [4, 1, 0, 3, 2] and chunk.sizes == [6, 5, 3, 2, 1]
 
 
+def test_chunks_hold_symbols_as_the_recursions_take_them(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "PART_TOKENS", 9)
+    texts = ["a b", "a b c d", None, "c", "b c d a b"]
+    rows = frame(spark, list(enumerate(texts))).coalesce(1)
+    words = hmm.vocabulary(spark.createDataFrame([(1, 2), (2, 3)], "w long, n long"), 5, 1)
+    chunk = hmm._chunks(rows, words)[0].first().asDict()
+    rare = {w: words.rare + 2 + k for k, w in enumerate(sorted("abcd", key=lambda w: hmm.piece_words(*raw_bytes(pa.array([w])))[0][0]))}
+    symbols = np.array([rare.get(w, words.rare + 1) for k in chunk["ids"] for w in [*(texts[k] or "").split(), None]], np.int32)
+    want = list(hmm.packs(symbols, np.array(chunk["sizes"])))
+    got = list(hmm._laid(chunk))
+    assert len(got) == len(want) > 1
+    for (a, x), (b, y) in zip(got, want, strict=True):
+        assert a == b and x.symbols.tolist() == y.symbols.tolist() and x.spans == y.spans
+        assert x.added(np.ones(len(x.symbols), int)).tolist() == chunk["sizes"][a]
+
+
+def test_likelihoods_of_seldom_scaled_steps():
+    rng = np.random.RandomState(6)
+    sizes = np.array([1, 30, 8, 64, 2, 16, 7, 9])
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(12), 3).T * 1e-13)
+    x = hmm.Packed(rng.randint(0, 12, sizes.sum()).astype(np.int32), sizes)
+    got = hmm.forward(model, x)
+    assert np.isfinite(got).all() and got == pytest.approx(hmm.forward(model, x, every=1), rel=1e-12)
+
+
 def test_numbering_pieces_takes_little_memory():
     words = prose(1, 3000).split()
     texts = pa.array([" ".join(words[k % 100 : k % 100 + 400]) for k in range(4000)], pa.large_string())
