@@ -329,7 +329,7 @@ def add_counts(
     for t, (live, lo, hi) in spans[1:]:
         now, a = held[:live], past[lo:hi]
         np.multiply(now, w[at : at + live], out=a)
-        if t % every == 0:
+        if t > 1 and (t - 1) % every == 0:
             np.dot(a, ones, out=now)
             a /= now
         np.dot(a, step, out=now)
