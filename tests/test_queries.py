@@ -58,3 +58,20 @@ def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.count() == 36
     assert out.columns[:2] == ["model", "lag"] or set(out.columns) >= {"model", "lag"}
+
+
+def test_archive_members_takes_every_row(spark, tmp_path):
+    """Odd, even, negative, repeated and missing ids."""
+    ids = [0, 1, 2, 3, 3, 4, 4, 7, -5, -6, None, None, 2**62 + 1]
+    events = spark.createDataFrame(
+        [(n, 10 + k, None, float(k), "click" if k % 3 else "view") for k, n in enumerate(ids)],
+        "event_id bigint, user_id bigint, ts timestamp_ntz, value double, event_type string",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["archive_members"](spark, str(tmp_path)).toPandas()
+    members = [n if n is None else f"station/{n}.csv" for n in ids]
+    kinds = ["click" if k % 3 else "view" for k in range(len(ids))]
+    want = pd.DataFrame({"member": members, "n_bytes": [len(t) + 4 for t in kinds], "event_type": kinds})
+    assert rows(got) == rows(want)
+    sql = entry.oracle_sql()["archive_members"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(duckdb.sql(sql).df()) == rows(want)
